@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from siteloom.llm.common import materialize, table
+from siteloom.llm.decontaminate import uncontaminated
+from siteloom.llm.jaccard import one_of_each
 from siteloom.llm.language import known_language
+from siteloom.llm.packing import packed
 from siteloom.llm.toxicity import clean_documents
 
-
-def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return clean_documents(spark, docs, sf_dir)
-
-
-def _language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return known_language(spark, docs, sf_dir)
-
-
 #: (name, function of (spark, docs, sf_dir)); all but the last return the columns of documents.
-STAGES = [("toxicity", _toxicity), ("language", _language)]
+STAGES = [
+    ("toxicity", clean_documents),
+    ("language", known_language),
+    ("near_duplicates", one_of_each),
+    ("decontamination", uncontaminated),
+    ("packing", packed),
+]
 
 #: A trained model decides in the first stages, which SQL can't express.
 ORACLE_SQL: str | None = None
