@@ -6,7 +6,8 @@ this one keeps lists short), and a set enters the index lists of its prefix: two
 threshold share a prefix shingle. Relations between sets then skip most of the work:
 
 - Index level: lists are cut into blocks by set size and carry positions. A set meets the blocks of its own
-  and the next size only, and skips entries whose position leaves too few shingles to share.
+  and the next size only, and skips entries whose position leaves too few shingles to share. Pairs that are
+  left must share so many shingles of their prefixes as the threshold implies.
 - Answer level: each list has a pivot set, to which all its sets are compared first (one comparison a set). As
   1 - Jaccard is a metric, the pivot's answers give those of the sets near it: two sets whose distances to the
   pivot differ by more than the limit cannot link, and two that both link to the pivot are connected already.
@@ -31,11 +32,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import hash_words, materialize, ngram_hashes, small_batches, table
+from siteloom.llm.common import bounded_broadcast, hash_words, materialize, ngram_hashes, small_batches, table
 
 #: The sketch: counts of 2^20 buckets in 16 blocks.
 SKETCH_BITS, SKETCH_BLOCKS = 20, 16
 BLOCK = (1 << SKETCH_BITS) // SKETCH_BLOCKS
+#: Ids that may be broadcast; more are joined by a shuffle.
+MAX_BROADCAST = 500_000
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -92,28 +95,24 @@ def sketch(signed: DataFrame) -> np.ndarray:
 
 
 def prefixes(sets: DataFrame, counts: np.ndarray, k: int, num: int, den: int) -> DataFrame:
-    """Index rows (token, node, n, pos) of each (node, text): the rarest n - ceil(t n) + 1 shingles, by position."""
+    """(node, n, tokens) of each (node, text): the set's size and its rarest n - ceil(t n) + 1 shingles in order."""
     share = sets.sparkSession.sparkContext.broadcast(counts)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq = share.value
         for b in batches:
-            token, node, size, pos = [], [], [], []
-            for i, text in zip(b.column("node").to_pylist(), b.column("text").to_pylist(), strict=True):
+            size, rare = [], []
+            for text in b.column("text").to_pylist():
                 s = shingles(text, k)
                 n = len(s)
-                if not n:
-                    continue
-                m = n - -(-num * n // den) + 1
-                rare = s[np.lexsort((s, freq[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))[:m]]
-                token.append(rare.view(np.int64))
-                node.append(np.full(m, i, dtype=np.int64))
-                size.append(np.full(m, n, dtype=np.int32))
-                pos.append(np.arange(m, dtype=np.int32))
-            if token:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (token, node, size, pos)], ["token", "node", "n", "pos"])
+                m = n - -(-num * n // den) + 1 if n else 0
+                size.append(n)
+                rare.append(s[np.lexsort((s, freq[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))[:m]].view(np.int64))
+            ends = np.cumsum([0, *map(len, rare)]).astype(np.int32)
+            tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rare) if rare else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(size, pa.int32()), tokens], ["node", "n", "tokens"])
 
-    return sets.mapInArrow(index, "token long, node long, n int, pos int")
+    return sets.mapInArrow(index, "node long, n int, tokens array<long>").where("n > 0")
 
 
 def whole_sets(sets: DataFrame, k: int) -> DataFrame:
@@ -157,19 +156,38 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def links(reps: DataFrame, counts: np.ndarray, k: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) that connect all linked nodes of reps(node, text): each link, or a chain over a pivot."""
-    lists = materialize(prefixes(reps, counts, k, num, den), "index")
-    shared = lists.groupBy("token").agg(F.count("*").alias("entries"), F.min("node").alias("pivot")).where("entries > 1")
-    shared = materialize(lists.join(shared.select("token", "pivot"), "token"), "lists")
-    sets = materialize(whole_sets(reps.join(shared.select("node").distinct(), "node"), k), "sets")
-    reaches = F.col("inter").cast("long") * den >= F.col("total").cast("long") * num
-    limit, eps = 1 - num / den, 1e-9
+def plausible(pairs: DataFrame, index: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose prefixes share enough shingles for the sets to reach the threshold.
+
+    Of two prefixes take the one that ends first in the common order: shared shingles up to there are in both
+    prefixes, and the set has n - m others. So the intersection is at most the prefixes' plus the larger n - m.
+    """
+    left = index.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
+    right = index.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
+    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+    most = F.size(F.array_intersect("ta", "tb")) + F.greatest(F.col("na") - F.size("ta"), F.col("nb") - F.size("tb"))
+    return both.where(most.cast("long") * (num + den) >= (F.col("na") + F.col("nb")).cast("long") * num).select("a", "b")
 
-    to_pivot = shared.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    near = materialize(intersections(to_pivot, sets).withColumn("linked", reaches), "pivots")
+
+def links(docs: DataFrame, index: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) that connect all linked nodes: each link, or a chain over a pivot."""
+    lists = index.select("node", "n", F.posexplode("tokens").alias("pos", "token"))
+    shared = lists.groupBy("token").agg(F.count("*").alias("entries"), F.min(F.struct("node", "n")).alias("p")).where("entries > 1")
+    shared = materialize(lists.join(shared.select("token", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n")), "token"), "lists")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = materialize(plausible(pairs, index, num, den), name)
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        sets = docs.join(bounded_broadcast(nodes, MAX_BROADCAST), F.col("doc_id") == F.col("node")).select("node", "text")
+        both = intersections(pairs, materialize(whole_sets(sets, k), "sets"))
+        return both.withColumn("linked", F.col("inter").cast("long") * den >= F.col("total").cast("long") * num)
+
+    limit, eps = 1 - num / den, 1e-9
+    close = (F.col("n") * den >= F.col("pivot_n") * num) & (F.col("pivot_n") * den >= F.col("n") * num)
+    to_pivot = shared.where((F.col("node") != F.col("pivot")) & close).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    near = materialize(verified(to_pivot, "pivot-pairs"), "pivots")
     dist = near.select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("inter") / F.col("total")).alias("d"), "linked")
-    known = shared.join(dist.hint("merge"), ["node", "pivot"], "left").where("node <> pivot")
+    known = shared.where("node <> pivot").join(dist.hint("merge"), ["node", "pivot"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
     known = known.withColumn("bucket", F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) + eps))
     x = known.select("token", "bucket", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "pos", "d", "linked")])
     y = known.select("token", F.explode(F.array(F.col("bucket"), F.col("bucket") - 1)).alias("bucket"), *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "pos", "d", "linked")])
@@ -178,14 +196,14 @@ def links(reps: DataFrame, counts: np.ndarray, k: int, num: int, den: int) -> Da
         ((F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_node") < F.col("y_node"))))
         & (F.col("x_n") * den >= F.col("y_n") * num)
         & (F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) + F.least("x_pos", "y_pos") >= need)
-        & (F.abs(F.col("x_d") - F.col("y_d")) <= limit + eps)
+        & F.coalesce(F.abs(F.col("x_d") - F.col("y_d")) <= limit + eps, F.lit(True))
     )
     # Two sets that both link to the pivot are connected: such pairs are never formed.
     one = x.where(~F.col("x_linked")).join(y.hint("merge"), ["token", "bucket"]).where(undecided)
     two = x.where("x_linked").join(y.where(~F.col("y_linked")).hint("merge"), ["token", "bucket"]).where(undecided)
     pairs = one.union(two).select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
-    far = intersections(pairs, sets).where(reaches)
-    return near.where("linked").select("a", "b").union(far.select("a", "b"))
+    far = verified(pairs, "other-pairs")
+    return near.where("linked").select("a", "b").union(far.where("linked").select("a", "b"))
 
 
 def near_duplicate_classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -195,8 +213,10 @@ def near_duplicate_classes(docs: DataFrame, k: int = 5, num: int = 4, den: int =
     signed = materialize(signatures(docs, k), "signatures")
     rows = signed.where("n is not null")
     group = rows.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("node"))
-    reps = docs.join(group.select("node").distinct().hint("merge"), F.col("doc_id") == F.col("node")).select("node", "text")
-    edges = links(reps, sketch(signed), k, num, den)
+    copies = rows.where("doc_id is not null").select("doc_id").distinct().join(group.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_anti")
+    reps = docs.where("doc_id is not null").join(bounded_broadcast(copies, MAX_BROADCAST), "doc_id", "left_anti")
+    index = materialize(prefixes(reps.select(F.col("doc_id").alias("node"), "text"), sketch(signed), k, num, den), "index")
+    edges = links(docs, index, k, num, den)
     repeats = rows.where("sig is not null and doc_id is not null").groupBy("doc_id").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("doc_id")
     same = rows.join(repeats, "doc_id", "left_semi").join(group, "sig").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     found = components(edges.union(same))
@@ -212,7 +232,7 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each class (five words, 0.8) the document with the smallest id; rows with a null id stay."""
     gone = near_duplicate_classes(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(bounded_broadcast(materialize(gone, "copies"), MAX_BROADCAST), "doc_id", "left_anti").select(docs.columns)
 
 
 OP9_SQL = """

@@ -94,8 +94,8 @@ def place(docs: DataFrame, vocab: str, window: int = WINDOW, most: int = OPEN, e
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end, packer = encoder(vocab), np.array([end_id], dtype="<u4").tobytes(), Packer(_first(0), window, most)
         for b in batches:
-            for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                data = encode(text) + end
+            for i, ids in zip(b.column("doc_id").to_pylist(), encode(b.column("text").to_pylist()), strict=True):
+                data = ids + end
                 total = len(data) // 4
                 for at in range(0, total, window):
                     n = min(window, total - at)

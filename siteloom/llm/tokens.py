@@ -1,9 +1,10 @@
 """Token ids of whole texts, and their flat binary files.
 
 Encoding. Both tokenizers split texts before they merge bytes, and a text may be cut between two of those
-pieces without a change to its ids. So each text is cut at single spaces and line ends, every distinct cut is
-encoded by the tokenizers library once a task holds it, and a text's ids are the concatenation. Texts in which
-white space meets white space are cut with a regular expression that leaves such runs whole.
+pieces without a change to its ids. So the texts of a batch are cut at single spaces, line ends, commas and full
+stops, the distinct cuts that the task doesn't hold yet are encoded by the tokenizers library in one call, and
+a text's ids are the concatenation. Texts in which white space meets white space are cut with a regular
+expression that leaves such runs whole.
 
 Files. Rows are put in ascending doc_id order over range partitions. Each partition writes one set of flat
 files: `.tok` (unsigned ids), `.off` (64-bit token offsets, one more than documents), `.doc` (64-bit ids) and
@@ -22,6 +23,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +35,13 @@ from pyarrow import fs as pafs
 from siteloom.llm.common import materialize, shared_dir, small_batches, table
 
 END_ID = 1
-#: Cuts that a task keeps encoded.
-MEMO_CUTS = 250_000
+#: Cuts that each of a task's two generations keeps encoded.
+MEMO_CUTS = 300_000
 #: A place between two pieces: before a single space, with no other white space around it.
 CUT = re.compile(r"(?<=\S)(?= \S)")
 RUNS = re.compile(r"\s\s")
+#: A comma or a full stop after anything but a plain letter or digit; elsewhere a cut may end before it.
+BEFORE_MARK = re.compile(r"[^A-Za-z0-9\u00df-\u00f6\u00f8-\u00ff][.,]")
 
 
 def vocabulary(name: str) -> str:
@@ -47,33 +51,64 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def encoder(path: str) -> Callable[[str | None], bytes]:
-    """A function from a text to its ids as little-endian unsigned 32-bit integers, without the end id."""
+def encoder(path: str) -> Callable[[list[str | None]], list[bytes]]:
+    """A function from texts to their ids as little-endian unsigned 32-bit integers, without the end id."""
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    memo: dict[str, bytes] = {"": b""}
+    ids = lambda text: tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
+    drops_space = ids("a b") == ids("a") + ids("b") and ids(" a") == ids("a")
+    lowers = ids("A") == ids("a")
+    glue = " 0 " if drops_space else "\n"
+    between = ids(glue)
+    if ids(f"a{glue}b") != ids("a") + between + ids("b") or len(between) != 1:
+        raise ValueError(f"{path}: this tokenizer's pieces can't be told apart")
+    odd = re.compile(r"(?s).\s|^[^\S ]|^ $|<\||" + glue.strip(" "))
+    young: dict[str, bytes] = {"": b""}
+    old: dict[str, bytes] = {}
 
     def cuts(text: str) -> list[str]:
+        commas = not BEFORE_MARK.search(text)
+        if drops_space:
+            if lowers and "<|" not in text:
+                text = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+            text = text.replace(",", " ,").replace(".", " .") if commas else text
+            return text.replace("\n", " ").split(" ")
         if RUNS.search(text) or "\0" in text:
             return CUT.split(text)
+        text = text.replace(",", "\0,").replace(".", "\0.") if commas else text
         return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
 
-    def encode(text: str | None) -> bytes:
-        if not text:
-            return b""
-        parts = cuts(text)
-        try:
-            return b"".join(map(memo.__getitem__, parts))
-        except KeyError:
-            new = list({p for p in parts if p not in memo})
-            if len(memo) + len(new) > MEMO_CUTS:
-                memo.clear()
-                memo[""] = b""
-                new = list({p for p in parts if p})
-            for p, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                memo[p] = np.array(e.ids, dtype="<u4").tobytes()
-            return b"".join(map(memo.__getitem__, parts))
+    def learn(new: list[str]) -> None:
+        plain, rest = [], []
+        for x in new:
+            (plain if x.isalpha() or x[0] == " " and x[1:].isalpha() or not odd.search(x) else rest).append(x)
+        if plain:
+            got = np.array(ids(glue.join(plain)), dtype="<u4")
+            ends = np.append(np.flatnonzero(got == between[0]), len(got)).tolist()
+            if len(ends) != len(plain):
+                raise ValueError("a piece holds the separator's id")
+            data, start = got.tobytes(), 0
+            for x, end in zip(plain, ends, strict=True):
+                young[x] = data[4 * start : 4 * end]
+                start = end + 1
+        for x, e in zip(rest, tok.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            young[x] = np.array(e.ids, dtype="<u4").tobytes()
+
+    def encode(texts: list[str | None]) -> list[bytes]:
+        nonlocal young, old
+        parts = [cuts(t) if t else [] for t in texts]
+        missing = set(chain.from_iterable(parts)).difference(young)
+        if len(young) + len(missing) > MEMO_CUTS:
+            old, young = young, {"": b""}
+            missing = set(chain.from_iterable(parts)).difference(young)
+        for x in old.keys() & missing:
+            young[x] = old[x]
+            missing.discard(x)
+        fresh = list(missing)
+        for at in range(0, len(fresh), 20_000):
+            learn(fresh[at : at + 20_000])
+        return [b"".join(map(young.__getitem__, p)) for p in parts]
 
     return encode
 
@@ -122,8 +157,8 @@ def write_tokens(docs: DataFrame, uri: str, vocab: str, width: str = "<u2", end_
         ids, known, sizes = [], [], []
         with store.open_output_stream(f"{name}.tok.{temp}.part") as out:
             for b in batches:
-                for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                    data = np.frombuffer(encode(text), dtype="<u4").astype(width).tobytes() + end
+                for i, ids_of in zip(b.column("doc_id").to_pylist(), encode(b.column("text").to_pylist()), strict=True):
+                    data = np.frombuffer(ids_of, dtype="<u4").astype(width).tobytes() + end
                     out.write(data)
                     sizes.append(len(data) // len(end))
                     ids.append(i or 0)
