@@ -39,6 +39,8 @@ SKETCH_BITS, SKETCH_BLOCKS = 20, 16
 BLOCK = (1 << SKETCH_BITS) // SKETCH_BLOCKS
 #: Ids that may be broadcast; more are joined by a shuffle.
 MAX_BROADCAST = 500_000
+#: Lists of so many sets and more have all their distances to the pivot measured.
+LONG_LIST = 16
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -173,10 +175,10 @@ def links(docs: DataFrame, index: DataFrame, k: int, num: int, den: int) -> Data
     """Pairs (a, b) that connect all linked nodes: each link, or a chain over a pivot."""
     lists = index.select("node", "n", F.posexplode("tokens").alias("pos", "token"))
     shared = lists.groupBy("token").agg(F.count("*").alias("entries"), F.min(F.struct("node", "n")).alias("p")).where("entries > 1")
-    shared = materialize(lists.join(shared.select("token", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n")), "token"), "lists")
+    shared = materialize(lists.join(shared.select("token", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), "entries"), "token"), "lists")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = materialize(plausible(pairs, index, num, den), name)
+        pairs = materialize(pairs, name)
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         sets = docs.join(bounded_broadcast(nodes, MAX_BROADCAST), F.col("doc_id") == F.col("node")).select("node", "text")
         both = intersections(pairs, materialize(whole_sets(sets, k), "sets"))
@@ -185,24 +187,27 @@ def links(docs: DataFrame, index: DataFrame, k: int, num: int, den: int) -> Data
     limit, eps = 1 - num / den, 1e-9
     close = (F.col("n") * den >= F.col("pivot_n") * num) & (F.col("pivot_n") * den >= F.col("n") * num)
     to_pivot = shared.where((F.col("node") != F.col("pivot")) & close).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    near = materialize(verified(to_pivot, "pivot-pairs"), "pivots")
+    # In long lists the distance to the pivot is worth knowing whatever it is: it keeps far pairs apart below.
+    long = shared.where((F.col("node") != F.col("pivot")) & (F.col("entries") >= LONG_LIST)).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    near = materialize(verified(plausible(to_pivot, index, num, den).union(long).distinct(), "pivot-pairs"), "pivots")
     dist = near.select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("inter") / F.col("total")).alias("d"), "linked")
     known = shared.where("node <> pivot").join(dist.hint("merge"), ["node", "pivot"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
     known = known.withColumn("bucket", F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) + eps))
     x = known.select("token", "bucket", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "pos", "d", "linked")])
     y = known.select("token", F.explode(F.array(F.col("bucket"), F.col("bucket") - 1)).alias("bucket"), *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "pos", "d", "linked")])
     need = (F.col("x_n") + F.col("y_n")) * F.lit(num / (num + den)) - eps
+    # A pair is met at the first shingle that its prefixes share; what follows must suffice from there.
     undecided = (
         ((F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_node") < F.col("y_node"))))
         & (F.col("x_n") * den >= F.col("y_n") * num)
-        & (F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) + F.least("x_pos", "y_pos") >= need)
+        & (F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) >= need)
         & F.coalesce(F.abs(F.col("x_d") - F.col("y_d")) <= limit + eps, F.lit(True))
     )
     # Two sets that both link to the pivot are connected: such pairs are never formed.
     one = x.where(~F.col("x_linked")).join(y.hint("merge"), ["token", "bucket"]).where(undecided)
     two = x.where("x_linked").join(y.where(~F.col("y_linked")).hint("merge"), ["token", "bucket"]).where(undecided)
     pairs = one.union(two).select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
-    far = verified(pairs, "other-pairs")
+    far = verified(plausible(pairs, index, num, den), "other-pairs")
     return near.where("linked").select("a", "b").union(far.where("linked").select("a", "b"))
 
 
