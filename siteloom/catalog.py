@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siteloom.plans import crawl_queries, run_queries
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return crawl_queries.QUERIES | run_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return crawl_queries.ORACLES | run_queries.ORACLES
