@@ -13,7 +13,7 @@ word can make a task large.
 
 Edge cases: null and empty texts have no words and are not contaminated; items without words are ignored;
 repeated items count by distinct item_id; repeated rows are reported each; an empty benchmark gives zeros;
-extra columns are ignored; a null item_id is ignored in the item list but its windows still mark words.
+extra columns pass through, but for n_words, spans and items, which are replaced; a null item_id is ignored in the item list but its windows still mark words.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ forms, scripts, styles and reader comments, by tag, role or class words.
 
 Edge cases: a null html is an empty one and gives empty text; a page without containers uses its body or the
 whole page; pages with a null or odd url share the null host; tags may stay open or close out of order;
-repeated rows are kept; extra columns pass through `extract_pages` unchanged; an empty table gives no rows.
+repeated rows are kept; extra columns pass through `extract_pages` unchanged, but for one named text, which is
+replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,6 +40,9 @@ CLUTTER_WORDS = set("ad ads adv advert adverts advertisement advertisements adve
 #: Elements that a new one closes if it stands open right inside.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
+#: Columns of the join, by names that no table is likely to have.
+HOST, PATH, SALT = "_siteloom_host", "_siteloom_path", "_siteloom_salt"
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SPLIT = re.compile(r"[a-z]+", re.I)
@@ -216,20 +220,21 @@ def extract_pages(pages: DataFrame, most_hosts: int = 20_000) -> DataFrame:
     small_batches(pages.sparkSession)
     pages = pages.drop("text")
     keep = pages.columns
-    known = pages.withColumn("host", F.coalesce(host(), F.lit("")))
-    best = host_paths(known).withColumnRenamed("host", "h")
+    key = F.coalesce(host(), F.lit(""))
+    best = host_paths(pages.select(key.alias("host"), "html")).select(F.col("host").alias(HOST), F.col("path").alias(PATH))
+    known = pages.withColumn(HOST, key)
     small = bounded_broadcast(best, most_hosts)
     if small is not best:
-        joined = known.join(small, known["host"] == F.col("h"), "left")
+        joined = known.join(small, HOST, "left")
     else:
-        salted = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-        joined = known.withColumn("s", F.pmod(F.xxhash64("html"), F.lit(16)).cast("int")).join(salted, (F.col("host") == F.col("h")) & (F.col("s") == F.col("salt")), "left")
+        salted = best.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(15))))
+        joined = known.withColumn(SALT, F.pmod(F.xxhash64("html"), F.lit(16)).cast("int")).join(salted, [HOST, SALT], "left")
     schema = T.StructType([*pages.schema, T.StructField("text", T.StringType(), False)])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for path, html in zip(b.column("path").to_pylist(), b.column("html").to_pylist(), strict=True):
+            for path, html in zip(b.column(PATH).to_pylist(), b.column("html").to_pylist(), strict=True):
                 page = Page(html or "")
                 got = page.inside(path) if path else ""
                 if not got:
@@ -238,7 +243,7 @@ def extract_pages(pages: DataFrame, most_hosts: int = 20_000) -> DataFrame:
                 out.append(got)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(out, pa.string())], [*keep, "text"])
 
-    return joined.select(*keep, "path").mapInArrow(extract, schema)
+    return joined.select(*keep, PATH).mapInArrow(extract, schema)
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:

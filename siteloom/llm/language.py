@@ -7,7 +7,8 @@ embedding and the filters are folded into tables over byte pairs, so that a wind
 and one matrix product; windows of many texts go through together.
 
 Edge cases: null texts, empty texts and texts without a letter give `und` with score 0; a text shorter than
-a window is padded with zero bytes; repeated rows are predicted alike; extra columns pass through; with no
+a window is padded with zero bytes; repeated rows are predicted alike; extra columns pass through, but
+for those named lang_pred and lang_score, which are replaced; with no
 labelled rows every text is `und`.
 """
 

@@ -6,7 +6,7 @@ insult and a group mention can weigh more than both words alone. It is fitted in
 documented sample of labelled rows; scoring is one map over all rows, without a shuffle.
 
 Edge cases: null and empty texts have no terms and get the score of the bias alone; repeated rows are scored
-alike; extra columns pass through `score_toxicity` unchanged; an empty labelled set gives a machine that
+alike; extra columns pass through `score_toxicity` unchanged, but for one named toxicity, which is replaced; an empty labelled set gives a machine that
 scores every text 0.
 """
 
