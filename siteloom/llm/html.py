@@ -6,8 +6,13 @@ paths, such as `html/body/div.main/article`. Digits in classes are folded, so nu
 sums the proposals of a host's pages, and the path with the largest sum wins the host. Then every page is
 read again with its host's winning path; a page without that path uses its own best container.
 
+An article may be split over several containers: the winner is widened to the `article` or `main` around it;
+without one, every level above it gives the containers and text beside it that are not mostly links (right
+inside body, where legal lines and the like stand too, only those of at least BESIDE unlinked characters).
+
 What is left out everywhere: menus, headers and footers outside the article, sidebars, notices, adverts,
-forms, scripts, styles and reader comments, by tag, role or class words.
+forms, scripts, styles and reader comments, by tag, role or class words. Such an element ends where HTML ends
+it: by its end tag, by that of an element around it, or by a new element that implies its end.
 
 Edge cases: a null html is an empty one and gives empty text; a page without containers uses its body or the
 whole page; pages with a null or odd url share the null host; tags may stay open or close out of order;
@@ -37,8 +42,12 @@ CONTAINERS = set("html body main article section div td blockquote center".split
 CLUTTER_TAGS = set("nav aside footer form button dialog menu head iframe".split())
 CLUTTER_ROLES = set("navigation banner contentinfo complementary search alert dialog form menu menubar".split())
 CLUTTER_WORDS = set("ad ads adv advert adverts advertisement advertisements advertising banner sponsor sponsored promo promoted promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay subscribe newsletter signup share sharing social related recommended comment comments reply replies disqus discussion respond widget toolbar pagination pager login search skip hidden".split())
-#: Elements that a new one closes if it stands open right inside.
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Elements that a new one closes if they stand open in its scope.
+CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}} | dict.fromkeys(("thead", "tbody", "tfoot"), {"thead", "tbody", "tfoot", "tr", "td", "th", "caption"})
+#: Parts of a table, whose scope is the table; a cell is the scope of all else.
+TABLE, CELLS = set("table thead tbody tfoot tr td th caption".split()), set("td th caption table".split())
+#: Unlinked characters from which text in another part of the body counts as the article's.
+BESIDE = 80
 
 #: Columns of the join, by names that no table is likely to have.
 HOST, PATH, SALT = "_siteloom_host", "_siteloom_path", "_siteloom_salt"
@@ -64,6 +73,7 @@ class Page:
     def __init__(self, html: str):
         self.parents: list[int] = [-1]
         self.paths: list[str] = [""]
+        self.tags: list[str] = [""]
         self.blocks: list[Block] = []
         self._read(html)
 
@@ -71,16 +81,21 @@ class Page:
         return {m[0].lower(): m[1] or m[2] or m[3] for m in ATTRIBUTE.findall(text)} if "=" in text or "hidden" in text else {}
 
     def _read(self, html: str) -> None:
-        stack: list[tuple[str, int]] = [("", 0)]
-        skip, links, in_article, at = 0, 0, 0, 0
+        # Open elements: tag, place of the container, articles around; those from `skip` on are clutter, if it isn't 0.
+        stack: list[tuple[str, int, int]] = [("", 0, 0)]
+        skip, links, at = 0, 0, 0
         block = Block(0)
-        skipped: list[str] = []
 
         def end_block(node: int) -> Block:
             if block.parts:
                 self.blocks.append(block)
             return Block(node)
 
+        def shorten(height: int) -> int:
+            """The open elements from a height on end; returns what becomes of skip."""
+            del stack[height:]
+            return skip if skip < height else 0
+
         def text(piece: str) -> None:
             if piece and not skip:
                 block.parts.append(piece)
@@ -105,15 +120,20 @@ class Page:
                     if tag != "title":
                         block = block if tag == "svg" else end_block(block.node)
                     continue
+                if tag in BLOCKS and (height := self._implied_end(tag, stack)) < len(stack):
+                    skip = shorten(height)
+                    block = end_block(stack[-1][1])
+                _, node, articles = stack[-1]
                 if skip:
                     if tag not in VOID and not m[3].endswith("/"):
-                        skipped.append(tag)
+                        stack.append((tag, node, articles))
                     continue
                 attrs = self._attributes(m[3])
-                if self._is_clutter(tag, attrs, in_article):
+                if self._is_clutter(tag, attrs, articles):
                     if tag not in VOID:
                         block = end_block(block.node)
-                        skip, skipped = 1, [tag]
+                        skip = len(stack)
+                        stack.append((tag, node, articles))
                     continue
                 if tag == "br":
                     text(" ")
@@ -121,37 +141,54 @@ class Page:
                 if tag == "a":
                     links += 1
                 if tag in BLOCKS:
-                    while len(stack) > 1 and (stack[-1][0] == "p" or stack[-1][0] in CLOSES.get(tag, ())):
-                        stack.pop()
-                    node = stack[-1][1]
                     if tag in CONTAINERS:
                         name = tag
                         if cls := attrs.get("class"):
                             name += "." + DIGITS.sub("0", cls.split()[0].lower()) if cls.split() else ""
                         self.parents.append(node)
                         self.paths.append(f"{self.paths[node]}/{name}")
+                        self.tags.append(tag)
                         node = len(self.paths) - 1
                     block = end_block(node)
-                    if tag != "hr":
-                        stack.append((tag, node))
-                        in_article += tag in ("article", "main")
-            elif skip:
-                if tag in skipped:
-                    while skipped and skipped.pop() != tag:
-                        pass
-                    if not skipped:
-                        skip = 0
-            elif tag == "a":
+                if tag not in VOID:
+                    stack.append((tag, node, articles + (tag in ("article", "main"))))
+                continue
+            height = self._open(tag, stack, skip)
+            if tag == "a" and not (skip and height >= skip):
                 links = max(0, links - 1)
-            elif tag in BLOCKS:
-                if any(t == tag for t, _ in stack):
-                    while (top := stack.pop()[0]) != tag:
-                        in_article -= top in ("article", "main")
-                    in_article -= tag in ("article", "main")
+            if height:
+                was, skip = skip, shorten(height)
+                if tag in BLOCKS and not was:
                     links = 0
+                if (tag in BLOCKS or was) and not skip:
+                    block = end_block(stack[-1][1])
+            elif tag in BLOCKS and not skip:
                 block = end_block(stack[-1][1])
         end_block(0)
 
+    @staticmethod
+    def _implied_end(tag: str, stack: list[tuple[str, int, int]]) -> int:
+        """The height to which a new block element ends open ones whose end tag may be left out."""
+        closes, height = CLOSES.get(tag, ()), len(stack)
+        for k in range(len(stack) - 1, 0, -1):
+            name = stack[k][0]
+            if name == "p" or name in closes:
+                height = k
+            elif name == "table" or tag not in TABLE and (name == "button" or name in BLOCKS and not (closes and name in ("address", "div"))):
+                break
+        return height
+
+    @staticmethod
+    def _open(tag: str, stack: list[tuple[str, int, int]], skip: int) -> int:
+        """The height of the element that an end tag ends, 0 if there is none: any inside clutter, else one in scope."""
+        for k in range(len(stack) - 1, 0, -1):
+            name = stack[k][0]
+            if name == tag:
+                return k
+            if (not skip or k < skip) and (name == "table" or name in CELLS and tag not in TABLE or tag not in BLOCKS and name in BLOCKS) and tag not in ("body", "html"):
+                return 0
+        return 0
+
     def _is_clutter(self, tag: str, attrs: dict[str, str], in_article: int) -> bool:
         if tag in CLUTTER_TAGS or tag == "header" and not in_article:
             return True
@@ -182,11 +219,44 @@ class Page:
         return gained
 
     def inside(self, path: str) -> str:
-        """The blocks in containers of that path, in page order, one on a line."""
-        chosen = [False] * len(self.paths)
-        for k in range(1, len(self.paths)):
-            chosen[k] = self.paths[k] == path or chosen[self.parents[k]]
-        return "\n".join(t for node, t, _ in self.clean() if chosen[node])
+        """The blocks in containers of that path, widened to their article, in page order, one on a line."""
+        found, parents = self.clean(), self.parents
+        size = len(self.paths)
+        chosen, around, beside = [False] * size, [False] * size, [False] * size
+        levels: list[int] = []
+        for k in range(1, size):
+            if self.paths[k] != path:
+                continue
+            chain = [k]
+            while parents[chain[-1]] > 0:
+                chain.append(parents[chain[-1]])
+            whole = [a for tag in ("article", "main") for a in reversed(chain) if self.tags[a] == tag]
+            chosen[whole[0] if whole else k] = True
+            for a in chain[1:] if not whole else ():
+                if not around[a]:
+                    around[a] = True
+                    levels.append(a)
+        if levels:
+            own = [[0, 0] for _ in range(size)]
+            for node, t, linked in found:
+                own[node][0] += len(t)
+                own[node][1] += min(len(t), linked)
+            below = [x[:] for x in own]
+            for k in range(size - 1, 0, -1):
+                below[parents[k]][0] += below[k][0]
+                below[parents[k]][1] += below[k][1]
+
+            def same(level: int, n: list[int]) -> bool:
+                return n[0] >= 2 * n[1] and (self.tags[level] not in ("html", "body") or n[0] - n[1] >= BESIDE)
+
+            for a in levels:
+                beside[a] = same(a, own[a])
+            for k in range(1, size):
+                if around[parents[k]] and not around[k] and not chosen[k]:
+                    chosen[k] = same(parents[k], below[k])
+        for k in range(1, size):
+            chosen[k] = chosen[k] or chosen[parents[k]]
+        return "\n".join(t for node, t, _ in found if chosen[node] or beside[node])
 
 
 def host(url: str = "url") -> F.Column:

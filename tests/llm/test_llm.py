@@ -273,6 +273,23 @@ def test_html_article_alone(spark):
     assert got[10] == got[11] == "" and got[12] == "plain & simple" and got[13] == "one\ntwo three"
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<article><p>A<p class="ad">Buy<p>B</p><p>C</p></article>', "A B C"),
+        ("<article><ul><li>A<li class=share>S<li>B</ul><p>C</article>", "A B C"),
+        ("<article><dl><dt>A<dd class=ad>S<dt>B</dl><p>C</article>", "A B C"),
+        ("<article><table><tr><td>A<td class=sidebar><div>S<td>B<tr class=ad><td>S<tr><td>C</table>D</article>", "A B C D"),
+        ("<main><div><p>A<div class=ad><p>S<ul><li>S</div>B</div><p>C <span class=share>S</p><p>D</main>", "A B C D"),
+        ("<article>A<div class=one>" + "B" * 200 + "</div><div class=two>C</div>D</article>", "A " + "B" * 200 + " C D"),
+        ("<body><div class=w><h1>A</h1><div class=one>" + "B" * 200 + "</div><div class=two>C</div><div class=m><a>S S</a></div></div><div class=legal>S</div>", "A " + "B" * 200 + " C"),
+    ],
+)
+def test_html_whole_article(spark, page, want):
+    got = html.extract_pages(spark.createDataFrame([("https://h.example/", page)], "url string, html string")).first()["text"]
+    assert got == want.replace(" ", "\n")
+
+
 def test_html_given_pages(spark, sf_dir):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     import html as entities
