@@ -73,23 +73,29 @@ def judged(candidates: DataFrame, allowed: DataFrame | None = None) -> DataFrame
     return scored.withColumn("score", F.when(F.col("rule").isNull(), score)).drop("earliest", "latest")
 
 
-def select_urls(candidates: DataFrame, limit: int, allowed: DataFrame | None = None, longest_chain: int = 3) -> DataFrame:
+def select_urls(candidates: DataFrame, limit: int, allowed: DataFrame | None = None) -> DataFrame:
     """One row per merged candidate: site, norm_url, duplicates, rule (null if selected), score and rank.
 
     A locale variant goes if its base is selected. In set terms: a survivor is a variant if its base survives,
-    ranks earlier and is no variant itself; with the longest chain of language segments bounded by
-    longest_chain, so many joins along the chain decide it for all. The first `limit` others of a site are
-    selected; a variant counts as localized_duplicate if its base is selected, else as over_limit.
+    ranks earlier and is no variant itself. So it is one if an odd number of links to earlier bases follow one
+    another from it. Links are counted by doubling: a round joins each URL with the one that its counted links
+    lead to, and as many rounds are run as the most language segments at the front of a survivor's path need.
+    The first `limit` others of a site are selected; a variant counts as localized_duplicate if its base is
+    selected, else as over_limit.
     """
     rows = cut(judged(candidates, allowed), "judged")
-    alive = rows.where("rule is null").select("site", "norm_url", "score", U.delocalized_url(F.col("c")).alias("base"))
+    alive = rows.where("rule is null").select("site", "norm_url", "score", U.delocalized_url(F.col("c")).alias("base"), U.leading_languages(F.col("c.path")).alias("languages"))
     order = Window.partitionBy("site").orderBy(F.desc("score"), "norm_url")
     ranked = cut(alive.withColumn("place", F.row_number().over(order)), "ranked")
-    variants = ranked.withColumn("dup", F.lit(False))
-    for _ in range(longest_chain):
-        bases = variants.select("site", F.col("norm_url").alias("base"), F.col("place").alias("base_place"), F.col("dup").alias("base_dup"))
-        again = ranked.join(bases, ["site", "base"], "left")
-        variants = again.withColumn("dup", F.coalesce((F.col("base_place") < F.col("place")) & ~F.col("base_dup"), F.lit(False))).drop("base_place", "base_dup")
+    longest = ranked.agg(F.max("languages")).first()[0] or 0
+    bases = ranked.select("site", F.col("norm_url").alias("base"), F.col("place").alias("base_place"))
+    linked = F.coalesce(F.col("base_place") < F.col("place"), F.lit(False))
+    variants = ranked.join(bases, ["site", "base"], "left").select("site", "norm_url", "base", "place", linked.alias("dup"), F.when(linked, F.col("base")).alias("to"))
+    for _ in range(max(longest - 1, 0).bit_length()):
+        variants = cut(variants, "links")
+        ends = variants.where("dup or to is not null").select("site", F.col("norm_url").alias("to"), F.col("dup").alias("to_dup"), F.col("to").alias("next"))
+        variants = variants.join(ends, ["site", "to"], "left").select("site", "norm_url", "base", "place", (F.col("dup") != F.coalesce("to_dup", F.lit(False))).alias("dup"), F.col("next").alias("to"))
+    variants = variants.drop("to")
     kept = cut(variants.withColumn("rank", F.when(~F.col("dup"), F.row_number().over(Window.partitionBy("site", "dup").orderBy("place")))), "variants")
     chosen = kept.where((F.col("rank") <= limit) & ~F.col("dup")).select("site", F.col("norm_url").alias("base"), F.lit(True).alias("base_chosen"))
     late = kept.join(chosen, ["site", "base"], "left").select(

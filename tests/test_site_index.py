@@ -131,6 +131,18 @@ def test_locale_rule_equals_the_loop(spark):
         assert sequential_selection(by_site[r["site"]], 4)[r["norm_url"]] == r["rule"]
 
 
+def test_locale_chains_of_any_length(spark):
+    """Bases rank before their variants here, so variants and others take turns along a chain."""
+    chain = ["fr", "de", "en", "es", "it", "pt", "nl", "pl", "sv"]
+    for most in (4, 5, 9):
+        urls = ["https://s.io/" + "/".join([*chain[most - k : most], "docs"]) for k in range(most + 1)]
+        frame = spark.createDataFrame([("s.io", "https://s.io/", u) for u in urls], "site string, seed string, url string").select("*", F.lit(None).cast("timestamp").alias("lastmod"), F.lit(0.5).alias("priority"))
+        for limit in (2, 20):
+            got = {r["norm_url"]: r for r in FR.select_urls(frame, limit).collect()}
+            rows = [(u, got[u]["score"], urls[k - 1] if k else None) for k, u in enumerate(urls)]
+            assert {u: r["rule"] for u, r in got.items()} == sequential_selection(rows, limit)
+
+
 def test_partitioning_does_not_matter(spark, sf_dir):
     from siteloom.plans import inputs
 
