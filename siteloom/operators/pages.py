@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import html as entities
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from siteloom.functions import text as T
 from siteloom.functions import urls as U
@@ -27,6 +31,9 @@ RANGES6 = [
     ("fc" + "0" * 30, "fd" + "f" * 30, "non_global"), ("fe8" + "0" * 29, "feb" + "f" * 29, "non_global"), ("fec" + "0" * 29, "fef" + "f" * 29, "site_local"), ("ff" + "0" * 30, "ff" + "f" * 30, "multicast"),
 ]
 
+#: Types of JSON-LD objects whose name is a page's title.
+LD_TYPES = r"(Article|Posting|Page)\b"
+
 
 def header_value(headers: Column, name: str) -> Column:
     return F.try_element_at(F.transform(F.filter(F.map_entries(headers), lambda e: F.lower(e["key"]) == name), lambda e: e["value"]), F.lit(1))
@@ -152,7 +159,7 @@ def resolve(base: Column, ref: Column) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    """The five XML character references, the usual spaces, and decimal ones of ASCII."""
+    """Ten fixed references of links, without Python: the five of XML, no-break spaces, &#39;, &copy; and &middot;."""
     out = text
     for a, b in (("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
         out = F.replace(out, F.lit(a), F.lit(b))
@@ -176,6 +183,27 @@ def meta(html: Column, name: str) -> Column:
     return F.regexp_extract(html, rf"(?is)<meta\b(?=[^>]*\b(?:name|property)\s*=\s*[\"']{name}[\"'])[^>]*?\bcontent\s*=\s*[\"']([^\"']*)", 1)
 
 
+def ld_title(html: Column) -> Column:
+    """The first headline of a page's JSON-LD objects (alone, in an array or in a @graph), else the first name of an article or page."""
+    plain = F.when(F.lower(html).contains("ld+json"), F.regexp_replace(html, "(?s)<!--.*?-->", ""))
+    scripts = F.regexp_extract_all(plain, F.lit(r"(?is)<script\b[^>]*?\btype\s*=\s*[\"']?application/ld\+json\b[^>]*>(.*?)</script>"), 1)
+    many = lambda s, path: F.from_json(F.get_json_object(s, path), "array<string>")
+    one = lambda s: F.when(F.trim(s).startswith("["), many(s, "$")).otherwise(F.array(s))
+    items = F.flatten(F.transform(F.flatten(F.transform(scripts, one)), lambda s: F.concat(F.array(s), F.coalesce(many(s, "$['@graph']"), F.array().cast("array<string>")))))
+
+    def first(key: str, kept: Column) -> Column:
+        values = F.transform(kept, lambda s: F.when(F.schema_of_variant(F.try_variant_get(F.try_parse_json(s), f"$.{key}", "variant")) == "STRING", F.get_json_object(s, f"$.{key}")))
+        return F.try_element_at(F.filter(values, lambda v: F.trim(v) != ""), F.lit(1))
+
+    return F.coalesce(first("headline", items), first("name", F.filter(items, lambda s: F.get_json_object(s, "$['@type']").rlike(LD_TYPES))))
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def unescape_all(texts: pd.Series) -> pd.Series:
+    """All named, decimal and hexadecimal character references of an array's texts decoded once, by HTML's rules."""
+    return texts.map(lambda row: None if row is None else [t if t is None or "&" not in t else entities.unescape(t) for t in row])
+
+
 def extract_content(pages: DataFrame, common_pages: int = 3) -> DataFrame:
     """(page_id, url, site, title, description, markdown, is_empty) of pages(page_id, url, html).
 
@@ -184,13 +212,14 @@ def extract_content(pages: DataFrame, common_pages: int = 3) -> DataFrame:
     """
     html = F.coalesce("html", F.lit(""))
     h1 = F.regexp_extract_all(html, F.lit(r"(?is)<h1\b[^>]*>(.*?)</h1>"), 1)
-    pick = lambda x: F.nullif(T.collapse(unescape(F.regexp_replace(x, "<[^>]*>", ""))), F.lit(""))
-    title = F.coalesce(pick(meta(html, "og:title")), F.when(F.size(h1) == 1, pick(h1[0])), pick(F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title>", 1)))
-    description = F.coalesce(pick(meta(html, "og:description")), pick(meta(html, "description")))
+    raw = F.array(ld_title(html), meta(html, "og:title"), F.when(F.size(h1) == 1, F.try_element_at(h1, F.lit(1))), F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title>", 1), meta(html, "og:description"), meta(html, "description"))
+    names = F.transform(raw, lambda x: F.regexp_replace(x, "<[^>]*>", ""))
+    first = lambda x: F.try_element_at(F.filter(F.transform(x, T.collapse), lambda t: t != ""), F.lit(1))
     body = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|head|nav|header|footer|aside|form|noscript|svg)\b.*?</\1\s*>", "\n")
     marked = F.regexp_replace(body, r"(?is)</?(p|div|h[1-6]|li|ul|ol|tr|td|table|article|section|main|blockquote|pre|body|html|hr)\b[^>]*>", "\x01")
-    blocks = F.transform(F.split(marked, "\x01"), lambda b: T.collapse(unescape(F.regexp_replace(b, "<[^>]*>", " "))))
-    rows = pages.select("page_id", "url", F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("site"), title.alias("title"), description.alias("description"), F.filter(blocks, lambda b: b != "").alias("blocks"))
+    blocks = F.transform(F.split(marked, "\x01"), lambda b: F.regexp_replace(b, "<[^>]*>", " "))
+    rows = pages.select("page_id", "url", F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("site"), unescape_all(names).alias("names"), unescape_all(blocks).alias("blocks"))
+    rows = rows.select("page_id", "url", "site", first(F.slice("names", 1, 4)).alias("title"), first(F.slice("names", 5, 2)).alias("description"), F.filter(F.transform("blocks", T.collapse), lambda b: b != "").alias("blocks"))
     hashed = rows.select("page_id", "site", F.explode(F.array_distinct(F.transform("blocks", lambda b: F.xxhash64(b)))).alias("h"))
     common = hashed.groupBy("site", "h").agg(F.count("*").alias("n")).where(F.col("n") >= common_pages)
     drop = hashed.join(common.select("site", "h"), ["site", "h"]).groupBy("page_id").agg(F.collect_set("h").alias("drop"))

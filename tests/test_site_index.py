@@ -211,6 +211,19 @@ def test_links(spark):
     assert [r["link"] for r in got] == ["https://h.io/x/a", "https://h.io/x/b?c&d", "https://h.io/z"]
 
 
+def test_content_references(spark):
+    html = "<title>&eacute;&Uuml;&mdash;&#8217;&#x27;&hellip;&amp;lt;</title><p>a&nbsp;b &#X1F600; &notit;</p>"
+    got = PG.extract_content(spark.createDataFrame([(1, "https://h.io/p", html), (2, "https://h.io/q", None)], "page_id long, url string, html string")).orderBy("page_id").collect()
+    assert (got[0]["title"], got[0]["markdown"].split("\n\n")[-1], got[1]["title"], got[1]["markdown"]) == ("éÜ—’'…&lt;", "a b 😀 ¬it;", None, "")
+
+
+def test_titles_from_json_ld(spark):
+    ld = '<title>T</title><meta property="og:title" content="O&eacute;"><script type="application/ld+json">%s</script>'
+    cases = [('{"@type": "Article", "headline": "A &mdash; B"}', "A — B"), ('[{"@type": "Organization", "name": "X"}, {"@type": ["WebPage"], "name": "W"}]', "W"), ('{"@graph": [{"name": "X", "@type": "Person"}, {"headline": "G"}]}', "G"), ('{"@type": "Organization", "name": "X"}', "Oé"), ("{bad", "Oé"), ('{"headline": 5}', "Oé")]
+    pages = spark.createDataFrame([(k, f"https://h.io/{k}", ld % c) for k, (c, _) in enumerate(cases)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["title"] for r in PG.extract_content(pages).collect()} == {k: want for k, (_, want) in enumerate(cases)}
+
+
 PAGES = [
     ("https://s.io/", "Home [x]", "A thing for people. More.", "# Head\n\nThis is a long enough paragraph, with many words in it, to be prose."),
     ("https://s.io/docs/a (1)", "A", "About A.", "aaa " * 400),
