@@ -12,8 +12,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch. Texts can be long, so batches stay short.
-BATCH_ROWS = 1000
+#: Rows and bytes in one Arrow batch. Texts can be long, so batches stay short.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,15 +23,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Bounds the Arrow batches that Python workers hold."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder URI under the cluster's shared checkpoint folder.
 
-    Only where spark.checkpoint.dir is unset (local tests) a temporary folder is made and set.
+    Where spark.checkpoint.dir is unset, a temporary folder is made and set on a local master; a cluster must name one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -86,3 +89,31 @@ def texts(column: pa.ChunkedArray | pa.Array) -> Iterator[str | None]:
 def bounded_broadcast(df: DataFrame, limit: int) -> DataFrame:
     """Marks df for broadcast if it has at most `limit` rows, else leaves the join to a shuffle."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+#: A key that holds more than one of so many rows is hot; there are fewer hot keys than that, so they can be broadcast.
+HOT_SHARE = 1000
+#: What keys are joined by when they are hot, beside the key itself.
+SALT, SALTS = "_siteloom_salt", 32
+
+
+def salted_join(rows: DataFrame, looked_up: DataFrame, key: str, how: str = "inner", least: int = 1000) -> DataFrame:
+    """rows joined with a table of unique keys, the rows of hot keys dealt over salted copies of their one row there.
+
+    rows should be a written table, as it is read twice. Hot keys have more than `least` rows and a share of all
+    rows above 1 / HOT_SHARE. Rows with a null key find nothing; with how="left" they stay, spread like hot ones.
+    """
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_siteloom_n"))
+    hot = counts.where((F.col("_siteloom_n") > least) & (F.col("_siteloom_n") * HOT_SHARE > rows.count())).select(key, F.lit(True).alias("_siteloom_hot"))
+    rest = [c for c in rows.columns if c != key]
+    spread = F.pmod(F.xxhash64(*rest) if rest else F.lit(0), F.lit(SALTS)).cast("int")
+    left = rows.join(F.broadcast(hot), key, "left").withColumn(SALT, F.when(F.col("_siteloom_hot") | F.col(key).isNull(), spread).otherwise(0)).drop("_siteloom_hot")
+    every = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    right = looked_up.join(F.broadcast(hot), key, "left").withColumn(SALT, F.explode(F.when(F.col("_siteloom_hot"), every).otherwise(F.array(F.lit(0))))).drop("_siteloom_hot")
+    return left.join(right.hint("merge"), [key, SALT], how).drop(SALT)
+
+
+def others(df: DataFrame, *names: str) -> list[str]:
+    """The columns of df but for these; names differ in more than case."""
+    taken = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in taken]

@@ -13,7 +13,9 @@ threshold share a prefix shingle. Relations between sets then skip most of the w
   pivot differ by more than the limit cannot link, and two that both link to the pivot are connected already.
   Only pairs that neither bound decides are compared.
 
-Comparisons are exact intersections of whole sets. Components come from iterated smallest labels.
+Comparisons are exact intersections of whole sets. Components come from iterated smallest labels. The links
+found are enough to connect what is linked, not all of them: two sets that both link to a pivot need no own link.
+Keys that hold a large share of a join's rows (a much copied text, a pivot, a hub) are salted.
 
 Edge cases: null texts and texts without words have an empty set and link with nothing; a text with fewer
 words than a shingle is one shingle; rows that share a doc_id are one node; rows with a null doc_id get their
@@ -32,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import bounded_broadcast, hash_words, materialize, ngram_hashes, small_batches, table
+from siteloom.llm.common import bounded_broadcast, hash_words, materialize, ngram_hashes, salted_join, small_batches, table
 
 #: The sketch: counts of 2^20 buckets in 16 blocks.
 SKETCH_BITS, SKETCH_BLOCKS = 20, 16
@@ -134,28 +136,28 @@ def intersections(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, inter, total) of pairs (a, b): sizes of the intersection and of the union."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+    both = salted_join(pairs, right, "b").join(left.hint("merge"), "a")
     inter = F.size(F.array_intersect("sa", "sb"))
     return both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), inter.alias("inter")).select("a", "b", "inter", (F.col("na") + F.col("nb") - F.col("inter")).alias("total"))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over edges (a, b). Nodes without edges are left out.
 
     Each round every node takes the smallest label around it and then that label's own label, so the number of
-    rounds grows with the logarithm of a component's length.
+    rounds grows with the logarithm of a component's length. A hub's edges are dealt over salted copies of its label.
     """
     edges = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
     label = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), "labels")
-    for _ in range(rounds):
-        around = edges.join(label.select(F.col("node").alias("b"), "component").hint("merge"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+    while True:
+        around = salted_join(edges, label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         low = label.join(around, "node").select("node", "component", F.least("component", "near").alias("low"))
         hop = label.select(F.col("node").alias("low"), F.col("component").alias("jump"))
-        new = materialize(low.join(hop.hint("merge"), "low").select("node", F.least("low", "jump").alias("component"), (F.least("low", "jump") < F.col("component")).alias("moved")), "labels")
+        new = salted_join(materialize(low, "lows"), hop, "low").select("node", F.least("low", "jump").alias("component"), (F.least("low", "jump") < F.col("component")).alias("moved"))
+        new = materialize(new, "labels")
         label = new.select("node", "component")
         if not new.where("moved").limit(1).count():
             return label
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def plausible(pairs: DataFrame, index: DataFrame, num: int, den: int) -> DataFrame:
@@ -166,7 +168,7 @@ def plausible(pairs: DataFrame, index: DataFrame, num: int, den: int) -> DataFra
     """
     left = index.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     right = index.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+    both = salted_join(materialize(pairs, "candidates"), right, "b").join(left.hint("merge"), "a")
     most = F.size(F.array_intersect("ta", "tb")) + F.greatest(F.col("na") - F.size("ta"), F.col("nb") - F.size("tb"))
     return both.where(most.cast("long") * (num + den) >= (F.col("na") + F.col("nb")).cast("long") * num).select("a", "b")
 
@@ -226,7 +228,7 @@ def near_duplicate_classes(docs: DataFrame, k: int = 5, num: int = 4, den: int =
     same = rows.join(repeats, "doc_id", "left_semi").join(group, "sig").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     found = components(edges.union(same))
     classes = group.join(found, "node", "left").select("sig", F.coalesce("component", "node").alias("class"))
-    out = rows.join(classes.hint("merge"), "sig", "left")
+    out = salted_join(rows, classes, "sig", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("component_id"))
 
 
@@ -235,9 +237,26 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class (five words, 0.8) the document with the smallest id; rows with a null id stay."""
-    gone = near_duplicate_classes(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(bounded_broadcast(materialize(gone, "copies"), MAX_BROADCAST), "doc_id", "left_anti").select(docs.columns)
+    """Pipeline stage: of each class (five words, 0.8) one row stays, that with the smallest doc_id.
+
+    Rows are told apart by doc_id and text: repeated rows are copies of each other, texts that share an id are
+    judged each on its own, and rows with a null id count like all others (the class's other ids come first).
+    Null texts and texts without words are no copies of anything and stay, but for repeated rows. An empty table
+    gives an empty one; all columns come back as they are.
+    """
+    row, kind = "_siteloom_row", "_siteloom_class"
+    known = docs.withColumn(row, F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text").isNull(), F.coalesce("text", F.lit(""))))
+    classes = near_duplicate_classes(known.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), F.col("component_id").alias(kind))
+    ids = known.groupBy(row).agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
+    found = materialize(classes.distinct().join(ids, row), "classes")
+    best = found.groupBy(kind).agg(F.min(F.struct(F.col("id").isNull().alias("late"), "id", row)).alias("best"), F.count("*").alias("rows")).where("rows > 1")
+    gone = salted_join(found, best.select(kind, F.col(f"best.{row}").alias("kept")), kind).where(F.col(row) != F.col("kept")).select(row)
+    alone = known.join(bounded_broadcast(materialize(gone, "copies"), MAX_BROADCAST), row, "left_anti")
+    repeated = found.where("n > 1").select(row)
+    if not repeated.limit(1).count():
+        return alone.select(docs.columns)
+    once = bounded_broadcast(repeated, MAX_BROADCAST)
+    return alone.join(once, row, "left_anti").select(docs.columns).union(alone.join(once, row, "left_semi").dropDuplicates([row]).select(docs.columns))
 
 
 OP9_SQL = """
