@@ -1,7 +1,7 @@
 """Main text of web pages by consensus host paths.
 
 First, every page is read once: its container elements are scored by the text of the blocks right inside them
-(length, less what stands in links), and each page proposes its best containers as generalised tag-class
+(length, less what stands in links), and each page votes for all its containers by generalised tag-class
 paths, such as `html/body/div.main/article`. Digits in classes are folded, so numbered variants agree. Spark
 sums the proposals of a host's pages, and the path with the largest sum wins the host. Then every page is
 read again with its host's winning path; a page without that path uses its own best container.
@@ -11,8 +11,10 @@ without one, every level above it gives the containers and text beside it that a
 inside body, where legal lines and the like stand too, only those of at least BESIDE unlinked characters).
 
 What is left out everywhere: menus, headers and footers outside the article, sidebars, notices, adverts,
-forms, scripts, styles and reader comments, by tag, role or class words. Such an element ends where HTML ends
-it: by its end tag, by that of an element around it, or by a new element that implies its end.
+forms, scripts, styles and reader comments, by tag, role or names: a class or id that has a word for clutter and
+no word for anything else. Such an element ends where HTML ends it: by its end tag, by that of an element around
+it, or by a new element that implies its end. A form with an article inside, and a block that has no end tag of
+its own, are content.
 
 Edge cases: a null html is an empty one and gives empty text; a page without containers uses its body or the
 whole page; pages with a null or odd url share the null host; tags may stay open or close out of order;
@@ -28,22 +30,28 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siteloom.llm.common import bounded_broadcast, small_batches, table
+from siteloom.llm.common import bounded_broadcast, materialize, others, small_batches, table
 
 #: HTML's elements by their part in the layout.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template iframe textarea title select svg math object".split())
+RAW = set("script style noscript template iframe textarea title select svg".split())
 BLOCKS = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 CONTAINERS = set("html body main article section div td blockquote center".split())
 CLUTTER_TAGS = set("nav aside footer form button dialog menu head iframe".split())
 CLUTTER_ROLES = set("navigation banner contentinfo complementary search alert dialog form menu menubar".split())
-CLUTTER_WORDS = set("ad ads adv advert adverts advertisement advertisements advertising banner sponsor sponsored promo promoted promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay subscribe newsletter signup share sharing social related recommended comment comments reply replies disqus discussion respond widget toolbar pagination pager login search skip hidden".split())
+CLUTTER_WORDS = set("ad ads adv advert adverts advertisement advertisements advertising banner sponsor sponsored promo promoted promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay subscribe newsletter signup share sharing social related recommended comment comments reply replies disqus respond widget toolbar pagination pager login search skip hidden".split())
+#: Words that may stand beside them in a class or id; any other, as in social-science, makes it content.
+NEUTRAL_WORDS = set("a aria area articles background bar block bottom box btn button buttons container content cta dialog div footer form global header holder icon icons in inline inner item items js left link links list main media message modal module mobile nav new off on outer page panel placeholder policy popular post posts primary right row secondary section site slot sticky the top unit up user widgets wrap wrapper".split())
 #: Elements that a new one closes if they stand open in its scope.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}} | dict.fromkeys(("thead", "tbody", "tfoot"), {"thead", "tbody", "tfoot", "tr", "td", "th", "caption"})
+#: Elements that are hidden by mistake only: a form around the article, or a block that is never closed, is read
+#: again as content, up to so many times a page.
+REREAD, ARTICLE_TAGS = 8, set("article main h1".split())
 #: Parts of a table, whose scope is the table; a cell is the scope of all else.
 TABLE, CELLS = set("table thead tbody tfoot tr td th caption".split()), set("td th caption table".split())
 #: Unlinked characters from which text in another part of the body counts as the article's.
@@ -52,12 +60,19 @@ BESIDE = 80
 #: Columns of the join, by names that no table is likely to have.
 HOST, PATH, SALT = "_siteloom_host", "_siteloom_path", "_siteloom_salt"
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+#: A quote opens a value only right after an equals sign; elsewhere it is a character like others.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*?)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-SPLIT = re.compile(r"[a-z]+", re.I)
+SPLIT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 DIGITS = re.compile(r"\d+")
 
 
+def is_clutter_name(name: str) -> bool:
+    """A class or id that names clutter and nothing else but a part of a layout."""
+    found = [w.lower() for w in SPLIT.findall(name)]
+    return any(w in CLUTTER_WORDS for w in found) and all(w in CLUTTER_WORDS or w in NEUTRAL_WORDS for w in found)
+
+
 class Block:
     """A run of text between block boundaries: its container's place, its text, and how much of it is linked."""
 
@@ -68,22 +83,32 @@ class Block:
 
 
 class Page:
-    """Nodes (parent, path) and blocks of one page, clutter left out."""
+    """Nodes (parent, path) and blocks of one page, clutter left out.
+
+    A node's path, the generalised tags and classes from the root, is held as a hash of its parent's path and its
+    own name, so that deep pages cost no more than flat ones.
+    """
 
     def __init__(self, html: str):
+        self.content: set[int] = set()
+        while (mistaken := self._try(html)) is not None and len(self.content) < REREAD:
+            self.content.add(mistaken)
+
+    def _try(self, html: str) -> int | None:
+        """Reads the page; returns the place of an element that was left out by mistake, if any."""
         self.parents: list[int] = [-1]
-        self.paths: list[str] = [""]
+        self.paths: list[int] = [0]
         self.tags: list[str] = [""]
         self.blocks: list[Block] = []
-        self._read(html)
+        return self._read(html)
 
     def _attributes(self, text: str) -> dict[str, str]:
         return {m[0].lower(): m[1] or m[2] or m[3] for m in ATTRIBUTE.findall(text)} if "=" in text or "hidden" in text else {}
 
-    def _read(self, html: str) -> None:
+    def _read(self, html: str) -> int | None:
         # Open elements: tag, place of the container, articles around; those from `skip` on are clutter, if it isn't 0.
         stack: list[tuple[str, int, int]] = [("", 0, 0)]
-        skip, links, at = 0, 0, 0
+        skip, links, at, began, rereads = 0, 0, 0, 0, len(self.content) < REREAD
         block = Block(0)
 
         def end_block(node: int) -> Block:
@@ -125,14 +150,16 @@ class Page:
                     block = end_block(stack[-1][1])
                 _, node, articles = stack[-1]
                 if skip:
+                    if rereads and tag in ARTICLE_TAGS and stack[skip][0] == "form":
+                        return began
                     if tag not in VOID and not m[3].endswith("/"):
                         stack.append((tag, node, articles))
                     continue
                 attrs = self._attributes(m[3])
-                if self._is_clutter(tag, attrs, articles):
+                if m.start() not in self.content and self._is_clutter(tag, attrs, articles):
                     if tag not in VOID:
                         block = end_block(block.node)
-                        skip = len(stack)
+                        skip, began = len(stack), m.start()
                         stack.append((tag, node, articles))
                     continue
                 if tag == "br":
@@ -146,7 +173,7 @@ class Page:
                         if cls := attrs.get("class"):
                             name += "." + DIGITS.sub("0", cls.split()[0].lower()) if cls.split() else ""
                         self.parents.append(node)
-                        self.paths.append(f"{self.paths[node]}/{name}")
+                        self.paths.append(xxhash.xxh3_64_intdigest(name, self.paths[node]) >> 1)
                         self.tags.append(tag)
                         node = len(self.paths) - 1
                     block = end_block(node)
@@ -157,6 +184,8 @@ class Page:
             if tag == "a" and not (skip and height >= skip):
                 links = max(0, links - 1)
             if height:
+                if rereads and skip > height and self._must_close(stack[skip][0]):
+                    return began
                 was, skip = skip, shorten(height)
                 if tag in BLOCKS and not was:
                     links = 0
@@ -165,6 +194,11 @@ class Page:
             elif tag in BLOCKS and not skip:
                 block = end_block(stack[-1][1])
         end_block(0)
+        return began if rereads and skip and self._must_close(stack[skip][0]) else None
+
+    @staticmethod
+    def _must_close(tag: str) -> bool:
+        return tag in BLOCKS and tag != "p" and tag not in CLOSES
 
     @staticmethod
     def _implied_end(tag: str, stack: list[tuple[str, int, int]]) -> int:
@@ -196,8 +230,7 @@ class Page:
             return False
         if attrs.get("role", "").lower() in CLUTTER_ROLES or attrs.get("aria-hidden") == "true" or "hidden" in attrs or "display:none" in attrs.get("style", "").replace(" ", ""):
             return tag not in ("html", "body")
-        names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-        return tag not in ("html", "body", "article", "main") and names != " " and any(w.lower() in CLUTTER_WORDS for w in SPLIT.findall(names))
+        return tag not in ("html", "body", "article", "main") and any(map(is_clutter_name, f"{attrs.get('class', '')} {attrs.get('id', '')}".split()))
 
     def clean(self) -> list[tuple[int, str, int]]:
         """(node, text, linked) of the blocks with text."""
@@ -208,17 +241,17 @@ class Page:
                 out.append((b.node, t, b.linked))
         return out
 
-    def scores(self) -> dict[str, float]:
+    def scores(self) -> dict[int, float]:
         """Each container path's score: the unlinked characters of blocks below it, by half for every level between."""
-        gained: dict[str, float] = defaultdict(float)
+        gained: dict[int, float] = defaultdict(float)
         for node, t, linked in self.clean():
             gain, k = float(len(t) - min(len(t), 2 * linked)), node
             while k > 0 and gain >= 1:
-                gained[self.paths[k]] += gain * (2.0 if re.search(r"/(article|main)[^/]*\Z", self.paths[k]) else 1.0)
+                gained[self.paths[k]] += gain * (2.0 if self.tags[k] in ("article", "main") else 1.0)
                 k, gain = self.parents[k], gain / 2
         return gained
 
-    def inside(self, path: str) -> str:
+    def inside(self, path: int) -> str:
         """The blocks in containers of that path, widened to their article, in page order, one on a line."""
         found, parents = self.clean(), self.parents
         size = len(self.paths)
@@ -263,21 +296,20 @@ def host(url: str = "url") -> F.Column:
     return F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
-def host_paths(pages: DataFrame, most: int = 5) -> DataFrame:
-    """(host, path): each host's winner. A page votes for its `most` best paths by their share of its text."""
+def host_paths(pages: DataFrame) -> DataFrame:
+    """(host, path): each host's winner. A page votes for its containers' paths by their share of its score."""
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            total: dict[tuple[str | None, str], float] = defaultdict(float)
+            total: dict[tuple[str | None, int], float] = defaultdict(float)
             for name, html in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
                 got = Page(html or "").scores()
-                best = sorted(got.items(), key=lambda x: (-x[1], x[0]))[:most]
-                whole = sum(v for _, v in best)
-                for path, v in best:
+                whole = sum(got.values())
+                for path, v in got.items():
                     total[name, path] += v / whole if whole else 0.0
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.string()), pa.array(list(total.values()), pa.float64())], ["host", "path", "votes"])
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.int64()), pa.array(list(total.values()), pa.float64())], ["host", "path", "votes"])
 
-    votes = pages.select("host", "html").mapInArrow(vote, "host string, path string, votes double").groupBy("host", "path").agg(F.sum(F.round("votes", 6).cast("decimal(28,6)")).alias("votes"))
+    votes = pages.select("host", "html").mapInArrow(vote, "host string, path long, votes double").groupBy("host", "path").agg(F.sum(F.round("votes", 6).cast("decimal(28,6)")).alias("votes"))
     return votes.groupBy("host").agg(F.max_by("path", F.struct("votes", "path")).alias("path"))
 
 
@@ -288,10 +320,10 @@ def extract_pages(pages: DataFrame, most_hosts: int = 20_000) -> DataFrame:
     the hosts' pages dealt over 16 salted copies of the winner.
     """
     small_batches(pages.sparkSession)
-    pages = pages.drop("text")
-    keep = pages.columns
+    keep = others(pages, "text")
+    pages = pages.select(keep)
     key = F.coalesce(host(), F.lit(""))
-    best = host_paths(pages.select(key.alias("host"), "html")).select(F.col("host").alias(HOST), F.col("path").alias(PATH))
+    best = materialize(host_paths(pages.select(key.alias("host"), "html")).select(F.col("host").alias(HOST), F.col("path").alias(PATH)), "host-paths")
     known = pages.withColumn(HOST, key)
     small = bounded_broadcast(best, most_hosts)
     if small is not best:
@@ -306,7 +338,7 @@ def extract_pages(pages: DataFrame, most_hosts: int = 20_000) -> DataFrame:
             out = []
             for path, html in zip(b.column(PATH).to_pylist(), b.column("html").to_pylist(), strict=True):
                 page = Page(html or "")
-                got = page.inside(path) if path else ""
+                got = page.inside(path) if path is not None else ""
                 if not got:
                     scores = page.scores()
                     got = page.inside(min(scores, key=lambda p: (-scores[p], p))) if scores else "\n".join(t for _, t, _ in page.clean())
