@@ -6,8 +6,9 @@ insult and a group mention can weigh more than both words alone. It is fitted in
 documented sample of labelled rows; scoring is one map over all rows, without a shuffle.
 
 Edge cases: null and empty texts have no terms and get the score of the bias alone; repeated rows are scored
-alike; extra columns pass through `score_toxicity` unchanged, but for one named toxicity, which is replaced; an empty labelled set gives a machine that
-scores every text 0.
+alike, and an id's repeated rows or labels train once; extra columns pass through `score_toxicity` unchanged, but
+for one named toxicity in any case, which is replaced; an empty labelled set gives a machine that scores every
+text 0; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siteloom.llm.common import held_out, materialize, sample_rows, small_batches, table
+from siteloom.llm.common import held_out, materialize, others, sample_rows, small_batches, table
 
 #: Letters stay (lower-case), every other ASCII byte ends a word.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -97,17 +98,51 @@ def _ids(text: str | None, index: dict[int, int], memo: dict[bytes, tuple]) -> n
     return np.array(sorted(found), dtype=np.int64)
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, max_terms: int = 1 << 15, min_rows: int = 2, min_chi2: float = 6.63) -> FactorizationMachine:
+def chi_squared(n, pos, rows: float, positives: float):  # noqa: ANN001, ANN201
+    """How much the share of positives among n rows differs from that of all rows; numbers, arrays or columns."""
+    gap = pos * rows - n * positives
+    return gap * gap * rows / (n * (rows - n + 1) * max(1.0, positives * (rows - positives)))
+
+
+def interacting(rows: list[np.ndarray], y: np.ndarray, k: int, least: float) -> np.ndarray:
+    """Of k terms, those of pairs that tell the classes apart better than either term alone does, by `least`."""
+    x = np.zeros((len(rows), k), np.float32)
+    for i, ids in enumerate(rows):
+        x[i, ids] = 1
+    n, pos = x.T @ x, (x * y[:, None].astype(np.float32)).T @ x
+    chi = chi_squared(np.maximum(n, 1), pos, float(len(y)), float(y.sum()))
+    alone = np.diag(chi)
+    pair = (n >= 5) & (chi >= np.maximum(alone[:, None], alone[None, :]) + least)
+    return np.flatnonzero(pair.any(axis=1))
+
+
+def encoded(picked: DataFrame, terms: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The bounded sample's rows as places in `terms`, in order of doc_id, and their labels."""
+    share = picked.sparkSession.sparkContext.broadcast(terms)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, memo = {int(t): i for i, t in enumerate(share.value)}, {}
+        for b in batches:
+            ids = [_ids(t, index, memo).astype("<i4").tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary()), b.column("toxic")], ["doc_id", "ids", "toxic"])
+
+    got = picked.mapInArrow(encode, "doc_id long, ids binary, toxic int").orderBy("doc_id", "ids").toPandas()
+    return [np.frombuffer(x, dtype="<i4").astype(np.int64) for x in got["ids"]], got["toxic"].to_numpy(dtype=np.float64)
+
+
+def train_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, min_rows: int = 2, min_chi2: float = 6.63, screened: int = 2_048, min_pair: float = 40.0) -> FactorizationMachine:
     """Fits a machine on docs(doc_id, text) and labels(doc_id, toxic), null labels left out.
 
-    At most max_rows labels are used, those with the smallest hashes of their ids; of their texts' terms, the
-    max_terms whose counts differ most between the classes (chi-squared, at least min_chi2) and that at least
-    min_rows rows hold.
+    At most max_rows labelled rows are used, those with the smallest hashes of their ids. Of their texts' terms
+    the machine gets all that at least min_rows rows hold and that differ between the classes (chi-squared of at
+    least min_chi2), and of the `screened` most frequent ones also those that only differ in pairs (by min_pair
+    more than either alone), as in labels that hold for exactly one of two words.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    chosen = sample_rows(labels.where("toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")), "doc_id", max_rows)
-    picked = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "toxicity-sample")
+    chosen = sample_rows(labels.where("toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"]), "doc_id", max_rows)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    picked = materialize(texts.dropDuplicates(["doc_id"]), "toxicity-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -120,40 +155,37 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, m
             pos = np.bincount(where, weights=np.concatenate(label), minlength=len(t))
             yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(np.bincount(where, minlength=len(t))), pa.array(pos.astype(np.int64))], ["term", "n", "pos"])
 
-    counts = picked.mapInArrow(count, "term long, n long, pos long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    counts = materialize(picked.mapInArrow(count, "term long, n long, pos long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")), "toxicity-terms")
     size = picked.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("pos")).first()
     rows, pos = float(size["n"]), float(size["pos"])
-    gap = F.col("pos") * rows - F.col("n") * pos
-    best = counts.where(F.col("n") >= min_rows).withColumn("chi2", gap * gap * rows / (F.col("n") * (rows - F.col("n") + 1) * max(1.0, pos * (rows - pos)))).where(F.col("chi2") >= min_chi2).orderBy(F.desc("chi2"), "term").limit(max_terms)
-    terms = np.sort(np.array([r["term"] for r in best.select("term").toLocalIterator()], dtype=np.int64)) if rows else np.zeros(0, np.int64)
-    share = spark.sparkContext.broadcast(terms)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, memo = {int(t): i for i, t in enumerate(share.value)}, {}
-        for b in batches:
-            ids = [_ids(t, index, memo).astype("<i4").tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary()), b.column("toxic")], ["doc_id", "ids", "toxic"])
-
-    got = picked.mapInArrow(encode, "doc_id long, ids binary, toxic int").orderBy("doc_id").toPandas()
-    y = got["toxic"].to_numpy(dtype=np.float64)
-    return fit_machine(terms, [np.frombuffer(x, dtype="<i4").astype(np.int64) for x in got["ids"]], y)
-
-
-def score_toxicity(docs: DataFrame, machine: FactorizationMachine) -> DataFrame:
-    """Adds `toxicity` double, 0 to 1, to every row of a table with `text`."""
+    if not rows:
+        return fit_machine(np.zeros(0, np.int64), [], np.zeros(0))
+    known = counts.where(F.col("n") >= min_rows)
+    best = known.where(chi_squared(F.col("n"), F.col("pos"), rows, pos) >= min_chi2)
+    frequent = known.where(F.col("n") < rows).orderBy(F.desc("n"), "term").limit(screened)
+    gathered = lambda df: np.sort(np.array([r["term"] for r in df.select("term").toLocalIterator()], dtype=np.int64))
+    terms, common = gathered(best), gathered(frequent)
+    paired = interacting(*encoded(picked, common), len(common), min_pair)
+    terms = np.union1d(terms, common[paired])
+    return fit_machine(terms, *encoded(picked, terms))
+
+
+def score_toxicity(docs: DataFrame, machine: FactorizationMachine, name: str = "toxicity") -> DataFrame:
+    """Adds a double, 0 to 1, to every row of a table with `text`."""
     small_batches(docs.sparkSession)
     share = docs.sparkSession.sparkContext.broadcast(machine)
-    schema = T.StructType([f for f in docs.schema if f.name != "toxicity"] + [T.StructField("toxicity", T.DoubleType(), False)])
-    keep = [f.name for f in schema[:-1]]
+    keep = others(docs, name)
+    docs = docs.select(keep)
+    schema = T.StructType([*docs.schema, T.StructField(name, T.DoubleType(), False)])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fm = share.value
         index, memo = {int(t): i for i, t in enumerate(fm.terms)}, {}
         for b in batches:
             z = np.array([fm.margin(_ids(t, index, memo)) for t in b.column("text").to_pylist()], dtype=np.float64)
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], [*keep, "toxicity"])
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], [*keep, name])
 
-    return docs.drop("toxicity").mapInArrow(score, schema)
+    return docs.mapInArrow(score, schema)
 
 
 def learn(spark: SparkSession, sf_dir: str) -> FactorizationMachine:
@@ -167,5 +199,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float = 0.5) -> DataFrame:
-    """Pipeline stage: documents that score below the threshold."""
-    return score_toxicity(docs, learn(spark, sf_dir)).where(F.col("toxicity") < threshold).drop("toxicity")
+    """Pipeline stage: documents that score below the threshold.
+
+    Null and empty texts score as the bias alone does; repeated rows are judged alike; an empty table gives an
+    empty one; all columns come back as they are.
+    """
+    name = "_siteloom_toxicity"
+    return score_toxicity(docs, learn(spark, sf_dir), name).where(F.col(name) < threshold).select(docs.columns)
