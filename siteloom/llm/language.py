@@ -19,11 +19,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siteloom.llm.common import held_out, materialize, sample_rows, small_batches, table
+from siteloom.llm.common import held_out, materialize, others, small_batches, table
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -118,38 +119,42 @@ def fit_net(x: np.ndarray, y: np.ndarray, langs: list[str], dim: int = 8, width_
     return ByteNet(langs, p["e"], [p[f"f{w}"] for w in WIDTHS], [p[f"b{w}"] for w in WIDTHS], p["d"], p["o"])
 
 
-def train_language(docs: DataFrame, max_rows: int = 4_000, max_windows: int = 3, seed: int = 5) -> ByteNet:
+def train_language(docs: DataFrame, max_rows: int = 12_000, seed: int = 5) -> ByteNet:
     """Fits the network on docs(doc_id, text, lang) where neither is null.
 
-    At most max_rows rows are used, those with the smallest hashes of their ids, and at most max_windows
-    windows of each, spread over the text.
+    The bound is on labelled windows: of all windows of all labelled texts, at most max_rows are used, drawn by a
+    hash of their bytes and their place. The tasks keep back what is far from being drawn.
     """
     small_batches(docs.sparkSession)
-    ids = sample_rows(docs.where("text is not null and lang is not null").select("doc_id"), "doc_id", max_rows)
-    chosen = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang").join(F.broadcast(ids.distinct()), "doc_id")
+    known = docs.where("text is not null and lang is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    total = known.agg(F.sum(F.ceil(F.octet_length("text") / WINDOW))).first()[0] or 1
+    below = min(1.0, 1.5 * max_rows / total) * 2.0**64
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for i, text, lang in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
-                every = windows(text.encode("utf-8", "surrogatepass"))
-                out += [(i, lang, every[k]) for k in sorted({j * len(every) // max_windows for j in range(max_windows)}) if any(c >= 65 for c in every[k])]
-            ids, langs, data = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(data, pa.binary())], ["doc_id", "lang", "data"])
-
-    got = materialize(chosen.mapInArrow(cut, "doc_id long, lang string, data binary"), "language-sample").orderBy("doc_id", "data").toPandas()
+                for k, w in enumerate(windows(text.encode("utf-8", "surrogatepass"))):
+                    h = xxhash.xxh3_64_intdigest(w, (k + (i or 0)) % (1 << 63))
+                    if h < below and any(c >= 65 for c in w):
+                        out.append((h - (1 << 63), lang, w))
+            h, langs, data = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(langs, pa.string()), pa.array(data, pa.binary())], ["h", "lang", "data"])
+
+    drawn = known.mapInArrow(cut, "h long, lang string, data binary").orderBy("h", "lang", "data").limit(max_rows)
+    got = materialize(drawn, "language-sample").orderBy("h", "lang", "data").toPandas()
     langs = sorted(got["lang"].unique())
     x = np.frombuffer(b"".join(got["data"]), dtype=np.uint8).reshape(-1, WINDOW)
     return fit_net(x, np.array([langs.index(v) for v in got["lang"]], dtype=np.int64), langs, seed=seed)
 
 
-def predict_language(docs: DataFrame, net: ByteNet) -> DataFrame:
-    """Adds lang_pred string and lang_score double (0 to 1) to every row of a table with `text`."""
+def predict_language(docs: DataFrame, net: ByteNet, names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """Adds two columns to every row of a table with `text`: the language, and its score double (0 to 1)."""
     small_batches(docs.sparkSession)
     share = docs.sparkSession.sparkContext.broadcast(net)
-    docs = docs.drop("lang_pred", "lang_score")
-    keep = docs.columns
-    schema = T.StructType([*docs.schema, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+    keep = others(docs, *names)
+    docs = docs.select(keep)
+    schema = T.StructType([*docs.schema, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = share.value
@@ -181,9 +186,9 @@ def predict_language(docs: DataFrame, net: ByteNet) -> DataFrame:
             p = np.exp(mean - mean.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             best = p.argmax(axis=1)
-            names = [net.langs[k] if n else UNKNOWN for k, n in zip(best, count, strict=True)]
+            langs = [net.langs[k] if n else UNKNOWN for k, n in zip(best, count, strict=True)]
             score = np.where(count > 0, p[np.arange(len(best)), best], 0.0)
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(names, pa.string()), pa.array(score)], [*keep, "lang_pred", "lang_score"])
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(langs, pa.string()), pa.array(score)], [*keep, *names])
 
     return docs.mapInArrow(predict, schema)
 
@@ -198,5 +203,9 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents in a learned language; those without letters go."""
-    return predict_language(docs, learn(spark, sf_dir)).where(F.col("lang_pred") != UNKNOWN).drop("lang_pred", "lang_score")
+    """Pipeline stage: documents in a learned language; null texts and texts without letters go.
+
+    Repeated rows are judged alike; an empty table gives an empty one; all columns come back as they are.
+    """
+    names = ("_siteloom_lang", "_siteloom_lang_score")
+    return predict_language(docs, learn(spark, sf_dir), names).where(F.col(names[0]) != UNKNOWN).select(docs.columns)

@@ -141,5 +141,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the last one, with the places of all remaining documents' pieces."""
+    """Pipeline stage: the last one, with the places of all remaining documents' pieces.
+
+    A null text takes the end id alone; repeated rows are packed each; an empty table gives no pieces; columns
+    other than doc_id and text are left out.
+    """
     return pack(docs, vocabulary("byte_bpe_50k.json"))
