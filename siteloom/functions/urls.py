@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -20,32 +22,52 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def url_parts(url: Column | str) -> dict[str, Column]:
-    """scheme, userinfo, host, port_text, path and query of a URL by RFC 3986's appendix B; host in lower case.
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once: inside the lambda every mention of it is a variable, not a copy."""
+    return F.transform(F.array(value), use)[0]
 
-    Columns apart, not a struct: an expression that takes one part does not carry the others.
-    """
-    s = F.regexp_replace(F.regexp_replace(_c(url), r"[\t\r\n]", ""), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
-    authority = F.regexp_extract(s, r"^[^:/?#]+://([^/?#]*)", 1)
-    place = F.regexp_replace(authority, "^.*@", "")
-    return {
-        "scheme": F.lower(F.regexp_extract(s, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)),
-        "userinfo": F.regexp_extract(authority, "^(.*)@", 1),
-        "host": F.lower(F.regexp_extract(place, r"^(\[[^\]]*\]|[^:]*)", 1)),
-        "port_text": F.regexp_extract(place, r"^(?:\[[^\]]*\]|[^:]*):(.*)$", 1),
-        "path": F.regexp_extract(s, r"^(?:[^:/?#]+:)?(?://[^/?#]*)?([^?#]*)", 1),
-        "query": F.regexp_extract(s, r"^[^?#]*\?([^#]*)", 1),
-    }
-
-
-def port(parts: dict[str, Column]) -> Column:
+
+def with_parts(url: Column | str, use: Callable[[Column], Column]) -> Column:
+    """use(parts), where parts has the scheme, userinfo, netloc, host, port_text, path and query of a URL by RFC
+    3986's appendix B; the host is in lower case. The URL is parsed once, however often parts is mentioned."""
+
+    def split(s: Column) -> Column:
+        return F.struct(
+            F.lower(F.regexp_extract(s, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)).alias("scheme"),
+            F.regexp_extract(s, r"^[^:/?#]+://([^/?#]*)", 1).alias("netloc"),
+            F.regexp_extract(s, r"^(?:[^:/?#]+:)?(?://[^/?#]*)?([^?#]*)", 1).alias("path"),
+            F.regexp_extract(s, r"^[^?#]*\?([^#]*)", 1).alias("query"),
+        )
+
+    def host(x: Column) -> Column:
+        place = F.regexp_replace(x["netloc"], "^.*@", "")
+        return F.struct(
+            x["scheme"].alias("scheme"),
+            F.regexp_extract(x["netloc"], "^(.*)@", 1).alias("userinfo"),
+            x["netloc"].alias("netloc"),
+            F.lower(F.regexp_extract(place, r"^(\[[^\]]*\]|[^:]*)", 1)).alias("host"),
+            F.regexp_extract(place, r"^(?:\[[^\]]*\]|[^:]*):(.*)$", 1).alias("port_text"),
+            x["path"].alias("path"),
+            x["query"].alias("query"),
+        )
+
+    clean = F.regexp_replace(F.regexp_replace(_c(url), r"[\t\r\n]", ""), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    return bind(clean, lambda s: bind(split(s), lambda x: bind(host(x), use)))
+
+
+def host_of(url: Column | str) -> Column:
+    return with_parts(url, lambda p: p["host"])
+
+
+def port(parts: Column) -> Column:
     return F.when(parts["port_text"] != "", parts["port_text"].try_cast("int"))
 
 
-def is_valid(parts: dict[str, Column]) -> Column:
+def is_valid(parts: Column) -> Column:
     """An http or https URL with a host and, if any, a decimal port up to 65535."""
     text = parts["port_text"]
-    return parts["scheme"].isin("http", "https") & (parts["host"] != "") & (parts["host"] != "[]") & ~parts["host"].rlike(r"^[^\[].*[\[\]]") & ((text == "") | (text.rlike("^[0-9]{1,9}$") & (F.coalesce(text.try_cast("int"), F.lit(99999)) <= 65535)))
+    good_port = (text == "") | (text.rlike("^[0-9]{1,9}$") & (F.coalesce(text.try_cast("int"), F.lit(99999)) <= 65535))
+    return parts["scheme"].isin("http", "https") & ~parts["host"].isin("", "[]") & ~parts["host"].rlike(r"^[^\[].*[\[\]]") & good_port
 
 
 def decode_form(x: Column) -> Column:
@@ -68,24 +90,29 @@ def normalize_path(path: Column) -> Column:
     return F.when(path.rlike("^/*$"), F.lit("/")).otherwise(F.regexp_replace(path, "/+$", ""))
 
 
-def authority(parts: dict[str, Column]) -> Column:
+def authority(parts: Column) -> Column:
     p = port(parts)
     return F.concat(parts["host"], F.when(p.isNotNull(), F.concat(F.lit(":"), p.cast("string"))).otherwise(F.lit("")))
 
 
+def _with_query(query: Column) -> Column:
+    return F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit(""))
+
+
 def candidate(url: Column | str) -> Column:
     """struct(url, scheme, host, port, path, query) of a normalised URL, null if it isn't a valid one."""
-    p = url_parts(url)
-    path, query = normalize_path(p["path"]), normalize_query(p["query"])
-    text = F.concat(p["scheme"], F.lit("://"), authority(p), path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
-    return F.when(is_valid(p), F.struct(text.alias("url"), p["scheme"].alias("scheme"), p["host"].alias("host"), port(p).alias("port"), path.alias("path"), query.alias("query")))
+
+    def whole(p: Column) -> Column:
+        pair = F.struct(normalize_path(p["path"]).alias("path"), normalize_query(p["query"]).alias("query"))
+        text = lambda n: F.concat(p["scheme"], F.lit("://"), authority(p), n["path"], _with_query(n["query"]))
+        fields = lambda n: F.struct(text(n).alias("url"), p["scheme"].alias("scheme"), p["host"].alias("host"), port(p).alias("port"), n["path"].alias("path"), n["query"].alias("query"))
+        return F.when(is_valid(p), bind(pair, fields))
+
+    return with_parts(url, whole)
 
 
 def normalize_url(url: Column | str) -> Column:
-    p = url_parts(url)
-    query = normalize_query(p["query"])
-    text = F.concat(p["scheme"], F.lit("://"), authority(p), normalize_path(p["path"]), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
-    return F.when(is_valid(p), text)
+    return candidate(url)["url"]
 
 
 def candidate_origin(c: Column) -> Column:
@@ -100,20 +127,19 @@ def strip_www(host: Column) -> Column:
 def origin_key(url: Column | str, preset: str = "selection") -> Column:
     """A comparable origin. Presets: selection and sitemap fold www and default ports, links keeps www,
     redirect compares the host and port text alone, index is the scheme and the network location less www."""
-    p = url_parts(url)
-    number = F.coalesce(port(p), F.when(p["scheme"] == "https", F.lit(443)).otherwise(F.lit(80))).cast("string")
-    if preset in ("selection", "sitemap"):
-        key = F.concat_ws("|", p["scheme"], strip_www(p["host"]), number)
-    elif preset == "links":
-        key = F.concat_ws("|", p["scheme"], p["host"], number)
-    elif preset == "redirect":
-        key = F.concat_ws("|", strip_www(p["host"]), p["port_text"])
-    elif preset == "index":
-        netloc = F.regexp_extract(_c(url), "^[^:/?#]+://([^/?#]*)", 1)
-        return F.when(p["scheme"] != "", F.concat(p["scheme"], F.lit("://"), strip_www(netloc)))
-    else:
+    if preset not in ("selection", "sitemap", "links", "redirect", "index"):
         raise ValueError(preset)
-    return F.when(is_valid(p), key)
+
+    def key(p: Column) -> Column:
+        number = F.coalesce(port(p), F.when(p["scheme"] == "https", F.lit(443)).otherwise(F.lit(80))).cast("string")
+        if preset == "index":
+            return F.when(p["scheme"] != "", F.concat(p["scheme"], F.lit("://"), strip_www(p["netloc"])))
+        if preset == "redirect":
+            return F.when(is_valid(p), F.concat_ws("|", strip_www(p["host"]), p["port_text"]))
+        host = p["host"] if preset == "links" else strip_www(p["host"])
+        return F.when(is_valid(p), F.concat_ws("|", p["scheme"], host, number))
+
+    return with_parts(url, key)
 
 
 def segments(path: Column) -> Column:
@@ -207,41 +233,83 @@ def _to_ascii(host: pd.Series) -> pd.Series:
     return host.map(one)
 
 
-def validate_site_url(raw: Column | str) -> Column:
-    """struct(url, origin, reject_reason) of a URL that a user typed; the first rule broken gives the reason.
+def _site(raw: Column, ascii_host: Column | None) -> Column:
+    """struct(url, origin, reject_reason) of a URL that a user typed; the first rule broken gives the reason."""
+
+    def judge(s: Column, p: Column) -> Column:
+        host = p["host"] if ascii_host is None else ascii_host
+        number = port(p)
+        default = F.when(p["scheme"] == "https", F.lit(443)).otherwise(F.lit(80))
+        is_v6 = host.rlike(r"^\[.*\]$")
+        name = r"^(?!-)[a-z0-9-]{1,63}(?<!-)(\.(?!-)[a-z0-9-]{1,63}(?<!-))*\.?$"
+        reason = (
+            F.when(raw.isNull() | (s == ""), "empty")
+            .when(F.length(s) > MAX_URL, "too_long")
+            .when(s.rlike(r"(?U)[\s\x00-\x1F]"), "whitespace")
+            .when(~p["scheme"].isin("http", "https") | ~s.contains("://"), "scheme")
+            .when(F.regexp_extract(s, "^[^:/?#]+://([^/?#]*)", 1).contains("@"), "credentials")
+            .when((p["port_text"] != "") & ~(p["port_text"].rlike("^[0-9]{1,9}$") & (F.coalesce(number, F.lit(99999)) <= 65535)), "port")
+            .when(p["host"] == "", "no_host")
+            .when(host.isNull() | (F.length(host) > MAX_HOST), "host")
+            .when(is_v6 & ~host.rlike(r"^\[(?=.*:)[0-9a-f:.]+\]$"), "host")
+            .when(~is_v6 & ~host.rlike(name), "host")
+        )
+        shown = F.when(number.isNotNull() & (number != default), F.concat(F.lit(":"), number.cast("string"))).otherwise(F.lit(""))
+        origin = F.concat(p["scheme"], F.lit("://"), strip_www(host), shown)
+        ok = lambda r, x: F.when(r.isNull(), x)
+        return bind(reason, lambda r: F.struct(ok(r, s).alias("url"), ok(r, origin).alias("origin"), r.alias("reject_reason")))
+
+    return bind(F.regexp_replace(raw, r"(?U)^\s+|\s+$", ""), lambda s: with_parts(s, lambda p: judge(s, p)))
+
+
+def validate_sites(rows: DataFrame, url: str, out: str = "site") -> DataFrame:
+    """rows with `out`, a struct(url, origin, reject_reason) of the URLs that users typed.
+
+    Only rows whose host is outside ASCII go to the Python codec; all others stay in Spark's own functions.
+    """
+    raw = F.col(url)
+    foreign = F.coalesce(host_of(F.regexp_replace(raw, r"(?U)^\s+|\s+$", "")).rlike(r"[^\x00-\x7F]"), F.lit(False))
+    plain = rows.where(~foreign).withColumn(out, _site(raw, None))
+    name = "_siteloom_host"
+    other = rows.where(foreign).withColumn(name, _to_ascii(host_of(F.regexp_replace(raw, r"(?U)^\s+|\s+$", ""))))
+    return plain.unionByName(other.withColumn(out, _site(raw, F.col(name))).drop(name))
+
 
-    Only hosts outside ASCII reach the Python codec.
+def ip4_number(host: Column) -> Column:
+    """The IPv4 address that resolvers read in a host as a number, else null.
+
+    One to four parts in decimal, octal or hexadecimal notation; the last part fills what is left of four bytes.
     """
-    s = F.regexp_replace(_c(raw), r"(?U)^\s+|\s+$", "")
-    p = url_parts(s)
-    plain = p["host"].rlike(r"^[\x00-\x7F]*$")
-    host = F.when(plain, p["host"]).otherwise(_to_ascii(F.when(~plain, p["host"])))
-    is_v6 = host.rlike(r"^\[.*\]$")
-    number = port(p)
-    default = F.when(p["scheme"] == "https", F.lit(443)).otherwise(F.lit(80))
-    reason = (
-        F.when(_c(raw).isNull() | (s == ""), "empty")
-        .when(F.length(s) > MAX_URL, "too_long")
-        .when(s.rlike(r"(?U)[\s\x00-\x1F]"), "whitespace")
-        .when(~p["scheme"].isin("http", "https") | ~s.contains("://"), "scheme")
-        .when(F.regexp_extract(s, "^[^:/?#]+://([^/?#]*)", 1).contains("@"), "credentials")
-        .when((p["port_text"] != "") & ~(p["port_text"].rlike("^[0-9]{1,9}$") & (F.coalesce(number, F.lit(99999)) <= 65535)), "port")
-        .when(p["host"] == "", "no_host")
-        .when(host.isNull() | (F.length(host) > MAX_HOST), "host")
-        .when(is_v6 & ~host.rlike(r"^\[(?=.*:)[0-9a-f:.]+\]$"), "host")
-        .when(~is_v6 & ~host.rlike(r"^(?!-)[a-z0-9-]{1,63}(?<!-)(\.(?!-)[a-z0-9-]{1,63}(?<!-))*\.?$"), "host")
-    )
-    origin = F.concat(p["scheme"], F.lit("://"), strip_www(host), F.when(number.isNotNull() & (number != default), F.concat(F.lit(":"), number.cast("string"))).otherwise(F.lit("")))
-    ok = reason.isNull()
-    return F.struct(F.when(ok, s).alias("url"), F.when(ok, origin).alias("origin"), reason.alias("reject_reason"))
-
-
-def blocked_ip_text(host: Column) -> Column:
-    """The 32-hex form of an IPv6 literal without dots, or null; `::` is filled with zeros."""
-    h = F.lower(F.regexp_extract(host, r"^\[([0-9a-fA-F:]+)\]$", 1))
-    left = F.filter(F.split(F.regexp_extract(h, "^(.*?)(::|$)", 1), ":"), lambda x: x != "")
-    right = F.filter(F.split(F.regexp_extract(h, "::(.*)$", 1), ":"), lambda x: x != "")
-    zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - F.size(left) - F.size(right), F.lit(0)))
-    groups = F.when(h.contains("::"), F.concat(left, zeros, right)).otherwise(left)
-    text = F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), "")
-    return F.when((h != "") & (F.size(groups) == 8) & (F.length(text) == 32), text)
+
+    def part(x: Column) -> Column:
+        digits = F.when(x.rlike("^0[xX][0-9a-fA-F]{1,8}$"), F.conv(F.substring(x, 3, 8), 16, 10))
+        return digits.when(x.rlike("^0[0-7]{1,11}$"), F.conv(x, 8, 10)).when(x.rlike("^(0|[1-9][0-9]{0,9})$"), x).cast("long")
+
+    def whole(parts: Column) -> Column:
+        n, last = F.size(parts), F.element_at(parts, -1)
+        front = F.slice(parts, F.lit(1), n - 1)
+        good = (n <= 4) & F.forall(parts, lambda x: x.isNotNull()) & F.forall(front, lambda x: x <= 255)
+        value = F.aggregate(front, F.lit(0).cast("long"), lambda acc, x: acc * 256 + x)
+        room = F.pow(F.lit(256), 5 - n).cast("long")
+        return F.when(good & (last < room), value * room + last)
+
+    return bind(F.transform(F.split(F.regexp_replace(host, r"\.$", ""), r"\."), part), whole)
+
+
+def ip6_text(host: Column) -> Column:
+    """The 32 hexadecimal digits of a bracketed IPv6 literal, whose last four bytes may be dotted; else null."""
+    literal = F.lower(F.regexp_extract(host, r"^\[([0-9a-fA-F:.]+)\]$", 1))
+    byte = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+    tail = F.regexp_extract(literal, rf":({byte}(?:\.{byte}){{3}})$", 1)
+    low = F.lpad(F.lower(F.hex(ip4_number(tail))), 8, "0")
+    plain = F.when(tail == "", literal).otherwise(F.concat(F.regexp_replace(literal, r"[0-9.]+$", ""), F.substring(low, 1, 4), F.lit(":"), F.substring(low, 5, 4)))
+
+    def fill(h: Column) -> Column:
+        left = F.filter(F.split(F.regexp_extract(h, "^(.*?)(::|$)", 1), ":"), lambda x: x != "")
+        right = F.filter(F.split(F.regexp_extract(h, "::(.*)$", 1), ":"), lambda x: x != "")
+        zeros = lambda x, y: F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - F.size(x) - F.size(y), F.lit(0)))
+        groups = bind(left, lambda x: bind(right, lambda y: F.when(h.contains("::"), F.concat(x, zeros(x, y), y)).otherwise(x)))
+        good = lambda g: (h != "") & ~h.rlike("::.*::") & (F.size(g) == 8) & F.forall(g, lambda x: x.rlike("^[0-9a-f]{1,4}$"))
+        return bind(groups, lambda g: F.when(good(g), F.array_join(F.transform(g, lambda x: F.lpad(x, 4, "0")), "")))
+
+    return bind(plain, fill)

@@ -19,8 +19,11 @@ DEPTH, DOC, ROOT, PRIORITY, LASTMOD, DEFAULT_PRIORITY = 1.0, 4.0, 6.0, 2.0, 0.4,
 
 
 def normalized(candidates: DataFrame) -> DataFrame:
-    """Adds c, the struct of the normalised candidate (null if the URL cannot be parsed)."""
-    return candidates.withColumn("c", U.candidate("url"))
+    """Adds c, the struct of the normalised candidate (null if the URL cannot be parsed).
+
+    A generator's row is computed once; filters on c do not parse the URL again below it.
+    """
+    return candidates.select("*", F.explode(F.array(U.candidate("url"))).alias("c"))
 
 
 def merge_duplicates(candidates: DataFrame) -> DataFrame:
@@ -31,7 +34,9 @@ def merge_duplicates(candidates: DataFrame) -> DataFrame:
 def merged_candidates(candidates: DataFrame) -> DataFrame:
     """merge_duplicates with the structs of the candidate (c) and of its site's seed (s)."""
     rows = normalized(candidates).withColumn("norm_url", F.col("c.url")).where("norm_url is not null")
-    return rows.groupBy("site", "seed", "norm_url").agg(F.max("priority").alias("priority"), F.max("lastmod").alias("lastmod"), (F.count("*") - 1).alias("duplicates"), F.first("c").alias("c"), F.first(U.candidate("seed")).alias("s"))
+    merged = rows.groupBy("site", "seed", "norm_url").agg(F.max("priority").alias("priority"), F.max("lastmod").alias("lastmod"), (F.count("*") - 1).alias("duplicates"), F.first("c").alias("c"))
+    seeds = candidates.select("site", "seed").distinct().select("site", "seed", F.explode(F.array(U.candidate("seed"))).alias("s"))
+    return merged.join(seeds, (merged["site"] == seeds["site"]) & merged["seed"].eqNullSafe(seeds["seed"])).drop(seeds["site"], seeds["seed"])
 
 
 def pre_filter_rule(c: Column, seed: Column, allowed: Column) -> Column:

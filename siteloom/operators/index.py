@@ -30,7 +30,7 @@ def page_score(path: Column, section: Column, length: Column, optional: Column,
 
 def scored(pages: DataFrame) -> DataFrame:
     """The candidates among the pages (2xx, not empty, on their origin) with section, optional, depth, fp, score."""
-    path = U.url_parts("url")["path"]
+    path = U.with_parts("url", lambda p: p["path"])
     rows = pages.where((F.col("status") >= 200) & (F.col("status") < 300) & ~F.col("is_empty") & U.origin_key("url", "index").eqNullSafe(U.origin_key("origin", "index")))
     rows = rows.select(
         "site", "origin", "url", "lastmod", "priority", "linked_from_seed",
@@ -38,10 +38,9 @@ def scored(pages: DataFrame) -> DataFrame:
         F.sha2(F.substring("markdown", 1, FINGERPRINT_CHARS), 256).alias("fp"),
         T.section_for(F.col("url"), F.col("origin")).alias("section"),
         T.is_always_optional(F.col("url")).alias("always_optional"),
-        U.depth(path).alias("depth"),
         path.alias("path"),
     )
-    rows = cut(rows, "candidates")
+    rows = cut(rows, "candidates").withColumn("depth", U.depth(F.col("path")))
     spans = rows.groupBy("site").agg(F.min("lastmod").alias("earliest"), F.max("lastmod").alias("latest"))
     rows = rows.join(spans, "site")
     score = page_score(F.col("path"), F.col("section"), F.col("length"), F.col("always_optional"), F.coalesce("linked_from_seed", F.lit(False)), F.col("priority"), F.col("lastmod"), F.col("earliest"), F.col("latest"))

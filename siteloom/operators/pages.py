@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html as entities
+import ipaddress
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,21 +16,22 @@ from siteloom.functions import urls as U
 #: Fixed values.
 CHALLENGE_TITLES = ["just a moment", "attention required", "checking your browser"]
 MIN_BODY_CHARS, MAX_REDIRECTS, MAX_LINKS = 200, 5, 10_000
-#: IPv4 ranges that are no public addresses, by first and last address, and the reason.
-RANGES = [
-    ("169.254.169.254", "169.254.169.254", "metadata"), ("100.100.100.200", "100.100.100.200", "metadata"), ("192.0.0.192", "192.0.0.192", "metadata"),
-    ("0.0.0.0", "0.255.255.255", "non_global"), ("10.0.0.0", "10.255.255.255", "non_global"), ("100.64.0.0", "100.127.255.255", "non_global"),
-    ("127.0.0.0", "127.255.255.255", "non_global"), ("169.254.0.0", "169.254.255.255", "non_global"), ("172.16.0.0", "172.31.255.255", "non_global"),
-    ("192.0.0.0", "192.0.0.255", "non_global"), ("192.0.2.0", "192.0.2.255", "non_global"), ("192.168.0.0", "192.168.255.255", "non_global"),
-    ("198.18.0.0", "198.19.255.255", "non_global"), ("198.51.100.0", "198.51.100.255", "non_global"), ("203.0.113.0", "203.0.113.255", "non_global"),
-    ("224.0.0.0", "239.255.255.255", "multicast"), ("240.0.0.0", "255.255.255.255", "non_global"),
-]
-#: IPv6 ranges by their 32 hexadecimal digits.
-RANGES6 = [
-    ("fd000ec2000000000000000000000254", "fd000ec2000000000000000000000254", "metadata"), ("0" * 32, "0" * 31 + "1", "non_global"),
-    ("01" + "0" * 30, "01" + "0" * 14 + "f" * 16, "non_global"), ("20010db8" + "0" * 24, "20010db8" + "f" * 24, "non_global"),
-    ("fc" + "0" * 30, "fd" + "f" * 30, "non_global"), ("fe8" + "0" * 29, "feb" + "f" * 29, "non_global"), ("fec" + "0" * 29, "fef" + "f" * 29, "site_local"), ("ff" + "0" * 30, "ff" + "f" * 30, "multicast"),
-]
+#: Address blocks of the IANA special-purpose registries and metadata services, and why a crawl must
+#: not reach them; `global` marks blocks inside others that it may. The longest prefix counts. IPv6 is public in
+#: 2000::/3 alone; a mapped address is as public as its IPv4 one.
+BLOCKS4 = {
+    "169.254.169.254/32": "metadata", "100.100.100.200/32": "metadata", "192.0.0.192/32": "metadata",
+    "0.0.0.0/8": "non_global", "10.0.0.0/8": "non_global", "100.64.0.0/10": "non_global", "127.0.0.0/8": "non_global",
+    "169.254.0.0/16": "non_global", "172.16.0.0/12": "non_global", "192.0.0.0/24": "non_global", "192.0.0.9/32": "global",
+    "192.0.0.10/32": "global", "192.0.2.0/24": "non_global", "192.168.0.0/16": "non_global", "198.18.0.0/15": "non_global",
+    "198.51.100.0/24": "non_global", "203.0.113.0/24": "non_global", "224.0.0.0/4": "multicast", "240.0.0.0/4": "non_global",
+}
+BLOCKS6 = {
+    "fd00:ec2::254/128": "metadata", "::/0": "non_global", "::ffff:0:0/96": "global", "2000::/3": "global",
+    "2001::/23": "non_global", "2001:1::1/128": "global", "2001:1::2/128": "global", "2001:3::/32": "global",
+    "2001:4:112::/48": "global", "2001:20::/28": "global", "2001:30::/28": "global", "2001:db8::/32": "non_global",
+    "2002::/16": "non_global", "3fff::/20": "non_global", "fec0::/10": "site_local", "ff00::/8": "multicast",
+}
 
 #: Types of JSON-LD objects whose name is a page's title.
 LD_TYPES = r"(Article|Posting|Page)\b"
@@ -89,18 +91,6 @@ def redirect_chain(requests: DataFrame, hops: DataFrame, most: int = MAX_REDIREC
     return rows.select("url", F.col("at").alias("final_url"), "n_hops", F.coalesce("outcome", F.lit("ok")).alias("outcome"))
 
 
-def _ip4(text: str) -> int:
-    a, b, c, d = map(int, text.split("."))
-    return ((a * 256 + b) * 256 + c) * 256 + d
-
-
-def ip4_number(text: Column) -> Column:
-    """A dotted IPv4 address as a number, or null."""
-    parts = F.split(text, r"\.")
-    value = sum((parts[i].try_cast("long") * (256 ** (3 - i)) for i in range(1, 4)), parts[0].try_cast("long") * 256**3)
-    return F.when(text.rlike(r"^((25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(25[0-5]|2[0-4]\d|1?\d?\d)$"), value)
-
-
 def embedded_ip4(hex32: Column) -> Column:
     """The IPv4 address that a mapped, 6to4, Teredo or NAT64 address holds, as a number."""
     part = lambda at: F.conv(F.substring(hex32, at, 8), 16, 10).cast("long")
@@ -114,15 +104,21 @@ def embedded_ip4(hex32: Column) -> Column:
 def blocked_addresses(targets: DataFrame) -> DataFrame:
     """targets(url) with reason: the host is an address that isn't public, as such or inside an IPv6 one.
 
-    The fixed tables of a few ranges are broadcast; names that aren't addresses have no reason.
+    The fixed tables of a few dozen blocks are broadcast; names that aren't addresses have no reason.
     """
     spark = targets.sparkSession
-    r4 = spark.createDataFrame([(_ip4(a), _ip4(b), r, i) for i, (a, b, r) in enumerate(RANGES)], "lo4 long, hi4 long, r4 string, p4 int")
-    r6 = spark.createDataFrame([(*r, i) for i, r in enumerate(RANGES6)], "lo6 string, hi6 string, r6 string, p6 int")
-    host = U.url_parts("url")["host"]
-    rows = targets.select("url").distinct().withColumn("hex", U.blocked_ip_text(host)).withColumn("n4", F.coalesce(ip4_number(host), embedded_ip4(F.col("hex"))))
-    rows = rows.join(F.broadcast(r4), F.col("n4").between(F.col("lo4"), F.col("hi4")), "left").join(F.broadcast(r6), F.col("hex").between(F.col("lo6"), F.col("hi6")), "left")
-    return rows.groupBy("url").agg(F.coalesce(F.min_by("r4", "p4"), F.min_by("r6", "p6")).alias("reason"))
+    four = [(int(n[0]), int(n[-1]), r, n.prefixlen) for n, r in ((ipaddress.ip_network(k), v) for k, v in BLOCKS4.items())]
+    six = [(f"{int(n[0]):032x}", f"{int(n[-1]):032x}", r, n.prefixlen) for n, r in ((ipaddress.ip_network(k), v) for k, v in BLOCKS6.items())]
+    r4 = spark.createDataFrame(four, "lo4 long, hi4 long, r4 string, p4 int")
+    r6 = spark.createDataFrame(six, "lo6 string, hi6 string, r6 string, p6 int")
+    rows = targets.select("url").distinct().select("url", F.explode(F.array(U.host_of("url"))).alias("host"))
+    rows = rows.select("url", F.explode(F.array(F.struct(U.ip6_text(F.col("host")).alias("hex"), U.ip4_number(F.col("host")).alias("n4")))).alias("a"))
+    rows = rows.select("url", F.col("a.hex").alias("hex"), F.coalesce("a.n4", embedded_ip4(F.col("a.hex"))).alias("n4"))
+    rows = rows.join(F.broadcast(r4), F.col("n4").between(F.col("lo4"), F.col("hi4")), "left")
+    best = rows.groupBy("url", "hex").agg(F.max_by("r4", "p4").alias("r4"))
+    best = best.join(F.broadcast(r6), F.col("hex").between(F.col("lo6"), F.col("hi6")), "left")
+    best = best.groupBy("url", "r4").agg(F.max_by("r6", "p6").alias("r6"))
+    return best.select("url", F.coalesce(F.nullif("r4", F.lit("global")), F.nullif("r6", F.lit("global"))).alias("reason"))
 
 
 def attempt_outcome(kind: Column, status: Column, attempt: Column) -> Column:
@@ -135,48 +131,74 @@ def attempt_outcome(kind: Column, status: Column, attempt: Column) -> Column:
 def remove_dot_segments(path: Column) -> Column:
     """RFC 3986, 5.2.4."""
     parts = F.split(path, "/")
-    last = F.element_at(parts, -1)
-    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, s: F.when(s == ".", acc).when(s == "..", F.when(F.size(acc) > 1, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(acc)).otherwise(F.concat(acc, F.array(s))))
-    return F.concat(F.array_join(kept, "/"), F.when(last.isin(".", ".."), F.lit("/")).otherwise(F.lit("")))
+
+    def keep(acc: Column, s: Column) -> Column:
+        up = F.when(F.size(acc) > 1, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(acc)
+        return F.when(s == ".", acc).when(s == "..", up).otherwise(F.concat(acc, F.array(s)))
+
+    def joined(p: Column) -> Column:
+        kept = F.aggregate(p, F.array().cast("array<string>"), keep)
+        return F.concat(F.array_join(kept, "/"), F.when(F.element_at(p, -1).isin(".", ".."), F.lit("/")).otherwise(F.lit("")))
+
+    return U.bind(parts, joined)
 
 
 def resolve(base: Column, ref: Column) -> Column:
     """RFC 3986, 5.2: a reference against an absolute base, without fragment."""
-    b, r = U.url_parts(base), F.regexp_replace(F.trim(ref), "#.*$", "")
-    root = F.regexp_extract(base, "^([^:/?#]+://[^/?#]*)", 1)
-    query = F.regexp_extract(r, r"(\?.*)$", 1)
-    path = F.regexp_replace(r, r"\?.*$", "")
-    merged = F.concat(F.regexp_extract(F.when(b["path"] == "", F.lit("/")).otherwise(b["path"]), "^(.*/)", 1), path)
-    absolute = r.rlike("^[A-Za-z][A-Za-z0-9+.-]*:")
-    own = F.concat(F.regexp_extract(r, "^([^:]+://[^/?#]*)", 1), remove_dot_segments(F.regexp_extract(r, r"^[^:]+://[^/?#]*([^?#]*)", 1)), query)
-    return (
-        F.when(absolute, F.when(r.rlike("^[^:]+://"), own).otherwise(r))
-        .when(r.startswith("//"), F.concat(b["scheme"], F.lit(":"), F.regexp_extract(r, "^(//[^/?#]*)", 1), remove_dot_segments(F.regexp_extract(r, r"^//[^/?#]*([^?#]*)", 1)), query))
-        .when(path == "", F.concat(root, b["path"], F.when(query != "", query).otherwise(F.when(b["query"] != "", F.concat(F.lit("?"), b["query"])).otherwise(F.lit("")))))
-        .when(path.startswith("/"), F.concat(root, remove_dot_segments(path), query))
-        .otherwise(F.concat(root, remove_dot_segments(merged), query))
-    )
 
+    def split(r: Column) -> Column:
+        return F.struct(
+            r.alias("whole"),
+            F.regexp_extract(r, "^([A-Za-z][A-Za-z0-9+.-]*):", 1).alias("scheme"),
+            F.regexp_extract(r, "^(?:[^:/?#]+:)?(//[^/?#]*)", 1).alias("place"),
+            F.regexp_extract(r, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1).alias("path"),
+            F.regexp_extract(r, r"(\?.*)$", 1).alias("query"),
+        )
+
+    def joined(b: Column, r: Column) -> Column:
+        root = F.concat(b["scheme"], F.lit("://"), b["netloc"])
+        own_query = F.when(b["query"] != "", F.concat(F.lit("?"), b["query"])).otherwise(F.lit(""))
+        folder = F.regexp_extract(F.when(b["path"] == "", F.lit("/")).otherwise(b["path"]), "^(.*/)", 1)
+        path = remove_dot_segments(F.when((r["place"] != "") | r["path"].startswith("/"), r["path"]).otherwise(F.concat(folder, r["path"])))
+        return (
+            F.when((r["scheme"] != "") & (r["place"] == ""), r["whole"])
+            .when(r["scheme"] != "", F.concat(r["scheme"], F.lit(":"), r["place"], path, r["query"]))
+            .when(r["place"] != "", F.concat(b["scheme"], F.lit(":"), r["place"], path, r["query"]))
+            .when(r["path"] == "", F.concat(root, b["path"], F.when(r["query"] != "", r["query"]).otherwise(own_query)))
+            .otherwise(F.concat(root, path, r["query"]))
+        )
+
+    clean = F.regexp_replace(F.trim(ref), "#.*$", "")
+    return U.with_parts(base, lambda b: U.bind(clean, lambda r: U.bind(split(r), lambda x: joined(b, x))))
 
-def unescape(text: Column) -> Column:
-    """Ten fixed references of links, without Python: the five of XML, no-break spaces, &#39;, &copy; and &middot;."""
-    out = text
-    for a, b in (("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return out
+
+@F.pandas_udf(ArrayType(StringType()))
+def unescape_all(texts: pd.Series) -> pd.Series:
+    """All named, decimal and hexadecimal character references of an array's texts decoded once, by HTML's rules."""
+    return texts.map(lambda row: None if row is None else [t if t is None or "&" not in t else entities.unescape(t) for t in row])
 
 
 def extract_links(pages: DataFrame, cap: int = MAX_LINKS) -> DataFrame:
-    """(page_id, rank, link): same-origin links of pages(page_id, url, html), by first place in the page."""
+    """(page_id, rank, link): same-origin links of pages(page_id, url, html), by first place in the page.
+
+    What concerns a page (its base, its origin) is computed once a page, before its links are rows.
+    """
     html = F.regexp_replace("html", r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>", "")
-    base = F.regexp_extract(html, r"(?is)<base\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)", 1)
-    anchors = F.regexp_extract_all(html, F.lit(r"(?is)<a\b[^>]*?\bhref\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"), 1)
-    rows = pages.select("page_id", "url", F.when(base == "", F.col("url")).otherwise(resolve(F.col("url"), base)).alias("base"), F.posexplode(anchors).alias("pos", "raw"))
-    ref = F.trim(unescape(F.regexp_replace("raw", "^[\"']|[\"']$", "")))
-    rows = rows.withColumn("ref", ref).where((F.col("ref") != "") & ~F.col("ref").startswith("#")).withColumn("link", resolve(F.col("base"), F.col("ref")))
-    rows = rows.where(U.origin_key("link", "links") == U.origin_key("url", "links"))
+    anchors = r"(?is)<a\b[^>]*?\bhref\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
+    base = F.regexp_extract("clean", r"(?is)<base\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)", 1)
+    rows = pages.select("page_id", "url", F.explode(F.array(html)).alias("clean"))
+    unquoted = F.transform(F.regexp_extract_all("clean", F.lit(anchors), 1), lambda x: F.regexp_replace(x, "^[\"']|[\"']$", ""))
+    rows = rows.select("page_id", "url", unescape_all(F.concat(F.array(base), unquoted)).alias("refs"))
+    own = F.when(F.col("refs")[0] == "", F.col("url")).otherwise(resolve(F.col("url"), F.col("refs")[0]))
+    page = F.struct(own.alias("base"), U.origin_key("url", "links").alias("origin"))
+    rows = rows.select("page_id", F.explode(F.array(page)).alias("page"), F.slice("refs", F.lit(2), F.size("refs") - 1).alias("refs"))
+    rows = rows.select("page_id", "page", F.posexplode("refs").alias("pos", "raw")).withColumn("ref", F.trim("raw"))
+    rows = rows.where((F.col("ref") != "") & ~F.col("ref").startswith("#"))
+    rows = rows.select("page_id", "page", "pos", F.explode(F.array(resolve(F.col("page.base"), F.col("ref")))).alias("link"))
+    rows = rows.where(U.origin_key("link", "links") == F.col("page.origin"))
     first = rows.groupBy("page_id", "link").agg(F.min("pos").alias("pos"))
-    return first.withColumn("rank", F.row_number().over(Window.partitionBy("page_id").orderBy("pos")).cast("long")).where(F.col("rank") <= cap).select("page_id", "rank", "link")
+    rank = F.row_number().over(Window.partitionBy("page_id").orderBy("pos")).cast("long")
+    return first.withColumn("rank", rank).where(F.col("rank") <= cap).select("page_id", "rank", "link")
 
 
 def meta(html: Column, name: str) -> Column:
@@ -198,12 +220,6 @@ def ld_title(html: Column) -> Column:
     return F.coalesce(first("headline", items), first("name", F.filter(items, lambda s: F.get_json_object(s, "$['@type']").rlike(LD_TYPES))))
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def unescape_all(texts: pd.Series) -> pd.Series:
-    """All named, decimal and hexadecimal character references of an array's texts decoded once, by HTML's rules."""
-    return texts.map(lambda row: None if row is None else [t if t is None or "&" not in t else entities.unescape(t) for t in row])
-
-
 def extract_content(pages: DataFrame, common_pages: int = 3) -> DataFrame:
     """(page_id, url, site, title, description, markdown, is_empty) of pages(page_id, url, html).
 

@@ -49,8 +49,13 @@ def like_pattern(pattern: Column) -> Column:
 
 
 def target_of(url: Column) -> Column:
-    p = U.url_parts(url)
-    return U.percent_normalize(F.concat(F.when(p["path"] == "", F.lit("/")).otherwise(p["path"]), F.when(p["query"] != "", F.concat(F.lit("?"), p["query"])).otherwise(F.lit(""))))
+    """The path and query by which robots rules judge a URL."""
+
+    def target(p: Column) -> Column:
+        path = F.when(p["path"] == "", F.lit("/")).otherwise(p["path"])
+        return U.percent_normalize(F.concat(path, F.when(p["query"] != "", F.concat(F.lit("?"), p["query"])).otherwise(F.lit(""))))
+
+    return U.with_parts(url, target)
 
 
 def rules_by_site(rules: DataFrame) -> DataFrame:

@@ -90,7 +90,8 @@ SELECT raw, CASE WHEN s = '' THEN 'empty' WHEN contains(s, ' ') THEN 'whitespace
   CASE WHEN NOT contains(s, ' ') AND regexp_matches(s, '^https?://[^/?#@]+([/?#]|$)') THEN regexp_extract(s, '^(https?://)', 1) || {_WWW.format("regexp_extract(s, '://([^/?#]*)', 1)")} END AS origin FROM t""")
 def p04(spark: SparkSession, d: str) -> DataFrame:
     pick = F.expr("CASE page_id % 5 WHEN 0 THEN '  ' || url WHEN 1 THEN replace(url, '://', '://u@') WHEN 2 THEN url || ' x' WHEN 3 THEN seed || '' ELSE url END")
-    rows = inputs.candidates(spark, d).select(pick.alias("raw")).distinct().withColumn("v", U.validate_site_url("raw"))
+    rows = inputs.candidates(spark, d).select(pick.alias("raw")).distinct()
+    rows = U.validate_sites(rows, "raw", "v")
     return rows.select("raw", "v.reject_reason", "v.origin")
 
 
@@ -479,7 +480,23 @@ def _diff_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return cut(D.parse_index(old, keys=("site",)), "old"), cut(D.parse_index(new, keys=("site",)), "new")
 
 
-@query("u02_key_set_ops")
+def _entries_of(where: str) -> str:
+    """The index entries of the pages that a condition leaves, as a query of its own."""
+    some = _ORDERED.replace("FROM snap0)", f"FROM snap0 WHERE {where})")
+    return f"(WITH {some} SELECT site, section, url FROM ent)"
+
+
+_OLD_NEW = f"""o AS {_entries_of("page_id % 7 <> 0")}, n AS {_entries_of("page_id % 5 <> 0")}"""
+
+
+@query(
+    "u02_key_set_ops",
+    f"""WITH {_OLD_NEW}, ok AS (SELECT DISTINCT site, url FROM o), nk AS (SELECT DISTINCT site, url FROM n)
+SELECT site, count(*) AS n, 'added' AS kind FROM (SELECT * FROM nk EXCEPT SELECT * FROM ok) GROUP BY site
+UNION ALL SELECT site, count(*), 'removed' FROM (SELECT * FROM ok EXCEPT SELECT * FROM nk) GROUP BY site
+UNION ALL SELECT site, count(*), 'common' FROM (SELECT * FROM nk INTERSECT SELECT * FROM ok) GROUP BY site
+UNION ALL SELECT site, count(*), 'union' FROM (SELECT * FROM nk UNION SELECT * FROM ok) GROUP BY site""",
+)
 def u02(spark: SparkSession, d: str) -> DataFrame:
     old, new = (x.select("site", "key").distinct() for x in _diff_sides(spark, d))
     parts = [("added", new.exceptAll(old)), ("removed", old.exceptAll(new)), ("common", new.intersect(old)), ("union", new.union(old).distinct())]
@@ -496,7 +513,11 @@ def j03(spark: SparkSession, d: str) -> DataFrame:
     return D.index_diff_join(D.last_by_key(new, ("site",)), D.last_by_key(old, ("site",))).select("site", "key", "change", "title")
 
 
-@query("a10_sections_delta")
+@query(
+    "a10_sections_delta",
+    f"""WITH {_OLD_NEW}, b AS (SELECT site, section, count(*) AS k FROM n GROUP BY ALL UNION ALL SELECT site, section, -count(*) FROM o GROUP BY ALL)
+SELECT site, section, CAST(sum(k) AS BIGINT) AS delta FROM b GROUP BY 1, 2 HAVING sum(k) <> 0""",
+)
 def a10(spark: SparkSession, d: str) -> DataFrame:
     old, new = _diff_sides(spark, d)
     return D.sections_delta(new, old)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ipaddress
 import random
 
 import pytest
@@ -66,7 +67,7 @@ def test_strip_www(spark, host, want):
     ],
 )
 def test_validate_site_url(spark, raw, reason, origin):
-    got = one(spark, U.validate_site_url("u"), u=raw)
+    got = U.validate_sites(spark.createDataFrame([(raw,)], "u string"), "u").first()["site"]
     assert (got["reject_reason"], got["origin"]) == (reason, origin)
 
 
@@ -200,15 +201,33 @@ def test_blocks_and_outcomes(spark):
 
 
 def test_addresses(spark):
-    want = {"http://10.0.0.1/": "non_global", "http://169.254.169.254/": "metadata", "http://8.8.8.8/": None, "http://[::ffff:7f00:1]/": "non_global", "http://[2002:a00:1::]/": "non_global", "http://[64:ff9b::808:808]/": None, "http://[ff02::1]/": "multicast", "http://name/": None}
+    want = {"http://10.0.0.1/": "non_global", "http://169.254.169.254/": "metadata", "http://8.8.8.8/": None, "http://[::ffff:7f00:1]/": "non_global", "http://[2002:a00:1::]/": "non_global", "http://[64:ff9b::808:808]/": "non_global", "http://[ff02::1]/": "multicast", "http://[fec0::1]/": "site_local", "http://name/": None, "http://127.1/": "non_global", "http://2130706433/": "non_global", "http://0x7f.0.0.1/": "non_global", "http://0177.1/": "non_global", "http://134744072/": None, "http://[::ffff:127.0.0.1]/": "non_global", "http://[::ffff:8.8.8.8]/": None, "http://192.0.0.9/": None, "http://[2001:2::1]/": "non_global", "http://[2001:20::1]/": None, "http://1.2.3.400/": None, "http://[::1.2.3]/": None, "http://[1::2::3]/": None}
     got = PG.blocked_addresses(spark.createDataFrame([(u,) for u in want], "url string")).collect()
     assert {r["url"]: r["reason"] for r in got} == want
 
 
+def test_addresses_against_the_standard_library(spark):
+    """All but 3fff::/20, which the registry has and this version of the library does not."""
+    rng = random.Random(2)
+    four = [ipaddress.IPv4Address(rng.getrandbits(32)) for _ in range(300)] + [n[k] for c in PG.BLOCKS4 for n in [ipaddress.ip_network(c)] for k in (0, -1)]
+    six = [ipaddress.IPv6Address(rng.getrandbits(128) >> rng.choice([0, 0, 2, 9, 64]) | rng.choice([0, 0x2001 << 112, 0x2002 << 112, 0x20010DB8 << 96])) for _ in range(500)]
+    six += [n[k] for c in PG.BLOCKS6 for n in [ipaddress.ip_network(c)] for k in (0, -1) if c != "3fff::/20"] + [ipaddress.IPv6Address(0xFFFF << 32 | int(a)) for a in four]
+    metadata = {ipaddress.ip_address(x) for x in ("169.254.169.254", "100.100.100.200", "192.0.0.192", "fd00:ec2::254")}
+
+    def public(a):
+        if a.version == 6 and a.ipv4_mapped:
+            return public(a.ipv4_mapped)
+        return a not in metadata and a.is_global and not (a.is_multicast or a.is_reserved or a.version == 6 and a.is_site_local)
+
+    urls = {f"https://{a}/x" if a.version == 4 else f"https://[{a}]:8/": public(a) for a in four + six}
+    got = PG.blocked_addresses(spark.createDataFrame([(u,) for u in urls], "url string")).collect()
+    assert {r["url"]: r["reason"] is None for r in got} == urls
+
+
 def test_links(spark):
-    html = '<base href="/x/"><!-- <a href="no"> --><a href="a">1</a><A HREF=\'b?c&amp;d\'>2</A><a href="#t">3</a><a href="mailto:x@y">4</a><a href="//h.io/z#f">5</a><a href="https://other.io/">6</a><a href="a#again">7</a>'
+    html = '<base href="/x/"><!-- <a href="no"> --><a href="a">1</a><A HREF=\'b?c&amp;d\'>2</A><a href="#t">3</a><a href="mailto:x@y">4</a><a href="//h.io/z#f">5</a><a href="https://other.io/">6</a><a href="a#again">7</a><a href="/a&#x2F;b&eacute;&#8211;c">8</a>'
     got = PG.extract_links(spark.createDataFrame([(1, "https://h.io/p", html), (2, "https://h.io/q", None)], "page_id long, url string, html string")).orderBy("rank").collect()
-    assert [r["link"] for r in got] == ["https://h.io/x/a", "https://h.io/x/b?c&d", "https://h.io/z"]
+    assert [r["link"] for r in got] == ["https://h.io/x/a", "https://h.io/x/b?c&d", "https://h.io/z", "https://h.io/a/b\u00e9\u2013c"]
 
 
 def test_content_references(spark):
@@ -308,3 +327,30 @@ def test_native_plans_hold_no_python(spark, sf_dir):
 
 def test_every_oracle_has_its_query():
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
+
+
+def test_records_and_caps(spark):
+    runs = spark.createDataFrame([(k, 1 + k % 2, "pending" if k < 3 else "completed", "manual", 1) for k in range(6)], "id long, website_id long, status string, run_trigger string, attempts int").withColumn("started_at", F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id") * 1_000_000))
+    sites = spark.createDataFrame([(1, 7, "https://a.io"), (2, 8, "https://b.io"), (3, 9, "https://c.io")], "website_id long, user_id long, origin string")
+    now = F.timestamp_micros(F.lit(1_700_000_100_000_000))
+    caps = {r["user_id"]: (r["concurrent"], r["used"], r["refused"]) for r in R.run_caps(runs, sites, now, daily=3).collect()}
+    assert caps == {7: (2, 3, "concurrent"), 8: (1, 3, "daily")}
+    got = R.artifact_with_origin(runs.withColumn("llms_txt", F.lit("x")), sites, "llms_txt").where("run_id = 1").first()
+    assert (got["content"], got["origin"]) == ("x", "https://b.io")
+    stuck = spark.createDataFrame([("processing", "requeue", False), ("processing", "fail", False), ("pending", "requeue", True), ("pending", "fail", False)], "status string, action string, queued boolean")
+    assert tuple(R.reaper_summary(stuck, 4).first()) == (4, 1, 2, 1, 2, 1, True)
+    bar = R.outcome_breakdown(spark.createDataFrame([(1, 5, 3, 1), (2, 1, 1, 1)], "website_id long, total_runs long, completed long, failed long"))
+    assert {tuple(r) for r in bar.collect()} == {(1, 3, 1, 1, 5), (2, 1, 1, 0, 1)}
+
+
+def test_page_budget(spark):
+    rows = spark.createDataFrame([(100, 5, 3), (0, 5, 3), (None, 5, 0), (None, None, 3)], "m long, s long, o long")
+    got = [r["b"] and tuple(r["b"]) for r in rows.select(R.page_budget(F.col("m"), F.col("s"), F.col("o")).alias("b")).collect()]
+    assert got == [(100, 99, "recorded"), (6, 5, "derived"), None, None]
+
+
+def test_key_set_operations_and_cap_of_sitemaps(spark):
+    body = "<urlset>" + "".join(f"<url><loc>https://s.io/{{d}}{k}</loc></url>" for k in range(5)) + "</urlset>"
+    docs = spark.createDataFrame([("s.io", f"https://s.io/{d}.xml", body.replace("{d}", d)) for d in "abc"], "site string, doc_url string, body string")
+    got = sorted(r["url"] for r in S.sitemap_urls(docs, most=8).collect())
+    assert got == [f"https://s.io/{x}" for x in ("a0", "a1", "a2", "a3", "a4", "b0", "b1", "b2")]
