@@ -126,6 +126,57 @@ def due_split(due: DataFrame, runs: DataFrame) -> DataFrame:
     return ran.unionByName(due.join(busy, "website_id", "left_semi").withColumn("ran", F.lit(False)))
 
 
+def reaper_summary(stuck: DataFrame, limit: int = REAP_LIMIT) -> DataFrame:
+    """One row of counts over stuck_runs: requeued claims, swept orphans, failures, and whether the batch was full.
+
+    A run goes back to the queue only if its job is not there already (`queued`, null for no).
+    """
+    again = (F.col("action") == "requeue") | (F.col("status") == "pending")
+    held = F.coalesce("queued", F.lit(False)) if "queued" in stuck.columns else F.lit(False)
+    return stuck.agg(
+        F.count("*").alias("examined"),
+        F.count_if((F.col("status") == "processing") & (F.col("action") == "requeue")).alias("requeued"),
+        F.count_if(F.col("status") == "pending").alias("orphans_swept"),
+        F.count_if((F.col("status") == "processing") & (F.col("action") == "fail")).alias("failed"),
+        F.count_if(again & ~held).alias("enqueued"),
+        F.count_if(again & held).alias("already_queued"),
+        (F.count("*") >= limit).alias("limit_reached"),
+    )
+
+
+def artifact_with_origin(runs: DataFrame, sites: DataFrame, artifact: str) -> DataFrame:
+    """(run_id, content, origin) of one artifact column of runs, with the origin of the run's website."""
+    return runs.join(sites.select("website_id", "origin"), "website_id").select(F.col("id").alias("run_id"), F.col(artifact).alias("content"), "origin")
+
+
+def outcome_breakdown(totals: DataFrame) -> DataFrame:
+    """Window totals as the parts of an outcome bar; what has not ended yet is the remainder, never below zero."""
+    running = F.greatest(F.col("total_runs") - F.col("completed") - F.col("failed"), F.lit(0))
+    return totals.select("website_id", "completed", "failed", running.alias("in_progress"), F.col("total_runs").alias("total"))
+
+
+def trend_points(buckets: DataFrame) -> DataFrame:
+    """Buckets as chart points: the index in KB (a gap stays null), and removals below the axis."""
+    return buckets.select(
+        "website_id", "bucket_start", "runs", "runs_compared", (F.col("index_bytes") / 1024).alias("index_kb"), "index_pages",
+        F.col("pages_added").alias("added"), F.col("pages_removed").alias("removed"), (-F.col("pages_removed")).alias("removed_negative"),
+    )
+
+
+def run_caps(runs: DataFrame, sites: DataFrame, now: Column, daily: int = DAY_LIMIT, concurrent: int = CONCURRENT_LIMIT) -> DataFrame:
+    """Per user with runs: active manual runs, runs in the 24 hours before now, and the limit that refuses another.
+
+    The concurrent limit is judged first; resets_at is the earliest time at which the daily one can let a run in.
+    """
+    rows = runs.join(sites.select("website_id", "user_id"), "website_id")
+    active = F.col("status").isin(ACTIVE) & (F.col("run_trigger") == "manual")
+    recent = (F.unix_micros("started_at") > F.unix_micros(now) - 24 * HOUR_US) & (F.col("started_at") <= now)
+    out = rows.groupBy("user_id").agg(F.count_if(active).alias("concurrent"), F.count_if(recent).alias("used"), F.min(F.when(recent, F.unix_micros("started_at"))).alias("oldest"))
+    reason = F.when(F.col("concurrent") >= concurrent, "concurrent").when(F.col("used") >= daily, "daily")
+    resets = F.when(reason == "daily", F.timestamp_micros(F.col("oldest") + 24 * HOUR_US))
+    return out.select("user_id", "concurrent", "used", reason.alias("refused"), resets.alias("resets_at"))
+
+
 def tick_summary(split: DataFrame) -> DataFrame:
     return split.agg(F.count("*").alias("due"), F.count_if("ran").alias("started"), F.count_if(~F.col("ran")).alias("skipped"))
 
@@ -229,15 +280,71 @@ def latest_wins_upsert(table: DataFrame, incoming: DataFrame, key: list[str], up
 
 
 def enrichment_totals(pages: DataFrame) -> DataFrame:
+    """Per site of pages(site, summary_ok, tokens, unavailable_reason): totals, and why summaries could not be had.
+
+    A page without a request (summary_ok null) is no failure. The reason is there only if nothing was summarised.
+    """
     ok = F.col("summary_ok")
-    return pages.groupBy("site").agg(F.count_if(ok).alias("pages_enriched"), F.count_if(~ok).alias("enrich_failures"), F.sum("input_tokens").alias("enrich_input_tokens"), F.sum(F.when(ok, F.col("output_tokens")).otherwise(0)).alias("enrich_output_tokens"))
+    reason = F.min("unavailable_reason") if "unavailable_reason" in pages.columns else F.lit(None).cast("string")
+    out = pages.groupBy("site").agg(
+        F.count_if(ok).alias("pages_enriched"),
+        F.count_if(~ok).alias("enrich_failures"),
+        F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("enrich_input_tokens"),
+        F.coalesce(F.sum(F.when(ok, F.col("output_tokens"))), F.lit(0)).alias("enrich_output_tokens"),
+        reason.alias("reason"),
+    )
+    return out.withColumn("enrich_unavailable_reason", F.when(F.col("pages_enriched") == 0, F.col("reason"))).drop("reason")
+
+
+def page_budget(max_pages: Column, selected: Column, over_limit: Column) -> Column:
+    """struct(max_pages, frontier_limit, source): a run's recorded page limit, else the one its full frontier tells."""
+    known = F.struct(max_pages.cast("long").alias("max_pages"), (max_pages - 1).cast("long").alias("frontier_limit"), F.lit("recorded").alias("source"))
+    told = F.struct((selected + 1).cast("long").alias("max_pages"), selected.cast("long").alias("frontier_limit"), F.lit("derived").alias("source"))
+    return F.when(max_pages >= 1, known).when(selected.isNotNull() & (over_limit > 0), told)
 
 
 def provenance_funnel(stats: DataFrame) -> DataFrame:
-    """Where a site's URLs went: discovered, selected, not attempted, fetched, failed, indexed and their remainder."""
+    """Where a site's URLs went: discovered, selected, not attempted, fetched, failed, indexed and their remainder.
+
+    The page budget comes from max_pages, else from the over_limit rule; without either it is null.
+    """
     attempted = F.col("pages_crawled") + F.col("pages_failed")
+    optional = lambda c: F.col(c) if c in stats.columns else F.lit(None).cast("long")
     return stats.select(
         "site", "discovered", "selected", (F.col("discovered") - F.col("selected")).alias("dropped"),
         F.greatest(F.col("selected") + 1 - attempted, F.lit(0)).alias("not_attempted"), "pages_crawled", "pages_failed",
         F.when(F.col("discovered") == 0, "none").when(F.col("selected") == 0, "all_dropped").when(F.col("pages_crawled") == 0, "all_failed").otherwise("ok").alias("state"),
+        page_budget(optional("max_pages"), F.col("selected"), optional("over_limit")).alias("budget"),
     )
+
+
+#: The version and the keys of a run's record, in their order.
+RUN_STATS_VERSION = 13
+CRAWL_KEYS = ["pages_crawled", "pages_failed", "bytes_fetched", "duration_ms", "cap_hit", "pages_empty_content", "pages_blocked", "pages_http_error", "pages_off_origin", "blocked_reason"]
+INDEX_KEYS = ["links_emitted", "links_optional", "links_duplicate", "full_txt_truncated", "llms_txt_bytes"]
+FRONTIER_KEYS = ["discovery_source", "urls_discovered", "urls_selected", "urls_robots_disallowed", "dropped", "max_pages", "crawl_delay_ms"]
+ENRICH_KEYS = ["pages_enriched", "enrich_failures", "enrich_input_tokens", "enrich_output_tokens", "enrich_requested", "enrich_applied", "enrich_unavailable_reason"]
+DIFF_KEYS = ["index_diff", "content_hashes"]
+#: What is a count: zero where its part has no row.
+COUNTED = {"pages_crawled", "pages_failed", "bytes_fetched", "pages_empty_content", "pages_blocked", "pages_http_error", "pages_off_origin", *INDEX_KEYS, "urls_discovered", "urls_selected", "urls_robots_disallowed", "pages_enriched", "enrich_failures", "enrich_input_tokens", "enrich_output_tokens"}
+
+
+def run_stats_assemble(frontier: DataFrame, crawl: DataFrame, index: DataFrame, enrichment: DataFrame, diff: DataFrame) -> DataFrame:
+    """(site, stats): a run's record of 32 keys as JSON text, joined by site from its parts.
+
+    Each part has `site` and the keys that bear its name above. A site that a part lacks counts zero there;
+    anything else unknown is null, and stays in the record as null.
+    """
+    out = frontier.select("site", *FRONTIER_KEYS)
+    for part, keys in ((crawl, CRAWL_KEYS), (index, INDEX_KEYS), (enrichment, ENRICH_KEYS), (diff, DIFF_KEYS)):
+        out = out.join(part.select("site", *keys), "site", "left")
+    every = [*CRAWL_KEYS, *INDEX_KEYS, *FRONTIER_KEYS, *ENRICH_KEYS, *DIFF_KEYS]
+    fields = [(F.coalesce(F.col(k), F.lit(0)) if k in COUNTED else F.col(k)).alias(k) for k in every]
+    return out.select("site", F.to_json(F.struct(F.lit(RUN_STATS_VERSION).alias("version"), *fields), {"ignoreNullFields": "false"}).alias("stats"))
+
+
+def dropped_by_rule(funnel: DataFrame) -> DataFrame:
+    """(site, urls_discovered, urls_selected, urls_robots_disallowed, dropped) of a drop funnel; dropped maps rules to counts."""
+    n = lambda rule: F.coalesce(F.sum(F.when(F.col("rule") == rule, F.col("n"))), F.lit(0))
+    rules = F.collect_list(F.when(F.col("rule") != "selected", F.struct("rule", "n")))
+    return funnel.groupBy("site").agg(F.sum("n").alias("urls_discovered"), n("selected").alias("urls_selected"), n("robots_disallowed").alias("urls_robots_disallowed"), F.map_from_entries(F.sort_array(rules)).alias("dropped"))

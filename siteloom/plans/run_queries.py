@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,6 +82,14 @@ def a07(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("avg_pages", F.round("avg_pages", 6)).withColumn("avg_duration_ms", F.round("avg_duration_ms", 6))
 
 
+@query(
+    "a17_trend_points",
+    f"WITH {_RUNS}, {_BUCKET} SELECT website_id, bucket_start, runs, runs_compared, index_bytes / 1024.0::DOUBLE AS index_kb, index_pages, pages_added AS added, pages_removed AS removed, -pages_removed AS removed_negative FROM b",
+)
+def a17_trend(spark: SparkSession, d: str) -> DataFrame:
+    return R.trend_points(R.bucket_stats(inputs.runs(spark, d), ts(START), ts(END)))
+
+
 @query("j07_bucket_fill", f"""WITH {_RUNS}, {_SITES}, {_BUCKET}, h AS (SELECT unnest(generate_series(TIMESTAMP '{START}', TIMESTAMP '{END}' - INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS bucket_start)
 SELECT sites.website_id, h.bucket_start, coalesce(runs, 0) AS runs, coalesce(completed, 0) AS completed, coalesce(failed, 0) AS failed, round(coalesce(avg_pages, 0), 6) AS avg_pages, round(coalesce(avg_duration_ms, 0), 6) AS avg_duration_ms,
 coalesce(runs_compared, 0) AS runs_compared, coalesce(pages_added, 0) AS pages_added, coalesce(pages_removed, 0) AS pages_removed, index_pages, index_bytes FROM sites CROSS JOIN h LEFT JOIN b ON b.website_id = sites.website_id AND b.bucket_start = h.bucket_start""")
@@ -239,19 +249,84 @@ def s11(spark: SparkSession, d: str) -> DataFrame:
     return R.latest_wins_upsert(s, incoming, ["schedule_id"], ["interval_minutes", "next_run_at"])
 
 
-@query("a16_provenance_funnel", f"""WITH {_RUNS}, g AS (SELECT website_id AS site, count(*) AS discovered, count(*) FILTER (id % 3 <> 0) AS selected, count(*) FILTER (id % 3 = 1) AS pages_crawled, count(*) FILTER (id % 6 = 2) AS pages_failed FROM runs GROUP BY 1)
-SELECT site, discovered, selected, discovered - selected AS dropped, greatest(selected + 1 - pages_crawled - pages_failed, 0) AS not_attempted, pages_crawled, pages_failed, CASE WHEN discovered = 0 THEN 'none' WHEN selected = 0 THEN 'all_dropped' WHEN pages_crawled = 0 THEN 'all_failed' ELSE 'ok' END AS state FROM g""")
+@query(
+    "a16_provenance_funnel",
+    f"""WITH {_RUNS}, g AS (SELECT website_id AS site, count(*) AS discovered, count(*) FILTER (id % 3 <> 0) AS selected, count(*) FILTER (id % 3 = 1) AS pages_crawled,
+  count(*) FILTER (id % 6 = 2) AS pages_failed, CASE website_id % 3 WHEN 0 THEN 100 WHEN 1 THEN 0 END AS max_pages, website_id % 2 AS over_limit FROM runs GROUP BY 1, website_id)
+SELECT site, discovered, selected, discovered - selected AS dropped, greatest(selected + 1 - pages_crawled - pages_failed, 0) AS not_attempted, pages_crawled, pages_failed,
+  CASE WHEN discovered = 0 THEN 'none' WHEN selected = 0 THEN 'all_dropped' WHEN pages_crawled = 0 THEN 'all_failed' ELSE 'ok' END AS state,
+  CAST(CASE WHEN max_pages >= 1 THEN max_pages WHEN over_limit > 0 THEN selected + 1 END AS BIGINT) AS max_pages,
+  CAST(CASE WHEN max_pages >= 1 THEN max_pages - 1 WHEN over_limit > 0 THEN selected END AS BIGINT) AS frontier_limit,
+  CASE WHEN max_pages >= 1 THEN 'recorded' WHEN over_limit > 0 THEN 'derived' END AS budget_source FROM g""",
+)
 def a16(spark: SparkSession, d: str) -> DataFrame:
+    site = F.col("site")
     g = inputs.runs(spark, d).groupBy(F.col("website_id").alias("site")).agg(F.count("*").alias("discovered"), F.count_if(F.col("id") % 3 != 0).alias("selected"), F.count_if(F.col("id") % 3 == 1).alias("pages_crawled"), F.count_if(F.col("id") % 6 == 2).alias("pages_failed"))
-    return R.provenance_funnel(g)
+    g = g.withColumn("max_pages", F.when(site % 3 == 0, 100).when(site % 3 == 1, 0)).withColumn("over_limit", site % 2)
+    return R.provenance_funnel(g).select("*", "budget.max_pages", "budget.frontier_limit", F.col("budget.source").alias("budget_source")).drop("budget")
 
 
-@query("a18_enrichment_totals", f"WITH {_RUNS} SELECT website_id AS site, count(*) FILTER (id % 5 <> 0) AS pages_enriched, count(*) FILTER (id % 5 = 0) AS enrich_failures, CAST(sum(k * 10) AS BIGINT) AS enrich_input_tokens, CAST(coalesce(sum(k) FILTER (id % 5 <> 0), 0) AS BIGINT) AS enrich_output_tokens FROM runs GROUP BY 1")
+@query(
+    "a18_enrichment_totals",
+    f"""WITH {_RUNS} SELECT website_id AS site, count(*) FILTER (id % 5 <> 0) AS pages_enriched, count(*) FILTER (id % 5 = 0) AS enrich_failures,
+  CAST(sum(k * 10) AS BIGINT) AS enrich_input_tokens, CAST(coalesce(sum(k) FILTER (id % 5 <> 0), 0) AS BIGINT) AS enrich_output_tokens,
+  CASE WHEN count(*) FILTER (id % 5 <> 0) = 0 THEN min(CASE WHEN id % 10 = 0 THEN 'rate_limited' ELSE 'timeout' END) END AS enrich_unavailable_reason FROM runs GROUP BY 1""",
+)
 def a18(spark: SparkSession, d: str) -> DataFrame:
-    rows = inputs.runs(spark, d).select(F.col("website_id").alias("site"), (F.col("id") % 5 != 0).alias("summary_ok"), (F.col("k") * 10).alias("input_tokens"), F.col("k").alias("output_tokens"))
+    reason = F.when(F.col("id") % 10 == 0, "rate_limited").otherwise("timeout")
+    rows = inputs.runs(spark, d).select(F.col("website_id").alias("site"), (F.col("id") % 5 != 0).alias("summary_ok"), (F.col("k") * 10).alias("input_tokens"), F.col("k").alias("output_tokens"), reason.alias("unavailable_reason"))
     return R.enrichment_totals(rows)
 
 
+@query(
+    "a19_reaper_summary",
+    f"""WITH {_RUNS}, s AS (SELECT *, started_at < TIMESTAMP '{START}' - INTERVAL 960 SECOND AS claim_old, started_at < TIMESTAMP '{START}' - INTERVAL 600 SECOND AS old FROM runs),
+t AS (SELECT * FROM s WHERE status = 'processing' AND claim_old OR status = 'pending' AND old ORDER BY started_at, id LIMIT 100)
+SELECT count(*) AS examined, count(*) FILTER (status = 'processing' AND attempts < 3) AS requeued, count(*) FILTER (status = 'pending') AS orphans_swept,
+  count(*) FILTER (status = 'processing' AND attempts >= 3) AS failed, count(*) FILTER ((attempts < 3 OR status = 'pending') AND id % 7 <> 0) AS enqueued,
+  count(*) FILTER ((attempts < 3 OR status = 'pending') AND id % 7 = 0) AS already_queued, count(*) >= 100 AS limit_reached FROM t""",
+)
+def a19(spark: SparkSession, d: str) -> DataFrame:
+    runs = inputs.runs(spark, d).withColumn("claimed_at", F.timestamp_micros(F.unix_micros("started_at") + 60_000_000))
+    return R.reaper_summary(R.stuck_runs(runs, ts(START)).withColumn("queued", F.col("id") % 7 == 0))
+
+
+@query(
+    "a17_outcome_breakdown",
+    f"""WITH {_RUNS} SELECT website_id, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed,
+  count(*) FILTER (status IN ('pending', 'processing')) AS in_progress, count(*) AS total FROM runs GROUP BY 1""",
+)
+def a17(spark: SparkSession, d: str) -> DataFrame:
+    done = lambda s: F.count_if(F.col("status") == s)
+    return R.outcome_breakdown(inputs.runs(spark, d).groupBy("website_id").agg(F.count("*").alias("total_runs"), done("completed").alias("completed"), done("failed").alias("failed")))
+
+
+@query(
+    "a14_run_caps",
+    f"""WITH {_RUNS}, {_SITES}, u AS (SELECT user_id, status IN ('pending', 'processing') AND run_trigger = 'manual' AS active,
+  started_at > TIMESTAMP '{END}' - INTERVAL 24 HOUR AND started_at <= TIMESTAMP '{END}' AS recent, started_at FROM runs JOIN sites USING (website_id)),
+g AS (SELECT user_id, count(*) FILTER (active) AS concurrent, count(*) FILTER (recent) AS used, min(started_at) FILTER (recent) AS oldest FROM u GROUP BY 1)
+SELECT user_id, concurrent, used, CASE WHEN concurrent >= 2 THEN 'concurrent' WHEN used >= 5 THEN 'daily' END AS refused,
+  CASE WHEN concurrent < 2 AND used >= 5 THEN oldest + INTERVAL 24 HOUR END AS resets_at FROM g""",
+)
+def a14_caps(spark: SparkSession, d: str) -> DataFrame:
+    return R.run_caps(inputs.runs(spark, d), _sites(spark, d), ts(END), daily=5)
+
+
+@query(
+    "j14_artifact_with_origin",
+    f"""WITH {_RUNS}, {_SITES}, a AS (SELECT id AS run_id, website_id, 'index ' || id AS llms_txt, CASE WHEN id % 4 <> 0 THEN 'full ' || id END AS llms_full_txt FROM runs),
+o AS (SELECT DISTINCT website_id, 'https://site-' || website_id || '.example' AS origin FROM sites)
+SELECT run_id, 'llms_txt' AS kind, llms_txt AS content, origin FROM a JOIN o USING (website_id)
+UNION ALL SELECT run_id, 'llms_full_txt', llms_full_txt, origin FROM a JOIN o USING (website_id)""",
+)
+def j14(spark: SparkSession, d: str) -> DataFrame:
+    runs = inputs.runs(spark, d).select("id", "website_id", F.concat(F.lit("index "), "id").alias("llms_txt"), F.when(F.col("id") % 4 != 0, F.concat(F.lit("full "), "id")).alias("llms_full_txt"))
+    sites = _sites(spark, d).withColumn("origin", F.concat(F.lit("https://site-"), "website_id", F.lit(".example")))
+    kinds = [R.artifact_with_origin(runs, sites, k).select("run_id", F.lit(k).alias("kind"), "content", "origin") for k in ("llms_txt", "llms_full_txt")]
+    return kinds[0].union(kinds[1])
+
+
 # ---------------------------------------------------------------- sinks
 @query("s06_payload_round_trip", "SELECT page_id, url, length(html) AS n, 200 + page_id % 2 AS status FROM pages")
 def s06(spark: SparkSession, d: str) -> DataFrame:
@@ -271,79 +346,138 @@ def s09(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- streams, run to their end over files
-def _stream(spark: SparkSession, df: DataFrame, order: str, files: int = 4) -> DataFrame:
-    """df as a stream of files in the order of a column, written one after the other, one file a batch."""
+#: Parts of a table that arrive one after the other.
+ARRIVALS = 4
+
+
+def _arrival(order: str, lo: int, hi: int) -> F.Column:
+    width = max(1, -(-(hi - lo + 1) // ARRIVALS))
+    return F.floor((F.col(order) - lo) / width)
+
+
+def _arriving(spark: SparkSession, df: DataFrame, order: str, catch_up: Callable[[DataFrame], None]) -> None:
+    """df's rows arrive in a folder in parts by the order of a column; after each part the stream catches up.
+
+    A part has as many files as it has partitions, and is one micro-batch; the query resumes from its checkpoint.
+    """
     path = shared_folder(spark, "stream")
     lo, hi = df.agg(F.min(order), F.max(order)).first()
-    width = max(1, -(-(hi - lo + 1) // files))
-    for k in range(files):
-        df.where((F.col(order) >= lo + k * width) & (F.col(order) < lo + (k + 1) * width)).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    if lo is None:
+        lo = hi = 0
+    for k in range(ARRIVALS):
+        df.where(_arrival(order, lo, hi) == k).write.mode("append").parquet(path)
+        catch_up(spark.readStream.schema(df.schema).parquet(path))
+
+
+def _to_end(spark: SparkSession, df: DataFrame, order: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream over df's arriving parts has put out when it has caught up with the last one."""
+    out, at, schemas = shared_folder(spark, "out"), shared_folder(spark, "at"), []
 
+    def catch_up(stream: DataFrame) -> None:
+        made = make(stream)
+        schemas.append(made.schema)
+        made.writeStream.format("parquet").option("checkpointLocation", at).trigger(availableNow=True).start(out).awaitTermination()
 
-def _to_end(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
-    out, at = shared_folder(spark, "out"), shared_folder(spark, "at")
-    stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", at).trigger(availableNow=True).start(out).awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    _arriving(spark, df, order, catch_up)
+    return spark.read.schema(schemas[-1]).parquet(out)
 
 
 @query("x01_hourly_run_stats", f"""WITH {_RUNS}, h AS (SELECT website_id, date_trunc('hour', started_at) AS bucket_start, count(*) AS runs, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed FROM runs GROUP BY 1, 2)
 SELECT * FROM h WHERE bucket_start + INTERVAL 1 HOUR <= (SELECT max(started_at) FROM runs) - INTERVAL 2 HOUR""")
 def x01(spark: SparkSession, d: str) -> DataFrame:
     runs = inputs.runs(spark, d).select("id", "website_id", "started_at", "status")
-    return _to_end(spark, ST.hourly_run_stats(_stream(spark, runs, "id")))
+    return _to_end(spark, runs, "id", ST.hourly_run_stats)
 
 
 @query("x05_url_dedup", f"WITH {_NORM} SELECT DISTINCT site, norm_url FROM k WHERE norm_url IS NOT NULL")
 def x05(spark: SparkSession, d: str) -> DataFrame:
     rows = inputs.candidates(spark, d).select("site", "url", "page_id", F.timestamp_micros(F.unix_micros(ts(NOW)) + F.col("page_id") * 1000).alias("seen_at"))
-    return _to_end(spark, ST.url_dedup(_stream(spark, rows, "page_id"), delay="2 days")).select("site", "norm_url")
+    return _to_end(spark, rows, "page_id", lambda s: ST.url_dedup(s, delay="2 days")).select("site", "norm_url")
 
 
 @query("x08_policy_filter", f"WITH {_NORM} SELECT DISTINCT site, norm_url FROM k WHERE norm_url IS NOT NULL AND NOT starts_with(path, '/fr/') AND NOT contains(norm_url, '?page=') AND (starts_with(path || CASE WHEN query <> '' THEN '?' || query ELSE '' END, '/en/2') AND NOT regexp_matches(path || CASE WHEN query <> '' THEN '?' || query ELSE '' END, '^/en/.*5$') OR NOT starts_with(path, '/en/') OR NOT regexp_matches(path || CASE WHEN query <> '' THEN '?' || query ELSE '' END, '5$'))")
 def x08(spark: SparkSession, d: str) -> DataFrame:
     rows = inputs.candidates(spark, d).select("site", U.normalize_url("url").alias("norm_url"), "page_id").where("norm_url is not null").dropDuplicates(["site", "norm_url"])
     rules, _ = PO.robots_rules(_bodies(spark, d), "siteloom")
-    return _to_end(spark, ST.policy_filter(_stream(spark, rows, "page_id"), rules)).select("site", "norm_url")
+    return _to_end(spark, rows, "page_id", lambda s: ST.policy_filter(s, rules)).select("site", "norm_url")
 
 
 @query("x09_idempotent_publish", f"WITH {_RUNS}, {_PUB} SELECT DISTINCT id AS run_id, target_id FROM runs JOIN tg USING (website_id)")
 def x09(spark: SparkSession, d: str) -> DataFrame:
-    """Every pair comes twice, in different batches; a batch writes to a folder of its own id."""
+    """Every pair comes twice, in different batches, and each batch is run again after it has written."""
     targets, _, _ = _targets(spark, d)
     pairs = inputs.runs(spark, d).join(targets, "website_id").select(F.col("id").alias("run_id"), "target_id")
     twice = pairs.withColumn("o", F.lit(0)).union(pairs.withColumn("o", F.lit(1)))
     out, at = shared_folder(spark, "published"), shared_folder(spark, "at")
-    schema = T.StructType.fromDDL("run_id long, target_id long, status string")
-    spark.createDataFrame([], schema).write.parquet(f"{out}/batch=-1")
+    schema = T.StructType.fromDDL("run_id long, target_id long, status string, batch int")
+    spark.createDataFrame([], "run_id long, target_id long, status string").write.parquet(f"{out}/batch=-1")
 
-    def append(rows: DataFrame, batch_id: int) -> None:
+    def others(batch_id: int) -> DataFrame:
+        return spark.read.schema(schema).parquet(out).where(F.col("batch") != batch_id)
+
+    def write(rows: DataFrame, batch_id: int) -> None:
         rows.select("run_id", "target_id", F.lit("published").alias("status")).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    batch = ST.idempotent_publish(lambda: spark.read.schema(schema).parquet(out), append)
-    _stream(spark, twice, "o", 2).writeStream.foreachBatch(batch).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+    publish = ST.idempotent_publish(others, write)
+
+    def twice_over(rows: DataFrame, batch_id: int) -> None:
+        publish(rows, batch_id)
+        publish(rows, batch_id)
+
+    def catch_up(stream: DataFrame) -> None:
+        stream.writeStream.foreachBatch(twice_over).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+
+    _arriving(spark, twice, "o", catch_up)
     return spark.read.schema(schema).parquet(out).select("run_id", "target_id")
 
 
 _EVENT = "CASE event_type WHEN 'signup' THEN 'created' WHEN 'click' THEN 'claimed' WHEN 'view' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'returned' END"
 
 
-@query("x02_run_lifecycle")
+#: The order in which events reach a stream's state: by arriving part, then by time.
+_IN_PARTS = "(event_id - (SELECT min(event_id) FROM events)) // greatest(1, CAST(ceil(((SELECT max(event_id) FROM events) - (SELECT min(event_id) FROM events) + 1) / 4.0) AS BIGINT))"
+
+
+@query(
+    "x02_run_lifecycle",
+    f"""WITH RECURSIVE e AS MATERIALIZED (
+  SELECT user_id AS run_id, event_id, {_EVENT} AS event, row_number() OVER (PARTITION BY user_id ORDER BY {_IN_PARTS}, ts, event_id) AS i FROM events),
+t(before, event, after) AS (VALUES ('new', 'created', 'pending'), ('pending', 'claimed', 'processing'), ('processing', 'returned', 'pending'),
+  ('processing', 'completed', 'completed'), ('processing', 'failed', 'failed'), ('pending', 'failed', 'failed')),
+r AS (
+  SELECT DISTINCT run_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS event, 'new' AS status, 0 AS attempts, false AS accepted FROM e
+  UNION ALL
+  SELECT r.run_id, e.i, e.event_id, e.event, coalesce(t.after, r.status), r.attempts + CASE WHEN t.after IS NOT NULL AND e.event = 'claimed' THEN 1 ELSE 0 END, t.after IS NOT NULL
+  FROM r JOIN e ON e.run_id = r.run_id AND e.i = r.i + 1 LEFT JOIN t ON t.before = r.status AND t.event = e.event)
+SELECT run_id, event_id, event, status, attempts, accepted FROM r WHERE i > 0""",
+)
 def x02(spark: SparkSession, d: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("run_id"), "event_id", F.col("ts").cast("timestamp").alias("at"), F.expr(_EVENT).alias("event"))
-    return _to_end(spark, ST.run_lifecycle(_stream(spark, e, "event_id")))
+    return _to_end(spark, e, "event_id", lambda s: ST.run_lifecycle(s, ttl=None))
 
 
 @query("x07_page_changes", "SELECT url AS norm_url, event_id AS seen_id, hash, CASE WHEN before IS NULL THEN 'new' ELSE 'changed' END AS change FROM (SELECT 'u' || user_id AS url, event_id, event_type AS hash, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE before IS NULL OR before <> hash")
 def x07(spark: SparkSession, d: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/events.parquet").select(F.concat(F.lit("u"), "user_id").alias("norm_url"), F.col("event_id").alias("seen_id"), F.col("event_type").alias("hash"))
-    return _to_end(spark, ST.page_changes(_stream(spark, e, "seen_id")))
-
-
-@query("x06_quota")
+    return _to_end(spark, e, "seen_id", lambda s: ST.page_changes(s, ttl=None))
+
+
+@query(
+    "x06_quota",
+    f"""WITH RECURSIVE e AS MATERIALIZED (
+  SELECT user_id, event_id AS id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY {_IN_PARTS}, ts, event_id) AS i FROM events),
+r AS (
+  SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS id, CAST([] AS BIGINT[]) AS held, false AS accepted FROM e
+  UNION ALL
+  SELECT r.user_id, e.i, e.id, CASE WHEN len(list_filter(r.held, lambda t: t > e.us - 86400000000)) < 2
+    THEN list_append(list_filter(r.held, lambda t: t > e.us - 86400000000), e.us) ELSE list_filter(r.held, lambda t: t > e.us - 86400000000) END,
+    len(list_filter(r.held, lambda t: t > e.us - 86400000000)) < 2
+  FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
+SELECT user_id, id, CAST(len(held) AS INTEGER) AS used, accepted FROM r WHERE i > 0""",
+)
 def x06(spark: SparkSession, d: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/events.parquet").select("user_id", F.col("event_id").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    return _to_end(spark, ST.quota(_stream(spark, e, "id"), limit=2))
+    return _to_end(spark, e, "id", lambda s: ST.quota(s, limit=2, ttl=None))
 
 
 @query("u01_union_candidates", f"WITH {_CAND}, x AS (SELECT site, url FROM cand WHERE page_id % 2 = 0 UNION ALL SELECT site, url FROM cand WHERE page_id % 3 = 0) SELECT site, count(*) AS n FROM x GROUP BY 1")
@@ -352,10 +486,33 @@ def u01(spark: SparkSession, d: str) -> DataFrame:
     return S.union_candidates(c.where("page_id % 2 = 0"), c.where("page_id % 3 = 0")).groupBy("site").agg(F.count("*").alias("n"))
 
 
-@query("a15_run_stats_assemble", f"WITH {_NORM} SELECT site, count(*) AS discovered, count(norm_url) - count(DISTINCT norm_url) AS duplicate, count(*) FILTER (norm_url IS NULL) AS unparseable FROM k GROUP BY site")
+@query(
+    "a15_run_stats_assemble",
+    f"""WITH {_NORM}, f AS (SELECT site, count(*) AS urls_discovered, count(norm_url) - count(DISTINCT norm_url) AS dup, count(*) FILTER (norm_url IS NULL) AS bad FROM k GROUP BY site),
+p AS (SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS site, count(*) AS pages_crawled, sum(length(html)) AS bytes_fetched, count(*) FILTER (page_id % 2 = 0) AS links_emitted FROM pages GROUP BY 1)
+SELECT site, 32 AS n_keys, 13 AS version, urls_discovered, dup AS duplicate, bad AS unparseable, coalesce(pages_crawled, 0) AS pages_crawled,
+  CAST(coalesce(bytes_fetched, 0) AS BIGINT) AS bytes_fetched, coalesce(links_emitted, 0) AS links_emitted, pages_crawled > 3 AS has_diff, pages_crawled IS NULL OR pages_crawled <= 3 AS diff_is_null
+FROM f LEFT JOIN p USING (site)""",
+)
 def a15(spark: SparkSession, d: str) -> DataFrame:
-    """The counts of a run's record as JSON, read back as numbers: what was discovered is what the funnel sums up to."""
+    """The record of each site's run, read back out of its JSON text."""
     c = inputs.candidates(spark, d)
-    funnel = FR.drop_funnel(c, FR.select_urls(c, 20)).groupBy("site").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("rule", "n")))).alias("dropped"), F.sum("n").alias("discovered"))
-    number = lambda k: F.coalesce(R.json_number(F.col("dropped"), f"$.{k}"), F.lit(0.0)).cast("long")
-    return funnel.select("site", "discovered", number("duplicate").alias("duplicate"), number("unparseable").alias("unparseable"))
+    frontier = R.dropped_by_rule(FR.drop_funnel(c, FR.select_urls(c, 20)))
+    frontier = frontier.select("*", F.lit("sitemap").alias("discovery_source"), F.lit(21).alias("max_pages"), F.lit(200).alias("crawl_delay_ms"))
+    pages = spark.read.parquet(f"{d}/pages.parquet").select(F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("site"), "page_id", "html")
+    by_site = pages.groupBy("site").agg(F.count("*").alias("n"), F.sum(F.length("html")).alias("bytes"), F.count_if(F.col("page_id") % 2 == 0).alias("even"))
+    none, zero = F.lit(None).cast("string"), F.lit(0)
+    fixed = lambda names, value: [value.alias(x) for x in names]
+    crawl = by_site.select("site", F.col("n").alias("pages_crawled"), F.col("bytes").alias("bytes_fetched"), F.lit(5).alias("duration_ms"), *fixed(["cap_hit", "blocked_reason"], none), *fixed(["pages_failed", "pages_empty_content", "pages_blocked", "pages_http_error", "pages_off_origin"], zero))
+    index = by_site.select("site", F.col("even").alias("links_emitted"), F.lit(100).alias("llms_txt_bytes"), *fixed(["links_optional", "links_duplicate", "full_txt_truncated"], zero))
+    enrichment = R.enrichment_totals(pages.select("site", F.lit(None).cast("boolean").alias("summary_ok"), F.lit(0).alias("input_tokens"), F.lit(0).alias("output_tokens"))).select("*", F.lit(False).alias("enrich_requested"), F.lit(False).alias("enrich_applied"))
+    diff = by_site.where("n > 3").select("site", F.struct(F.lit(1).alias("pages_added"), F.lit(0).alias("pages_removed")).alias("index_diff"), F.create_map(F.lit("a"), F.lit("b")).alias("content_hashes"))
+    made = R.run_stats_assemble(frontier, crawl, index, enrichment, diff).select("site", F.explode(F.array("stats")).alias("stats"))
+    number = lambda k: R.json_number(F.col("stats"), f"$.{k}")
+    count = lambda k: F.coalesce(number(k), F.lit(0.0)).cast("long")
+    has_diff = number("index_diff.pages_added") == 1
+    return made.select(
+        "site", F.size(F.json_object_keys("stats")).alias("n_keys"), number("version").cast("int").alias("version"), count("urls_discovered").alias("urls_discovered"),
+        count("dropped.duplicate").alias("duplicate"), count("dropped.unparseable").alias("unparseable"), count("pages_crawled").alias("pages_crawled"), count("bytes_fetched").alias("bytes_fetched"),
+        count("links_emitted").alias("links_emitted"), F.when(count("pages_crawled") > 0, F.coalesce(has_diff, F.lit(False))).alias("has_diff"), F.col("stats").contains('"index_diff":null').alias("diff_is_null"),
+    )

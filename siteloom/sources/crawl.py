@@ -26,15 +26,24 @@ def root_name(body: Column) -> Column:
     return F.lower(F.regexp_extract(body, r"(?s)^\s*(?:\x{FEFF})?\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*)*<(?:[\w.-]+:)?([\w.-]+)", 1))
 
 
-def sitemap_urls(docs: DataFrame) -> DataFrame:
+def sitemap_urls(docs: DataFrame, most: int = MAX_URLS) -> DataFrame:
     """(site, doc_url, pos, url, lastmod, priority) of docs(site, doc_url, body) that are url sets.
 
+    A site's first `most` entries stay, by document and place; whole documents before the one that reaches the
+    limit are counted, not ranked, so that no window holds more than one document's entries.
+
     Entries without a location or of another origin are dropped; a body with a DOCTYPE or bad XML has no rows.
     """
     rows = docs.where(root_name(F.col("body")) == "urlset").withColumn("x", F.from_xml(plain_xml(F.col("body")), URLSET))
     rows = rows.select("site", "doc_url", F.posexplode("x.url").alias("pos", "u")).withColumn("url", F.regexp_replace("u.loc", r"(?U)^\s+|\s+$", ""))
     rows = rows.where((F.col("url") != "") & (U.origin_key("url", "sitemap") == U.origin_key("doc_url", "sitemap")))
-    return rows.select("site", "doc_url", "pos", "url", U.parse_lastmod("u.lastmod").alias("lastmod"), U.parse_priority("u.priority").alias("priority"))
+    rows = rows.select("site", "doc_url", "pos", "url", U.parse_lastmod("u.lastmod").alias("lastmod"), U.parse_priority("u.priority").alias("priority"))
+    sizes = rows.groupBy("site", "doc_url").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("site").orderBy("doc_url").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumn("before", before).where(F.col("before") < most)
+    place = F.row_number().over(Window.partitionBy("site", "doc_url").orderBy("pos"))
+    kept = rows.join(sizes, ["site", "doc_url"]).withColumn("place", F.col("before") + place).where(F.col("place") <= most)
+    return kept.drop("n", "before", "place")
 
 
 def sitemap_index_expand(docs: DataFrame, most: int = MAX_DOCUMENTS) -> DataFrame:

@@ -35,61 +35,86 @@ def policy_filter(stream: DataFrame, rules: DataFrame, url: str = "norm_url") ->
     return policy.robots_allowed(stream, rules, url).where("allowed")
 
 
-def idempotent_publish(read: Callable[[], DataFrame], append: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: appends a run's publication only if none is settled, so a repeated batch adds none."""
+def idempotent_publish(read: Callable[[int], DataFrame], write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: publishes a run only if none is settled by another batch.
+
+    read(batch_id) gives the publications of all batches but that one; write(rows, batch_id) replaces the batch's
+    own. A batch that is run again finds what it found the first time and writes the same rows.
+    """
 
     def batch(pairs: DataFrame, batch_id: int) -> None:
-        append(unsettled(pairs.dropDuplicates(["run_id", "target_id"]), read()), batch_id)
+        write(unsettled(pairs.dropDuplicates(["run_id", "target_id"]), read(batch_id)), batch_id)
 
     return batch
 
 
-def run_lifecycle(events: DataFrame) -> DataFrame:
+#: A key's state goes when it has seen no row for so long (milliseconds). A stream that is run to its end and
+#: stopped, with an availableNow trigger, takes None: its clock only stands while it runs, and Spark would wait for it.
+RUN_TTL, PAGE_TTL, USER_TTL = 7 * 24 * 3_600_000, 90 * 24 * 3_600_000, 2 * 24 * 3_600_000
+
+
+def stateful(rows: DataFrame, key: str, order: list[str], out: str, state: str, ttl: int | None, step: Callable[[object, pd.DataFrame, tuple | None], tuple[pd.DataFrame, tuple]]) -> DataFrame:
+    """step(key, a micro-batch's rows in order, state) by key, with a state that is dropped after `ttl` milliseconds, or never."""
+
+    def run(k: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values(order, kind="stable")
+        made, new = step(k[0], rows, tuple(held.get) if held.exists else None)
+        held.update(new)
+        if ttl:
+            held.setTimeoutDuration(ttl)
+        yield made
+
+    clock = GroupStateTimeout.ProcessingTimeTimeout if ttl else GroupStateTimeout.NoTimeout
+    return rows.groupBy(key).applyInPandasWithState(run, out, state, "append", clock)
+
+
+def run_lifecycle(events: DataFrame, ttl: int | None = RUN_TTL) -> DataFrame:
     """(run_id, event_id, event, status, attempts, accepted) of events(run_id, event_id, at, event), guarded by the state before."""
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, attempts = state.get if state.exists else ("new", 0)
+    def step(key: object, rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        status, attempts = state or ("new", 0)
         out = []
-        for row in pd.concat(list(batches)).sort_values(["at", "event_id"]).itertuples():
-            to = TRANSITIONS.get((status, row.event))
+        for event_id, event in zip(rows["event_id"], rows["event"], strict=True):
+            to = TRANSITIONS.get((status, event))
             if to:
-                status, attempts = to, attempts + (row.event == "claimed")
-            out.append((key[0], row.event_id, row.event, status, attempts, to is not None))
-        state.update((status, attempts))
-        yield pd.DataFrame(out, columns=["run_id", "event_id", "event", "status", "attempts", "accepted"])
+                status, attempts = to, attempts + (event == "claimed")
+            out.append((key, event_id, event, status, attempts, to is not None))
+        return pd.DataFrame(out, columns=["run_id", "event_id", "event", "status", "attempts", "accepted"]), (status, attempts)
 
-    return events.groupBy("run_id").applyInPandasWithState(step, "run_id long, event_id long, event string, status string, attempts int, accepted boolean", "status string, attempts int", "append", GroupStateTimeout.NoTimeout)
+    return stateful(events, "run_id", ["at", "event_id"], "run_id long, event_id long, event string, status string, attempts int, accepted boolean", "status string, attempts int", ttl, step)
 
 
-def page_changes(pages: DataFrame) -> DataFrame:
+def page_changes(pages: DataFrame, ttl: int | None = PAGE_TTL) -> DataFrame:
     """(norm_url, seen_id, hash, change) of pages(norm_url, seen_id, hash): a row where a page is new or its hash differs."""
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        out = []
-        for row in pd.concat(list(batches)).sort_values("seen_id").itertuples():
-            if row.hash != last:
-                out.append((key[0], row.seen_id, row.hash, "new" if last is None else "changed"))
-                last = row.hash
-        state.update((last,))
-        yield pd.DataFrame(out, columns=["norm_url", "seen_id", "hash", "change"])
+    def step(key: object, rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        before = rows["hash"].shift(1, fill_value=state[0] if state else "")
+        moved = rows["hash"] != before
+        if not state:
+            moved.iloc[0] = True
+        found = rows.loc[moved, ["norm_url", "seen_id", "hash"]].assign(change="changed")
+        if not state:
+            found.iloc[0, 3] = "new"
+        return found, (rows["hash"].iloc[-1],)
 
-    return pages.groupBy("norm_url").applyInPandasWithState(step, "norm_url string, seen_id long, hash string, change string", "hash string", "append", GroupStateTimeout.NoTimeout)
+    return stateful(pages, "norm_url", ["seen_id"], "norm_url string, seen_id long, hash string, change string", "hash string", ttl, step)
 
 
-def quota(runs: DataFrame, limit: int = DAY_LIMIT) -> DataFrame:
+def quota(runs: DataFrame, limit: int = DAY_LIMIT, ttl: int | None = USER_TTL) -> DataFrame:
     """(user_id, id, used, accepted) of runs(user_id, id, us): a rolling day per user; its state holds at most `limit` starts."""
     day = 86_400_000_000
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
+    def step(key: object, rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        held = list(state[0]) if state else []
         out = []
-        for row in pd.concat(list(batches)).sort_values(["us", "id"]).itertuples():
-            held = [t for t in held if t > row.us - day]
+        for i, us in zip(rows["id"], rows["us"], strict=True):
+            held = [t for t in held if t > us - day]
             ok = len(held) < limit
-            held += [int(row.us)] if ok else []
-            out.append((key[0], row.id, len(held), ok))
-        state.update((held,))
-        yield pd.DataFrame(out, columns=["user_id", "id", "used", "accepted"])
+            held += [int(us)] if ok else []
+            out.append((key, i, len(held), ok))
+        return pd.DataFrame(out, columns=["user_id", "id", "used", "accepted"]), (held,)
 
-    return runs.groupBy("user_id").applyInPandasWithState(step, "user_id long, id long, used int, accepted boolean", "held array<long>", "append", GroupStateTimeout.NoTimeout)
+    return stateful(runs, "user_id", ["us", "id"], "user_id long, id long, used int, accepted boolean", "held array<long>", ttl, step)
