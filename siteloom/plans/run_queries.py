@@ -337,6 +337,19 @@ def s06(spark: SparkSession, d: str) -> DataFrame:
     return S.payload_scan(spark, path).select(F.col("title").cast("long").alias("page_id"), "url", F.length("content").cast("long").alias("n"), F.col("status").cast("long").alias("status"))
 
 
+@query(
+    "s05_pages_scan",
+    f"WITH snap0 AS ({inputs.for_duckdb(inputs.SNAPSHOTS)}) SELECT page_id % 3 AS run, url, status, title, length(markdown) AS n, content_bytes FROM snap0 WHERE page_id % 3 = 1",
+)
+def s05(spark: SparkSession, d: str) -> DataFrame:
+    """Snapshots of three runs, a folder each; the scan reads one run's folder alone."""
+    path = shared_folder(spark, "pages")
+    rows = inputs.snapshots(spark, d).withColumn("run", F.col("page_id") % 3)
+    rows.select([F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(S.SNAPSHOT)] + ["run"]).write.partitionBy("run").parquet(path)
+    got = S.pages_scan(spark, f"{path}/run=1")
+    return got.select(F.lit(1).cast("long").alias("run"), "url", F.col("status").cast("int").alias("status"), "title", F.length("markdown").cast("long").alias("n"), F.col("content_bytes").cast("long").alias("content_bytes"))
+
+
 @query("s09_artifact_files", f"WITH {_CAND} SELECT DISTINCT trim(regexp_replace(site, '[^a-z0-9]+', '-', 'g'), '-') || '-llms.txt' AS filename, site AS text FROM cand")
 def s09(spark: SparkSession, d: str) -> DataFrame:
     rows = inputs.candidates(spark, d).select("site").distinct().select(S.artifact_filename(F.concat(F.lit("https://"), F.col("site"))).alias("filename"), F.col("site").alias("text"))
