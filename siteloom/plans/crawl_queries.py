@@ -165,14 +165,38 @@ def _bodies(spark: SparkSession, d: str) -> DataFrame:
     return inputs.candidates(spark, d).select("site", F.concat(F.col("seed"), F.lit("robots.txt")).alias("robots_url")).distinct().withColumn("body", F.concat(F.lit(ROBOTS), F.lit("Sitemap: /sitemap.xml\nsitemap: https://elsewhere.example/s.xml\nSitemap: /sitemap.xml # again\n")))
 
 
-@query("s04_robots_rules", f"WITH {_CAND}, s AS (SELECT DISTINCT site FROM cand) SELECT site, ord, kind, pattern, pattern_len FROM s, (VALUES (1, 'disallow', '/fr/', 4), (2, 'disallow', '/*?page=', 8), (3, 'disallow', '/en/*5$', 7), (4, 'allow', '/en/2', 5)) AS r(ord, kind, pattern, pattern_len)")
+def _own_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """Robots files that differ by site: its name and length are in rules, delays, a group of our own and sitemaps."""
+    n = F.length("site")
+    named = F.when(n % 3 == 0, F.concat(F.lit("User-agent: SiteLoom\nDisallow: /named/"), n, F.lit("\n"))).otherwise("")
+    rules = F.concat(F.lit("User-agent: *\nDisallow: /only-for-"), "site", F.lit("/ # note\n"), F.when(n % 2 == 1, F.concat(F.lit("Allow: /docs/"), n, F.lit("\n"))).otherwise(""))
+    delay = F.concat(F.lit("Crawl-delay: "), n % 5 * 4, F.lit(".5\n"))
+    maps = F.concat(F.lit("Sitemap: /s"), n, F.lit(".xml\nsitemap: https://elsewhere.example/s.xml\nSitemap: /s"), n, F.lit(".xml # again\n"))
+    sites = inputs.candidates(spark, d).select("site", F.concat(F.col("seed"), F.lit("robots.txt")).alias("robots_url")).distinct()
+    return sites.withColumn("body", F.concat(rules, delay, named, maps))
+
+
+_OWN_SITES = f"{_CAND}, s AS (SELECT DISTINCT site, seed, length(site) AS n FROM cand)"
+
+
+@query(
+    "s04_robots_rules",
+    f"""WITH {_OWN_SITES}, r AS (
+  SELECT site, 1 AS ord, 'disallow' AS kind, CASE WHEN n % 3 = 0 THEN '/named/' || n ELSE '/only-for-' || site || '/' END AS pattern FROM s
+  UNION ALL SELECT site, 2, 'allow', '/docs/' || n FROM s WHERE n % 3 <> 0 AND n % 2 = 1)
+SELECT DISTINCT site, CAST(ord AS BIGINT) AS ord, kind, pattern, CAST(length(pattern) AS BIGINT) AS pattern_len FROM r""",
+)
 def s04(spark: SparkSession, d: str) -> DataFrame:
-    return PO.robots_rules(_bodies(spark, d), "siteloom")[0]
+    return PO.robots_rules(_own_bodies(spark, d), "siteloom")[0]
 
 
-@query("p17_crawl_delay", f"WITH {_CAND} SELECT DISTINCT site, 2.5::DOUBLE AS crawl_delay_s, 2500::BIGINT AS delay_ms FROM cand")
+@query(
+    "p17_crawl_delay",
+    f"""WITH {_OWN_SITES} SELECT DISTINCT site, (n % 5 * 4 + 0.5)::DOUBLE AS crawl_delay_s,
+  CAST(greatest(200, least((n % 5 * 4 + 0.5) * 1000, 10000)) AS BIGINT) AS delay_ms FROM s WHERE n % 3 <> 0""",
+)
 def p17(spark: SparkSession, d: str) -> DataFrame:
-    return PO.robots_rules(_bodies(spark, d), "siteloom")[1].withColumn("delay_ms", FR.effective_crawl_delay_ms(200, F.col("crawl_delay_s")))
+    return PO.robots_rules(_own_bodies(spark, d), "siteloom")[1].withColumn("delay_ms", FR.effective_crawl_delay_ms(200, F.col("crawl_delay_s")))
 
 
 @query("j02_robots_allowed", rf"""WITH {_NORM}, t AS (SELECT DISTINCT site, norm_url, path || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS target FROM k WHERE norm_url IS NOT NULL)
@@ -183,9 +207,9 @@ def j02(spark: SparkSession, d: str) -> DataFrame:
     return PO.robots_allowed(urls, rules)
 
 
-@query("s03_robots_sitemap_targets", f"WITH {_CAND} SELECT DISTINCT site, seed || 'sitemap.xml' AS target FROM cand")
+@query("s03_robots_sitemap_targets", f"WITH {_OWN_SITES} SELECT DISTINCT site, seed || 's' || n || '.xml' AS target FROM s")
 def s03(spark: SparkSession, d: str) -> DataFrame:
-    return S.robots_sitemap_targets(_bodies(spark, d)).select("site", "target")
+    return S.robots_sitemap_targets(_own_bodies(spark, d)).select("site", "target")
 
 
 def _sitemaps(spark: SparkSession, d: str) -> DataFrame:

@@ -65,10 +65,14 @@ def s07(spark: SparkSession, d: str) -> DataFrame:
     return R.with_stats(inputs.runs(spark, d)).select("id", "pages_crawled", "index_pages", "index_bytes", "pages_added", "pages_removed", "duration_ms")
 
 
-@query("s08_public_stats", f"WITH {_RUNS} SELECT id, CASE WHEN json_valid(stats) AND json_type(stats) = 'OBJECT' THEN json_extract_string(stats, '$.pages_crawled') END AS pages_crawled, false AS has_worker_keys FROM runs")
+@query(
+    "s08_public_stats",
+    f"""WITH {_RUNS}, o AS (SELECT id, CASE WHEN json_valid(stats) AND json_type(stats) = 'OBJECT' THEN stats END AS o FROM runs)
+SELECT id, json_extract_string(o, '$.pages_crawled') AS pages_crawled, array_to_string(list_sort(list_filter(json_keys(o), lambda k: k <> 'content_hashes')), ',') AS keys FROM o""",
+)
 def s08(spark: SparkSession, d: str) -> DataFrame:
     rows = inputs.runs(spark, d).select("id", R.public_stats(F.when(F.try_parse_json("stats").isNotNull() & F.col("stats").startswith("{"), F.col("stats"))).alias("m"))
-    return rows.select("id", F.try_element_at("m", F.lit("pages_crawled")).alias("pages_crawled"), F.coalesce(F.map_contains_key("m", "content_hashes"), F.lit(False)).alias("has_worker_keys"))
+    return rows.select("id", F.try_element_at("m", F.lit("pages_crawled")).alias("pages_crawled"), F.array_join(F.array_sort(F.map_keys("m")), ",").alias("keys"))
 
 
 _BUCKET = f"""b AS (SELECT website_id, date_trunc('hour', started_at) AS bucket_start, count(*) AS runs, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed,
@@ -169,11 +173,17 @@ def a19(spark: SparkSession, d: str) -> DataFrame:
     return R.tick_summary(_due(spark, d))
 
 
-@query("p23_advance", f"WITH {_SCHED} SELECT schedule_id, true AS within FROM sched")
+@query(
+    "p23_advance",
+    f"""WITH {_SCHED} SELECT schedule_id, interval_minutes AS minutes, interval_minutes * 57 AS earliest_s, interval_minutes * 63 AS latest_s, true AS within FROM sched""",
+)
 def p23(spark: SparkSession, d: str) -> DataFrame:
+    """The jitter is drawn from Spark's hash, so SQL can tell its bounds only, from each schedule's own interval."""
     at = R.advance_next_run_at(ts(NOW), F.col("interval_minutes"), F.col("schedule_id"))
-    off = F.abs(F.unix_micros(at) - F.unix_micros(ts(NOW)) - F.col("interval_minutes").cast("long") * 60_000_000)
-    return _schedules(spark, d).select("schedule_id", (off <= F.col("interval_minutes").cast("long") * 3_000_000).alias("within"))
+    took = (F.unix_micros(at) - F.unix_micros(ts(NOW))) / 1_000_000
+    low, high = F.col("interval_minutes") * 57, F.col("interval_minutes") * 63
+    rows = _schedules(spark, d).select("schedule_id", F.col("interval_minutes").alias("minutes"), low.alias("earliest_s"), high.alias("latest_s"), took.between(low, high).alias("within"))
+    return rows
 
 
 @query("p22_next_run_at", f"""WITH {_SCHED} SELECT schedule_id, CASE WHEN schedule_id % 6 = 0 THEN NULL WHEN active AND schedule_id % 3 <> 1 AND next_run_at IS NOT NULL THEN next_run_at
