@@ -9,6 +9,11 @@ been verified (pigeonhole), so the search ends when the kth verified distance is
 The blocks' answers are merged into the k nearest of each query; a block or a chunk has a bounded size, and an
 answer k rows, whatever the number of rows with one code.
 
+Radius 0 goes over the whole table first, as a join by segment: the kth distance among some codes that share a
+segment with a query is an upper bound for its kth distance. A block's search ends at the bound at the latest, so
+a query whose neighbours lie in other blocks does not grow its radii in vain. Any sample of codes gives a valid
+bound, so a segment value that many codes share sends SEEDS of them; what is found stays exact.
+
 Edge cases: null, empty or other-sized vectors than the code's length, and null ids, are neither searched nor
 found; a null or NaN element counts as not positive; a query does not find its own id; ties in distance go to
 the smaller id; repeated ids count once for each distinct code; with fewer than k others all are returned; an
@@ -22,14 +27,16 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import small_batches, table
+from siteloom.llm.common import materialize, small_batches, table
 
 SEGMENT = 16
 BLOCK_CODES = 16_384
 CHUNK_QUERIES = 1_024
+#: Codes of one segment value that are compared for the bound.
+SEEDS = 64
 
 
 def codes(vectors: DataFrame, bits: int = 64) -> DataFrame:
@@ -64,10 +71,10 @@ class SegmentIndex:
     def segment(code: np.ndarray, j: int) -> np.ndarray:
         return ((code >> np.uint64(SEGMENT * j)) & np.uint64(0xFFFF)).astype(np.int64)
 
-    def search(self, query: np.uint64, has: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Entries and distances within the kth distance, `has` telling how many ids an entry counts for."""
+    def search(self, query: np.uint64, has: np.ndarray, k: int, bound: int) -> tuple[np.ndarray, np.ndarray]:
+        """Entries and distances within the kth distance, at most the bound; `has` tells for how many ids an entry counts."""
         seen = np.zeros(len(self.code), dtype=bool)
-        at, dist, reach = [], [], None
+        at, dist, reach = [], [], bound
         for r in range(SEGMENT + 1):
             flips = MASKS[r]
             for j in range(self.m):
@@ -86,8 +93,10 @@ class SegmentIndex:
                         d = np.concatenate(dist)
                         order = np.argsort(d, kind="stable")
                         enough = np.searchsorted(np.cumsum(has[np.concatenate(at)][order]), k)
-                        reach = int(d[order][enough]) if enough < len(order) else None
-                if reach is not None and reach <= self.m * r + j:
+                        reach = min(bound, int(d[order][enough])) if enough < len(order) else bound
+                if reach <= self.m * r + j:
+                    if not at:
+                        return np.zeros(0, np.int64), np.zeros(0, np.int64)
                     d = np.concatenate(dist)
                     keep = d <= reach
                     return np.concatenate(at)[keep], d[keep]
@@ -97,6 +106,22 @@ class SegmentIndex:
 MASKS = [masks(r) for r in range(SEGMENT + 1)]
 
 
+def by_segment(codes: DataFrame, bits: int) -> DataFrame:
+    """codes with one row for each segment j and its value."""
+    values = [F.struct(F.lit(j).alias("j"), F.shiftrightunsigned("code", SEGMENT * j).bitwiseAND(F.lit((1 << SEGMENT) - 1)).alias("value")) for j in range(bits // SEGMENT)]
+    return codes.select("*", F.inline(F.array(*values)))
+
+
+def bounds(entries: DataFrame, asked: DataFrame, k: int, bits: int) -> DataFrame:
+    """(code, bound): for each distinct code of asked, a distance within which k + 1 entries lie for certain."""
+    first = Window.partitionBy("j", "value").orderBy(F.xxhash64("code"), "code")
+    seeds = by_segment(entries.select("code"), bits).withColumn("n", F.row_number().over(first)).where(F.col("n") <= SEEDS).select("j", "value", F.col("code").alias("near"))
+    met = by_segment(asked.select("code").distinct(), bits).join(seeds, ["j", "value"])
+    distance = F.bit_count(F.col("code").bitwiseXOR(F.col("near")))
+    ranked = met.groupBy("code").agg(F.array_sort(F.collect_set(F.struct(distance.alias("d"), "near"))).alias("best"))
+    return ranked.select("code", F.coalesce(F.get("best", F.lit(k))["d"], F.lit(bits)).cast("int").alias("bound"))
+
+
 def nearest(found: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, block: int = BLOCK_CODES, chunk: int = CHUNK_QUERIES) -> DataFrame:
     """(query_id, neighbour_id, distance, rank) of queries(id, code) against found(id, code)."""
     small_batches(found.sparkSession)
@@ -105,6 +130,8 @@ def nearest(found: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, b
     part = found.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64))).groupBy("code", "salt").agg(F.slice(F.array_sort(F.collect_set("id")), 1, k + 1).alias("ids"))
     entries = part.groupBy("code").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"))
     n_blocks, n_chunks = max(1, -(-found.select("code").distinct().count() // block)), max(1, -(-queries.count() // chunk))
+    entries = materialize(entries, "codes")
+    queries = queries.join(bounds(entries, queries, k, bits), "code", "left").withColumn("bound", F.coalesce("bound", F.lit(bits)))
     left = queries.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(n_chunks)).cast("long")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     right = entries.withColumn("block", F.pmod(spread, F.lit(n_blocks)).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_chunks - 1).cast("long"))))
 
@@ -114,8 +141,8 @@ def nearest(found: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, b
             ids = held.column("ids").to_pylist()
             index = SegmentIndex(held.column("code").to_numpy().view(np.uint64), bits)
             has = np.array([len(x) for x in ids])
-            for q, code in zip(asked.column("id").to_pylist(), asked.column("code").to_numpy().view(np.uint64), strict=True):
-                at, dist = index.search(code, has, k + 1)
+            for q, code, bound in zip(asked.column("id").to_pylist(), asked.column("code").to_numpy().view(np.uint64), asked.column("bound").to_pylist(), strict=True):
+                at, dist = index.search(code, has, k + 1, bound)
                 rows = sorted((int(d), i) for a, d in zip(at, dist, strict=True) for i in ids[a] if i != q)[:k]
                 out[0] += [q] * len(rows)
                 out[1] += [i for _, i in rows]
