@@ -13,12 +13,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("siteloom.llm")
 
 from siteloom.llm import decontaminate, html, jaccard, language, lm, packing, tokens, topk, toxicity, warc
 from siteloom.llm import queries as registered
-from siteloom.llm.common import shared_dir
+from siteloom.llm.common import salted_join, shared_dir
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 
@@ -290,12 +291,27 @@ def test_html_article_alone(spark):
         ("<article><table><tr><td>A<td class=sidebar><div>S<td>B<tr class=ad><td>S<tr><td>C</table>D</article>", "A B C D"),
         ("<main><div><p>A<div class=ad><p>S<ul><li>S</div>B</div><p>C <span class=share>S</p><p>D</main>", "A B C D"),
         ("<article>A<div class=one>" + "B" * 200 + "</div><div class=two>C</div>D</article>", "A " + "B" * 200 + " C D"),
+        ('<article><section id="discussion">A</section><p class="social-science">B</p><div class="social-links">S</div><div id=commentsSection>S</div></article>', "A B"),
+        ("<body><form action=x><div><article><p>A<p>B</article></div><input></form></body>", "A B"),
+        ("<body><form><input>S</form><nav><a>N</a><article><p>A</article><nav>S</nav></body>", "A"),
+        ("<body><nav>S<main><p>A <math><mi>x</mi></math><p>B", "A_x B"),
+        ("<article><p title=it's>A</p><p title='b>c' x=d\"e>B</p></article>", "A B"),
         ("<body><div class=w><h1>A</h1><div class=one>" + "B" * 200 + "</div><div class=two>C</div><div class=m><a>S S</a></div></div><div class=legal>S</div>", "A " + "B" * 200 + " C"),
     ],
 )
 def test_html_whole_article(spark, page, want):
     got = html.extract_pages(spark.createDataFrame([("https://h.example/", page)], "url string, html string")).first()["text"]
-    assert got == want.replace(" ", "\n")
+    assert got == want.replace(" ", "\n").replace("_", " ")
+
+
+def test_html_deep_long_and_clashing(spark):
+    deep = "<div>" * 20_000 + "deep text here" + "</div>" * 20_000
+    long = "<article>" + "".join(f"<p>line {k} of a very long page</p>" for k in range(60_000)) + "</article>"
+    rows = [("u", deep, "own", 1, "h"), ("u", long, "own", 2, "h"), ("u", long, "own", 2, "h"), (None, "<nav>" * 3000 + "x", "own", 3, None)]
+    frame = spark.createDataFrame(rows, "url string, html string, TEXT string, path int, host string")
+    got = html.extract_pages(frame).select("path", "host", "text").collect()
+    assert sorted((r["path"], len(r["text"].split("\n"))) for r in got) == [(1, 1), (2, 60_000), (2, 60_000), (3, 1)]
+    assert html.extract_pages(frame.limit(0)).collect() == []
 
 
 def test_html_given_pages(spark, sf_dir):
@@ -325,6 +341,29 @@ def test_toxicity_learns_a_pair(spark):
     assert max(r["toxicity"] for r in toxicity.score_toxicity(frame, none).collect()) < 0.01
 
 
+def test_toxicity_of_exactly_one_of_two_words(spark):
+    """Neither word alone tells anything; only their pair does."""
+    rng = random.Random(6)
+    docs, labels = [], []
+    for i in range(1500):
+        one, two = rng.random() < 0.5, rng.random() < 0.5
+        docs.append((i, " ".join([prose(rng, 20), *(["fool"] if one else []), *(["people"] if two else [])])))
+        labels.append((i, int(one != two)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("Toxicity", F.lit("own"))
+    machine = toxicity.train_toxicity(frame, spark.createDataFrame([*labels, *labels[:50]], "doc_id long, toxic int"), max_rows=1000)
+    got = {r["doc_id"]: r["toxicity"] for r in toxicity.score_toxicity(frame.union(frame.limit(3)), machine).collect()}
+    assert np.mean([(got[i] >= 0.5) == y for i, y in labels[1000:]]) > 0.95
+
+
+def test_factorization_machine_by_hand():
+    rng = np.random.default_rng(3)
+    fm = toxicity.FactorizationMachine(np.arange(9), 0.3, rng.normal(size=9), rng.normal(size=(9, 4)))
+    ids = np.array([1, 4, 5, 8])
+    pairs = sum(float(fm.factors[a] @ fm.factors[b]) for a, b in itertools.combinations(ids, 2))
+    assert fm.margin(ids) == pytest.approx(0.3 + fm.weights[ids].sum() + pairs)
+    assert fm.margin(ids[:0]) == 0.3
+
+
 def test_toxicity_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     got = toxicity.op6_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
@@ -344,6 +383,21 @@ def test_language(spark, odd_docs):
     assert {r["lang_pred"] for r in language.predict_language(odd_docs[0], empty).collect()} == {"und"}
 
 
+def test_convolution_equals_a_plain_one():
+    rng = np.random.default_rng(5)
+    n = 4
+    net = language.ByteNet(["a", "b", "c"], rng.normal(size=(256, 3)).astype(np.float32), [rng.normal(size=(w, 3, n)).astype(np.float32) for w in language.WIDTHS], [rng.normal(size=n).astype(np.float32) for _ in language.WIDTHS], rng.normal(size=(n * len(language.WIDTHS), 3)).astype(np.float32), rng.normal(size=3).astype(np.float32))
+    x = rng.integers(0, 256, (3, language.WINDOW)).astype(np.uint8)
+    got = language.log_probabilities(net, net.folded(), x)
+    for row, out in zip(x, got, strict=True):
+        emb, pooled = net.embed[row], []
+        for w, f, b in zip(language.WIDTHS, net.filters, net.biases, strict=True):
+            every = [sum(emb[p + j] @ f[j] for j in range(w)) + b for p in range(len(row) - w + 1)]
+            pooled.append(np.maximum(np.max(every, axis=0), 0))
+        z = np.concatenate(pooled) @ net.dense + net.offset
+        assert out == pytest.approx(z - np.log(np.exp(z - z.max()).sum()) - z.max(), abs=1e-3)
+
+
 def test_windows_cover_the_text():
     for n in (0, 1, 255, 256, 257, 512, 1000):
         data = random.Random(n).randbytes(n)
@@ -353,15 +407,73 @@ def test_windows_cover_the_text():
             assert b"".join(got[:-1]) + got[-1][-(n % language.WINDOW or language.WINDOW) :] == data
 
 
-def test_stupid_backoff_by_hand(spark, odd_docs):
-    rows = [(1, "a b a b"), (2, "a b c"), (3, None), (4, "z")]
-    got = {r["doc_id"]: r for r in lm.stupid_backoff(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    # For document 2 the rest is "a b a b" and "z": begin-a 1 of 2, a-b 2 of 2, c nowhere (1 of 5 words).
-    assert got[2]["log_score"] == pytest.approx(np.log(1 / 2) + np.log(2 / 2) + np.log(0.4 * 1 / 5), abs=1e-4)
-    assert got[3]["log_score"] is None and got[3]["n_words"] == 0
-    frame, odd = odd_docs
-    assert lm.stupid_backoff(frame).count() == len(odd)
-    assert lm.stupid_backoff(frame.limit(0)).collect() == []
+def brute_backoff(rows, order):
+    """(n_words, log score) of each row by the definition, counting over all other rows."""
+    texts = [blank_words(t) for _, t in rows]
+    grams = lambda ws, n: Counter(tuple(ws[k : k + n]) for k in range(len(ws) - n + 1))
+    every = {n: sum((grams(ws, n) for ws in texts), Counter()) for n in range(1, order + 1)}
+    out = []
+    for ws in texts:
+        rest = {n: every[n] - grams(ws, n) for n in every}
+        total = max(1, sum(every[1].values()) - len(ws))
+
+        def score(context, w, rest=rest, total=total):
+            if not context:
+                return max(1, rest[1][w,]) / total
+            if found := rest[len(context) + 1][(*context, w)]:
+                return found / rest[len(context)][context]
+            return 0.4 * score(context[1:], w)
+
+        out.append((len(ws), sum(np.log(score(tuple(ws[max(0, k - order + 1) : k]), w)) for k, w in enumerate(ws)) if ws else None))
+    return out
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_stupid_backoff_against_brute_force(spark, odd_docs, order, monkeypatch):
+    rng = random.Random(8)
+    rows = [*odd_docs[1], *((100 + k, prose(rng, rng.randint(1, 30))) for k in range(40)), (3, "a b a b a b")]
+    monkeypatch.setattr(lm, "CHUNK_WORDS", 50)
+    monkeypatch.setattr(lm, "WORDS_A_PART", 1)
+    frame = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, chunk string")
+    got = sorted(((r["doc_id"], r["n_words"], r["log_score"]) for r in lm.stupid_backoff(frame, order).collect()), key=str)
+    want = sorted(((i, n, s) for (i, _), (n, s) in zip(rows, brute_backoff(rows, order), strict=True)), key=str)
+    assert len(got) == len(want)
+    for a, b in zip(sorted(got, key=lambda r: (str(r[:2]), r[2] or 0)), sorted(want, key=lambda r: (str(r[:2]), r[2] or 0)), strict=True):
+        assert a[:2] == b[:2] and (a[2] is None) == (b[2] is None) and (a[2] is None or a[2] == pytest.approx(b[2], abs=1e-3))
+    if order == 3:
+        assert lm.stupid_backoff(frame.limit(0)).collect() == []
+
+
+def test_codes_of_many_words():
+    codes = np.random.default_rng(1).integers(0, 200_000, 5000)
+    assert (lm.unpack_codes(lm.pack_codes(codes)) == codes).all()
+    assert len(lm.unpack_codes(lm.pack_codes(codes[:0]))) == 0
+
+
+def test_stages_leave_columns_and_odd_rows(spark, sf_dir):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    base, other = prose(rng, 60), " ".join(rng.choice("den haus und der mit aus".split()) for _ in range(40))
+    rows = [(5, base), (5, base), (5, base + " omega"), (7, base), (None, base), (None, None), (8, None), (8, None), (9, ""), (9, other), (10, prose(rng, 9000)), (11, other + " x")]
+    frame = spark.createDataFrame([(*r, "own", 7, "keep", "k", 0.5, "z") for r in rows], "doc_id long, text string, toxicity string, n_words int, items string, Lang_Pred string, row double, source string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for docs in (frame, frame.limit(0)):
+            got = stage(spark, docs, sf_dir)
+            assert got.columns == frame.columns, name
+            kept = [tuple(r) for r in got.collect()]
+            assert not Counter(kept) - Counter(tuple(r) for r in docs.collect()), name
+            if name == "near_duplicates" and docs is frame:
+                assert sorted(((r[0], r[1]) for r in kept), key=str) == sorted([(5, base), (8, None), (None, None), (9, ""), (9, other), (10, rows[10][1])], key=str)
+    assert corpus_pipeline.STAGES[-1][1](spark, frame.limit(0), sf_dir).collect() == []
+
+
+def test_hot_keys_are_salted(spark):
+    rows = spark.createDataFrame([(1, k) for k in range(300)] + [(k, k) for k in range(2, 40)] + [(None, 1), (99, 2)], "key long, v long")
+    names = spark.createDataFrame([(k, f"n{k}") for k in range(60)], "key long, name string")
+    for how in ("inner", "left"):
+        got = sorted(map(tuple, salted_join(rows, names, "key", how, least=10).select("key", "v", "name").collect()), key=str)
+        assert got == sorted(map(tuple, rows.join(names, "key", how).select("key", "v", "name").collect()), key=str)
 
 
 def test_pipeline(spark, sf_dir):
