@@ -104,16 +104,22 @@ def chi_squared(n, pos, rows: float, positives: float):  # noqa: ANN001, ANN201
     return gap * gap * rows / (n * (rows - n + 1) * max(1.0, positives * (rows - positives)))
 
 
-def interacting(rows: list[np.ndarray], y: np.ndarray, k: int, least: float) -> np.ndarray:
+def interacting(rows: list[np.ndarray], y: np.ndarray, k: int, least: float, block: int = 500) -> np.ndarray:
     """Of k terms, those of pairs that tell the classes apart better than either term alone does, by `least`."""
-    x = np.zeros((len(rows), k), np.float32)
-    for i, ids in enumerate(rows):
-        x[i, ids] = 1
-    n, pos = x.T @ x, (x * y[:, None].astype(np.float32)).T @ x
-    chi = chi_squared(np.maximum(n, 1), pos, float(len(y)), float(y.sum()))
-    alone = np.diag(chi)
-    pair = (n >= 5) & (chi >= np.maximum(alone[:, None], alone[None, :]) + least)
-    return np.flatnonzero(pair.any(axis=1))
+    n, pos = np.zeros((k, k), np.float32), np.zeros((k, k), np.float32)
+    for at in range(0, len(rows), block):
+        x = np.zeros((len(rows[at : at + block]), k), np.float32)
+        for i, ids in enumerate(rows[at : at + block]):
+            x[i, ids] = 1
+        hit = x[y[at : at + block] > 0]
+        n += x.T @ x
+        pos += hit.T @ hit
+    found = np.zeros(k, bool)
+    alone = chi_squared(np.maximum(np.diag(n), 1), np.diag(pos), float(len(y)), float(y.sum()))
+    for i in range(k):
+        chi = chi_squared(np.maximum(n[i], 1), pos[i], float(len(y)), float(y.sum()))
+        found[i] = ((n[i] >= 5) & (chi >= np.maximum(alone[i], alone) + least)).any()
+    return np.flatnonzero(found)
 
 
 def encoded(picked: DataFrame, terms: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -127,10 +133,10 @@ def encoded(picked: DataFrame, terms: np.ndarray) -> tuple[list[np.ndarray], np.
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary()), b.column("toxic")], ["doc_id", "ids", "toxic"])
 
     got = picked.mapInArrow(encode, "doc_id long, ids binary, toxic int").orderBy("doc_id", "ids").toPandas()
-    return [np.frombuffer(x, dtype="<i4").astype(np.int64) for x in got["ids"]], got["toxic"].to_numpy(dtype=np.float64)
+    return [np.frombuffer(x, dtype="<i4") for x in got["ids"]], got["toxic"].to_numpy(dtype=np.float64)
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, min_rows: int = 2, min_chi2: float = 6.63, screened: int = 2_048, min_pair: float = 40.0) -> FactorizationMachine:
+def train_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, min_rows: int = 2, min_chi2: float = 6.63, screened: int = 1_024, min_pair: float = 40.0) -> FactorizationMachine:
     """Fits a machine on docs(doc_id, text) and labels(doc_id, toxic), null labels left out.
 
     At most max_rows labelled rows are used, those with the smallest hashes of their ids. Of their texts' terms
