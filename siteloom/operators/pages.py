@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html as entities
 import ipaddress
+import json
+from html.entities import name2codepoint
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -178,6 +180,27 @@ def unescape_all(texts: pd.Series) -> pd.Series:
     return texts.map(lambda row: None if row is None else [t if t is None or "&" not in t else entities.unescape(t) for t in row])
 
 
+#: The 252 names of HTML 4, from the standard library.
+NAMED = {name: chr(code) for name, code in name2codepoint.items()}
+
+
+def unescape(text: Column) -> Column:
+    """Decimal and hexadecimal character references and the names of HTML 4 (with their semicolon) decoded, without Python."""
+    names = F.from_json(F.lit(json.dumps(NAMED)), "map<string,string>")
+
+    def decoded(part: Column) -> Column:
+        found = F.regexp_extract(part, r"^(#[xX][0-9a-fA-F]{1,6};?|#[0-9]{1,7};?|[A-Za-z][A-Za-z0-9]{1,31};)", 1)
+        name = F.regexp_replace(found, ";$", "")
+        number = F.when(name.rlike("^#[xX]"), F.conv(F.substr(name, F.lit(3)), 16, 10)).when(name.startswith("#"), F.substr(name, F.lit(2))).try_cast("long")
+        real = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        char = F.when(real, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+        value = F.coalesce(char, F.try_element_at(names, name))
+        return F.when(value.isNull(), F.concat(F.lit("&"), part)).otherwise(F.concat(value, F.substr(part, F.length(found) + 1)))
+
+    whole = lambda parts: F.concat(parts[0], F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), decoded), ""))
+    return F.when(text.contains("&"), U.bind(F.split(text, "&"), whole)).otherwise(text)
+
+
 def extract_links(pages: DataFrame, cap: int = MAX_LINKS) -> DataFrame:
     """(page_id, rank, link): same-origin links of pages(page_id, url, html), by first place in the page.
 
@@ -188,7 +211,7 @@ def extract_links(pages: DataFrame, cap: int = MAX_LINKS) -> DataFrame:
     base = F.regexp_extract("clean", r"(?is)<base\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)", 1)
     rows = pages.select("page_id", "url", F.explode(F.array(html)).alias("clean"))
     unquoted = F.transform(F.regexp_extract_all("clean", F.lit(anchors), 1), lambda x: F.regexp_replace(x, "^[\"']|[\"']$", ""))
-    rows = rows.select("page_id", "url", unescape_all(F.concat(F.array(base), unquoted)).alias("refs"))
+    rows = rows.select("page_id", "url", F.transform(F.concat(F.array(base), unquoted), unescape).alias("refs"))
     own = F.when(F.col("refs")[0] == "", F.col("url")).otherwise(resolve(F.col("url"), F.col("refs")[0]))
     page = F.struct(own.alias("base"), U.origin_key("url", "links").alias("origin"))
     rows = rows.select("page_id", F.explode(F.array(page)).alias("page"), F.slice("refs", F.lit(2), F.size("refs") - 1).alias("refs"))
