@@ -2,7 +2,7 @@
 
 Writing. Each task writes one gzip-per-record WARC 1.1 file. A payload travels as an HTTP response in chunked
 transfer coding. Of the rows with equal payloads, the one with the largest page_id gets a response record and
-the others revisit records, which name it and hold no payload. A block longer than `segment_bytes` is cut: the
+the others revisit records, which name its record, address and date and hold no payload. A block longer than `segment_bytes` is cut: the
 first segment keeps the record's type, the others are continuation records with the first one's id as their
 origin and the segment number; the last one states the total length.
 
@@ -28,13 +28,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import materialize, shared_dir, small_batches, table
+from siteloom.llm.common import bounded_broadcast, materialize, salted_join, shared_dir, small_batches, table
 from siteloom.llm.tokens import open_store
 
 SEGMENT_BYTES = 16_384
 CHUNK_BYTES = 4_096
 #: Payloads of at least so many bytes can be revisited.
 MIN_BYTES = 0
+#: Digests that may be broadcast.
+MAX_BROADCAST = 200_000
 DATE = "2024-01-01T00:00:00Z"
 RECORDS = "file string, origin string, number int, last_total long, type string, page_id long, refers_to long, digest string, block binary"
 
@@ -63,24 +65,38 @@ def decode_chunks(body: bytes) -> bytes:
 
 
 def record(fields: list[tuple[str, object]], block: bytes) -> bytes:
-    head = "".join(f"{k}: {v}\r\n" for k, v in [*fields, ("Content-Length", len(block))] if v is not None)
+    checked = [*fields, ("WARC-Block-Digest", f"sha1:{digest(block)}"), ("Content-Length", len(block))]
+    head = "".join(f"{k}: {v}\r\n" for k, v in checked if v is not None)
     z = zlib.compressobj(1, zlib.DEFLATED, 31)
     return z.compress(f"WARC/1.1\r\n{head}\r\n".encode() + block + b"\r\n\r\n") + z.flush()
 
 
-def page_records(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, ids: Iterator[str], segment_bytes: int) -> Iterator[bytes]:
-    """A page's records: a revisit, or a response in one or more segments."""
+def uri(url: str | None) -> str | None:
+    return "".join(c for c in url or "" if c > " ") or None
+
+
+def response_id(page_id: int | None, sha: str, copy: str = "") -> str:
+    """A response's record id follows from its page and payload, so that revisits in other files can name it."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id} {sha}{copy}')}>"
+
+
+def page_records(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, refers_url: str | None, ids: Iterator[str], written: set[str], segment_bytes: int) -> Iterator[bytes]:
+    """A page's records: a revisit, or a response in one or more segments. `written` are the file's response ids."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
-    target = "".join(c for c in url or "" if c > " ") or None
-    common = [("WARC-Target-URI", target), ("WARC-Date", DATE), ("X-Page-Id", page_id), ("WARC-Payload-Digest", f"sha1:{digest(payload)}")]
+    sha = digest(payload)
+    common = [("WARC-Target-URI", uri(url)), ("WARC-Date", DATE), ("X-Page-Id", page_id), ("WARC-Payload-Digest", f"sha1:{sha}")]
     kind = [("Content-Type", "application/http;msgtype=response")]
     if refers_to is not None:
-        fields = [("WARC-Type", "revisit"), ("WARC-Record-ID", next(ids)), *common, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Page-Id", refers_to), *kind]
+        known = [("WARC-Refers-To", response_id(refers_to, sha)), ("WARC-Refers-To-Target-URI", uri(refers_url)), ("WARC-Refers-To-Date", DATE), ("X-Refers-To-Page-Id", refers_to)]
+        fields = [("WARC-Type", "revisit"), ("WARC-Record-ID", next(ids)), *common, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), *known, *kind]
         yield record(fields, http + b"Content-Length: %d\r\n\r\n" % len(payload))
         return
     block = http + b"Transfer-Encoding: chunked\r\n\r\n" + encode_chunks(payload)
     parts = [block[i : i + segment_bytes] for i in range(0, len(block), segment_bytes)]
-    origin = next(ids)
+    origin = response_id(page_id, sha)
+    if origin in written:
+        origin = response_id(page_id, sha, next(ids))
+    written.add(origin)
     for k, part in enumerate(parts, 1):
         if k == 1:
             fields = [("WARC-Type", "response"), ("WARC-Record-ID", origin), *common, *kind]
@@ -92,17 +108,20 @@ def page_records(page_id: int | None, url: str | None, payload: bytes, refers_to
 
 
 def with_referrals(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """pages(page_id, url, html) with refers_to: the largest page_id of the same payload, null if it is the row's own.
+    """pages(page_id, url, html) with refers_to, refers_url: the row of the largest page_id of the same payload, null if it is the row's own.
 
-    Only 20-byte digests are grouped and joined; a payload that a third of all rows share makes one small
-    partial row in each task, and Spark splits its side of the join.
+    Only 20-byte digests are grouped, partly in the tasks. The digests that repeat are broadcast if they are few
+    enough, so that no html moves; else they are joined, a much repeated one over salted copies.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     keyed = pages.withColumn("key", F.unhex(F.sha1(F.encode("html", "UTF-8"))))
     large = F.octet_length("html") >= min_bytes
-    last = keyed.where(large).groupBy("key").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("key", "last")
+    last = keyed.where(large).groupBy("key").agg(F.max("page_id").alias("last"), F.max_by("url", "page_id").alias("last_url"), F.count("*").alias("n")).where("n > 1").select("key", "last", "last_url")
+    last = materialize(last, "repeated")
+    small = bounded_broadcast(last, MAX_BROADCAST)
+    joined = keyed.join(small, "key", "left") if small is not last else salted_join(keyed, last, "key", "left")
     refers = F.when(large & (F.col("page_id").isNull() | (F.col("page_id") < F.col("last"))), F.col("last"))
-    return keyed.join(last.hint("merge"), "key", "left").select("page_id", "url", "html", refers.alias("refers_to"))
+    return joined.select("page_id", "url", "html", refers.alias("refers_to"), F.when(refers.isNotNull(), F.col("last_url")).alias("refers_url"))
 
 
 def write_archives(pages: DataFrame, uri: str, min_bytes: int = MIN_BYTES, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
@@ -122,11 +141,13 @@ def write_archives(pages: DataFrame, uri: str, min_bytes: int = MIN_BYTES, segme
                 yield f"<urn:uuid:{uuid.UUID(int=(part << 64) | k)}>"
                 k += 1
 
-        ids = fresh()
+        ids, written = fresh(), set()
         with store.open_output_stream(f"{path}/{name}.{temp}.part", compression=None) as out:
             for b in batches:
-                for page_id, url, html, refers_to in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True):
-                    for data in page_records(page_id, url, html.encode("utf-8", "surrogatepass"), refers_to, ids, segment_bytes):
+                if not n:
+                    out.write(record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", next(ids)), ("WARC-Date", DATE), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n"))
+                for page_id, url, html, refers_to, refers_url in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to", "refers_url")), strict=True):
+                    for data in page_records(page_id, url, html.encode("utf-8", "surrogatepass"), refers_to, refers_url, ids, written, segment_bytes):
                         out.write(data)
                         n += 1
         if n:
@@ -180,6 +201,8 @@ def read_records(files: DataFrame, uri: str) -> DataFrame:
             for name in b.column("file").to_pylist():
                 rows = []
                 for f, block in parse(store, f"{path}/{name}"):
+                    if f["WARC-Type"] == "warcinfo":
+                        continue
                     number = lambda k, f=f: int(f[k]) if k in f else None
                     origin = f.get("WARC-Segment-Origin-ID", f["WARC-Record-ID"])
                     rows.append((name, origin, number("WARC-Segment-Number") or 1, number("WARC-Segment-Total-Length"), f["WARC-Type"], number("X-Page-Id"), number("X-Refers-To-Page-Id"), f.get("WARC-Payload-Digest", "").removeprefix("sha1:"), block))
