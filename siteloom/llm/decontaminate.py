@@ -36,8 +36,8 @@ FOUND = ("n_words", "spans", "items")
 TOKEN_WORDS = 3
 #: The filter has so many bits for each token, between these powers of two: at most 128 MB.
 BITS_A_TOKEN, LEAST_BITS, MOST_BITS = 64, 20, 30
-#: A task hands on its counts when it holds so many.
-HELD_COUNTS = 500_000
+#: A task hands on its counts and its probes when it holds so many.
+HELD_COUNTS, HELD_PROBES = 200_000, 4_000
 #: Ids that may be broadcast; more are joined by a shuffle.
 MAX_BROADCAST = 500_000
 #: ASCII letters (in lower case), digits and all bytes above ASCII make words.
@@ -130,19 +130,28 @@ def probes(docs: DataFrame, known: Broadcast, sizes: list[int], size: int) -> Da
     probe = pa.struct([("place", pa.int32()), ("token", pa.int64()), ("left", pa.int32()), ("around", pa.list_(pa.binary()))])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, n_words, found, held = [], [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(n_words, pa.int32()), pa.array(found, pa.list_(probe))], ["row", "n_words", "probes"])
+
         for b in batches:
-            n_words, found = [], []
-            for text in b.column("text").to_pylist():
+            for row, text in zip(b.column(ROW).to_pylist(), b.column("text").to_pylist(), strict=True):
                 ws = words(text)
                 h, got = hash_words(ws), []
                 for t in sizes:
                     tokens = ngram_hashes(h, t)
                     for p in np.flatnonzero(known.value.passes(tokens)).tolist():
                         left = min(p, size - t)
-                        got.append((p, int(tokens[p].view(np.int64)), left, ws[p - left : p + size]))
+                        got.append({"place": p, "token": int(tokens[p].view(np.int64)), "left": left, "around": ws[p - left : p + size]})
+                rows.append(row)
                 n_words.append(len(ws))
-                found.append([dict(zip(("place", "token", "left", "around"), x, strict=True)) for x in got])
-            yield pa.RecordBatch.from_arrays([b.column(ROW), pa.array(n_words, pa.int32()), pa.array(found, pa.list_(probe))], ["row", "n_words", "probes"])
+                found.append(got)
+                held += len(got) + 1
+                if held > HELD_PROBES:
+                    yield flush()
+                    rows, n_words, found, held = [], [], [], 0
+        yield flush()
 
     return docs.mapInArrow(look, "row long, n_words int, probes array<struct<place:int,token:long,left:int,around:array<binary>>>")
 

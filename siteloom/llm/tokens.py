@@ -40,7 +40,7 @@ from siteloom.llm.common import materialize, shared_dir, small_batches, table
 
 END_ID = 1
 #: A task's memo is cut down to its last batch's entries beyond so many cuts, or so many characters in them.
-MEMO_CUTS, MEMO_CHARS = 400_000, 16_000_000
+MEMO_CUTS, MEMO_CHARS = 250_000, 16_000_000
 #: A place between two pieces: before a single space, with no other white space around it.
 CUT = re.compile(r"(?<=\S)(?= \S)")
 RUNS = re.compile(r"\s\s")

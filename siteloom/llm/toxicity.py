@@ -27,7 +27,7 @@ from siteloom.llm.common import held_out, materialize, others, sample_rows, smal
 
 #: Letters stay (lower-case), every other ASCII byte ends a word.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-MEMO_WORDS = 200_000
+MEMO_WORDS = 100_000
 
 
 def word_terms(word: bytes) -> list[int]:
