@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows and bytes in one Arrow batch. Texts can be long, so batches stay short.
@@ -117,3 +117,40 @@ def others(df: DataFrame, *names: str) -> list[str]:
     """The columns of df but for these; names differ in more than case."""
     taken = {n.lower() for n in names}
     return [c for c in df.columns if c.lower() not in taken]
+
+
+#: Numbers that ascend with a table's order: the part in bits 33 and up, the row in it below.
+ORDER, PART_BITS = "_siteloom_order", 33
+#: Rows of a table of counts by part and group that may be broadcast.
+MAX_BASES = 300_000
+
+
+def in_order(df: DataFrame, name: str, *keys: Column | str) -> DataFrame:
+    """df written in ascending order of keys (nulls first) over range partitions, with ORDER.
+
+    The place of a row in what it was read from breaks ties, so that equal rows spread over parts as well.
+    """
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+    tie = "_siteloom_tie"
+    dealt = df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(parts, *keys, tie).sortWithinPartitions(*keys, tie)
+    return materialize(dealt.drop(tie).withColumn(ORDER, F.monotonically_increasing_id()), name)
+
+
+def numbered(df: DataFrame, name: str, group: str, *keys: str) -> DataFrame:
+    """df with `index`, a row's place among its group's rows by keys from 0, and `n`, the group's rows.
+
+    Only a row for each part and group meets in a window, so a hot group stays spread.
+    """
+    rows = in_order(df, name, group, *keys).withColumn("_siteloom_part", F.shiftright(ORDER, PART_BITS))
+    counts = rows.groupBy(F.col(group).alias("_siteloom_group"), F.col("_siteloom_part").alias("_siteloom_at")).agg(F.min(ORDER).alias("_siteloom_first"), F.count("*").alias("_siteloom_rows"))
+    whole = Window.partitionBy("_siteloom_group")
+    before = F.sum("_siteloom_rows").over(whole.orderBy("_siteloom_at").rowsBetween(Window.unboundedPreceding, -1))
+    bases = counts.select("_siteloom_group", "_siteloom_at", "_siteloom_first", F.coalesce(before, F.lit(0)).alias("_siteloom_before"), F.sum("_siteloom_rows").over(whole).alias("n"))
+    met = rows.join(bounded_broadcast(bases, MAX_BASES), F.col(group).eqNullSafe(F.col("_siteloom_group")) & (F.col("_siteloom_part") == F.col("_siteloom_at")))
+    return met.select(*df.columns, (F.col(ORDER) - F.col("_siteloom_first") + F.col("_siteloom_before")).alias("index"), "n")
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of ASCII text."""
+    bits = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)"
+    return f"xor(list_reduce(list_concat([4294967295], list_transform(string_split({text}, ''), lambda x: CAST(ord(x) AS BIGINT))), lambda c, b: {bits}), 4294967295)"
