@@ -42,10 +42,37 @@ def robots_rules(bodies: DataFrame, token: str) -> tuple[DataFrame, DataFrame]:
     return rows, delays
 
 
-def like_pattern(pattern: Column) -> Column:
-    """A robots pattern as a LIKE pattern: `*` matches anything, a final `$` ends the target, else it is a prefix."""
-    body = F.regexp_replace(F.regexp_replace(pattern, r"\$$", ""), r"([\\%_])", r"\\$1")
-    return F.concat(F.regexp_replace(body, r"\*+", "%"), F.when(pattern.endswith("$"), F.lit("")).otherwise(F.lit("%")))
+def glob_parts(pattern: Column) -> Column:
+    """A robots pattern as struct(prefix, starred, middle, last, anchored).
+
+    The prefix is what stands before the first `*`; middle has the other literals in order; where a final `$`
+    anchors a starred pattern, last is the literal that must end the target, and middle goes without it.
+    """
+    anchored = pattern.endswith("$")
+    body = F.when(anchored, F.substring(pattern, F.lit(1), F.length(pattern) - 1)).otherwise(pattern)
+
+    def split(x: Column) -> Column:
+        starred = F.size(x) > 1
+        rest = F.slice(x, F.lit(2), F.greatest(F.size(x) - 1 - (anchored & starred).cast("int"), F.lit(0)))
+        return F.struct(x[0].alias("prefix"), starred.alias("starred"), F.filter(rest, lambda y: y != "").alias("middle"), F.when(anchored & starred, F.element_at(x, -1)).alias("last"), anchored.alias("anchored"))
+
+    return U.bind(F.split(body, r"\*"), split)
+
+
+def glob_matches(target: Column, glob: Column) -> Column:
+    """Whether a target that begins with the glob's prefix matches it.
+
+    Each literal is looked for once, from where the one before it ended, and none is tried again; the leftmost
+    place leaves most room for the others.
+    """
+
+    def after(pos: Column, part: Column) -> Column:
+        return F.when(pos == 0, 0).otherwise(U.bind(F.position(part, target, pos), lambda at: F.when(at == 0, 0).otherwise(at + F.length(part))))
+
+    end = F.aggregate(glob["middle"], F.length(glob["prefix"]) + 1, after)
+    ends_right = lambda pos: F.when(glob["anchored"], (F.length(target) - F.length(glob["last"]) + 1 >= pos) & F.endswith(target, glob["last"])).otherwise(True)
+    whole = ~glob["anchored"] | (F.length(target) == F.length(glob["prefix"]))
+    return F.when(glob["starred"], U.bind(end, lambda pos: (pos > 0) & ends_right(pos))).otherwise(whole)
 
 
 def target_of(url: Column) -> Column:
@@ -58,20 +85,34 @@ def target_of(url: Column) -> Column:
     return U.with_parts(url, target)
 
 
-def rules_by_site(rules: DataFrame) -> DataFrame:
-    """(site, rules): at most 1000 rules of a site as one array, longest first."""
-    like = like_pattern(F.col("pattern"))
-    prefix = F.regexp_extract("pattern", r"^([^*$]*)", 1)
-    return rules.groupBy("site").agg(F.array_sort(F.collect_list(F.struct((-F.col("pattern_len")).alias("neg_len"), F.col("kind"), like.alias("like"), prefix.alias("prefix")))).alias("rules"))
+def rule_index(rules: DataFrame) -> DataFrame:
+    """(site, lengths, slots): a hash table of a site's rules by their literal prefix, and the prefixes' lengths.
+
+    A site has at most 1000 rules and as many slots as rules, so a slot holds about one.
+    """
+    cut = rules.withColumn("glob", glob_parts(F.col("pattern"))).withColumn("n", F.count("*").over(Window.partitionBy("site")))
+    slot = F.pmod(F.xxhash64("glob.prefix"), F.col("n")).cast("int")
+    rule = F.struct(F.col("pattern_len"), (F.col("kind") == "allow").alias("allow"), F.col("glob"))
+    slots = cut.groupBy("site", "n", slot.alias("slot")).agg(F.collect_set(rule).alias("held"), F.collect_set(F.length("glob.prefix")).alias("lengths"))
+    whole = slots.groupBy("site", "n").agg(F.map_from_entries(F.collect_list(F.struct("slot", "held"))).alias("by_slot"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("lengths")))).alias("lengths"))
+    every = F.sequence(F.lit(0), F.col("n").cast("int") - 1)
+    return whole.select("site", "lengths", F.transform(every, lambda k: F.coalesce(F.try_element_at("by_slot", k), F.array())).alias("slots"))
 
 
 def robots_allowed(urls: DataFrame, rules: DataFrame, url: str = "norm_url") -> DataFrame:
     """urls(site, url) with `allowed`: the longest matching pattern wins, allow wins ties, no match allows.
 
-    The sites' rules are arrays, joined by site, so that rows don't multiply; it holds for streams as well. A
-    literal prefix is compared before a pattern is.
+    A site's rules come as one row, so that URLs don't multiply; it holds for streams as well. A URL meets
+    only the rules whose literal prefix is one of its own, looked up by hash.
     """
-    joined = urls.withColumn("target", target_of(F.col(url))).join(rules_by_site(rules), "site", "left")
-    matching = F.filter(F.coalesce("rules", F.array()), lambda r: F.startswith(F.col("target"), r["prefix"]) & F.like(F.col("target"), r["like"]))
-    longest = lambda kind: F.coalesce(F.array_max(F.transform(F.filter(matching, lambda r: r["kind"] == kind), lambda r: -r["neg_len"])), F.lit(-1))
-    return joined.withColumn("allowed", longest("allow") >= longest("disallow")).drop("target", "rules")
+    joined = urls.withColumn("target", target_of(F.col(url))).join(rule_index(rules), "site", "left")
+    target = F.col("target")
+
+    def met(prefix: Column) -> Column:
+        slot = F.element_at("slots", (F.pmod(F.xxhash64(prefix), F.size("slots")) + 1).cast("int"))
+        found = F.filter(slot, lambda r: (r["glob"]["prefix"] == prefix) & glob_matches(target, r["glob"]))
+        return F.array_max(F.transform(found, lambda r: F.struct(r["pattern_len"].alias("n"), r["allow"].alias("allow"))))
+
+    fitting = F.filter("lengths", lambda n: n <= F.length(target))
+    best = F.array_max(F.transform(fitting, lambda n: U.bind(F.substring(target, F.lit(1), n), met)))
+    return joined.withColumn("allowed", F.coalesce(best["allow"], F.lit(True))).drop("target", "lengths", "slots")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ipaddress
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -354,3 +355,39 @@ def test_key_set_operations_and_cap_of_sitemaps(spark):
     docs = spark.createDataFrame([("s.io", f"https://s.io/{d}.xml", body.replace("{d}", d)) for d in "abc"], "site string, doc_url string, body string")
     got = sorted(r["url"] for r in S.sitemap_urls(docs, most=8).collect())
     assert got == [f"https://s.io/{x}" for x in ("a0", "a1", "a2", "a3", "a4", "b0", "b1", "b2")]
+
+
+def glob_by_states(pattern, target):
+    """Whether a robots pattern matches, by the set of places that its characters can reach."""
+    body = pattern[:-1] if pattern.endswith("$") else pattern + "*"
+    at = {0}
+    for c in body:
+        at = set(range(min(at), len(target) + 1)) if c == "*" and at else {k + 1 for k in at if k < len(target) and target[k] == c}
+    return len(target) in at
+
+
+def test_robots_patterns_against_brute_force(spark):
+    rng = random.Random(4)
+    rules, patterns = [], {}
+    for site in range(40):
+        for place in range(rng.choice([1, 2, 5, 30]) if site else 1000):
+            pattern = rng.choice(["/", "/", "/", "*"]) + "".join(rng.choice("aab*/$*c") for _ in range(rng.randint(0, 9))) + rng.choice(["", "$", "", "*"])
+            rules.append((f"s{site}", place, rng.choice(["allow", "disallow"]), pattern, len(pattern)))
+            patterns.setdefault(f"s{site}", []).append(rules[-1][2:4])
+    urls = [(f"s{rng.randint(0, 42)}", "https://h/" + "".join(rng.choice("aabc/$") for _ in range(rng.randint(0, 12)))) for _ in range(2500)]
+    made = spark.createDataFrame(rules, "site string, ord long, kind string, pattern string, pattern_len long")
+    got = PO.robots_allowed(spark.createDataFrame(urls, "site string, norm_url string"), made).collect()
+    assert len(got) == len(urls) and 0 < sum(r["allowed"] for r in got) < len(got)
+    for r in got:
+        target = r["norm_url"].removeprefix("https://h")
+        best = max(((len(p), kind == "allow") for kind, p in patterns.get(r["site"], []) if glob_by_states(p, target)), default=(0, True))
+        assert r["allowed"] == best[1], r
+
+
+@pytest.mark.parametrize(("pattern", "path"), [("/" + "a*" * 25 + "Z", "a" * 60), ("/" + "a*" * 25 + "Z$", "a" * 60), ("/" + "*" * 50 + "Z$", "a" * 5000), ("/*" + "a*" * 400 + "b$", "a" * 2000)])
+def test_hostile_robots_patterns_end(spark, pattern, path):
+    rules = spark.createDataFrame([("s", 1, "disallow", pattern, len(pattern))], "site string, ord long, kind string, pattern string, pattern_len long")
+    urls = spark.createDataFrame([("s", f"http://e/{path}")] * 50, "site string, norm_url string")
+    began = time.monotonic()
+    assert {r["allowed"] for r in PO.robots_allowed(urls, rules).collect()} == {True}
+    assert time.monotonic() - began < 30
