@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siteloom.functions import text as T
 from siteloom.functions import urls as U
-from siteloom.plans.lineage import cut
+from siteloom.tables import cut
 
 SAMPLE, TITLE_CHARS, HASH_CHARS = 10, 120, 16
 BULLET = r"^- \[((?:\\.|[^\]])*)\]\(([^)]*)\)(?:: (.*))?$"

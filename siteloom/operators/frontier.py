@@ -7,11 +7,12 @@ are total orders that end in the URL: results do not depend on partitioning.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteloom.functions import urls as U
-from siteloom.plans.lineage import cut
+from siteloom.ranks import running, top
+from siteloom.tables import cut
 
 #: The drop rules in their order, and the score's weights.
 RULES = ["unparseable", "duplicate", "seed", "off_origin", "robots_disallowed", "dated_archive", "taxonomy", "pagination", "feed", "changelog", "localized_duplicate", "over_limit"]
@@ -86,30 +87,28 @@ def select_urls(candidates: DataFrame, limit: int, allowed: DataFrame | None = N
     another from it. Links are counted by doubling: a round joins each URL with the one that its counted links
     lead to, and as many rounds are run as the most language segments at the front of a survivor's path need.
     The first `limit` others of a site are selected; a variant counts as localized_duplicate if its base is
-    selected, else as over_limit.
+    selected, else as over_limit. Rows are compared by score and URL where their order matters, and only the
+    first `limit` are ranked, in two steps, so that a site's rows never meet in one task.
     """
-    rows = cut(judged(candidates, allowed), "judged")
-    alive = rows.where("rule is null").select("site", "norm_url", "score", U.delocalized_url(F.col("c")).alias("base"), U.leading_languages(F.col("c.path")).alias("languages"))
-    order = Window.partitionBy("site").orderBy(F.desc("score"), "norm_url")
-    ranked = cut(alive.withColumn("place", F.row_number().over(order)), "ranked")
-    longest = ranked.agg(F.max("languages")).first()[0] or 0
-    bases = ranked.select("site", F.col("norm_url").alias("base"), F.col("place").alias("base_place"))
-    linked = F.coalesce(F.col("base_place") < F.col("place"), F.lit(False))
-    variants = ranked.join(bases, ["site", "base"], "left").select("site", "norm_url", "base", "place", linked.alias("dup"), F.when(linked, F.col("base")).alias("to"))
+    alive = F.col("rule").isNull()
+    rows = judged(candidates, allowed).withColumn("base", F.when(alive, U.delocalized_url(F.col("c")))).withColumn("languages", F.when(alive, U.leading_languages(F.col("c.path")))).drop("c")
+    rows = cut(rows, "judged")
+    ranked = rows.where(alive).select("site", "norm_url", "score", "base")
+    longest = rows.agg(F.max("languages")).first()[0] or 0
+    bases = ranked.select("site", F.col("norm_url").alias("base"), F.col("score").alias("base_score"))
+    earlier = (F.col("base_score") > F.col("score")) | ((F.col("base_score") == F.col("score")) & (F.col("base") < F.col("norm_url")))
+    linked = F.coalesce(earlier, F.lit(False))
+    variants = ranked.join(bases, ["site", "base"], "left").select("site", "norm_url", "score", "base", linked.alias("dup"), F.when(linked, F.col("base")).alias("to"))
     for _ in range(max(longest - 1, 0).bit_length()):
         variants = cut(variants, "links")
         ends = variants.where("dup or to is not null").select("site", F.col("norm_url").alias("to"), F.col("dup").alias("to_dup"), F.col("to").alias("next"))
-        variants = variants.join(ends, ["site", "to"], "left").select("site", "norm_url", "base", "place", (F.col("dup") != F.coalesce("to_dup", F.lit(False))).alias("dup"), F.col("next").alias("to"))
-    variants = variants.drop("to")
-    kept = cut(variants.withColumn("rank", F.when(~F.col("dup"), F.row_number().over(Window.partitionBy("site", "dup").orderBy("place")))), "variants")
-    chosen = kept.where((F.col("rank") <= limit) & ~F.col("dup")).select("site", F.col("norm_url").alias("base"), F.lit(True).alias("base_chosen"))
-    late = kept.join(chosen, ["site", "base"], "left").select(
-        "site",
-        "norm_url",
-        F.when(F.col("dup") & F.col("base_chosen").isNotNull(), "localized_duplicate").when(F.col("dup") | (F.col("rank") > limit), "over_limit").alias("late_rule"),
-        "rank",
-    )
-    out = rows.join(late, ["site", "norm_url"], "left").withColumn("rule", F.coalesce("rule", "late_rule"))
+        variants = variants.join(ends, ["site", "to"], "left").select("site", "norm_url", "score", "base", (F.col("dup") != F.coalesce("to_dup", F.lit(False))).alias("dup"), F.col("next").alias("to"))
+    kept = cut(variants.select("site", "norm_url", "score", "base", "dup"), "variants")
+    chosen = top(kept.where("not dup"), ["site"], [F.desc("score"), F.asc("norm_url")], limit, ["norm_url"]).select("site", "norm_url", "rank")
+    bases = chosen.select("site", F.col("norm_url").alias("base"), F.lit(True).alias("base_chosen"))
+    late = kept.join(chosen, ["site", "norm_url"], "left").join(bases, ["site", "base"], "left")
+    rule = F.when(F.col("dup") & F.col("base_chosen").isNotNull(), "localized_duplicate").when(F.col("rank").isNull(), "over_limit")
+    out = rows.join(late.select("site", "norm_url", rule.alias("late_rule"), "rank"), ["site", "norm_url"], "left").withColumn("rule", F.coalesce("rule", "late_rule"))
     return out.select("site", "norm_url", "duplicates", "rule", "score", F.when(F.col("rule").isNull(), F.col("rank")).cast("long").alias("rank"))
 
 
@@ -124,7 +123,7 @@ def drop_funnel(candidates: DataFrame, selected: DataFrame) -> DataFrame:
 def first_occurrence_capped(rows: DataFrame, key: list[str], value: str, pos: str, cap: int) -> DataFrame:
     """Each value's first place within its key, in order, at most cap of them."""
     first = rows.groupBy(*key, value).agg(F.min(pos).alias(pos))
-    return first.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(pos, value))).where(F.col("rank") <= cap)
+    return top(first, key, [F.asc(pos), F.asc(value)], cap, [value])
 
 
 def discovery_precedence(entries: DataFrame) -> DataFrame:
@@ -140,7 +139,6 @@ def effective_crawl_delay_ms(configured: int, delay_s: Column, most: int = 10_00
 
 def fetch_plan(selected: DataFrame, max_pages: int, max_bytes: int, delay_ms: Column, max_ms: int) -> DataFrame:
     """Selected rows (site, norm_url, rank, bytes) with slot_ms, cumulative bytes and the cap that stops them, if any."""
-    before = Window.partitionBy("site").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    out = selected.withColumn("slot_ms", (F.col("rank") - 1) * delay_ms).withColumn("bytes_before", F.coalesce(F.sum("bytes").over(before), F.lit(0)))
+    out = running(selected, "fetch-order", ["site"], ["rank"], {"bytes_before": F.col("bytes")}).withColumn("slot_ms", (F.col("rank") - 1) * delay_ms)
     cap = F.when(F.col("rank") > max_pages, "max_pages").when(F.col("bytes_before") >= max_bytes, "max_bytes").when(F.col("slot_ms") >= max_ms, "max_duration")
     return out.withColumn("cap_hit", cap)

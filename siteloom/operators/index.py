@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from siteloom.functions import text as T
 from siteloom.functions import urls as U
 from siteloom.operators.frontier import recency
-from siteloom.plans.lineage import cut
+from siteloom.ranks import numbered, running, top
+from siteloom.tables import cut
 
 #: Fixed values.
 MAIN_LINKS, SECTION_LEAST, BOILERPLATE_PAGES, FINGERPRINT_CHARS = 30, 2, 3, 2000
@@ -57,19 +58,19 @@ def dedupe(rows: DataFrame) -> DataFrame:
 def ordered_entries(pages: DataFrame) -> DataFrame:
     """Index entries: site, ord, section, url, optional, score, copies - main by section, then optional by rank."""
     kept = cut(dedupe(scored(pages)), "deduped")
-    by = Window.partitionBy("site", "always_optional").orderBy(F.desc("score"), "url")
-    kept = kept.withColumn("rank", F.row_number().over(by))
+    first = top(kept, ["site", "always_optional"], [F.desc("score"), F.asc("url"), F.asc("fp")], MAIN_LINKS, ["fp"]).select("site", "fp", F.lit(True).alias("first"))
+    kept = kept.join(first, ["site", "fp"], "left")
     has_main = kept.where("not always_optional").select("site").distinct().withColumn("has_main", F.lit(True))
     kept = kept.join(has_main, "site", "left")
-    optional = (F.col("rank") > MAIN_LINKS) | (F.col("always_optional") & F.coalesce("has_main", F.lit(False)))
+    optional = F.col("first").isNull() | (F.col("always_optional") & F.coalesce("has_main", F.lit(False)))
     kept = kept.withColumn("optional", optional)
     sizes = kept.where("not optional").groupBy("site", "section").agg(F.count("*").alias("size"))
     kept = kept.join(sizes, ["site", "section"], "left")
     folds = ~F.col("section").isin([*T.SECTION_ORDER, T.OTHER]) & (F.col("size") < SECTION_LEAST)
     section = F.when(F.col("optional"), T.OPTIONAL).when(folds, T.OTHER).otherwise(F.col("section"))
     kept = kept.withColumn("section", section).withColumn("srank", F.when(F.col("optional"), 99).otherwise(T.section_rank(section)))
-    order = Window.partitionBy("site").orderBy("optional", "srank", "section", F.desc("score"), "url")
-    return kept.withColumn("ord", F.row_number().over(order).cast("long")).select("site", "ord", "section", "url", "optional", "score", "copies")
+    order = ["optional", "srank", "section", F.desc("score"), "url", "fp"]
+    return numbered(kept, "entry-order", ["site"], order, "ord").select("site", "ord", "section", "url", "optional", "score", "copies")
 
 
 def index_counts(entries: DataFrame) -> DataFrame:
@@ -155,8 +156,8 @@ def full_text_plan(described: DataFrame, pages: DataFrame, header: DataFrame, pa
     rows = rows.withColumn("trimmed", trimmed).withColumn("body_section", F.concat(F.lit("\n## "), F.col("label"), F.lit("\n\n"), body, F.lit("\n"))).withColumn("size", F.octet_length("body_section").cast("long"))
     heads = full_header(described, header)
     narrow = rows.select("site", "ord", "size").join(heads.select("site", F.octet_length("head").alias("head_size")), "site")
-    used = F.col("head_size") + F.sum("size").over(Window.partitionBy("site").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
-    plan = narrow.withColumn("used", used).select("site", "ord", "used", (F.col("used") <= full_bytes - reserve).alias("kept"))
+    used = F.col("head_size") + F.col("before") + F.col("size")
+    plan = running(narrow, "section-sizes", ["site"], ["ord"], {"before": F.col("size")}).withColumn("used", used).select("site", "ord", "used", (F.col("used") <= full_bytes - reserve).alias("kept"))
     return rows.select("site", "ord", "body_section", "size", "trimmed").join(plan, ["site", "ord"])
 
 

@@ -13,7 +13,7 @@ from siteloom.operators import index as IX
 from siteloom.operators import pages as PG
 from siteloom.operators import policy as PO
 from siteloom.plans import inputs
-from siteloom.plans.lineage import cut
+from siteloom.tables import cut
 from siteloom.sources import crawl as S
 
 LIMIT = 20
@@ -38,17 +38,17 @@ _RULES = rf"""CASE WHEN norm_url = seed THEN 'seed' WHEN scheme <> 'https' OR {_
 _DEPTH = "len(list_filter(string_split(path, '/'), lambda s: s <> ''))"
 _JUDGED = f"""{_NORM}, g AS (SELECT site, seed, norm_url, max(priority) AS priority, max(lastmod) AS lastmod, count(*) - 1 AS duplicates,
   any_value(scheme) AS scheme, any_value(host) AS host, any_value(path) AS path, any_value(query) AS query FROM k WHERE norm_url IS NOT NULL GROUP BY 1, 2, 3),
-r AS (SELECT *, {_RULES} AS rule FROM g),
+r AS MATERIALIZED (SELECT *, {_RULES} AS rule FROM g),
 sp AS (SELECT site, min(lastmod) AS lo, max(lastmod) AS hi FROM r WHERE rule IS NULL GROUP BY site),
 s AS (SELECT r.*, CASE WHEN rule IS NULL THEN -1.0::DOUBLE * {_DEPTH} + CASE WHEN regexp_matches(lower(path), '/(docs?|guides?|reference|api|getting-started)(/|$)') THEN 4.0 ELSE 0.0 END
   + CASE WHEN {_DEPTH} = 0 THEN 6.0 ELSE 0.0 END + 2.0 * coalesce(priority - 0.5, 0.0)
   + 0.4 * CASE WHEN lastmod IS NOT NULL AND epoch_us(hi) > epoch_us(lo) THEN (epoch_us(lastmod) - epoch_us(lo))::DOUBLE / (epoch_us(hi) - epoch_us(lo)) - 0.5 ELSE 0.0 END END AS score FROM r LEFT JOIN sp USING (site))"""
 _SELECT = (
-    f"""{_JUDGED}, a AS (SELECT site, norm_url, row_number() OVER (PARTITION BY site ORDER BY score DESC, norm_url) AS place,
+    f"""{_JUDGED}, a AS MATERIALIZED (SELECT site, norm_url, row_number() OVER (PARTITION BY site ORDER BY score DESC, norm_url) AS place,
   CASE WHEN regexp_matches(lower(path), '^/({_LANG})(-[a-z]{{2,4}})?(/|$)') THEN scheme || '://' || host || CASE WHEN regexp_matches(path, '^/[^/]+/') THEN regexp_replace(path, '^/[^/]+', '') ELSE '/' END || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS base FROM s WHERE rule IS NULL),
-v0 AS (SELECT *, false AS dup FROM a), """
-    + ", ".join(f"v{i + 1} AS (SELECT a.*, coalesce(b.place < a.place AND NOT b.dup, false) AS dup FROM a LEFT JOIN v{i} b ON b.site = a.site AND b.norm_url = a.base)" for i in range(3))
-    + f""", q AS (SELECT *, CASE WHEN NOT dup THEN row_number() OVER (PARTITION BY site, dup ORDER BY place) END AS rk FROM v3),
+v0 AS MATERIALIZED (SELECT *, false AS dup FROM a), """
+    + ", ".join(f"v{i + 1} AS MATERIALIZED (SELECT a.*, coalesce(b.place < a.place AND NOT b.dup, false) AS dup FROM a LEFT JOIN v{i} b ON b.site = a.site AND b.norm_url = a.base)" for i in range(3))
+    + f""", q AS MATERIALIZED (SELECT *, CASE WHEN NOT dup THEN row_number() OVER (PARTITION BY site, dup ORDER BY place) END AS rk FROM v3),
 e AS (SELECT q.site, q.norm_url, q.rk, CASE WHEN q.dup AND b.norm_url IS NOT NULL THEN 'localized_duplicate' WHEN q.dup OR q.rk > {LIMIT} THEN 'over_limit' END AS late
   FROM q LEFT JOIN q b ON b.site = q.site AND b.norm_url = q.base AND NOT b.dup AND b.rk <= {LIMIT}),
 sel AS (SELECT s.site, s.norm_url, s.duplicates, coalesce(s.rule, e.late) AS rule, s.score, CASE WHEN s.rule IS NULL AND e.late IS NULL THEN e.rk END AS rank FROM s LEFT JOIN e USING (site, norm_url))"""
@@ -125,7 +125,7 @@ def w01(spark: SparkSession, d: str) -> DataFrame:
     return FR.judged(inputs.candidates(spark, d)).select("site", "norm_url", "rule", (F.round("score", 9) + 0.0).alias("score"))
 
 
-@query("w02_select_urls", f"WITH {_SELECT} SELECT site, norm_url, duplicates, rule, round(score, 9) AS score, rank FROM sel")
+@query("w02_select_urls", f"WITH {_SELECT} SELECT site, norm_url, duplicates, rule, round(score, 9) + 0.0 AS score, rank FROM sel")
 def w02(spark: SparkSession, d: str) -> DataFrame:
     return FR.select_urls(inputs.candidates(spark, d), LIMIT).withColumn("score", F.round("score", 9) + 0.0)
 
@@ -368,11 +368,11 @@ c4 AS (SELECT site, url, section, always_optional, fp, len(sg) AS depth, 4.0::DO
   + 2.0 * (((length(markdown) >= 500)::INT + (length(markdown) >= 2000)::INT + (length(markdown) >= 8000)::INT)::DOUBLE / 3) + 2.0 * coalesce(priority - 0.5, 0.0)
   + 0.4 * CASE WHEN lastmod IS NOT NULL AND epoch_us(hi) > epoch_us(lo) THEN (epoch_us(lastmod) - epoch_us(lo))::DOUBLE / (epoch_us(hi) - epoch_us(lo)) - 0.5 ELSE 0.0 END - CASE WHEN always_optional THEN 1000.0 ELSE 0.0 END AS score FROM c3)"""
 _ORDERED = f"""{_SCORED}, d1 AS (SELECT *, row_number() OVER (PARTITION BY site, fp ORDER BY score DESC, depth, url) AS rn, count(*) OVER (PARTITION BY site, fp) AS copies FROM c4),
-d2 AS (SELECT *, row_number() OVER (PARTITION BY site, always_optional ORDER BY score DESC, url) AS rk, bool_or(NOT always_optional) OVER (PARTITION BY site) AS has_main FROM d1 WHERE rn = 1),
+d2 AS (SELECT *, row_number() OVER (PARTITION BY site, always_optional ORDER BY score DESC, url, fp) AS rk, bool_or(NOT always_optional) OVER (PARTITION BY site) AS has_main FROM d1 WHERE rn = 1),
 d3 AS (SELECT *, rk > 30 OR (always_optional AND has_main) AS optional FROM d2),
 d4 AS (SELECT *, sum(CASE WHEN optional THEN 0 ELSE 1 END) OVER (PARTITION BY site, section) AS size FROM d3),
 d5 AS (SELECT * REPLACE (CASE WHEN optional THEN 'Optional' WHEN section NOT IN ({', '.join(repr(x) for x in [*T.SECTION_ORDER, 'Other'])}) AND size < 2 THEN 'Other' ELSE section END AS section) FROM d4),
-ent AS (SELECT site, row_number() OVER (PARTITION BY site ORDER BY optional, CASE WHEN optional THEN 99 ELSE {_SRANK} END, section, score DESC, url) AS ord, section, url, optional, score, copies FROM d5)"""
+ent AS (SELECT site, row_number() OVER (PARTITION BY site ORDER BY optional, CASE WHEN optional THEN 99 ELSE {_SRANK} END, section, score DESC, url, fp) AS ord, section, url, optional, score, copies FROM d5)"""
 
 
 @query("p08_section_for", f"WITH {_SNAP}, c0 AS (SELECT DISTINCT url, list_filter(string_split({_PATH}, '/'), lambda s: s <> '') AS sg FROM snap), c1 AS (SELECT *, {_WORDS} AS vocab FROM c0) SELECT url, {_SECTION} AS section, {_OPT} AS always_optional FROM c1")

@@ -13,7 +13,7 @@ from siteloom.operators import frontier as FR
 from siteloom.operators import policy as PO
 from siteloom.operators import runs as R
 from siteloom.plans import inputs
-from siteloom.plans.lineage import shared_folder
+from siteloom.tables import shared_folder
 from siteloom.plans.crawl_queries import _CAND, _NORM, _bodies
 from siteloom.sources import crawl as S
 from siteloom.streaming import runs as ST
