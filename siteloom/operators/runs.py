@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siteloom.ranks import carried
+
 ACTIVE = ["pending", "processing"]
 MAX_ATTEMPTS, STUCK_S, ORPHANED_S, REAP_LIMIT, DUE_LIMIT = 3, 900, 600, 100, 50
 DAY_LIMIT, CONCURRENT_LIMIT = 50, 2
@@ -182,12 +184,13 @@ def tick_summary(split: DataFrame) -> DataFrame:
 
 
 def previous_completed(runs: DataFrame) -> DataFrame:
-    """Each run with the status of the run before it and the latest earlier completed run of its website."""
-    order = Window.partitionBy("website_id").orderBy("started_at", "id")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    """Each run with the status of the run before it and the latest earlier completed run of its website.
+
+    What a website's runs carry forward passes between parts of its history, so that a long one stays spread.
+    """
     done = F.when(F.col("status") == "completed", F.struct("id", "completed_at"))
-    out = runs.withColumn("previous_status", F.lag("status").over(order)).withColumn("p", F.last(done, ignorenulls=True).over(before))
-    return out.select("website_id", "id", "previous_status", F.col("p.id").alias("previous_completed_id"), F.col("p.completed_at").alias("previous_completed_at"))
+    out = carried(runs.select("website_id", "id", "started_at", "completed_at", "status"), "history", ["website_id"], ["started_at", "id"], {"s": F.struct("status"), "p": done})
+    return out.select("website_id", "id", F.col("s.status").alias("previous_status"), F.col("p.id").alias("previous_completed_id"), F.col("p.completed_at").alias("previous_completed_at"))
 
 
 def publish_target_for_run(runs: DataFrame, targets: DataFrame, installations: DataFrame) -> DataFrame:

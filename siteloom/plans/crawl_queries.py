@@ -531,12 +531,6 @@ def u02(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@query("j03_index_diff")
-def j03(spark: SparkSession, d: str) -> DataFrame:
-    old, new = _diff_sides(spark, d)
-    return D.index_diff_join(D.last_by_key(new, ("site",)), D.last_by_key(old, ("site",))).select("site", "key", "change", "title")
-
-
 @query(
     "a10_sections_delta",
     f"""WITH {_OLD_NEW}, b AS (SELECT site, section, count(*) AS k FROM n GROUP BY ALL UNION ALL SELECT site, section, -count(*) FROM o GROUP BY ALL)
@@ -547,13 +541,73 @@ def a10(spark: SparkSession, d: str) -> DataFrame:
     return D.sections_delta(new, old)
 
 
-@query("t08_build_index_diff")
+_HISTORY = f"""h AS MATERIALIZED ({inputs.for_duckdb(inputs.HISTORY)}), hr AS MATERIALIZED ({inputs.for_duckdb(inputs.HISTORY_RUNS)}),
+done AS (SELECT *, CASE WHEN lag(status) OVER w IS NULL THEN NULL ELSE lag(status) OVER w = 'completed' END AS previous_run_completed,
+  last_value(CASE WHEN status = 'completed' THEN run_id END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM hr WINDOW w AS (PARTITION BY site ORDER BY at_s, run_id)),
+pr AS MATERIALIZED (SELECT c.*, CASE WHEN p.has_index THEN p.run_id END AS compared_to_run_id, p.has_index AND p.enrich_applied IS NOT NULL AND p.enrich_applied <> c.enrich_applied AS flip, CASE WHEN p.has_index THEN p.hashed END AS was_hashed, CASE WHEN p.has_index THEN p.urls_discovered END AS was_discovered
+  FROM done c LEFT JOIN hr p ON p.site = c.site AND p.run_id = c.prev WHERE c.status = 'completed' AND c.has_index),
+cu AS (SELECT pr.site, pr.run_id, h.url, h.title, h.description, h.section, h.hash FROM pr JOIN h ON h.site = pr.site AND h.run_id = pr.run_id WHERE compared_to_run_id IS NOT NULL),
+pv AS (SELECT pr.site, pr.run_id, h.url, h.title, h.description, h.section, h.hash FROM pr JOIN h ON h.site = pr.site AND h.run_id = pr.compared_to_run_id),
+df AS MATERIALIZED (SELECT coalesce(cu.site, pv.site) AS site, coalesce(cu.run_id, pv.run_id) AS run_id, coalesce(cu.url, pv.url) AS url, coalesce(cu.title, pv.title) AS title, CASE WHEN pv.url IS NULL THEN 'added' WHEN cu.url IS NULL THEN 'removed' WHEN cu.title IS DISTINCT FROM pv.title OR cu.description IS DISTINCT FROM pv.description THEN 'changed' ELSE 'same' END AS change,
+  cu.hash <> pv.hash AS moved, cu.section AS cs, pv.section AS ps FROM cu FULL JOIN pv ON pv.site = cu.site AND pv.run_id = cu.run_id AND pv.url = cu.url)"""
+
+
+def _sample_sql(where: str) -> str:
+    return f"(SELECT string_agg(url || ' ' || left(title, 120), '|' ORDER BY url) FROM (SELECT * FROM df WHERE df.site = pr.site AND df.run_id = pr.run_id AND {where} ORDER BY url LIMIT 10))"
+
+
+def _count_sql(where: str) -> str:
+    return f"CASE WHEN compared_to_run_id IS NOT NULL THEN (SELECT count(*) FROM df WHERE df.site = pr.site AND df.run_id = pr.run_id AND {where}) END"
+
+
+def _shown(sample: str) -> F.Column:
+    return F.array_join(F.transform(sample, lambda x: F.concat_ws(" ", x["url"], x["title"])), "|")
+
+
+@query(
+    "t08_build_index_diff",
+    f"""WITH {_HISTORY}, r AS (SELECT site, run_id, CASE WHEN compared_to_run_id IS NULL THEN 'first_run' ELSE 'compared' END AS state, previous_run_completed, compared_to_run_id, {_count_sql("change = 'added'")} AS pages_added, {_count_sql("change = 'removed'")} AS pages_removed,
+  CASE WHEN NOT coalesce(flip, false) THEN {_count_sql("change = 'changed'")} END AS metadata_changed, CASE WHEN flip THEN CASE WHEN enrich_applied THEN 'enrichment_enabled' ELSE 'enrichment_disabled' END END AS metadata_not_comparable_reason,
+  CASE WHEN was_hashed THEN {_count_sql("moved")} END AS content_changed, {_count_sql("change IN ('added', 'removed')")} AS selection_churn, {_count_sql("true")} AS n_keys, urls_discovered - was_discovered AS urls_discovered_delta,
+  (SELECT string_agg(section || '=' || n, ',' ORDER BY section) FROM (SELECT section, sum(n) AS n FROM (SELECT cs AS section, 1 AS n FROM df WHERE df.site = pr.site AND df.run_id = pr.run_id AND cs IS NOT NULL UNION ALL SELECT ps, -1 FROM df WHERE df.site = pr.site AND df.run_id = pr.run_id AND ps IS NOT NULL) GROUP BY section HAVING sum(n) <> 0)) AS sections_delta,
+  {_sample_sql("change = 'added'")} AS added, {_sample_sql("change = 'removed'")} AS removed, CASE WHEN NOT coalesce(flip, false) THEN {_sample_sql("change = 'changed'")} END AS changed, CASE WHEN was_hashed THEN {_sample_sql("moved")} END AS moved FROM pr)
+SELECT * EXCLUDE (n_keys), round(selection_churn::DOUBLE / nullif(n_keys, 0), 4) AS selection_churn_ratio,
+  state = 'first_run' OR coalesce(pages_added, 0) + coalesce(pages_removed, 0) + coalesce(metadata_changed, 0) + coalesce(content_changed, 0) > 0 AS index_changed FROM r""",
+)
 def t08(spark: SparkSession, d: str) -> DataFrame:
-    old, new = _two_runs(spark, d)
-    rows = new.withColumnRenamed("llms_txt", "current").join(old.withColumnRenamed("llms_txt", "previous"), "site", "left")
-    rows = rows.select("site", "current", "previous", F.length("current").alias("urls_discovered"), F.length("previous").alias("previous_urls_discovered"), (F.length("site") % 2 == 0).alias("enrich_applied"), F.lit(True).alias("previous_enrich_applied"))
-    out = D.build_index_diff(rows)
-    return out.withColumn("sections_delta", F.to_json("sections_delta")).withColumn("changed", D.index_changed(F.col("state"), F.col("pages_added"), F.col("pages_removed"), F.col("metadata_changed"), F.lit(0))).withColumn("summary", D.change_summary(F.col("state"), F.col("pages_added"), F.col("pages_removed"), F.col("metadata_changed"), F.lit(0)))
+    """The record of every completed run of a history of five runs a site."""
+    runs, entries = inputs.history(spark, d)
+    out = D.history_diffs(runs, entries.select("site", "run_id", U.normalize_url("url").alias("key"), "hash"))
+    counts = [F.col(c) for c in ("pages_added", "pages_removed", "metadata_changed", "content_changed")]
+    deltas = F.array_join(F.transform(F.map_entries("sections_delta"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return out.select(
+        "site", "run_id", "state", "previous_run_completed", "compared_to_run_id", "pages_added", "pages_removed", "metadata_changed", "metadata_not_comparable_reason", "content_changed", "selection_churn", "selection_churn_ratio", "urls_discovered_delta",
+        deltas.alias("sections_delta"), _shown("added_sample").alias("added"), _shown("removed_sample").alias("removed"), _shown("metadata_changed_sample").alias("changed"), _shown("content_changed_sample").alias("moved"),
+        D.index_changed(F.col("state"), *counts).alias("index_changed"),
+    )
+
+
+@query(
+    "p25_change_summary",
+    f"""WITH {_HISTORY}, c AS (SELECT site, run_id, compared_to_run_id, {_count_sql("change = 'added'")} AS a, {_count_sql("change = 'removed'")} AS r, CASE WHEN NOT coalesce(flip, false) THEN {_count_sql("change = 'changed'")} END AS m, CASE WHEN was_hashed THEN {_count_sql("moved")} END AS x FROM pr),
+s AS (SELECT *, list_filter([CASE WHEN a > 0 THEN a || ' page' || CASE WHEN a = 1 THEN '' ELSE 's' END || ' added' END, CASE WHEN r > 0 THEN r || ' page' || CASE WHEN r = 1 THEN '' ELSE 's' END || ' removed' END,
+  CASE WHEN m > 0 THEN 'titles or descriptions changed' END, CASE WHEN x > 0 THEN 'page content changed' END], lambda y: y IS NOT NULL) AS p FROM c)
+SELECT site, run_id, CASE WHEN compared_to_run_id IS NULL THEN 'First generated index for this site.' WHEN len(p) = 0 THEN 'The generated index changed.'
+  ELSE upper(left(t, 1)) || substr(t, 2) || '.' END AS summary FROM (SELECT *, CASE WHEN len(p) > 1 THEN array_to_string(p[:-2], ', ') || ' and ' || p[-1] ELSE p[1] END AS t FROM s)""",
+)
+def p25(spark: SparkSession, d: str) -> DataFrame:
+    runs, entries = inputs.history(spark, d)
+    out = D.history_diffs(runs, entries.select("site", "run_id", U.normalize_url("url").alias("key"), "hash"))
+    return out.select("site", "run_id", D.change_summary(*(F.col(c) for c in ("state", "pages_added", "pages_removed", "metadata_changed", "content_changed"))).alias("summary"))
+
+
+@query("j03_index_diff", f"WITH {_HISTORY} SELECT site, run_id, url AS key, change, title, cs AS c_section, ps AS p_section FROM df")
+def j03(spark: SparkSession, d: str) -> DataFrame:
+    """Each run's index joined with the completed one's before it, key by key."""
+    runs, _ = inputs.history(spark, d)
+    pairs = cut(D.history_pairs(runs).where("previous is not null"), "pairs")
+    sides = [D.last_by_key(D.parse_index(pairs.select("site", "run_id", F.col(c).alias("t")), "t")) for c in ("llms_txt", "previous.llms_txt")]
+    return D.index_diff_join(*sides, keys=("site", "run_id")).select("site", "run_id", "key", "change", "title", "c_section", "p_section")
 
 
 _HASHED = f"hs AS (SELECT site, url, page_id, substr(sha256(markdown), 1, 16) AS h1, substr(sha256(CASE WHEN page_id % 11 = 0 THEN markdown || '!' ELSE markdown END), 1, 16) AS h2 FROM snap WHERE regexp_matches(markdown, '[^\\s]') AND page_id % 29 <> 0)"

@@ -56,6 +56,24 @@ SELECT page_id, site, 'https://' || site AS origin, 'https://' || site || '/' ||
 FROM b
 """
 
+#: Five runs of every site, and what each lists of its pages: titles, sections and bodies move between runs.
+HISTORY = f"""
+WITH b AS ({_BASE}), k AS (SELECT unnest_or_explode AS run_id FROM five)
+SELECT site, run_id, 'https://' || site || '/p/' || {_ID} AS url, CASE WHEN page_id % 4 = 0 AND run_id > 2 THEN 'Guides' WHEN page_id % 7 = 0 THEN 'Optional' ELSE 'Docs' END AS section,
+  coalesce(regexp_extract(html, '<title>([^<]*)', 1), '') || ' [' || {_ID} || CASE WHEN page_id % 3 = run_id % 3 THEN '] v' || CAST(run_id AS VARCHAR(20)) ELSE ']' END AS title,
+  CASE WHEN page_id % 5 = 0 THEN NULL WHEN page_id % 11 = 0 THEN 'Text of run ' || CAST(run_id AS VARCHAR(20)) || ': (see) [there]' ELSE 'Page ' || {_ID} || ' says one thing.' END AS description,
+  CASE WHEN page_id % 4 = run_id % 4 THEN CAST(length(html) AS VARCHAR(20)) || '-' || CAST(run_id AS VARCHAR(20)) ELSE CAST(length(html) AS VARCHAR(20)) END AS hash
+FROM b, k WHERE page_id % (run_id + 2) <> 0 AND run_id <> 3
+""".replace("unnest_or_explode AS run_id FROM five", "run_id FROM (VALUES (1), (2), (3), (4), (5)) f(run_id)")
+#: The runs themselves: some fail, some complete without an index, some did not record what later ones compare.
+HISTORY_RUNS = f"""
+WITH b AS ({_BASE}), k AS (SELECT run_id FROM (VALUES (1), (2), (3), (4), (5)) f(run_id))
+SELECT site, run_id, 1700000000 + 3600 * CASE run_id WHEN 4 THEN 6 ELSE run_id END AS at_s,
+  CASE WHEN run_id = 3 OR (run_id = 1 AND length(site) % 5 = 0) OR (run_id = 4 AND length(site) % 3 = 0) THEN 'failed' ELSE 'completed' END AS status, NOT (run_id = 2 AND length(site) % 4 = 1) AS has_index,
+  CASE WHEN run_id = 1 AND length(site) % 7 = 0 THEN NULL ELSE run_id >= 4 AND length(site) % 2 = 0 END AS enrich_applied, CASE WHEN run_id = 2 AND length(site) % 6 = 0 THEN NULL ELSE count(*) + run_id * run_id END AS urls_discovered, NOT (run_id = 1 AND length(site) % 3 = 1) AS hashed
+FROM b, k GROUP BY site, run_id
+"""
+
 #: Runs: an event each. Stats are JSON text with numbers, and in some rows nulls, text or junk where numbers belong.
 RUNS = """
 SELECT event_id AS id, user_id AS website_id, ts AS started_at,
@@ -89,6 +107,21 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(for_spark(SNAPSHOTS), pages=spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(site, run_id, started_at, status, llms_txt, ...) of runs whose artifacts are written here, and the entries in them."""
+    from pyspark.sql import functions as F
+
+    from siteloom.operators.index import bullet
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    rows = spark.sql(HISTORY, pages=pages)
+    lines = rows.groupBy("site", "run_id", "section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("url", "title", "description"))), lambda e: bullet(e["title"], e["url"], e["description"])), "\n").alias("lines"))
+    whole = lines.groupBy("site", "run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "lines"))), lambda x: F.concat(F.lit("## "), x["section"], F.lit("\n\n"), x["lines"], F.lit("\n"))), "\n").alias("text"))
+    made = spark.sql(HISTORY_RUNS, pages=pages).join(whole, ["site", "run_id"], "left")
+    text = F.when((F.col("status") == "completed") & F.col("has_index"), F.concat(F.lit("# "), F.col("site"), F.lit("\n\n> An index.\n\n"), F.coalesce("text", F.lit(""))))
+    return made.select("site", "run_id", F.timestamp_seconds("at_s").alias("started_at"), "status", text.alias("llms_txt"), "urls_discovered", "enrich_applied", "hashed"), rows
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, website_id, started_at, completed_at, status, stats and what decides on them."""
     from pyspark.sql import functions as F

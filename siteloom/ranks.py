@@ -1,4 +1,4 @@
-"""Ranks and running sums inside groups of any size: no task gathers a group's rows.
+"""Ranks, running sums and last values inside groups of any size: no task gathers a group's rows.
 
 Rows are put in order over range partitions and written; what each part holds of a group is summed, and prefix
 sums over the parts (a row each) say where a part begins. The rest is local to a part.
@@ -58,6 +58,17 @@ def running(df: DataFrame, name: str, group: list[str], order: list[Column | str
     return own.join(bases, [PART, GROUP]).select(*df.columns, *((F.col(f"_siteloom_{k}") + F.col(f"_siteloom_base_{k}")).alias(k) for k in sums))
 
 
+def carried(df: DataFrame, name: str, group: list[str], order: list[Column | str], values: dict[str, Column]) -> DataFrame:
+    """df with, for each of `values`, the last one that isn't null among the rows of its group that come earlier by `order`."""
+    rows = _grouped(df.withColumns({f"_siteloom_{k}": v for k, v in values.items()}), name, group, order)
+    cells = rows.groupBy(PART, GROUP).agg(*(F.max_by(f"_siteloom_{k}", F.when(F.col(f"_siteloom_{k}").isNotNull(), F.col(ORDER))).alias(f"_siteloom_{k}") for k in values))
+    parts = Window.partitionBy(GROUP).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    bases = cells.select(PART, GROUP, *(F.last(f"_siteloom_{k}", ignorenulls=True).over(parts).alias(f"_siteloom_base_{k}") for k in values))
+    local = Window.partitionBy(PART, GROUP).orderBy(ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    own = rows.withColumns({f"_siteloom_{k}": F.last(f"_siteloom_{k}", ignorenulls=True).over(local) for k in values})
+    return own.join(bases, [PART, GROUP]).select(*df.columns, *(F.coalesce(f"_siteloom_{k}", f"_siteloom_base_{k}").alias(k) for k in values))
+
+
 def top(df: DataFrame, group: list[str], order: list[Column], limit: int, spread: list[str], rank: str = "rank") -> DataFrame:
     """Each group's first `limit` rows by a total order, with their rank: first inside salts, then among what is left.
 

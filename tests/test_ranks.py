@@ -71,3 +71,15 @@ def test_equal_rows_and_none(spark, rows):
 def test_tables_lie_under_one_folder(spark):
     path = tables.shared_folder(spark, "x")
     assert path.startswith(tables.application_folder(spark) + "/x-") and spark.sparkContext.applicationId in path
+
+
+def test_last_values(spark, rows):
+    some = F.when(F.col("bytes") % 7 == 0, F.struct("url"))
+    got = {r["url"]: (r["p"]["url"] if r["p"] else None, r["b"]) for r in ranks.carried(frame(spark, rows), "t", ["g"], [F.desc("score"), "url"], {"p": some, "b": F.col("bytes")}).collect()}
+    want = {}
+    for _, own in by_group(rows):
+        held, before = None, None
+        for r in own:
+            want[r[2]] = (held, before)
+            held, before = (r[2] if r[3] % 7 == 0 else held), r[3]
+    assert got == want

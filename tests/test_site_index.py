@@ -391,3 +391,34 @@ def test_hostile_robots_patterns_end(spark, pattern, path):
     began = time.monotonic()
     assert {r["allowed"] for r in PO.robots_allowed(urls, rules).collect()} == {True}
     assert time.monotonic() - began < 30
+
+
+def test_diffs_of_a_history(spark):
+    """Completed runs are compared with the completed run before them, whatever failed or had no index in between."""
+    text = lambda *lines: "# S\n\n> x\n\n## Docs\n\n" + "".join(f"- [{t}](https://s.io/{u})\n" for u, t in lines)
+    runs = [
+        ("s", 1, 1, "failed", None, None, False, True),
+        ("s", 2, 2, "completed", text(("a", "A"), ("b", "B")), 4, False, True),
+        ("s", 3, 3, "failed", None, 9, False, True),
+        ("s", 4, 4, "completed", text(("a", "A2"), ("c", "C")), 7, False, False),
+        ("s", 5, 5, "completed", text(("a", "A2"), ("c", "C")), 7, True, True),
+        ("s", 6, 6, "completed", None, 7, True, True),
+        ("s", 7, 7, "completed", text(), 0, True, True),
+        ("s", 8, 8, "completed", text(), 0, True, True),
+        ("t", 1, 1, "completed", text(("z", "Z")), 1, False, True),
+    ]
+    frame = spark.createDataFrame(runs, "site string, run_id long, at long, status string, llms_txt string, urls_discovered long, enrich_applied boolean, hashed boolean").withColumn("started_at", F.timestamp_seconds("at")).drop("at")
+    hashes = spark.createDataFrame([("s", 2, "https://s.io/a", "1"), ("s", 2, "https://s.io/b", "1"), ("s", 4, "https://s.io/a", "2"), ("s", 4, "https://s.io/c", "1"), ("s", 5, "https://s.io/a", "3")], "site string, run_id long, key string, hash string")
+    got = {(r["site"], r["run_id"]): r for r in D.history_diffs(frame, hashes).collect()}
+    shown = {k: (r["state"], r["previous_run_completed"], r["compared_to_run_id"], r["pages_added"], r["pages_removed"], r["metadata_changed"], r["content_changed"]) for k, r in got.items()}
+    assert shown == {
+        ("s", 2): ("first_run", False, None, None, None, None, None),
+        ("s", 4): ("compared", False, 2, 1, 1, 1, 1),
+        ("s", 5): ("compared", True, 4, 0, 0, None, None),
+        ("s", 7): ("first_run", True, None, None, None, None, None),
+        ("s", 8): ("compared", True, 7, 0, 0, 0, 0),
+        ("t", 1): ("first_run", None, None, None, None, None, None),
+    }
+    assert got["s", 5]["metadata_not_comparable_reason"] == "enrichment_enabled" and got["s", 4]["urls_discovered_delta"] == 3
+    assert got["s", 4]["content_changed_sample"][0]["title"] == "A2" and got["s", 8]["selection_churn_ratio"] is None
+    assert D.history_diffs(frame.limit(0), hashes).collect() == []
