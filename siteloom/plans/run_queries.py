@@ -16,6 +16,8 @@ from siteloom.plans import inputs
 from siteloom.tables import shared_folder
 from siteloom.plans.crawl_queries import _CAND, _NORM, _bodies
 from siteloom.sources import crawl as S
+from siteloom.streaming import event_time as ET
+from siteloom.streaming import keyed as K
 from siteloom.streaming import runs as ST
 
 START, END, NOW = "2024-01-10 00:00:00", "2024-01-13 00:00:00", "2024-01-20 12:34:56"
@@ -405,6 +407,12 @@ def _to_end(spark: SparkSession, df: DataFrame, order: str, make: Callable[[Data
     return spark.read.schema(schemas[-1]).parquet(out)
 
 
+def _each_batch(spark: SparkSession, df: DataFrame, order: str, batch: Callable[[DataFrame, int], None]) -> None:
+    """A stream over df's arriving parts that hands each of its micro-batches to a function."""
+    at = shared_folder(spark, "at")
+    _arriving(spark, df, order, lambda stream: stream.writeStream.foreachBatch(batch).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination())
+
+
 @query("x01_hourly_run_stats", f"""WITH {_RUNS}, h AS (SELECT website_id, date_trunc('hour', started_at) AS bucket_start, count(*) AS runs, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed FROM runs GROUP BY 1, 2)
 SELECT * FROM h WHERE bucket_start + INTERVAL 1 HOUR <= (SELECT max(started_at) FROM runs) - INTERVAL 2 HOUR""")
 def x01(spark: SparkSession, d: str) -> DataFrame:
@@ -412,6 +420,19 @@ def x01(spark: SparkSession, d: str) -> DataFrame:
     return _to_end(spark, runs, "id", ST.hourly_run_stats)
 
 
+@query(
+    "x01_filled_hours",
+    f"""WITH {_RUNS}, {_SITES}, hr AS (SELECT website_id, unnest(generate_series(TIMESTAMP '{START}', TIMESTAMP '{END}' - INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS bucket_start FROM sites),
+h AS (SELECT website_id, date_trunc('hour', started_at) AS bucket_start, count(*) AS runs, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed FROM runs GROUP BY 1, 2)
+SELECT website_id, bucket_start, coalesce(runs, 0) AS runs, coalesce(completed, 0) AS completed, coalesce(failed, 0) AS failed FROM hr LEFT JOIN h USING (website_id, bucket_start)""",
+)
+def x01b(spark: SparkSession, d: str) -> DataFrame:
+    """Runs reach the stream up to six hours out of order; the window read is behind its watermark."""
+    runs = inputs.runs(spark, d).select("website_id", "started_at", "status")
+    made = _to_end(spark, _shuffled(runs, "started_at"), "arrival", lambda s: ST.hourly_run_stats(s, f"{DISORDER_S + 1} seconds"))
+    return ST.filled_hours(_sites(spark, d), made, ts(START), ts(END))
+
+
 @query("x05_url_dedup", f"WITH {_NORM} SELECT DISTINCT site, norm_url FROM k WHERE norm_url IS NOT NULL")
 def x05(spark: SparkSession, d: str) -> DataFrame:
     rows = inputs.candidates(spark, d).select("site", "url", "page_id", F.timestamp_micros(F.unix_micros(ts(NOW)) + F.col("page_id") * 1000).alias("seen_at"))
@@ -431,52 +452,75 @@ def x09(spark: SparkSession, d: str) -> DataFrame:
     targets, _, _ = _targets(spark, d)
     pairs = inputs.runs(spark, d).join(targets, "website_id").select(F.col("id").alias("run_id"), "target_id")
     twice = pairs.withColumn("o", F.lit(0)).union(pairs.withColumn("o", F.lit(1)))
-    out, at = shared_folder(spark, "published"), shared_folder(spark, "at")
-    schema = T.StructType.fromDDL("run_id long, target_id long, status string, batch int")
-    spark.createDataFrame([], "run_id long, target_id long, status string").write.parquet(f"{out}/batch=-1")
-
-    def others(batch_id: int) -> DataFrame:
-        return spark.read.schema(schema).parquet(out).where(F.col("batch") != batch_id)
-
-    def write(rows: DataFrame, batch_id: int) -> None:
-        rows.select("run_id", "target_id", F.lit("published").alias("status")).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    publish = ST.idempotent_publish(others, write)
+    table = K.KeyedTable(spark, shared_folder(spark, "published"), "run_id long, target_id long, status string", ["run_id", "target_id"], 8)
+    publish = K.idempotent_publish(table)
 
     def twice_over(rows: DataFrame, batch_id: int) -> None:
         publish(rows, batch_id)
         publish(rows, batch_id)
 
-    def catch_up(stream: DataFrame) -> None:
-        stream.writeStream.foreachBatch(twice_over).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+    _each_batch(spark, twice, "o", twice_over)
+    return table.read().select("run_id", "target_id")
 
-    _arriving(spark, twice, "o", catch_up)
-    return spark.read.schema(schema).parquet(out).select("run_id", "target_id")
+
+@query(
+    "s11_upsert_in_stream",
+    f"""WITH {_SCHED}, inc AS (SELECT user_id + 20 AS schedule_id, arg_max(CAST(round(value * 10) AS BIGINT), event_id) AS interval_minutes, arg_max(event_type <> 'error', event_id) AS active FROM events GROUP BY 1)
+SELECT coalesce(s.schedule_id, i.schedule_id) AS schedule_id, s.website_id, CASE WHEN i.schedule_id IS NOT NULL THEN i.active ELSE s.active END AS active, CASE WHEN i.schedule_id IS NOT NULL THEN i.interval_minutes ELSE s.interval_minutes END AS interval_minutes, s.next_run_at FROM sched s FULL JOIN inc i ON i.schedule_id = s.schedule_id""",
+)
+def s11b(spark: SparkSession, d: str) -> DataFrame:
+    """A change for every event, in the order of their ids; the table is there before the stream begins."""
+    table = K.KeyedTable(spark, shared_folder(spark, "schedules"), "schedule_id long, website_id long, active boolean, interval_minutes long, next_run_at timestamp", ["schedule_id"], 8)
+    table.merge(_schedules(spark, d), -1, lambda held, new: new)
+    changes = spark.read.parquet(f"{d}/events.parquet").select((F.col("user_id") + 20).alias("schedule_id"), "event_id", F.round(F.col("value") * 10).cast("long").alias("interval_minutes"), (F.col("event_type") != "error").alias("active"))
+    _each_batch(spark, changes, "event_id", K.latest_wins(table, ["interval_minutes", "active"], "event_id"))
+    return table.read()
 
 
 _EVENT = "CASE event_type WHEN 'signup' THEN 'created' WHEN 'click' THEN 'claimed' WHEN 'view' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'returned' END"
 
 
-#: The order in which events reach a stream's state: by arriving part, then by time.
-_IN_PARTS = "(event_id - (SELECT min(event_id) FROM events)) // greatest(1, CAST(ceil(((SELECT max(event_id) FROM events) - (SELECT min(event_id) FROM events) + 1) / 4.0) AS BIGINT))"
+#: Rows arrive up to six hours out of order, and their time order is told from what the watermark has passed.
+DISORDER_S = 6 * 3600
+_SETTLED = f"(SELECT (epoch_ms(max(ts)) - {DISORDER_S * 1000 + 1000}) * 1000 FROM events)"
 
 
-@query(
-    "x02_run_lifecycle",
-    f"""WITH RECURSIVE e AS MATERIALIZED (
-  SELECT user_id AS run_id, event_id, {_EVENT} AS event, row_number() OVER (PARTITION BY user_id ORDER BY {_IN_PARTS}, ts, event_id) AS i FROM events),
+def _shuffled(rows: DataFrame, time: str) -> DataFrame:
+    """rows with `arrival`: their time in microseconds and a delay of up to DISORDER_S."""
+    return rows.withColumn("arrival", F.unix_micros(time) + F.pmod(F.xxhash64(*rows.columns), F.lit(DISORDER_S * 1_000_000)))
+
+
+def _by_time(spark: SparkSession, rows: DataFrame, time: str, make: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    with ET.ordered_state(spark):
+        return _to_end(spark, _shuffled(rows, time), "arrival", lambda s: make(s, f"{DISORDER_S + 1} seconds"))
+
+
+_LIFE = f"""e AS MATERIALIZED (
+  SELECT user_id AS run_id, event_id, {_EVENT} AS event, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, epoch_us(ts) AS at_us FROM events),
 t(before, event, after) AS (VALUES ('new', 'created', 'pending'), ('pending', 'claimed', 'processing'), ('processing', 'returned', 'pending'),
   ('processing', 'completed', 'completed'), ('processing', 'failed', 'failed'), ('pending', 'failed', 'failed')),
 r AS (
-  SELECT DISTINCT run_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS event, 'new' AS status, 0 AS attempts, false AS accepted FROM e
+  SELECT DISTINCT run_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS event, 'new' AS status, 0 AS attempts, false AS accepted, CAST(NULL AS BIGINT) AS at_us FROM e
   UNION ALL
-  SELECT r.run_id, e.i, e.event_id, e.event, coalesce(t.after, r.status), r.attempts + CASE WHEN t.after IS NOT NULL AND e.event = 'claimed' THEN 1 ELSE 0 END, t.after IS NOT NULL
-  FROM r JOIN e ON e.run_id = r.run_id AND e.i = r.i + 1 LEFT JOIN t ON t.before = r.status AND t.event = e.event)
-SELECT run_id, event_id, event, status, attempts, accepted FROM r WHERE i > 0""",
-)
+  SELECT r.run_id, e.i, e.event_id, e.event, coalesce(t.after, r.status), r.attempts + CASE WHEN t.after IS NOT NULL AND e.event = 'claimed' THEN 1 ELSE 0 END, t.after IS NOT NULL, e.at_us
+  FROM r JOIN e ON e.run_id = r.run_id AND e.i = r.i + 1 LEFT JOIN t ON t.before = r.status AND t.event = e.event)"""
+
+
+@query("x02_run_lifecycle", f"WITH RECURSIVE {_LIFE} SELECT run_id, event_id, event, status, attempts, accepted FROM r WHERE i > 0 AND at_us <= {_SETTLED}")
 def x02(spark: SparkSession, d: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("run_id"), "event_id", F.col("ts").cast("timestamp").alias("at"), F.expr(_EVENT).alias("event"))
-    return _to_end(spark, e, "event_id", lambda s: ST.run_lifecycle(s, ttl=None))
+    return _by_time(spark, e, "at", lambda s, delay: ET.run_lifecycle(s, delay, 400 * ET.DAY))
+
+
+@query(
+    "x03_stuck_in_stream",
+    f"""WITH RECURSIVE {_LIFE}, c AS (SELECT *, lead(at_us) OVER (PARTITION BY run_id ORDER BY i) AS until FROM r WHERE accepted),
+d AS (SELECT *, at_us + CASE status WHEN 'processing' THEN 900000001 WHEN 'pending' THEN 600000001 END AS due FROM c)
+SELECT run_id, make_timestamp(due) AS at, status, attempts, CASE WHEN attempts < 3 THEN 'requeue' ELSE 'fail' END AS action FROM d WHERE due <= {_SETTLED} AND (until IS NULL OR until > due)""",
+)
+def x03b(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("run_id"), "event_id", F.col("ts").cast("timestamp").alias("at"), F.expr(_EVENT).alias("event"))
+    return _by_time(spark, e, "at", lambda s, delay: ET.stuck_in_stream(s, delay, 400 * ET.DAY))
 
 
 @query("x07_page_changes", "SELECT url AS norm_url, event_id AS seen_id, hash, CASE WHEN before IS NULL THEN 'new' ELSE 'changed' END AS change FROM (SELECT 'u' || user_id AS url, event_id, event_type AS hash, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE before IS NULL OR before <> hash")
@@ -488,7 +532,7 @@ def x07(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "x06_quota",
     f"""WITH RECURSIVE e AS MATERIALIZED (
-  SELECT user_id, event_id AS id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY {_IN_PARTS}, ts, event_id) AS i FROM events),
+  SELECT user_id, event_id AS id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
 r AS (
   SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS id, CAST([] AS BIGINT[]) AS held, false AS accepted FROM e
   UNION ALL
@@ -496,11 +540,11 @@ r AS (
     THEN list_append(list_filter(r.held, lambda t: t > e.us - 86400000000), e.us) ELSE list_filter(r.held, lambda t: t > e.us - 86400000000) END,
     len(list_filter(r.held, lambda t: t > e.us - 86400000000)) < 2
   FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
-SELECT user_id, id, CAST(len(held) AS INTEGER) AS used, accepted FROM r WHERE i > 0""",
+SELECT user_id, id, CAST(len(held) AS INTEGER) AS used, accepted FROM r WHERE i > 0 AND id IN (SELECT event_id FROM events WHERE epoch_us(ts) <= {_SETTLED})""",
 )
 def x06(spark: SparkSession, d: str) -> DataFrame:
-    e = spark.read.parquet(f"{d}/events.parquet").select("user_id", F.col("event_id").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    return _to_end(spark, e, "id", lambda s: ST.quota(s, limit=2, ttl=None))
+    e = spark.read.parquet(f"{d}/events.parquet").select("user_id", F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("started_at"))
+    return _by_time(spark, e, "started_at", lambda s, delay: ET.quota(s, 2, delay))
 
 
 @query("u01_union_candidates", f"WITH {_CAND}, x AS (SELECT site, url FROM cand WHERE page_id % 2 = 0 UNION ALL SELECT site, url FROM cand WHERE page_id % 3 = 0) SELECT site, count(*) AS n FROM x GROUP BY 1")

@@ -1,20 +1,17 @@
-"""Structured Streaming forms of the run operators: hourly series, dedup, policy, publishing, lifecycle and quotas."""
+"""Structured Streaming forms of the run operators: hourly series, dedup, policy and page changes."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from siteloom.functions import urls as U
 from siteloom.operators import policy
-from siteloom.operators.runs import DAY_LIMIT, unsettled
-
-#: (from, event, to) of a run's life; other events are rejected.
-TRANSITIONS = {("new", "created"): "pending", ("pending", "claimed"): "processing", ("processing", "returned"): "pending", ("processing", "completed"): "completed", ("processing", "failed"): "failed", ("pending", "failed"): "failed"}
 
 
 def hourly_run_stats(runs: DataFrame, delay: str = "2 hours") -> DataFrame:
@@ -35,22 +32,48 @@ def policy_filter(stream: DataFrame, rules: DataFrame, url: str = "norm_url") ->
     return policy.robots_allowed(stream, rules, url).where("allowed")
 
 
-def idempotent_publish(read: Callable[[int], DataFrame], write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: publishes a run only if none is settled by another batch.
+def filled_hours(sites: DataFrame, made: DataFrame, start: Column, end: Column) -> DataFrame:
+    """What hourly_run_stats has put out, with every website's every hour of [start, end): zero where nothing ran."""
+    hour = F.expr("interval 1 hour")
+    series = sites.select("website_id", F.explode(F.sequence(start, end - hour, hour)).alias("bucket_start"))
+    out = series.join(made, ["website_id", "bucket_start"], "left")
+    return out.select("website_id", "bucket_start", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("runs", "completed", "failed")))
+
+
+def late_rows(arrived: DataFrame, made: DataFrame, settled: Column) -> DataFrame:
+    """(website_id, bucket_start, late): the rows of hours that ended by `settled` which the stream came too late to count."""
+    hours = arrived.groupBy("website_id", F.window("started_at", "1 hour")["start"].alias("bucket_start")).agg(F.count("*").alias("n"))
+    ended = hours.where(F.col("bucket_start") + F.expr("interval 1 hour") <= settled)
+    late = F.col("n") - F.coalesce("runs", F.lit(0))
+    return ended.join(made.select("website_id", "bucket_start", "runs"), ["website_id", "bucket_start"], "left").select("website_id", "bucket_start", late.alias("late")).where("late > 0")
+
 
-    read(batch_id) gives the publications of all batches but that one; write(rows, batch_id) replaces the batch's
-    own. A batch that is run again finds what it found the first time and writes the same rows.
-    """
+class Dropped(StreamingQueryListener):
+    """Counts what the watermark dropped, by query run and batch: rows, or groups of them where a batch's late rows of
+    one key were added up before they met the watermark. table() holds the counts so far."""
 
-    def batch(pairs: DataFrame, batch_id: int) -> None:
-        write(unsettled(pairs.dropDuplicates(["run_id", "target_id"]), read(batch_id)), batch_id)
+    def __init__(self) -> None:
+        self.counts: dict[tuple[str, int], tuple[str | None, int]] = {}
 
-    return batch
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        n = sum(s.numRowsDroppedByWatermark for s in p.stateOperators)
+        if n:
+            self.counts[str(p.runId), p.batchId] = (p.name, n)
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame([(run, batch, name, n) for (run, batch), (name, n) in self.counts.items()], "run string, batch long, name string, dropped long")
 
 
 #: A key's state goes when it has seen no row for so long (milliseconds). A stream that is run to its end and
 #: stopped, with an availableNow trigger, takes None: its clock only stands while it runs, and Spark would wait for it.
-RUN_TTL, PAGE_TTL, USER_TTL = 7 * 24 * 3_600_000, 90 * 24 * 3_600_000, 2 * 24 * 3_600_000
+PAGE_TTL = 90 * 24 * 3_600_000
 
 
 def stateful(rows: DataFrame, key: str, order: list[str], out: str, state: str, ttl: int | None, step: Callable[[object, pd.DataFrame, tuple | None], tuple[pd.DataFrame, tuple]]) -> DataFrame:
@@ -71,22 +94,6 @@ def stateful(rows: DataFrame, key: str, order: list[str], out: str, state: str,
     return rows.groupBy(key).applyInPandasWithState(run, out, state, "append", clock)
 
 
-def run_lifecycle(events: DataFrame, ttl: int | None = RUN_TTL) -> DataFrame:
-    """(run_id, event_id, event, status, attempts, accepted) of events(run_id, event_id, at, event), guarded by the state before."""
-
-    def step(key: object, rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
-        status, attempts = state or ("new", 0)
-        out = []
-        for event_id, event in zip(rows["event_id"], rows["event"], strict=True):
-            to = TRANSITIONS.get((status, event))
-            if to:
-                status, attempts = to, attempts + (event == "claimed")
-            out.append((key, event_id, event, status, attempts, to is not None))
-        return pd.DataFrame(out, columns=["run_id", "event_id", "event", "status", "attempts", "accepted"]), (status, attempts)
-
-    return stateful(events, "run_id", ["at", "event_id"], "run_id long, event_id long, event string, status string, attempts int, accepted boolean", "status string, attempts int", ttl, step)
-
-
 def page_changes(pages: DataFrame, ttl: int | None = PAGE_TTL) -> DataFrame:
     """(norm_url, seen_id, hash, change) of pages(norm_url, seen_id, hash): a row where a page is new or its hash differs."""
 
@@ -101,20 +108,3 @@ def page_changes(pages: DataFrame, ttl: int | None = PAGE_TTL) -> DataFrame:
         return found, (rows["hash"].iloc[-1],)
 
     return stateful(pages, "norm_url", ["seen_id"], "norm_url string, seen_id long, hash string, change string", "hash string", ttl, step)
-
-
-def quota(runs: DataFrame, limit: int = DAY_LIMIT, ttl: int | None = USER_TTL) -> DataFrame:
-    """(user_id, id, used, accepted) of runs(user_id, id, us): a rolling day per user; its state holds at most `limit` starts."""
-    day = 86_400_000_000
-
-    def step(key: object, rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
-        held = list(state[0]) if state else []
-        out = []
-        for i, us in zip(rows["id"], rows["us"], strict=True):
-            held = [t for t in held if t > us - day]
-            ok = len(held) < limit
-            held += [int(us)] if ok else []
-            out.append((key, i, len(held), ok))
-        return pd.DataFrame(out, columns=["user_id", "id", "used", "accepted"]), (held,)
-
-    return stateful(runs, "user_id", ["us", "id"], "user_id long, id long, used int, accepted boolean", "held array<long>", ttl, step)
