@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import MAX_BASES, bounded_broadcast, materialize, small_batches, table
+from siteloom.llm.common import bounded_broadcast, materialize, small_batches, table
 from siteloom.llm.tokens import encoder, vocabulary
 
 WINDOW, END_ID = 2048, 0
@@ -37,6 +37,8 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, part i
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 #: Ranks take the bits below a length.
 RANK_BITS = 48
+#: Rows of the table of counts by task and length that may be broadcast.
+MAX_BASES = 300_000
 
 
 class Capacities:

@@ -29,6 +29,8 @@ from siteloom.llm.common import held_out, materialize, others, small_batches, ta
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 UNKNOWN = "und"
+#: A language is known if it is likelier than all others together.
+MAJORITY = 0.5
 #: Windows that go through the network at once.
 CHUNK = 512
 
@@ -202,10 +204,13 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
-def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents in a learned language; null texts and texts without letters go.
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = MAJORITY) -> DataFrame:
+    """Pipeline stage: documents of which the network is surer than not that they are in one learned language.
 
-    Repeated rows are judged alike; an empty table gives an empty one; all columns come back as they are.
+    Texts that no language has a share above `least` of go (fragments of a word or two, mixtures without a majority),
+    and so do null texts and texts without letters. Repeated rows are judged alike; an empty table gives an empty
+    one; all columns come back as they are.
     """
     names = ("_siteloom_lang", "_siteloom_lang_score")
-    return predict_language(docs, learn(spark, sf_dir), names).where(F.col(names[0]) != UNKNOWN).select(docs.columns)
+    found = predict_language(docs, learn(spark, sf_dir), names)
+    return found.where((F.col(names[0]) != UNKNOWN) & (F.col(names[1]) > least)).select(docs.columns)

@@ -11,7 +11,7 @@ through a heap, which with these labels holds a few entries a level; messages be
 Spark's sort by (tree, label), so that a tree of any size is spread over blocks, and a block's row is bounded.
 What parents received is kept with a block, in order, for the reverse sweep to read from its end.
 
-Ranks of leaves in their tree come from a range partitioning and prefix sums (`numbered`), never from a
+Ranks of leaves in their tree come from a range partitioning and prefix sums (`siteloom.ranks`), never from a
 window over a language.
 
 Edge cases: null columns are hashed as `-`; a null language is a tree of its own, before all others; null
@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import crc32_sql, materialize, numbered, small_batches, table
+from siteloom.llm.common import crc32_sql, materialize, small_batches, table
+from siteloom.ranks import numbered
 
 #: Levels of a band; a block has up to 2^LEVELS nodes.
 LEVELS = 8
@@ -60,6 +61,11 @@ def leaf_digests(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("lang").alias("tree"), F.col("doc_id").cast("long").alias("doc_id"), digest(n_chars).alias("digest"), F.when(hit, digest(n_chars + 1)).alias("changed"))
 
 
+def placed(nodes: DataFrame, name: str, tree: str, *keys: str) -> DataFrame:
+    """nodes with `index`, their place in their tree by keys from 0, and `n`, the tree's number of nodes."""
+    return numbered(nodes, name, [tree], list(keys), "index", "n").withColumn("index", F.col("index") - 1)
+
+
 def joined(a: bytes, b: bytes = b"") -> bytes:
     """The digest of a run of one or two nodes; digests are hashed as hex text."""
     return sha256((a.hex() + b.hex()).encode()).digest()
@@ -227,9 +233,9 @@ def fall(bands: list[DataFrame], starts: DataFrame, last: Callable, schema: str)
 def manifest(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
     """Every row of documents with its leaf, its tree's and the whole manifest's root, and its proof's digest and outcome."""
     small_batches(docs.sparkSession)
-    leaves = numbered(leaf_digests(docs), "merkle-leaves", "tree", "doc_id", "digest")
+    leaves = placed(leaf_digests(docs), "merkle-leaves", "tree", "doc_id", "digest")
     bands, subroots = rise(leaves, levels)
-    trees = materialize(numbered(subroots.withColumn("all", F.lit("")), "merkle-subroots", "all", "tree"), "merkle-trees")
+    trees = materialize(placed(subroots.withColumn("all", F.lit("")), "merkle-subroots", "all", "tree"), "merkle-trees")
     upper, root = rise(trees.select(F.col("all").alias("tree"), "index", "n", "digest", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("changed")), levels)
     begin = root.select("tree", "band", F.lit(b"").alias("suffix"), F.col("digest").alias("subroot"), F.col("digest").alias("root"))
     sent = fall(upper, begin, passed_on, MESSAGE).select("index", "suffix", "root")

@@ -37,7 +37,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import BATCH_BYTES, BATCH_ROWS, ORDER, crc32_sql, in_order, materialize, small_batches, table
+from siteloom.llm.common import BATCH_BYTES, BATCH_ROWS, crc32_sql, materialize, small_batches, table
+from siteloom.ranks import ORDER, in_order
 
 #: Costs of edits, and of leaving a truncated row in.
 REROLE, DELETE, INSERT, TRUNCATED = 1, 2, 5, 5

@@ -383,6 +383,19 @@ def test_language(spark, odd_docs):
     assert {r["lang_pred"] for r in language.predict_language(odd_docs[0], empty).collect()} == {"und"}
 
 
+def test_unsure_languages_go(spark, sf_dir):
+    """The stage keeps what one language has the majority of: by the network's score, not by the letters alone."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    docs = docs.union(spark.createDataFrame([(-1, "12 34", None), (-2, None, None), (-3, "Re.", None)], docs.schema))
+    net = language.learn(spark, sf_dir)
+    scores = {r["doc_id"]: (r["lang_pred"], r["lang_score"]) for r in language.predict_language(docs, net).collect()}
+    middle = sorted(s for _, s in scores.values())[len(scores) // 2]
+    for least in (language.MAJORITY, middle):
+        kept = {r["doc_id"] for r in language.known_language(spark, docs, sf_dir, least).collect()}
+        assert kept == {i for i, (lang, score) in scores.items() if lang != "und" and score > least}
+    assert not kept & {-1, -2} and len(kept) < len(scores)
+
+
 def test_convolution_equals_a_plain_one():
     rng = np.random.default_rng(5)
     n = 4

@@ -17,7 +17,6 @@ import pytest
 pytest.importorskip("siteloom.llm")
 
 from siteloom.llm import best_fit, merkle, repair, tokens
-from siteloom.llm.common import numbered
 
 
 def plain_bins(lengths, window):
@@ -256,12 +255,3 @@ def test_manifest_against_brute_force(spark, levels):
 def test_manifest_of_few_rows(spark, rows):
     frame = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string")
     assert sorted(map(tuple, merkle.manifest(frame).collect())) == sorted(brute_manifest(rows))
-
-
-def test_numbers_of_a_hot_group(spark):
-    rows = [("a", k % 50) for k in range(900)] + [("b", 1), (None, 2), (None, 1)]
-    got = numbered(spark.createDataFrame(rows, "g string, v long").repartition(6), "numbered", "g", "v").collect()
-    for group in ("a", "b", None):
-        own = sorted(((r["index"], r["v"], r["n"]) for r in got if r["g"] == group))
-        want = sorted(v for g, v in rows if g == group)
-        assert own == [(k, v, len(want)) for k, v in enumerate(want)]
