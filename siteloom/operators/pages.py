@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import html as entities
-import ipaddress
 import json
-from html.entities import name2codepoint
+from collections.abc import Callable
+from html.entities import html5
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from siteloom.functions import text as T
 from siteloom.functions import urls as U
+from siteloom.tables import cut
 
 #: Fixed values.
 CHALLENGE_TITLES = ["just a moment", "attention required", "checking your browser"]
@@ -35,6 +33,8 @@ BLOCKS6 = {
     "2002::/16": "non_global", "3fff::/20": "non_global", "fec0::/10": "site_local", "ff00::/8": "multicast",
 }
 
+#: Elements that are no content, which may be nested.
+HIDDEN = ("nav", "header", "footer", "aside", "form")
 #: Types of JSON-LD objects whose name is a page's title.
 LD_TYPES = r"(Article|Posting|Page)\b"
 
@@ -94,33 +94,80 @@ def redirect_chain(requests: DataFrame, hops: DataFrame, most: int = MAX_REDIREC
 
 
 def embedded_ip4(hex32: Column) -> Column:
-    """The IPv4 address that a mapped, 6to4, Teredo or NAT64 address holds, as a number."""
+    """The IPv4 addresses that a mapped, 6to4, Teredo (server and client) or NAT64 address holds, as numbers."""
     part = lambda at: F.conv(F.substring(hex32, at, 8), 16, 10).cast("long")
     return (
-        F.when(hex32.startswith("0" * 20 + "ffff") | hex32.startswith("0064ff9b" + "0" * 16), part(25))
-        .when(hex32.startswith("2002"), part(5))
-        .when(hex32.startswith("20010000"), F.lit(0xFFFFFFFF) - part(25))
+        F.when(hex32.startswith("0" * 20 + "ffff") | hex32.startswith("0064ff9b" + "0" * 16), F.array(part(25)))
+        .when(hex32.startswith("2002"), F.array(part(5)))
+        .when(hex32.startswith("20010000"), F.array(part(9), F.lit(0xFFFFFFFF) - part(25)))
+        .otherwise(F.array().cast("array<bigint>"))
     )
 
 
-def blocked_addresses(targets: DataFrame) -> DataFrame:
-    """targets(url) with reason: the host is an address that isn't public, as such or inside an IPv6 one.
+def address_bits(host: Column) -> Column:
+    """Addresses that a host stands for, itself and those inside it, as array<struct<family, bits>>; empty for a name.
 
-    The fixed tables of a few dozen blocks are broadcast; names that aren't addresses have no reason.
+    bits are text of 32 or 128 digits, so that a prefix is a substring.
     """
-    spark = targets.sparkSession
-    four = [(int(n[0]), int(n[-1]), r, n.prefixlen) for n, r in ((ipaddress.ip_network(k), v) for k, v in BLOCKS4.items())]
-    six = [(f"{int(n[0]):032x}", f"{int(n[-1]):032x}", r, n.prefixlen) for n, r in ((ipaddress.ip_network(k), v) for k, v in BLOCKS6.items())]
-    r4 = spark.createDataFrame(four, "lo4 long, hi4 long, r4 string, p4 int")
-    r6 = spark.createDataFrame(six, "lo6 string, hi6 string, r6 string, p6 int")
+    word = lambda n: F.lpad(F.bin(n), 32, "0")
+    four = lambda n: F.struct(F.lit(4).alias("family"), word(n).alias("bits"))
+
+    def six(x: Column) -> Column:
+        bits = F.concat(*(word(F.conv(F.substring(x, at, 8), 16, 10).cast("long")) for at in (1, 9, 17, 25)))
+        return F.concat(F.array(F.struct(F.lit(6).alias("family"), bits.alias("bits"))), F.transform(embedded_ip4(x), four))
+
+    none = F.array().cast("array<struct<family:int,bits:string>>")
+    plain = U.bind(U.ip4_number(host), lambda n: F.when(n.isNotNull(), F.array(four(n))).otherwise(none))
+    return F.when(host.startswith("["), U.bind(U.ip6_text(host), lambda x: F.when(x.isNotNull(), six(x)).otherwise(none))).otherwise(plain)
+
+
+def address_blocks(blocks: DataFrame) -> DataFrame:
+    """blocks(cidr, reason) as (family, prefix, reason), prefix being the bits that addresses inside begin with."""
+    host, length = F.regexp_extract("cidr", "^([^/]*)/", 1), F.regexp_extract("cidr", "/([0-9]+)$", 1).cast("int")
+    first = address_bits(F.when(host.contains(":"), F.concat(F.lit("["), host, F.lit("]"))).otherwise(host))[0]
+    rows = blocks.select(F.explode(F.array(first)).alias("a"), length.alias("length"), "reason")
+    return rows.select("a.family", F.substring(F.col("a.bits"), F.lit(1), F.col("length")).alias("prefix"), "reason").dropDuplicates(["family", "prefix"])
+
+
+def special_blocks(spark: SparkSession) -> DataFrame:
+    """The fixed blocks that a crawl must not reach, or may inside others, as blocks(cidr, reason)."""
+    return spark.createDataFrame([*BLOCKS4.items(), *BLOCKS6.items()], "cidr string, reason string")
+
+
+def longest_prefix(addresses: DataFrame, blocks: DataFrame) -> DataFrame:
+    """addresses(family, bits) with the reason of the longest block of address_blocks that holds each, if any.
+
+    A block is found by equality: an address asks for its own prefix of each length that blocks of its family have.
+    """
+    lengths = blocks.groupBy("family").agg(F.collect_set(F.length("prefix")).alias("lengths"))
+    asked = addresses.select("family", "bits").distinct().join(F.broadcast(lengths), "family")
+    asked = asked.select("family", "bits", F.explode("lengths").alias("n")).withColumn("prefix", F.substring(F.col("bits"), F.lit(1), F.col("n")))
+    return asked.join(blocks, ["family", "prefix"]).groupBy("family", "bits").agg(F.max_by("reason", "n").alias("reason"))
+
+
+def blocked_addresses(targets: DataFrame, resolved: DataFrame | None = None, blocks: DataFrame | None = None) -> DataFrame:
+    """targets(url) with reason: an address of the host isn't public, as such or inside an IPv6 one.
+
+    resolved(host, ip) holds what names resolve to; with it, a name that has no address there is `unresolved`.
+    One address that isn't public is enough, and metadata addresses come first. blocks(cidr, reason) default to the
+    special ones; the reason `global` marks blocks inside others that may be reached.
+    """
+    table = address_blocks(special_blocks(targets.sparkSession) if blocks is None else blocks)
     rows = targets.select("url").distinct().select("url", F.explode(F.array(U.host_of("url"))).alias("host"))
-    rows = rows.select("url", F.explode(F.array(F.struct(U.ip6_text(F.col("host")).alias("hex"), U.ip4_number(F.col("host")).alias("n4")))).alias("a"))
-    rows = rows.select("url", F.col("a.hex").alias("hex"), F.coalesce("a.n4", embedded_ip4(F.col("a.hex"))).alias("n4"))
-    rows = rows.join(F.broadcast(r4), F.col("n4").between(F.col("lo4"), F.col("hi4")), "left")
-    best = rows.groupBy("url", "hex").agg(F.max_by("r4", "p4").alias("r4"))
-    best = best.join(F.broadcast(r6), F.col("hex").between(F.col("lo6"), F.col("hi6")), "left")
-    best = best.groupBy("url", "r4").agg(F.max_by("r6", "p6").alias("r6"))
-    return best.select("url", F.coalesce(F.nullif("r4", F.lit("global")), F.nullif("r6", F.lit("global"))).alias("reason"))
+    hosts = rows.select("host").distinct().select("host", F.explode(F.array(address_bits(F.col("host")))).alias("own"))
+    found = hosts.select("host", F.explode("own").alias("a"))
+    if resolved is not None:
+        ip = F.regexp_replace("ip", "%.*$", "")
+        bracketed = F.when(ip.contains(":"), F.concat(F.lit("["), ip, F.lit("]"))).otherwise(ip)
+        names = hosts.where(F.size("own") == 0).select("host").join(resolved.select(F.lower("host").alias("host"), bracketed.alias("ip")), "host")
+        found = found.union(names.select("host", F.explode(address_bits(F.col("ip"))).alias("a")))
+    found = cut(found.select("host", "a.family", "a.bits").distinct(), "addresses")
+    judged = found.join(longest_prefix(found, table).where("reason <> 'global'"), ["family", "bits"], "left")
+    first = F.min(F.when(F.col("reason").isNotNull(), F.struct((F.col("reason") != "metadata").alias("late"), "family", "reason", "bits")))
+    worst = judged.groupBy("host").agg(first["reason"].alias("reason"))
+    out = rows.join(worst.withColumn("known", F.lit(True)), "host", "left")
+    reason = F.col("reason") if resolved is None else F.when(F.col("known").isNull(), "unresolved").otherwise(F.col("reason"))
+    return out.select("url", reason.alias("reason"))
 
 
 def attempt_outcome(kind: Column, status: Column, attempt: Column) -> Column:
@@ -174,33 +221,68 @@ def resolve(base: Column, ref: Column) -> Column:
     return U.with_parts(base, lambda b: U.bind(clean, lambda r: U.bind(split(r), lambda x: joined(b, x))))
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def unescape_all(texts: pd.Series) -> pd.Series:
-    """All named, decimal and hexadecimal character references of an array's texts decoded once, by HTML's rules."""
-    return texts.map(lambda row: None if row is None else [t if t is None or "&" not in t else entities.unescape(t) for t in row])
-
-
-#: The 252 names of HTML 4, from the standard library.
-NAMED = {name: chr(code) for name, code in name2codepoint.items()}
+#: All names of character references; those without a semicolon also count in front of other letters.
+LEGACY = {name: text for name, text in html5.items() if not name.endswith(";")}
+#: What numbers from 0x80 to 0x9F stand for: Windows-1252 where it has a character.
+WINDOWS = [bytes([n]).decode("cp1252", "replace").replace("\ufffd", chr(n)) for n in range(0x80, 0xA0)]
 
 
 def unescape(text: Column) -> Column:
-    """Decimal and hexadecimal character references and the names of HTML 4 (with their semicolon) decoded, without Python."""
-    names = F.from_json(F.lit(json.dumps(NAMED)), "map<string,string>")
+    """Character references decoded once by HTML's rules, without Python: decimal, hexadecimal, named, and names that lack a semicolon."""
+    table = lambda names: F.from_json(F.lit(json.dumps(names)), "map<string,string>")
+    names, legacy, longest = table(html5), table(LEGACY), max(map(len, LEGACY))
+
+    def character(n: Column) -> Column:
+        unknown = n.isNull() | (n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
+        nothing = n.between(1, 8) | (n == 11) | n.between(14, 31) | (n == 127) | n.between(0xFDD0, 0xFDEF) | (F.pmod(n, F.lit(0x10000)) >= 0xFFFE)
+        windows = F.element_at(F.array(*map(F.lit, WINDOWS)), (n - 0x7F).cast("int"))
+        return F.when(unknown, "\ufffd").when(n.between(0x80, 0x9F), windows).when(nothing, "").otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+
+    def value(found: Column) -> Column:
+        digits = F.regexp_replace(found, "^#[xX]?0*|;$", "")
+        short = F.length(digits) <= 7
+        number = F.when(short & found.rlike("^#[xX]"), F.conv(F.concat(F.lit("0"), digits), 16, 10)).when(short, F.concat(F.lit("0"), digits)).cast("long")
+        begun = [F.when(F.length(found) > n, F.concat(F.try_element_at(legacy, F.substring(found, 1, n)), F.substr(found, F.lit(n + 1)))) for n in range(longest, 1, -1)]
+        named = F.coalesce(F.try_element_at(names, found), *begun, F.concat(F.lit("&"), found))
+        return F.when(found == "", "&").when(found.startswith("#"), U.bind(number, character)).otherwise(named)
 
     def decoded(part: Column) -> Column:
-        found = F.regexp_extract(part, r"^(#[xX][0-9a-fA-F]{1,6};?|#[0-9]{1,7};?|[A-Za-z][A-Za-z0-9]{1,31};)", 1)
-        name = F.regexp_replace(found, ";$", "")
-        number = F.when(name.rlike("^#[xX]"), F.conv(F.substr(name, F.lit(3)), 16, 10)).when(name.startswith("#"), F.substr(name, F.lit(2))).try_cast("long")
-        real = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
-        char = F.when(real, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
-        value = F.coalesce(char, F.try_element_at(names, name))
-        return F.when(value.isNull(), F.concat(F.lit("&"), part)).otherwise(F.concat(value, F.substr(part, F.length(found) + 1)))
+        found = F.regexp_extract(part, r"^(#[xX][0-9a-fA-F]+;?|#[0-9]+;?|[^\t\n\f <&#;]{1,32};?)", 1)
+        return U.bind(found, lambda f: F.concat(value(f), F.substr(part, F.length(f) + 1)))
 
     whole = lambda parts: F.concat(parts[0], F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), decoded), ""))
     return F.when(text.contains("&"), U.bind(F.split(text, "&"), whole)).otherwise(text)
 
 
+def scanned(values: Column, combine: Callable[[Column, Column], Column], back: bool = False) -> Column:
+    """An array's running combinations, from its end if `back`, by doubling: a round for each power of two below its size."""
+
+    def doubled(a: Column, k: Column) -> Column:
+        step = F.call_function("shiftleft", F.lit(1), k)
+        other = lambda i: i + step if back else i - step
+        return F.transform(a, lambda x, i: F.when((other(i) >= 0) & (other(i) < F.size(a)), combine(x, F.get(a, other(i)))).otherwise(x))
+
+    def whole(a: Column) -> Column:
+        rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(a))).cast("int") - 1)
+        return F.when(F.size(a) > 1, F.aggregate(rounds, a, doubled)).otherwise(a)
+
+    return U.bind(values, whole)
+
+
+def without_elements(html: Column, names: tuple[str, ...] = HIDDEN) -> Column:
+    """html less its elements of these names, each up to the end tag that matches it; of tags that don't match, only the tags go.
+
+    A tag's depth is the number of elements open behind it. Those that never end are open to the end of the page:
+    their number is the least depth from there on. What is deeper than that is inside an element that ends.
+    """
+    tag = rf"(?i)</?(?:{'|'.join(names)})\b[^>]*>"
+    signs = F.transform(F.regexp_extract_all(html, F.lit(tag), 0), lambda t: F.when(t.startswith("</"), -1).otherwise(1))
+    depth = U.bind(scanned(signs, lambda a, b: a + b), lambda s: F.zip_with(s, scanned(s, F.least), lambda x, low: x - F.least(low, F.lit(0))))
+    inside = U.bind(depth, lambda d: F.zip_with(d, scanned(d, F.least, back=True), lambda x, open_: x > open_))
+    texts = U.bind(inside, lambda hidden: F.filter(F.split(html, tag), lambda _, i: ~F.coalesce(F.get(hidden, i - 1), F.lit(False))))
+    return F.when(html.rlike(tag), F.array_join(texts, "\n")).otherwise(html)
+
+
 def extract_links(pages: DataFrame, cap: int = MAX_LINKS) -> DataFrame:
     """(page_id, rank, link): same-origin links of pages(page_id, url, html), by first place in the page.
 
@@ -246,7 +328,7 @@ def ld_title(html: Column) -> Column:
 def extract_content(pages: DataFrame, common_pages: int = 3) -> DataFrame:
     """(page_id, url, site, title, description, markdown, is_empty) of pages(page_id, url, html).
 
-    Blocks of text, less scripts, navigation and the like; a block that common_pages pages of a site hold is
+    Blocks of text, less scripts, navigation and the like with all that is nested in them; a block that common_pages pages of a site hold is
     left out. Only hashes of blocks are grouped by site, and joined back by hash.
     """
     html = F.coalesce("html", F.lit(""))
@@ -254,10 +336,11 @@ def extract_content(pages: DataFrame, common_pages: int = 3) -> DataFrame:
     raw = F.array(ld_title(html), meta(html, "og:title"), F.when(F.size(h1) == 1, F.try_element_at(h1, F.lit(1))), F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title>", 1), meta(html, "og:description"), meta(html, "description"))
     names = F.transform(raw, lambda x: F.regexp_replace(x, "<[^>]*>", ""))
     first = lambda x: F.try_element_at(F.filter(F.transform(x, T.collapse), lambda t: t != ""), F.lit(1))
-    body = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|head|nav|header|footer|aside|form|noscript|svg)\b.*?</\1\s*>", "\n")
-    marked = F.regexp_replace(body, r"(?is)</?(p|div|h[1-6]|li|ul|ol|tr|td|table|article|section|main|blockquote|pre|body|html|hr)\b[^>]*>", "\x01")
+    body = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|head|noscript|svg)\b.*?</\1\s*>", "\n")
+    shown = U.bind(body, lambda x: without_elements(x))
+    marked = F.regexp_replace(shown, r"(?is)</?(p|div|h[1-6]|li|ul|ol|tr|td|table|article|section|main|blockquote|pre|body|html|hr)\b[^>]*>", "\x01")
     blocks = F.transform(F.split(marked, "\x01"), lambda b: F.regexp_replace(b, "<[^>]*>", " "))
-    rows = pages.select("page_id", "url", F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("site"), unescape_all(names).alias("names"), unescape_all(blocks).alias("blocks"))
+    rows = pages.select("page_id", "url", F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("site"), F.transform(names, unescape).alias("names"), F.transform(blocks, unescape).alias("blocks"))
     rows = rows.select("page_id", "url", "site", first(F.slice("names", 1, 4)).alias("title"), first(F.slice("names", 5, 2)).alias("description"), F.filter(F.transform("blocks", T.collapse), lambda b: b != "").alias("blocks"))
     hashed = rows.select("page_id", "site", F.explode(F.array_distinct(F.transform("blocks", lambda b: F.xxhash64(b)))).alias("h"))
     common = hashed.groupBy("site", "h").agg(F.count("*").alias("n")).where(F.col("n") >= common_pages)

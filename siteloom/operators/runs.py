@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siteloom.ranks import carried
+from siteloom.ranks import carried, running
+from siteloom.tables import cut
 
 ACTIVE = ["pending", "processing"]
 MAX_ATTEMPTS, STUCK_S, ORPHANED_S, REAP_LIMIT, DUE_LIMIT = 3, 900, 600, 100, 50
@@ -214,12 +215,23 @@ def active_manual_per_user(runs: DataFrame, sites: DataFrame) -> DataFrame:
 
 
 def rolling_usage(runs: DataFrame, sites: DataFrame) -> DataFrame:
-    """Per run: how many of the user's runs lie in the 24 hours up to it, the oldest of them, and whether it is over a limit."""
+    """Per run: how many of the user's runs lie in the 24 hours up to it, when the oldest of them leaves, and whether it is over a limit.
+
+    A start counts from its time on and no more a day later, so the number in force is a running sum over both
+    kinds of times, and the oldest start in force is found by its place in the user's order. A user's runs never
+    meet in one task.
+    """
     day = 24 * HOUR_US
-    rows = runs.join(sites.select("website_id", "user_id"), "website_id").withColumn("us", F.unix_micros("started_at"))
-    w = Window.partitionBy("user_id").orderBy("us").rangeBetween(-day + 1, 0)
-    rows = rows.withColumn("used", F.count("*").over(w)).withColumn("oldest_us", F.min("us").over(w))
-    return rows.select("user_id", "id", "used", F.timestamp_micros(F.col("oldest_us") + day).alias("resets_at"), (F.col("used") > DAY_LIMIT).alias("over"))
+    rows = runs.join(sites.select("website_id", "user_id"), "website_id").select("user_id", "id", F.unix_micros("started_at").alias("us"))
+    times = rows.groupBy("user_id", "us").agg(F.count("*").alias("n"))
+    marks = times.select("user_id", F.col("us").alias("at"), F.col("n").alias("begun"), F.col("n").alias("change")).union(times.select("user_id", F.col("us") + day, F.lit(0).cast("long"), -F.col("n")))
+    marks = marks.groupBy("user_id", "at").agg(F.sum("begun").alias("begun"), F.sum("change").alias("change"))
+    sums = running(marks, "usage", ["user_id"], ["at"], {"begun_before": F.col("begun"), "held_before": F.col("change")}).where("begun > 0")
+    used = F.col("held_before") + F.col("change")
+    sums = cut(sums.select("user_id", "at", used.alias("used"), (F.col("begun_before") + 1).alias("first"), (F.col("begun_before") + F.col("begun") - used + 1).alias("oldest")), "usage-sums")
+    starts = sums.select("user_id", F.col("first").alias("oldest"), F.col("at").alias("oldest_us"))
+    out = rows.join(sums.join(starts, ["user_id", "oldest"]).withColumnRenamed("at", "us"), ["user_id", "us"])
+    return out.select("user_id", "id", "used", F.timestamp_micros(F.col("oldest_us") + day).alias("resets_at"), (F.col("used") > DAY_LIMIT).alias("over"))
 
 
 def history_page(runs: DataFrame, cursor_at: Column, cursor_id: int, limit: int, status: str | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siteloom.functions import sql as SQL
 from siteloom.functions import text as T
 from siteloom.functions import urls as U
 from siteloom.operators import diff as D
@@ -85,6 +86,12 @@ def p02(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("url", U.origin_key("url").alias("selection"), U.origin_key("url", "links").alias("links"), U.origin_key("url", "index").alias("indexed"), U.strip_www(host).alias("bare_host"))
 
 
+@query("p01_sql_functions", f"""WITH {_NORM} SELECT DISTINCT url, norm_url, CASE WHEN norm_url IS NOT NULL THEN scheme || '|' || {_WWW.format('host')} || '|' || CASE scheme WHEN 'https' THEN '443' ELSE '80' END END AS origin FROM k""")
+def p01b(spark: SparkSession, d: str) -> DataFrame:
+    SQL.register(spark)
+    return spark.sql("SELECT DISTINCT url, normalize_url(url) AS norm_url, origin_key(url) AS origin FROM {rows}", rows=inputs.candidates(spark, d))
+
+
 @query("p04_validate_site_url", f"""WITH {_CAND}, u AS (SELECT DISTINCT CASE page_id % 5 WHEN 0 THEN '  ' || url WHEN 1 THEN replace(url, '://', '://u@') WHEN 2 THEN url || ' x' WHEN 3 THEN seed || '' ELSE url END AS raw FROM cand), t AS (SELECT raw, trim(raw) AS s FROM u)
 SELECT raw, CASE WHEN s = '' THEN 'empty' WHEN contains(s, ' ') THEN 'whitespace' WHEN NOT regexp_matches(s, '^https?://') THEN 'scheme' WHEN contains(regexp_extract(s, '://([^/?#]*)', 1), '@') THEN 'credentials' END AS reject_reason,
   CASE WHEN NOT contains(s, ' ') AND regexp_matches(s, '^https?://[^/?#@]+([/?#]|$)') THEN regexp_extract(s, '^(https?://)', 1) || {_WWW.format("regexp_extract(s, '://([^/?#]*)', 1)")} END AS origin FROM t""")
@@ -308,12 +315,38 @@ def p13(spark: SparkSession, d: str) -> DataFrame:
     return PG.redirect_chain(hops.select("url"), hops)
 
 
-_ADDRESS = "CASE page_id % 8 WHEN 0 THEN 'http://10.1.2.' || page_id % 200 WHEN 1 THEN 'http://8.8.8.' || page_id % 200 WHEN 2 THEN 'http://169.254.169.254' WHEN 3 THEN 'http://[::1]' WHEN 4 THEN 'http://[::ffff:c0a8:1]' WHEN 5 THEN 'http://[2002:7f00:1::]' WHEN 6 THEN 'http://[2606:4700::1]' ELSE url END"
+#: What hosts resolve to: addresses made of the pages' own bytes, a hundredth of them in special blocks; every seventh site has none.
+_RESOLVED = """SELECT site, CAST(n % 223 + 1 AS VARCHAR(9)) || '.' || CAST(n / 223 % 256 AS VARCHAR(9)) || '.' || CAST(k % 256 AS VARCHAR(9)) || '.' || CAST(n % 251 AS VARCHAR(9)) AS ip, n % 223 + 1 AS a, n / 223 % 256 AS b, k % 256 AS c, n % 251 AS d
+FROM (SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS site, length(html) AS n, length(url) * 37 AS k FROM {pages}) p WHERE length(site) % 7 <> 0"""
 
 
-@query("p14_blocked_address", f"SELECT DISTINCT {_ADDRESS} AS url, CASE page_id % 8 WHEN 0 THEN 'non_global' WHEN 2 THEN 'metadata' WHEN 3 THEN 'non_global' WHEN 4 THEN 'non_global' WHEN 5 THEN 'non_global' END AS reason FROM pages")
+@query(
+    "p14_blocked_address",
+    f"""WITH r AS ({_RESOLVED.format(pages="pages").replace(" / ", " // ")}), j AS (SELECT site, a = 0 OR a = 10 OR a = 127 OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168)
+  OR (a = 192 AND b = 0 AND c IN (0, 2) AND NOT (c = 0 AND d IN (9, 10))) OR (a = 198 AND b IN (18, 19)) OR (a = 198 AND b = 51 AND c = 100) OR (a = 203 AND b = 0 AND c = 113) OR a >= 240 AS bad, a BETWEEN 224 AND 239 AS cast, (a = 169 AND b = 254 AND c = 169 AND d = 254) OR (a = 100 AND b = 100 AND c = 100 AND d = 200) OR (a = 192 AND b = 0 AND c = 0 AND d = 192) AS meta FROM r),
+w AS (SELECT site, bool_or(bad) AS bad, bool_or(meta) AS meta FROM j GROUP BY site)
+SELECT DISTINCT url, CASE WHEN w.site IS NULL THEN 'unresolved' WHEN meta THEN 'metadata' WHEN bad THEN 'non_global' END AS reason FROM (SELECT url, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS site FROM pages) p LEFT JOIN w USING (site)""",
+)
 def p14(spark: SparkSession, d: str) -> DataFrame:
-    return PG.blocked_addresses(spark.read.parquet(f"{d}/pages.parquet").select(F.expr(_ADDRESS).alias("url")))
+    """Every page's host by the addresses that it resolves to."""
+    pages = spark.read.parquet(f"{d}/pages.parquet")
+    resolved = spark.sql(_RESOLVED.replace(" / ", " div "), pages=pages).select(F.col("site").alias("host"), "ip")
+    return PG.blocked_addresses(pages.select("url"), resolved)
+
+
+@query(
+    "p14_longest_prefix",
+    f"""WITH r AS ({_RESOLVED.format(pages="pages").replace(" / ", " // ")}), n AS (SELECT DISTINCT ip, a * 16777216 + b * 65536 + c * 256 + d AS v FROM r),
+k AS (SELECT DISTINCT a * 16777216 + b * 65536 + c * 256 + d AS v, 8 + (a + b + c + d) % 24 AS len FROM r), bl AS (SELECT DISTINCT v - v % CAST(power(2, 32 - len) AS BIGINT) AS lo, len FROM k)
+SELECT ip, max(len) AS len FROM n JOIN bl ON n.v >= lo AND n.v < lo + CAST(power(2, 32 - len) AS BIGINT) GROUP BY ip""",
+)
+def p14b(spark: SparkSession, d: str) -> DataFrame:
+    """Addresses against as many blocks as there are, each with its own prefix length."""
+    rows = spark.sql(_RESOLVED.replace(" / ", " div "), pages=spark.read.parquet(f"{d}/pages.parquet"))
+    length = (8 + (F.col("a") + F.col("b") + F.col("c") + F.col("d")) % 24).cast("string")
+    blocks = PG.address_blocks(rows.select(F.concat("ip", F.lit("/"), length).alias("cidr"), length.alias("reason")))
+    asked = rows.select("ip").distinct().select("ip", F.explode(PG.address_bits(F.col("ip"))).alias("x")).select("ip", "x.family", "x.bits")
+    return asked.join(PG.longest_prefix(asked, blocks), ["family", "bits"]).select("ip", F.col("reason").cast("long").alias("len"))
 
 
 @query("p15_redact", r"""SELECT doc_id, regexp_replace(regexp_replace(t, '(?i)\b(bearer)\s+[A-Za-z0-9._~+/=-]{12,}', '\1 [REDACTED]', 'g'), '(?i)(token\s*[:=]\s*)(tk_[0-9]+)', '\1[REDACTED]', 'g') AS redacted FROM (SELECT doc_id, 'x Bearer abcdefgh1234' || doc_id || ' token=tk_' || doc_id AS t FROM documents)""")
@@ -380,6 +413,12 @@ def p08(spark: SparkSession, d: str) -> DataFrame:
     return _snap(spark, d).select("url", T.section_for(F.col("url"), F.col("origin")).alias("section"), T.is_always_optional(F.col("url")).alias("always_optional")).distinct()
 
 
+@query("p08_sql_section_for", f"WITH {_SNAP}, c0 AS (SELECT DISTINCT url, list_filter(string_split({_PATH}, '/'), lambda s: s <> '') AS sg FROM snap), c1 AS (SELECT *, {_WORDS} AS vocab FROM c0) SELECT url, {_SECTION} AS section FROM c1")
+def p08b(spark: SparkSession, d: str) -> DataFrame:
+    SQL.register(spark)
+    return spark.sql("SELECT DISTINCT url, section_for(url, origin) AS section FROM {rows}", rows=_snap(spark, d))
+
+
 @query("w03_page_score", f"WITH {_SCORED} SELECT site, url, section, always_optional, round(score, 9) AS score FROM c4")
 def w03(spark: SparkSession, d: str) -> DataFrame:
     return IX.scored(_snap(spark, d)).select("site", "url", "section", "always_optional", (F.round("score", 9) + 0.0).alias("score"))

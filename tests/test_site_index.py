@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import html
 import ipaddress
 import random
+import re
 import time
 
 import pytest
@@ -225,6 +227,48 @@ def test_addresses_against_the_standard_library(spark):
     assert {r["url"]: r["reason"] is None for r in got} == urls
 
 
+def test_longest_prefix_of_many_blocks(spark):
+    rng = random.Random(6)
+    networks = {ipaddress.ip_network((rng.getrandbits(32), n := rng.randint(4, 32)), strict=False) for _ in range(60_000)} | {ipaddress.ip_network((rng.getrandbits(128) & ~(0xFFFFFF << 96) | 0x200104 << 96, rng.randint(16, 128)), strict=False) for _ in range(40_000)}
+    addresses = [ipaddress.ip_address(rng.getrandbits(32)) for _ in range(5000)] + [ipaddress.IPv6Address(rng.getrandbits(128) & ~(0xFFFFFF << 96) | 0x200104 << 96) for _ in range(4000)]
+    addresses += [n[-1] for n in rng.sample(sorted(networks, key=str), 1000)]
+    held = {4: {}, 6: {}}
+    for n in networks:
+        held[n.version].setdefault(n.prefixlen, {})[int(n[0])] = str(n)
+    want = {}
+    for a in set(addresses):
+        bits = 32 if a.version == 4 else 128
+        found = [held[a.version][n].get(int(a) >> (bits - n) << (bits - n)) for n in sorted(held[a.version])]
+        want[str(a)] = next((x for x in reversed(found) if x), None)
+    blocks = PG.address_blocks(spark.createDataFrame([(str(n), str(n)) for n in networks], "cidr string, reason string"))
+    shown = F.when(F.col("ip").contains(":"), F.concat(F.lit("["), F.col("ip"), F.lit("]"))).otherwise(F.col("ip"))
+    rows = spark.createDataFrame([(a,) for a in want], "ip string").select("ip", PG.address_bits(shown)[0].alias("x")).select("ip", "x.family", "x.bits")
+    found = PG.longest_prefix(rows, blocks)
+    assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
+    assert {r["ip"]: r["reason"] for r in rows.join(found, ["family", "bits"], "left").collect()} == want
+
+
+def test_resolved_addresses(spark):
+    urls = ["http://Good.io/x", "http://mixed.io/", "http://six.io/", "http://none.io/", "http://10.0.0.1/", "http://8.8.8.8/", "http://meta.io/"]
+    resolved = [("good.io", "8.8.8.8"), ("good.io", "2606:4700::1"), ("mixed.io", "8.8.4.4"), ("mixed.io", "127.0.0.1"), ("six.io", "fe80::1%eth0"), ("meta.io", "10.1.1.1"), ("meta.io", "::ffff:169.254.169.254"), ("8.8.8.8", "127.0.0.1")]
+    got = PG.blocked_addresses(spark.createDataFrame([(u,) for u in urls], "url string"), spark.createDataFrame(resolved, "host string, ip string")).collect()
+    assert {r["url"]: r["reason"] for r in got} == dict(zip(urls, [None, "non_global", "non_global", "unresolved", "non_global", None, "metadata"], strict=True))
+
+
+def test_rolling_usage_with_ties(spark):
+    rng = random.Random(8)
+    hour = 3_600_000_000
+    rows = [(1 if k % 9 else 2, k, rng.choice([rng.randint(0, 80), 5, 29]) * hour) for k in range(400)]
+    runs = spark.createDataFrame(rows, "website_id long, id long, us long").withColumn("started_at", F.timestamp_micros("us"))
+    sites = spark.createDataFrame([(1, 7), (2, 7)], "website_id long, user_id long")
+    got = {r["id"]: (r["used"], r["us"], r["over"]) for r in R.rolling_usage(runs, sites).select("*", F.unix_micros("resets_at").alias("us")).collect()}
+    want = {}
+    for _, k, us in rows:
+        held = [t for _, _, t in rows if us - 24 * hour < t <= us]
+        want[k] = (len(held), min(held) + 24 * hour, len(held) > R.DAY_LIMIT)
+    assert got == want
+
+
 def test_links(spark):
     html = '<base href="/x/"><!-- <a href="no"> --><a href="a">1</a><A HREF=\'b?c&amp;d\'>2</A><a href="#t">3</a><a href="mailto:x@y">4</a><a href="//h.io/z#f">5</a><a href="https://other.io/">6</a><a href="a#again">7</a><a href="/a&#x2F;b&eacute;&#8211;c">8</a>'
     got = PG.extract_links(spark.createDataFrame([(1, "https://h.io/p", html), (2, "https://h.io/q", None)], "page_id long, url string, html string")).orderBy("rank").collect()
@@ -237,6 +281,48 @@ def test_content_references(spark):
     assert (got[0]["title"], got[0]["markdown"].split("\n\n")[-1], got[1]["title"], got[1]["markdown"]) == ("éÜ—’'…&lt;", "a b 😀 ¬it;", None, "")
 
 
+def test_references_as_the_standard_library_decodes_them(spark):
+    rng = random.Random(3)
+    bits = ["&", "&amp;", "&amp", "&ampx;", "&notit;", "&not", "&notin;", "&Aacute", "&frac12x", "&#", "&#x", "&#;", "&#0;", "&#00065;", "&#x80;", "&#129;", "&#xD800;", "&#x110000;", "&#99999999999999999999;", "&#xFFFE;", "&#11;", "&#13;", "&#x1F600", "&NotEqualTilde;", "&zzz;", "&lt", ";", " ", "a", "é", "#", "&&", "&nbsp", "&sup1;", "&thetasym;", "&ThickSpace;", "<"]
+    rows = [(k, "".join(rng.choice(bits) for _ in range(rng.randint(0, 7)))) for k in range(1500)] + [(-1, None)]
+    got = {r["k"]: r["t"] for r in spark.createDataFrame(rows, "k long, t string").select("k", PG.unescape(F.col("t")).alias("t")).collect()}
+    for k, text in rows:
+        assert got[k] == (None if text is None else html.unescape(text)), text
+
+
+def outside(page, names):
+    """A page less its elements of these names, by a stack: an element that never ends loses its tag alone."""
+    tags = list(re.finditer(rf"(?i)</?(?:{'|'.join(names)})\b[^>]*>", page))
+    stack, ends = [], {}
+    for k, m in enumerate(tags):
+        if not m[0].startswith("</"):
+            stack.append(k)
+        elif stack:
+            ends[stack.pop()] = k
+    out, at, k = [], 0, 0
+    while k < len(tags):
+        out.append(page[at : tags[k].start()])
+        k = ends.get(k, k)
+        at, k = tags[k].end(), k + 1
+    return "\n".join([*out, page[at:]])
+
+
+def test_nested_elements_go_to_their_own_end(spark):
+    rng = random.Random(4)
+    bits = ["<nav>", "<NAV class=x>", "</nav>", "<form a='1'>", "</form >", "<aside>", "</aside>", "<header>", "</header>", "<p>a</p>", "b ", "<navy>", "</p>"]
+    pages = [(k, "".join(rng.choice(bits) for _ in range(rng.randint(0, 40)))) for k in range(600)]
+    pages += [(-1, "<nav>" * 20_000 + "x"), (-2, "<nav>a" * 9000 + "</nav>" * 9000 + "x"), (-3, "</form>" * 9000 + "y"), (-4, None)]
+    rows = spark.createDataFrame(pages, "k long, t string").select("k", PG.without_elements(F.col("t")).alias("t"))
+    squeezed = lambda t: t and re.sub("\n+", "\n", t).strip("\n")
+    for r in rows.collect():
+        page = dict(pages)[r["k"]]
+        assert squeezed(r["t"]) == squeezed(outside(page, PG.HIDDEN) if page is not None else None), page[:300]
+    whole = "<body><form><p>in</p><form>x</form><p>still in</p></form><nav><ul><nav>deep</nav><li>menu</li></ul></nav><p>" + "Kept text. " * 30 + "</p><form><p>never ends</p></body>"
+    got = PG.extract_content(spark.createDataFrame([(1, "https://h.io/p", whole)], "page_id long, url string, html string"))
+    assert "Python" not in got._jdf.queryExecution().toString() and "Pandas" not in got._jdf.queryExecution().toString()
+    assert got.first()["markdown"] == ("Kept text. " * 30).strip() + "\n\nnever ends"
+
+
 def test_titles_from_json_ld(spark):
     ld = '<title>T</title><meta property="og:title" content="O&eacute;"><script type="application/ld+json">%s</script>'
     cases = [('{"@type": "Article", "headline": "A &mdash; B"}', "A — B"), ('[{"@type": "Organization", "name": "X"}, {"@type": ["WebPage"], "name": "W"}]', "W"), ('{"@graph": [{"name": "X", "@type": "Person"}, {"headline": "G"}]}', "G"), ('{"@type": "Organization", "name": "X"}', "Oé"), ("{bad", "Oé"), ('{"headline": 5}', "Oé")]
@@ -422,3 +508,18 @@ def test_diffs_of_a_history(spark):
     assert got["s", 5]["metadata_not_comparable_reason"] == "enrichment_enabled" and got["s", 4]["urls_discovered_delta"] == 3
     assert got["s", 4]["content_changed_sample"][0]["title"] == "A2" and got["s", 8]["selection_churn_ratio"] is None
     assert D.history_diffs(frame.limit(0), hashes).collect() == []
+
+
+def test_sql_functions_equal_the_column_functions(spark):
+    from siteloom.functions import sql
+
+    rng = random.Random(5)
+    bits = ["http://", "HTTPS://", "ftp:", "user:pw@", "www.", "Example.com", "[::1]", "a.b", ":80", ":99999", ":x", "/", "//", "docs", "Getting-Started", "api_v2", "legal", "index.html", "?", "a=1&b=%20x", "utm_x=2&ref=q&z", "&&", "#f", " ", "\t", "é", "%2F", "'", "\\"]
+    urls = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 9))) for _ in range(500)] + ["https://www.a.io", "https://a.io/", None]
+    sql.register(spark)
+    rows = spark.createDataFrame([(u, rng.choice(["http://Example.com", "https://www.a.io"])) for u in urls], "url string, origin string")
+    got = rows.selectExpr("url", "normalize_url(url) AS a", "origin_key(url) AS b", "section_for(url, origin) AS c", "origin")
+    want = got.select("a", U.normalize_url("url").alias("wa"), "b", U.origin_key("url").alias("wb"), "c", T.section_for(F.col("url"), F.col("origin")).alias("wc"), "url")
+    for r in want.collect():
+        assert (r["a"], r["b"], r["c"]) == (r["wa"], r["wb"], r["wc"]), r["url"]
+    assert "Python" not in got._jdf.queryExecution().toString()
