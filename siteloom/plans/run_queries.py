@@ -349,17 +349,26 @@ def s06(spark: SparkSession, d: str) -> DataFrame:
     return S.payload_scan(spark, path).select(F.col("title").cast("long").alias("page_id"), "url", F.length("content").cast("long").alias("n"), F.col("status").cast("long").alias("status"))
 
 
+def _stored_snapshots(spark: SparkSession, d: str, parts: int) -> str:
+    """Snapshots of three runs, written as pages_sink lays them out."""
+    path = shared_folder(spark, "pages")
+    rows = inputs.snapshots(spark, d).withColumn("run_id", F.col("page_id") % 3)
+    S.pages_sink(rows.select([F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(S.SNAPSHOT)]), path, parts)
+    return path
+
+
 @query(
     "s05_pages_scan",
-    f"WITH snap0 AS ({inputs.for_duckdb(inputs.SNAPSHOTS)}) SELECT page_id % 3 AS run, url, status, title, length(markdown) AS n, content_bytes FROM snap0 WHERE page_id % 3 = 1",
+    f"""WITH snap0 AS ({inputs.for_duckdb(inputs.SNAPSHOTS)}), sn AS (SELECT *, page_id % 3 AS run FROM snap0), r AS (SELECT site, run, max(content_bytes) AS most FROM sn GROUP BY 1, 2),
+c AS (SELECT site, max(run) AS run FROM r WHERE most > 1500 GROUP BY site) SELECT run, url, status, title, length(markdown) AS n, content_bytes FROM sn JOIN c USING (site, run)""",
 )
 def s05(spark: SparkSession, d: str) -> DataFrame:
-    """Snapshots of three runs, a folder each; the scan reads one run's folder alone."""
-    path = shared_folder(spark, "pages")
-    rows = inputs.snapshots(spark, d).withColumn("run", F.col("page_id") % 3)
-    rows.select([F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(S.SNAPSHOT)] + ["run"]).write.partitionBy("run").parquet(path)
-    got = S.pages_scan(spark, f"{path}/run=1")
-    return got.select(F.lit(1).cast("long").alias("run"), "url", F.col("status").cast("int").alias("status"), "title", F.length("markdown").cast("long").alias("n"), F.col("content_bytes").cast("long").alias("content_bytes"))
+    """The pages of each site's last run that fetched a page of over 1500 characters."""
+    path = _stored_snapshots(spark, d, 8)
+    runs = S.pages_scan(spark, path).groupBy("site", "run_id").agg(F.max("content_bytes").alias("most"))
+    chosen = runs.where("most > 1500").groupBy("site").agg(F.max("run_id").alias("run_id"))
+    got = S.pages_scan(spark, path, chosen, 8)
+    return got.select(F.col("run_id").alias("run"), "url", F.col("status").cast("int").alias("status"), "title", F.length("markdown").cast("long").alias("n"), F.col("content_bytes").cast("long").alias("content_bytes"))
 
 
 @query("s09_artifact_files", f"WITH {_CAND} SELECT DISTINCT trim(regexp_replace(site, '[^a-z0-9]+', '-', 'g'), '-') || '-llms.txt' AS filename, site AS text FROM cand")

@@ -13,6 +13,8 @@ URLSET = "url array<struct<loc:string,lastmod:string,priority:string>>"
 INDEX = "sitemap array<struct<loc:string>>"
 PAYLOAD = "url string, status int, title string, description string, content string, markdown string, fetched_at timestamp, bytes long"
 MAX_DOCUMENTS, MAX_URLS = 5, 50_000
+#: Parts of the sites by hash in a folder of snapshots.
+SITE_PARTS = 32
 SNAPSHOT = "site string, run_id long, url string, status int, title string, description string, content string, markdown string, fetched_at timestamp, content_bytes long, is_empty boolean, blocked_reason string"
 
 
@@ -69,8 +71,27 @@ def union_candidates(*parts: DataFrame) -> DataFrame:
     return out
 
 
-def pages_scan(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SNAPSHOT).parquet(path)
+def site_part(site: Column | str, parts: int = SITE_PARTS) -> Column:
+    return F.pmod(F.xxhash64(site), F.lit(parts)).cast("int")
+
+
+def pages_sink(pages: DataFrame, path: str, parts: int = SITE_PARTS) -> None:
+    """Snapshots in a folder for each run and part of the sites: their number grows with runs, not with sites."""
+    rows = pages.withColumn("site_part", site_part("site", parts))
+    rows.repartition("run_id", "site_part").write.partitionBy("run_id", "site_part").mode("append").parquet(path)
+
+
+def pages_scan(spark: SparkSession, path: str, runs: DataFrame | None = None, parts: int = SITE_PARTS) -> DataFrame:
+    """Snapshots; with runs(site, run_id), those of these runs alone.
+
+    The join is on the folders' columns as well, so that Spark reads only the folders of the runs that are found
+    while the query runs (dynamic partition pruning, where the runs are few enough to be broadcast).
+    """
+    if runs is None:
+        return spark.read.schema(SNAPSHOT).parquet(path)
+    rows = spark.read.schema(f"{SNAPSHOT}, site_part int").parquet(path)
+    chosen = runs.select("site", F.col("run_id").cast("long").alias("run_id"), site_part("site", parts).alias("site_part")).distinct()
+    return rows.join(chosen, ["run_id", "site_part", "site"]).drop("site_part")
 
 
 def payload_sink(pages: DataFrame, path: str) -> None:

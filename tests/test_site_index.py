@@ -523,3 +523,31 @@ def test_sql_functions_equal_the_column_functions(spark):
     for r in want.collect():
         assert (r["a"], r["b"], r["c"]) == (r["wa"], r["wb"], r["wc"]), r["url"]
     assert "Python" not in got._jdf.queryExecution().toString()
+
+
+def test_scans_read_the_chosen_runs_folders_alone(spark, tmp_path):
+    rows = spark.range(2000).select(F.concat(F.lit("s"), F.col("id") % 40).alias("site"), (F.col("id") % 5).alias("run_id"), F.col("id").cast("string").alias("url"))
+    names = [f.split()[0] for f in S.SNAPSHOT.split(", ")]
+    pages = rows.select(*(F.col(n) if n in rows.columns else F.lit(None).alias(n) for n in names))
+    pages = spark.createDataFrame([], S.SNAPSHOT).unionByName(pages)
+    path = f"{tmp_path}/pages"
+    S.pages_sink(pages, path, 4)
+    runs = spark.createDataFrame([(f"s{k}", r, "completed" if (k, r) in ((1, 2), (7, 3)) else "failed") for k in range(40) for r in range(5)], "site string, run_id long, status string")
+    runs.write.parquet(f"{tmp_path}/runs")
+    chosen = spark.read.parquet(f"{tmp_path}/runs").where("status = 'completed'")
+    got = S.pages_scan(spark, path, chosen, 4)
+    assert "dynamicpruning" in got._jdf.queryExecution().executedPlan().toString().lower()
+    want = {r["url"] for r in rows.where("(site = 's1' and run_id = 2) or (site = 's7' and run_id = 3)").collect()}
+    assert {r["url"] for r in got.collect()} == want
+
+
+    def scans(plan):
+        leaves = plan.collectLeaves()
+        for leaf in (leaves.apply(k) for k in range(leaves.size())):
+            if leaf.getClass().getSimpleName().endswith("QueryStageExec"):
+                yield from scans(leaf.plan())
+            elif leaf.nodeName().startswith("Scan parquet"):
+                yield leaf.metrics().apply("numFiles").value()
+
+    files = [n for n in scans(got._jdf.queryExecution().executedPlan().executedPlan()) if n]
+    assert max(files) <= 8 < 10 < len(S.pages_scan(spark, path).inputFiles()), files
