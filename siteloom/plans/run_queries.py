@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siteloom.functions import urls as U
+from siteloom.operators import diff as D
 from siteloom.operators import frontier as FR
+from siteloom.operators import index as IX
+from siteloom.operators import pages as PG
 from siteloom.operators import policy as PO
 from siteloom.operators import runs as R
+from siteloom.plans import crawl_queries as CQ
 from siteloom.plans import inputs
-from siteloom.tables import shared_folder
+from siteloom.tables import cut, shared_folder
 from siteloom.plans.crawl_queries import _CAND, _NORM, _bodies
 from siteloom.sources import crawl as S
 from siteloom.streaming import event_time as ET
@@ -261,35 +265,6 @@ def s11(spark: SparkSession, d: str) -> DataFrame:
     return R.latest_wins_upsert(s, incoming, ["schedule_id"], ["interval_minutes", "next_run_at"])
 
 
-@query(
-    "a16_provenance_funnel",
-    f"""WITH {_RUNS}, g AS (SELECT website_id AS site, count(*) AS discovered, count(*) FILTER (id % 3 <> 0) AS selected, count(*) FILTER (id % 3 = 1) AS pages_crawled,
-  count(*) FILTER (id % 6 = 2) AS pages_failed, CASE website_id % 3 WHEN 0 THEN 100 WHEN 1 THEN 0 END AS max_pages, website_id % 2 AS over_limit FROM runs GROUP BY 1, website_id)
-SELECT site, discovered, selected, discovered - selected AS dropped, greatest(selected + 1 - pages_crawled - pages_failed, 0) AS not_attempted, pages_crawled, pages_failed,
-  CASE WHEN discovered = 0 THEN 'none' WHEN selected = 0 THEN 'all_dropped' WHEN pages_crawled = 0 THEN 'all_failed' ELSE 'ok' END AS state,
-  CAST(CASE WHEN max_pages >= 1 THEN max_pages WHEN over_limit > 0 THEN selected + 1 END AS BIGINT) AS max_pages,
-  CAST(CASE WHEN max_pages >= 1 THEN max_pages - 1 WHEN over_limit > 0 THEN selected END AS BIGINT) AS frontier_limit,
-  CASE WHEN max_pages >= 1 THEN 'recorded' WHEN over_limit > 0 THEN 'derived' END AS budget_source FROM g""",
-)
-def a16(spark: SparkSession, d: str) -> DataFrame:
-    site = F.col("site")
-    g = inputs.runs(spark, d).groupBy(F.col("website_id").alias("site")).agg(F.count("*").alias("discovered"), F.count_if(F.col("id") % 3 != 0).alias("selected"), F.count_if(F.col("id") % 3 == 1).alias("pages_crawled"), F.count_if(F.col("id") % 6 == 2).alias("pages_failed"))
-    g = g.withColumn("max_pages", F.when(site % 3 == 0, 100).when(site % 3 == 1, 0)).withColumn("over_limit", site % 2)
-    return R.provenance_funnel(g).select("*", "budget.max_pages", "budget.frontier_limit", F.col("budget.source").alias("budget_source")).drop("budget")
-
-
-@query(
-    "a18_enrichment_totals",
-    f"""WITH {_RUNS} SELECT website_id AS site, count(*) FILTER (id % 5 <> 0) AS pages_enriched, count(*) FILTER (id % 5 = 0) AS enrich_failures,
-  CAST(sum(k * 10) AS BIGINT) AS enrich_input_tokens, CAST(coalesce(sum(k) FILTER (id % 5 <> 0), 0) AS BIGINT) AS enrich_output_tokens,
-  CASE WHEN count(*) FILTER (id % 5 <> 0) = 0 THEN min(CASE WHEN id % 10 = 0 THEN 'rate_limited' ELSE 'timeout' END) END AS enrich_unavailable_reason FROM runs GROUP BY 1""",
-)
-def a18(spark: SparkSession, d: str) -> DataFrame:
-    reason = F.when(F.col("id") % 10 == 0, "rate_limited").otherwise("timeout")
-    rows = inputs.runs(spark, d).select(F.col("website_id").alias("site"), (F.col("id") % 5 != 0).alias("summary_ok"), (F.col("k") * 10).alias("input_tokens"), F.col("k").alias("output_tokens"), reason.alias("unavailable_reason"))
-    return R.enrichment_totals(rows)
-
-
 @query(
     "a19_reaper_summary",
     f"""WITH {_RUNS}, s AS (SELECT *, started_at < TIMESTAMP '{START}' - INTERVAL 960 SECOND AS claim_old, started_at < TIMESTAMP '{START}' - INTERVAL 600 SECOND AS old FROM runs),
@@ -562,33 +537,83 @@ def u01(spark: SparkSession, d: str) -> DataFrame:
     return S.union_candidates(c.where("page_id % 2 = 0"), c.where("page_id % 3 = 0")).groupBy("site").agg(F.count("*").alias("n"))
 
 
+#: Summaries of the pages in the index: none is asked for where a page has no body, some answers are no JSON or have no text.
+_ANSWERED = f"ans AS (SELECT e.site, snap.page_id, CASE WHEN trim(markdown) = '' OR page_id % 5 = 4 THEN NULL ELSE page_id % 5 IN (0, 3) END AS ok, length(markdown) // 4 AS asked, length({CQ._RESPONSE}) AS said FROM (SELECT DISTINCT site, url FROM ({CQ.ORACLES['w07_artifact_order']})) e JOIN (SELECT * FROM ({inputs.for_duckdb(inputs.SNAPSHOTS)})) snap USING (site, url))"
+_TOTALS = f"""WITH {_ANSWERED} SELECT site, count(*) FILTER (ok) AS pages_enriched, count(*) FILTER (NOT ok) AS enrich_failures, CAST(coalesce(sum(asked) FILTER (ok IS NOT NULL), 0) AS BIGINT) AS enrich_input_tokens,
+  CAST(coalesce(sum(said) FILTER (ok), 0) AS BIGINT) AS enrich_output_tokens, CASE WHEN count(*) FILTER (ok) = 0 AND count(*) FILTER (NOT ok) > 0 THEN 'no_summary' END AS enrich_unavailable_reason FROM ans GROUP BY site"""
+
+
+def _enrichment(pages: DataFrame, entries: DataFrame) -> DataFrame:
+    """Totals of the index's summaries, as their answers are parsed."""
+    rows = entries.select("site", "url").distinct().join(pages, ["site", "url"]).withColumn("response", F.when(F.trim("markdown") != "", F.expr(CQ._RESPONSE)))
+    parsed = IX.parse_summaries(rows.select("site", F.col("page_id").alias("url"), "response")).select("site", F.col("url").alias("page_id"), F.col("title").alias("new_title"), F.col("description").alias("new_description"))
+    ok = F.when(F.col("response").isNotNull(), F.col("new_title").isNotNull() | F.col("new_description").isNotNull())
+    out = rows.join(parsed, ["site", "page_id"]).withColumn("summary_ok", ok)
+    asked = F.when(ok.isNotNull(), F.floor(F.length("markdown") / 4))
+    return R.enrichment_totals(out.select("site", "summary_ok", asked.alias("input_tokens"), F.length("response").alias("output_tokens"), F.when(~ok, "no_summary").alias("unavailable_reason")))
+
+
+@query("a18_enrichment_totals", _TOTALS)
+def a18(spark: SparkSession, d: str) -> DataFrame:
+    pages = CQ._snap(spark, d)
+    return _enrichment(pages, IX.ordered_entries(pages))
+
+
+_FUNNEL = f"""SELECT site, CAST(sum(n) AS BIGINT) AS urls_discovered, CAST(coalesce(sum(n) FILTER (rule = 'selected'), 0) AS BIGINT) AS urls_selected, CAST(coalesce(sum(n) FILTER (rule = 'robots_disallowed'), 0) AS BIGINT) AS urls_robots_disallowed,
+  CAST(coalesce(sum(n) FILTER (rule = 'duplicate'), 0) AS BIGINT) AS duplicate, CAST(coalesce(sum(n) FILTER (rule = 'over_limit'), 0) AS BIGINT) AS over_limit FROM ({CQ.ORACLES['a02_drop_funnel']}) GROUP BY site"""
+_PARTS = f"""f AS ({_FUNNEL}), c AS ({CQ.ORACLES['a03_crawl_stats']}), i AS ({CQ.ORACLES['a05_index_counts']}), e AS ({_TOTALS}),
+t AS (SELECT * FROM ({CQ.ORACLES['t08_build_index_diff']}) QUALIFY row_number() OVER (PARTITION BY site ORDER BY run_id DESC) = 1), hs AS (SELECT site, count(DISTINCT key) AS n FROM ({CQ.ORACLES['a12_content_hashes']}) GROUP BY site)"""
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    """(site, stats): each site's record, out of the funnel, the pages' outcomes, the index, its summaries and its diff."""
+    c, pages = inputs.candidates(spark, d), CQ._snap(spark, d)
+    entries = cut(IX.ordered_entries(pages), "entries")
+    frontier = R.dropped_by_rule(FR.drop_funnel(c, FR.select_urls(c, CQ.LIMIT))).select("*", F.lit("sitemap").alias("discovery_source"), F.when(F.length("site") % 2 == 0, CQ.LIMIT + 1).alias("max_pages"), F.lit(200).alias("crawl_delay_ms"))
+    crawl = PG.crawl_stats(CQ._classified(spark, d)).select("*", F.lit(None).cast("long").alias("duration_ms"), F.lit(None).cast("string").alias("cap_hit"))
+    none = F.lit(None).cast("long")
+    index = IX.index_counts(entries).select("site", F.col("links_main").alias("links_emitted"), "links_optional", "links_duplicate", none.alias("full_txt_truncated"), none.alias("llms_txt_bytes"))
+    enrichment = _enrichment(pages, entries).select("*", F.lit(True).alias("enrich_requested"), (F.col("pages_enriched") > 0).alias("enrich_applied"))
+    runs, listed = inputs.history(spark, d)
+    diffs = D.history_diffs(runs, listed.select("site", "run_id", U.normalize_url("url").alias("key"), "hash"))
+    names = [n for n in diffs.columns if n not in ("site", "run_id")]
+    last = diffs.groupBy("site").agg(F.max_by(F.struct(*names), "run_id").alias("index_diff"))
+    hashes = D.content_hashes(pages.where("page_id % 29 <> 0"), keys=("site",), ordinal="page_id").groupBy("site").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "hash")))).alias("content_hashes"))
+    return cut(R.run_stats_assemble(frontier, crawl, index, enrichment, last.join(hashes, "site", "full_outer")), "records")
+
+
 @query(
     "a15_run_stats_assemble",
-    f"""WITH {_NORM}, f AS (SELECT site, count(*) AS urls_discovered, count(norm_url) - count(DISTINCT norm_url) AS dup, count(*) FILTER (norm_url IS NULL) AS bad FROM k GROUP BY site),
-p AS (SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS site, count(*) AS pages_crawled, sum(length(html)) AS bytes_fetched, count(*) FILTER (page_id % 2 = 0) AS links_emitted FROM pages GROUP BY 1)
-SELECT site, 32 AS n_keys, 13 AS version, urls_discovered, dup AS duplicate, bad AS unparseable, coalesce(pages_crawled, 0) AS pages_crawled,
-  CAST(coalesce(bytes_fetched, 0) AS BIGINT) AS bytes_fetched, coalesce(links_emitted, 0) AS links_emitted, pages_crawled > 3 AS has_diff, pages_crawled IS NULL OR pages_crawled <= 3 AS diff_is_null
-FROM f LEFT JOIN p USING (site)""",
+    f"""WITH {_PARTS} SELECT f.site, 32 AS n_keys, 13 AS version, f.urls_discovered, f.urls_selected, f.urls_robots_disallowed, f.duplicate, f.over_limit, coalesce(c.pages_crawled, 0) AS pages_crawled, coalesce(c.pages_failed, 0) AS pages_failed, coalesce(c.bytes_fetched, 0) AS bytes_fetched,
+  coalesce(c.pages_blocked, 0) AS pages_blocked, c.blocked_reason, coalesce(i.links_main, 0) AS links_emitted, coalesce(i.links_optional, 0) AS links_optional, coalesce(e.pages_enriched, 0) AS pages_enriched, coalesce(e.enrich_input_tokens, 0) AS enrich_input_tokens, e.enrich_unavailable_reason,
+  t.state AS diff_state, CAST(t.pages_added AS BIGINT) AS pages_added, CAST(t.content_changed AS BIGINT) AS content_changed, hs.n AS n_hashes
+FROM f LEFT JOIN c ON c.site = f.site LEFT JOIN i ON i.site = f.site LEFT JOIN e ON e.site = f.site LEFT JOIN t ON t.site = f.site LEFT JOIN hs ON hs.site = f.site""",
 )
 def a15(spark: SparkSession, d: str) -> DataFrame:
     """The record of each site's run, read back out of its JSON text."""
-    c = inputs.candidates(spark, d)
-    frontier = R.dropped_by_rule(FR.drop_funnel(c, FR.select_urls(c, 20)))
-    frontier = frontier.select("*", F.lit("sitemap").alias("discovery_source"), F.lit(21).alias("max_pages"), F.lit(200).alias("crawl_delay_ms"))
-    pages = spark.read.parquet(f"{d}/pages.parquet").select(F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("site"), "page_id", "html")
-    by_site = pages.groupBy("site").agg(F.count("*").alias("n"), F.sum(F.length("html")).alias("bytes"), F.count_if(F.col("page_id") % 2 == 0).alias("even"))
-    none, zero = F.lit(None).cast("string"), F.lit(0)
-    fixed = lambda names, value: [value.alias(x) for x in names]
-    crawl = by_site.select("site", F.col("n").alias("pages_crawled"), F.col("bytes").alias("bytes_fetched"), F.lit(5).alias("duration_ms"), *fixed(["cap_hit", "blocked_reason"], none), *fixed(["pages_failed", "pages_empty_content", "pages_blocked", "pages_http_error", "pages_off_origin"], zero))
-    index = by_site.select("site", F.col("even").alias("links_emitted"), F.lit(100).alias("llms_txt_bytes"), *fixed(["links_optional", "links_duplicate", "full_txt_truncated"], zero))
-    enrichment = R.enrichment_totals(pages.select("site", F.lit(None).cast("boolean").alias("summary_ok"), F.lit(0).alias("input_tokens"), F.lit(0).alias("output_tokens"))).select("*", F.lit(False).alias("enrich_requested"), F.lit(False).alias("enrich_applied"))
-    diff = by_site.where("n > 3").select("site", F.struct(F.lit(1).alias("pages_added"), F.lit(0).alias("pages_removed")).alias("index_diff"), F.create_map(F.lit("a"), F.lit("b")).alias("content_hashes"))
-    made = R.run_stats_assemble(frontier, crawl, index, enrichment, diff).select("site", F.explode(F.array("stats")).alias("stats"))
-    number = lambda k: R.json_number(F.col("stats"), f"$.{k}")
-    count = lambda k: F.coalesce(number(k), F.lit(0.0)).cast("long")
-    has_diff = number("index_diff.pages_added") == 1
+    made = _records(spark, d)
+    number = lambda k: R.json_number(F.col("stats"), f"$.{k}").cast("long")
+    text = lambda k: F.get_json_object("stats", f"$.{k}")
+    counts = ["urls_discovered", "urls_selected", "urls_robots_disallowed", "pages_crawled", "pages_failed", "bytes_fetched", "pages_blocked", "links_emitted", "links_optional", "pages_enriched", "enrich_input_tokens"]
+    zero = lambda k: F.coalesce(number(k), F.lit(0).cast("long"))
     return made.select(
-        "site", F.size(F.json_object_keys("stats")).alias("n_keys"), number("version").cast("int").alias("version"), count("urls_discovered").alias("urls_discovered"),
-        count("dropped.duplicate").alias("duplicate"), count("dropped.unparseable").alias("unparseable"), count("pages_crawled").alias("pages_crawled"), count("bytes_fetched").alias("bytes_fetched"),
-        count("links_emitted").alias("links_emitted"), F.when(count("pages_crawled") > 0, F.coalesce(has_diff, F.lit(False))).alias("has_diff"), F.col("stats").contains('"index_diff":null').alias("diff_is_null"),
+        "site", F.size(F.json_object_keys("stats")).alias("n_keys"), number("version").cast("int").alias("version"), *(number(k).alias(k) for k in counts), zero("dropped.duplicate").alias("duplicate"), zero("dropped.over_limit").alias("over_limit"),
+        text("blocked_reason").alias("blocked_reason"), text("enrich_unavailable_reason").alias("enrich_unavailable_reason"), text("index_diff.state").alias("diff_state"), number("index_diff.pages_added").alias("pages_added"),
+        number("index_diff.content_changed").alias("content_changed"), F.size(F.json_object_keys(text("content_hashes"))).cast("long").alias("n_hashes"),
     )
+
+
+@query(
+    "a16_provenance_funnel",
+    f"""WITH f AS ({_FUNNEL}), c AS ({CQ.ORACLES['a03_crawl_stats']}), g AS (SELECT f.*, coalesce(pages_crawled, 0) AS crawled, coalesce(c.pages_failed, 0) AS failed, CASE WHEN length(f.site) % 2 = 0 THEN {CQ.LIMIT + 1} END AS most FROM f LEFT JOIN c ON c.site = f.site)
+SELECT site, urls_discovered AS discovered, urls_selected AS selected, urls_discovered - urls_selected AS dropped, greatest(urls_selected + 1 - crawled - failed, 0) AS not_attempted, crawled AS pages_crawled, failed AS pages_failed,
+  CASE WHEN urls_discovered = 0 THEN 'none' WHEN urls_selected = 0 THEN 'all_dropped' WHEN crawled = 0 THEN 'all_failed' ELSE 'ok' END AS state,
+  CAST(CASE WHEN most >= 1 THEN most WHEN over_limit > 0 THEN urls_selected + 1 END AS BIGINT) AS max_pages, CAST(CASE WHEN most >= 1 THEN most - 1 WHEN over_limit > 0 THEN urls_selected END AS BIGINT) AS frontier_limit,
+  CASE WHEN most >= 1 THEN 'recorded' WHEN over_limit > 0 THEN 'derived' END AS budget_source FROM g""",
+)
+def a16(spark: SparkSession, d: str) -> DataFrame:
+    """The funnel out of the sites' records."""
+    number = lambda k: R.json_number(F.col("stats"), f"$.{k}").cast("long")
+    names = {"urls_discovered": "discovered", "urls_selected": "selected", "pages_crawled": "pages_crawled", "pages_failed": "pages_failed", "max_pages": "max_pages", "dropped.over_limit": "over_limit"}
+    g = _records(spark, d).select("site", *(number(k).alias(n) for k, n in names.items()))
+    return R.provenance_funnel(g).select("*", "budget.max_pages", "budget.frontier_limit", F.col("budget.source").alias("budget_source")).drop("budget")
