@@ -459,7 +459,60 @@ def p21(spark: SparkSession, d: str) -> DataFrame:
     return IX.described_entries(IX.ordered_entries(pages), pages, header).drop("label")
 
 
-@query("t01_render_index")
+def _cleaned(column: str) -> str:
+    text = f"trim(regexp_replace({column}, '\\s+', ' ', 'g'))"
+    return f"CASE WHEN length({text}) > {T.MAX_TEXT} THEN rtrim(left({text}, {T.MAX_TEXT})) || '…' ELSE nullif({text}, '') END"
+
+
+_SENTENCE = "trim(coalesce(nullif(regexp_extract({0}, '(?s)^(.*?([.!?](\\s|$)|[。！？]))', 1), ''), {0}))"
+_WORDCOUNT = "len(string_split({0}, ' '))"
+_PLAIN = "trim(regexp_replace(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s]', '', 'g'), '\\s+', ' ', 'g'))"
+
+
+def _same(a: str, b: str) -> str:
+    x, y = _PLAIN.format(a), _PLAIN.format(b)
+    return f"coalesce({x} <> '' AND {y} <> '' AND (starts_with({x}, {y}) OR starts_with({y}, {x})), false)"
+
+
+_HEADER = f"""rt AS (SELECT site, min({{'url': url, 'title': coalesce(title, ''), 'description': coalesce(description, ''), 'markdown': markdown}}) AS r FROM snap WHERE {_PATH} IN ('', '/') AND url LIKE origin || '%' GROUP BY site),
+st AS (SELECT site, min(origin) AS origin FROM snap GROUP BY site),
+h0 AS (SELECT st.site, origin, r, trim(regexp_replace(r.description, '\\s+', ' ', 'g')) AS de, list_filter(list_transform(string_split(r.markdown, chr(10) || chr(10)), lambda b: trim(regexp_replace(b, '\\s+', ' ', 'g'))), lambda b: b <> '' AND NOT regexp_matches(b, '^#{{1,6}}(\\s|$)')) AS blocks FROM st LEFT JOIN rt USING (site)),
+h1 AS (SELECT *, CASE WHEN {_WORDCOUNT.format(_SENTENCE.format("de"))} <= {T.SITE_WORDS} THEN nullif({_SENTENCE.format("de")}, '') END AS d1, CASE WHEN {_WORDCOUNT.format(_SENTENCE.format("blocks[1]"))} <= {T.SITE_WORDS} THEN nullif({_SENTENCE.format("blocks[1]")}, '') END AS b1 FROM h0),
+h2 AS (SELECT *, coalesce({_cleaned("d1")}, {_cleaned("b1")}) AS sentence FROM h1),
+h3 AS (SELECT site, b, i, sentence AS sn, CASE WHEN {_WORDCOUNT.format("b")} <= {T.PROSE_WORDS} THEN b WHEN {_WORDCOUNT.format(_SENTENCE.format("b"))} <= {T.PROSE_WORDS} THEN {_SENTENCE.format("b")} END AS p FROM (SELECT site, sentence, unnest(blocks) AS b, generate_subscripts(blocks, 1) AS i FROM h2) WHERE regexp_matches(b, '[.!?](\\s|$)|[。！？]') AND {_WORDCOUNT.format("b")} >= {T.PROSE_LEAST}),
+h4 AS (SELECT site, arg_min({_cleaned("p")}, i) AS prose FROM h3 WHERE p IS NOT NULL AND NOT {_same(_cleaned("p"), "sn")} GROUP BY site),
+hd AS MATERIALIZED (SELECT h2.site, origin, coalesce({_cleaned("r.title")}, origin) AS project_name, sentence AS site_sentence, prose FROM h2 LEFT JOIN h4 USING (site))"""
+
+
+_LAST = f"regexp_replace(coalesce(list_filter(string_split({_PATH}, '/'), lambda s: s <> '')[-1], ''), '[.][^.]*$', '')"
+_HUMAN = f"array_to_string(list_transform(list_filter(string_split(replace({_LAST}, '_', '-'), '-'), lambda w: w <> ''), lambda w: CASE WHEN w IN ({', '.join(repr(a) for a in T.ACRONYMS)}) THEN upper(w) ELSE upper(w[1]) || lower(w[2:]) END), ' ')"
+_HOST = "regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1)"
+_FIRST = _SENTENCE.format("trim(description)")
+#: Entries with their labels and descriptions (des), and the sites' headers (hd).
+_DESCRIBED = f"""{_DETAIL}, {_HEADER}, des0 AS (SELECT e.site, ord, section, e.url, optional, markdown, description, site_sentence, bp.norm IS NOT NULL AS plate, coalesce({_cleaned("title")}, {_cleaned(_HUMAN.replace("url", "e.url"))}, {_HOST.replace("url", "e.url")}) AS label, CASE WHEN {_WORDCOUNT.format(_FIRST)} <= {T.DESCRIPTION_WORDS} THEN {_FIRST} END AS s0
+  FROM ent e JOIN det USING (site, url) JOIN hd ON hd.site = e.site LEFT JOIN bp ON bp.site = e.site AND bp.norm = lower(trim(regexp_replace(det.description, '\\s+', ' ', 'g')))),
+des AS MATERIALIZED (SELECT site, ord, section, url, optional, markdown, label, CASE WHEN NOT coalesce(trim(description) = '' OR regexp_matches(trim(description), '(…|[.][.][.])$') OR plate OR s IS NULL OR {_PLAIN.format("s")} = {_PLAIN.format("label")} OR {_same("s", "site_sentence")}, true) THEN s END AS description FROM (SELECT *, {_cleaned("s0")} AS s FROM des0))"""
+_COUNTED = "CASE WHEN {0} = 1 THEN '1 page' ELSE {0} || ' pages' END"
+_OPENING = "'# ' || project_name || chr(10) || chr(10) || '> ' || {0} || chr(10) || coalesce(chr(10) || prose || chr(10), '')"
+_LINE = "'- [' || replace(replace(replace(label, '\\', '\\\\'), '[', '\\['), ']', '\\]') || '](' || " + "".join("replace(" for _ in T.TARGET_ESCAPES) + "url" + "".join(f", '{a}', '{b}')" for a, b in T.TARGET_ESCAPES) + " || ')' || coalesce(': ' || description, '')"
+
+
+def _sections(page_bytes: int, full_bytes: int) -> str:
+    """The sections of full texts (pl) with their sizes and whether they are kept, and the texts before them (fh)."""
+    cut_at = f"list_max(list_filter(range(1, {page_bytes + 1}), lambda n: strlen(left(markdown, n)) <= {page_bytes}))"
+    body = f"CASE WHEN strlen(markdown) > {page_bytes} THEN left(markdown, {cut_at}) || chr(10) || chr(10) || '{IX.PAGE_NOTICE.strip()}' ELSE markdown END"
+    quote = f"concat_ws(' ', site_sentence, 'The full text of ' || {_COUNTED.format('n')} || ' from ' || origin || '.')"
+    return f"""{_DESCRIBED}, fh AS (SELECT site, {_OPENING.format(quote)} AS head FROM (SELECT hd.*, coalesce(n, 0) AS n FROM hd LEFT JOIN (SELECT site, count(*) AS n FROM des GROUP BY site) USING (site))),
+b0 AS (SELECT site, ord, label, strlen(markdown) > {page_bytes} AS trimmed, {body} AS body FROM des), b1 AS (SELECT site, ord, trimmed, chr(10) || '## ' || label || chr(10) || chr(10) || CASE WHEN trim(body) = '' THEN '{IX.EMPTY_NOTICE}' ELSE body END || chr(10) AS sec FROM b0),
+pl AS (SELECT site, ord, trimmed, sec, strlen(sec) AS size, strlen(head) + sum(strlen(sec)) OVER (PARTITION BY site ORDER BY ord) AS used FROM b1 JOIN fh USING (site)), kp AS (SELECT *, used <= {full_bytes - IX.RESERVE_BYTES} AS kept FROM pl)"""
+
+
+@query(
+    "t01_render_index",
+    f"""WITH {_DESCRIBED}, ls AS (SELECT site, ord, CASE WHEN lag(section) OVER (PARTITION BY site ORDER BY ord) IS DISTINCT FROM section THEN chr(10) || '## ' || section || chr(10) || chr(10) ELSE '' END || {_LINE} AS line FROM des),
+bd AS (SELECT site, count(*) AS n, string_agg(line, chr(10) ORDER BY ord) AS body FROM ls GROUP BY site), q AS (SELECT hd.*, body, coalesce(site_sentence, 'An index of ' || {_COUNTED.format('coalesce(n, 0)')} || ' from ' || origin || '.') AS quote FROM hd LEFT JOIN bd USING (site))
+SELECT site, {_OPENING.format('quote')} || coalesce(body || chr(10), '') AS llms_txt FROM q""",
+)
 def t01(spark: SparkSession, d: str) -> DataFrame:
     pages = _snap(spark, d)
     described, header = _described(pages)
@@ -467,19 +520,23 @@ def t01(spark: SparkSession, d: str) -> DataFrame:
     return IX.empty_documents(sites, IX.render_index(described, header))
 
 
-@query("t02_render_full_text")
+@query(
+    "t02_render_full_text",
+    f"""WITH {_sections(IX.PAGE_BYTES, IX.FULL_BYTES)}, g AS (SELECT site, coalesce(string_agg(sec, '' ORDER BY ord) FILTER (kept), '') AS body, count(*) FILTER (NOT kept) AS omitted, count(*) FILTER (kept AND trimmed) AS cut FROM kp GROUP BY site)
+SELECT site, head || coalesce(body, '') || CASE WHEN omitted > 0 THEN chr(10) || '_[Truncated: ' || {_COUNTED.format('omitted')} || ' omitted at the {IX.FULL_BYTES // (1024 * 1024)} MB per-run limit.]_' || chr(10) ELSE '' END AS llms_full_txt, coalesce(omitted + cut, 0) AS truncated FROM fh LEFT JOIN g USING (site)""",
+)
 def t02(spark: SparkSession, d: str) -> DataFrame:
     pages = _snap(spark, d)
     described, header = _described(pages)
     return IX.render_full_text(IX.full_text_plan(described, pages, header), described, header)
 
 
-@query("t04_site_header")
+@query("t04_site_header", f"WITH {_SNAP}, {_HEADER} SELECT * FROM hd")
 def t04(spark: SparkSession, d: str) -> DataFrame:
     return IX.site_header(_snap(spark, d))
 
 
-@query("w08_byte_budget")
+@query("w08_byte_budget", f"WITH {_sections(4096, 40_000)} SELECT site, ord, CAST(size AS BIGINT) AS size, trimmed, CAST(used AS BIGINT) AS used, kept FROM kp")
 def w08(spark: SparkSession, d: str) -> DataFrame:
     pages = _snap(spark, d)
     described, header = _described(pages)
@@ -495,12 +552,15 @@ def j01(spark: SparkSession, d: str) -> DataFrame:
     return IX.page_signals(pages, FR.merge_duplicates(c), links)
 
 
-@query("t09_enrich_requests", f"WITH {_DETAIL} SELECT e.site, ord, e.url, length(markdown) > 4000 AS long_body FROM ent e JOIN det USING (site, url) WHERE trim(markdown) <> ''")
+@query(
+    "t09_enrich_requests",
+    f"""WITH {_DETAIL} SELECT e.site, ord, e.url, sha256('URL: ' || e.url || chr(10) || 'Title: ' || coalesce({_cleaned("title")}, '') || chr(10) || 'Description: ' || coalesce({_cleaned("description")}, '') || chr(10) || chr(10) || left(markdown, 4000)) AS prompt
+FROM ent e JOIN det USING (site, url) WHERE trim(markdown) <> ''""",
+)
 def t09(spark: SparkSession, d: str) -> DataFrame:
+    """Prompts of the pages whose URL is theirs alone; of several with one URL the query could take any."""
     pages = _snap(spark, d)
-    rows = IX.enrich_requests(IX.ordered_entries(pages), pages)
-    body = F.regexp_extract("prompt", "(?s)\nDescription: [^\n]*\n\n(.*)$", 1)
-    return rows.join(pages.select("site", "url", F.length("markdown").alias("n")).dropDuplicates(["site", "url"]), ["site", "url"]).select("site", "ord", "url", (F.length(body) < F.col("n")).alias("long_body"))
+    return IX.enrich_requests(IX.ordered_entries(pages), pages).withColumn("prompt", F.sha2("prompt", 256))
 
 
 _RESPONSE = "CASE page_id % 5 WHEN 0 THEN '{\"title\": \" T' || page_id || ' \", \"description\": \"D\"}' WHEN 1 THEN '{\"title\": 7, \"description\": \"\"}' WHEN 2 THEN 'not json' WHEN 3 THEN '{\"description\": \"only\"}' ELSE NULL END"
@@ -531,11 +591,11 @@ def _two_runs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return out[0], out[1]
 
 
-@query("t07_parse_index", f"WITH {_ORDERED} SELECT site, section, url, optional FROM ent")
+@query("t07_parse_index", f"WITH {_DESCRIBED} SELECT site, section, url, label AS title, description, optional FROM des")
 def t07(spark: SparkSession, d: str) -> DataFrame:
     pages = _snap(spark, d)
     described, header = _described(pages)
-    return D.parse_index(IX.render_index(described, header), keys=("site",)).select("site", "section", "url", "optional")
+    return D.parse_index(IX.render_index(described, header), keys=("site",)).select("site", "section", "url", "title", "description", "optional")
 
 
 def _diff_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
