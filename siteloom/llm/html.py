@@ -13,8 +13,10 @@ inside body, where legal lines and the like stand too, only those of at least BE
 What is left out everywhere: menus, headers and footers outside the article, sidebars, notices, adverts,
 forms, scripts, styles and reader comments, by tag, role or names: a class or id that has a word for clutter and
 no word for anything else. Such an element ends where HTML ends it: by its end tag, by that of an element around
-it, or by a new element that implies its end. A form with an article inside, and a block that has no end tag of
-its own, are content.
+it, or by a new element that implies its end. Three kinds are content all the same: a form with an article inside, a block
+that has no end tag of its own, and a form with more unlinked words of its own than all the page has outside of
+clutter, such as the one around a page that a server makes (ten times as many where only a name like menu-item
+marks an element).
 
 Edge cases: a null html is an empty one and gives empty text; a page without containers uses its body or the
 whole page; pages with a null or odd url share the null host; tags may stay open or close out of order;
@@ -25,6 +27,7 @@ replaced; an empty table gives no rows.
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -45,13 +48,16 @@ CONTAINERS = set("html body main article section div td blockquote center".split
 CLUTTER_TAGS = set("nav aside footer form button dialog menu head iframe".split())
 CLUTTER_ROLES = set("navigation banner contentinfo complementary search alert dialog form menu menubar".split())
 CLUTTER_WORDS = set("ad ads adv advert adverts advertisement advertisements advertising banner sponsor sponsored promo promoted promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay subscribe newsletter signup share sharing social related recommended comment comments reply replies disqus respond widget toolbar pagination pager login search skip hidden".split())
+#: Those that can have much text and are never content.
+CERTAIN_WORDS = set("ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored cookie cookies consent gdpr comment comments reply replies disqus respond hidden".split())
+#: So many times the text of all that shows makes an element content that is clutter by another name.
+MOST_OF = 10.0
 #: Words that may stand beside them in a class or id; any other, as in social-science, makes it content.
 NEUTRAL_WORDS = set("a aria area articles background bar block bottom box btn button buttons container content cta dialog div footer form global header holder icon icons in inline inner item items js left link links list main media message modal module mobile nav new off on outer page panel placeholder policy popular post posts primary right row secondary section site slot sticky the top unit up user widgets wrap wrapper".split())
 #: Elements that a new one closes if they stand open in its scope.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}} | dict.fromkeys(("thead", "tbody", "tfoot"), {"thead", "tbody", "tfoot", "tr", "td", "th", "caption"})
-#: Elements that are hidden by mistake only: a form around the article, or a block that is never closed, is read
-#: again as content, up to so many times a page.
-REREAD, ARTICLE_TAGS = 8, set("article main h1".split())
+#: Elements that make a form around them content.
+ARTICLE_TAGS = set("article main h1".split())
 #: Parts of a table, whose scope is the table; a cell is the scope of all else.
 TABLE, CELLS = set("table thead tbody tfoot tr td th caption".split()), set("td th caption table".split())
 #: Unlinked characters from which text in another part of the body counts as the article's.
@@ -74,47 +80,69 @@ def is_clutter_name(name: str) -> bool:
 
 
 class Block:
-    """A run of text between block boundaries: its container's place, its text, and how much of it is linked."""
+    """A run of text between block boundaries: its container's place, the clutter it is in, its text, and how much of it is linked."""
 
-    __slots__ = ("linked", "node", "parts")
+    __slots__ = ("clutter", "linked", "node", "parts")
 
-    def __init__(self, node: int):
-        self.node, self.parts, self.linked = node, [], 0
+    def __init__(self, node: int, clutter: int):
+        self.node, self.clutter, self.parts, self.linked = node, clutter, [], 0
 
 
 class Page:
-    """Nodes (parent, path) and blocks of one page, clutter left out.
+    """Nodes (parent, path) and blocks of one page, read once.
+
+    Clutter is read like all else, and its blocks are marked with the innermost clutter element around them. What
+    was taken for clutter by mistake is content in the end: a form around an article, a block that has no end tag
+    of its own, and an element that holds most of the text that is left when all other clutter is out.
 
     A node's path, the generalised tags and classes from the root, is held as a hash of its parent's path and its
     own name, so that deep pages cost no more than flat ones.
     """
 
     def __init__(self, html: str):
-        self.content: set[int] = set()
-        while (mistaken := self._try(html)) is not None and len(self.content) < REREAD:
-            self.content.add(mistaken)
-
-    def _try(self, html: str) -> int | None:
-        """Reads the page; returns the place of an element that was left out by mistake, if any."""
         self.parents: list[int] = [-1]
         self.paths: list[int] = [0]
         self.tags: list[str] = [""]
         self.blocks: list[Block] = []
-        return self._read(html)
+        #: Clutter elements: the one around each (0: none), and whether it is content after all.
+        self.around: list[int] = [0]
+        self.content: list[bool] = [True]
+        #: How many times as much text as all that shows makes it content.
+        self.least: list[float] = [0.0]
+        self._read(html)
+        self._restore()
+
+    def _restore(self) -> None:
+        """Decides from the outside in what is content: a form with more unlinked text of its own than all that shows,
+        and what is clutter by a vague name alone if it has MOST_OF times as much."""
+        own = [0] * len(self.around)
+        for b in self.blocks:
+            size = len("".join(b.parts).split())
+            own[b.clutter] += size if b.linked * 2 < sum(map(len, b.parts)) else 0
+        shown = [self.content[0]] + [False] * (len(own) - 1)
+        visible = own[0]
+        for k in range(1, len(own)):
+            if not shown[self.around[k]]:
+                continue
+            if self.content[k] or own[k] > self.least[k] * visible:
+                shown[k] = True
+                visible += own[k]
+        self.content = shown
 
     def _attributes(self, text: str) -> dict[str, str]:
         return {m[0].lower(): m[1] or m[2] or m[3] for m in ATTRIBUTE.findall(text)} if "=" in text or "hidden" in text else {}
 
-    def _read(self, html: str) -> int | None:
-        # Open elements: tag, place of the container, articles around; those from `skip` on are clutter, if it isn't 0.
-        stack: list[tuple[str, int, int]] = [("", 0, 0)]
-        skip, links, at, began, rereads = 0, 0, 0, 0, len(self.content) < REREAD
-        block = Block(0)
+    def _read(self, html: str) -> None:
+        # Open elements: tag, place of the container, articles around, innermost clutter; those from `skip` on are clutter, if it isn't 0.
+        stack: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]
+        skip, links, at = 0, 0, 0
+        block = Block(0, 0)
+        endless: set[str] = set()
 
-        def end_block(node: int) -> Block:
+        def end_block() -> Block:
             if block.parts:
                 self.blocks.append(block)
-            return Block(node)
+            return Block(stack[-1][1], stack[-1][3])
 
         def shorten(height: int) -> int:
             """The open elements from a height on end; returns what becomes of skip."""
@@ -122,7 +150,7 @@ class Page:
             return skip if skip < height else 0
 
         def text(piece: str) -> None:
-            if piece and not skip:
+            if piece:
                 block.parts.append(piece)
                 if links:
                     block.linked += len(piece)
@@ -140,68 +168,87 @@ class Page:
                 continue
             if not close:
                 if tag in RAW:
-                    end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+                    end = None if tag in endless else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+                    if not end:
+                        endless.add(tag)
                     at = end.end() if end else (size if tag in ("script", "style", "textarea", "title") else at)
                     if tag != "title":
-                        block = block if tag == "svg" else end_block(block.node)
+                        block = block if tag == "svg" else end_block()
                     continue
                 if tag in BLOCKS and (height := self._implied_end(tag, stack)) < len(stack):
                     skip = shorten(height)
-                    block = end_block(stack[-1][1])
-                _, node, articles = stack[-1]
-                if skip:
-                    if rereads and tag in ARTICLE_TAGS and stack[skip][0] == "form":
-                        return began
-                    if tag not in VOID and not m[3].endswith("/"):
-                        stack.append((tag, node, articles))
-                    continue
+                    block = end_block()
+                _, node, articles, clutter = stack[-1]
+                if tag in ARTICLE_TAGS:
+                    self._found_article(stack)
                 attrs = self._attributes(m[3])
-                if m.start() not in self.content and self._is_clutter(tag, attrs, articles):
+                if self._is_clutter(tag, attrs, articles):
                     if tag not in VOID:
-                        block = end_block(block.node)
-                        skip, began = len(stack), m.start()
-                        stack.append((tag, node, articles))
-                    continue
+                        self.around.append(clutter)
+                        self.content.append(False)
+                        self.least.append(self._least(tag, attrs, articles))
+                        skip = skip or len(stack)
+                        clutter = len(self.around) - 1
+                    else:
+                        continue
                 if tag == "br":
                     text(" ")
                     continue
                 if tag == "a":
                     links += 1
-                if tag in BLOCKS:
-                    if tag in CONTAINERS:
-                        name = tag
-                        if cls := attrs.get("class"):
-                            name += "." + DIGITS.sub("0", cls.split()[0].lower()) if cls.split() else ""
-                        self.parents.append(node)
-                        self.paths.append(xxhash.xxh3_64_intdigest(name, self.paths[node]) >> 1)
-                        self.tags.append(tag)
-                        node = len(self.paths) - 1
-                    block = end_block(node)
-                if tag not in VOID:
-                    stack.append((tag, node, articles + (tag in ("article", "main"))))
+                if tag in CONTAINERS and tag in BLOCKS:
+                    name = tag
+                    if cls := attrs.get("class"):
+                        name += "." + DIGITS.sub("0", cls.split()[0].lower()) if cls.split() else ""
+                    self.parents.append(node)
+                    self.paths.append(xxhash.xxh3_64_intdigest(name, self.paths[node]) >> 1)
+                    self.tags.append(tag)
+                    node = len(self.paths) - 1
+                fresh = tag in BLOCKS or clutter != stack[-1][3]
+                stack.append((tag, node, articles + (tag in ("article", "main")), clutter))
+                if fresh:
+                    block = end_block()
+                if tag in VOID:
+                    stack.pop()
+                elif m[3].endswith("/") and skip and tag not in BLOCKS:
+                    stack.pop()
                 continue
             height = self._open(tag, stack, skip)
-            if tag == "a" and not (skip and height >= skip):
+            if tag == "a":
                 links = max(0, links - 1)
             if height:
-                if rereads and skip > height and self._must_close(stack[skip][0]):
-                    return began
+                self._left_open(stack, height)
                 was, skip = skip, shorten(height)
                 if tag in BLOCKS and not was:
                     links = 0
-                if (tag in BLOCKS or was) and not skip:
-                    block = end_block(stack[-1][1])
-            elif tag in BLOCKS and not skip:
-                block = end_block(stack[-1][1])
-        end_block(0)
-        return began if rereads and skip and self._must_close(stack[skip][0]) else None
+                if tag in BLOCKS or block.clutter != stack[-1][3]:
+                    block = end_block()
+            elif tag in BLOCKS:
+                block = end_block()
+        self._left_open(stack, 0)
+        end_block()
+
+    def _found_article(self, stack: list[tuple[str, int, int, int]]) -> None:
+        """Forms around an article are content."""
+        for tag, _, _, clutter in reversed(stack):
+            if not clutter or self.content[clutter]:
+                return
+            if tag == "form":
+                self.content[clutter] = True
+
+    def _left_open(self, stack: list[tuple[str, int, int, int]], height: int) -> None:
+        """Clutter above an element that ends lacks its own end tag: blocks of that kind are content."""
+        for k in range(height + 1, len(stack)):
+            tag, _, _, clutter = stack[k]
+            if clutter and clutter != stack[k - 1][3] and self._must_close(tag):
+                self.content[clutter] = True
 
     @staticmethod
     def _must_close(tag: str) -> bool:
         return tag in BLOCKS and tag != "p" and tag not in CLOSES
 
     @staticmethod
-    def _implied_end(tag: str, stack: list[tuple[str, int, int]]) -> int:
+    def _implied_end(tag: str, stack: list[tuple[str, int, int, int]]) -> int:
         """The height to which a new block element ends open ones whose end tag may be left out."""
         closes, height = CLOSES.get(tag, ()), len(stack)
         for k in range(len(stack) - 1, 0, -1):
@@ -213,7 +260,7 @@ class Page:
         return height
 
     @staticmethod
-    def _open(tag: str, stack: list[tuple[str, int, int]], skip: int) -> int:
+    def _open(tag: str, stack: list[tuple[str, int, int, int]], skip: int) -> int:
         """The height of the element that an end tag ends, 0 if there is none: any inside clutter, else one in scope."""
         for k in range(len(stack) - 1, 0, -1):
             name = stack[k][0]
@@ -232,10 +279,20 @@ class Page:
             return tag not in ("html", "body")
         return tag not in ("html", "body", "article", "main") and any(map(is_clutter_name, f"{attrs.get('class', '')} {attrs.get('id', '')}".split()))
 
+    @staticmethod
+    def _least(tag: str, attrs: dict[str, str], in_article: int) -> float:
+        if tag == "form":
+            return 1.0
+        named = {w.lower() for w in SPLIT.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}")}
+        certain = tag in CLUTTER_TAGS or tag == "header" and not in_article or not any(map(is_clutter_name, f"{attrs.get('class', '')} {attrs.get('id', '')}".split()))
+        return math.inf if certain or named & CERTAIN_WORDS else MOST_OF
+
     def clean(self) -> list[tuple[int, str, int]]:
         """(node, text, linked) of the blocks with text."""
         out = []
         for b in self.blocks:
+            if not self.content[b.clutter]:
+                continue
             t = " ".join(entities.unescape("".join(b.parts)).split())
             if t:
                 out.append((b.node, t, b.linked))

@@ -8,6 +8,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -304,6 +305,29 @@ def test_html_whole_article(spark, page, want):
     assert got == want.replace(" ", "\n").replace("_", " ")
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<body><form action='/x'><div id=m><p>Server pages put all in a form.</p><nav><a href=a>Menu</a></nav><p>Short.</p></div><input name=q></form></body>", "Server pages put all in a form.\nShort."),
+        ("<body><div class='menu-item'><p>" + "The only long paragraph of the page. " * 4 + "</p></div></body>", ("The only long paragraph of the page. " * 4).strip()),
+        ("<body><article><p>A short article.</p></article><div class='comments'>" + "<p>A reader says a lot about it all.</p>" * 9 + "</div></body>", "A short article."),
+        ("<body><article><p>A short article.</p></article><div class='cookie-consent'>" + "We keep things on your machine. " * 30 + "</div></body>", "A short article."),
+        ("<body><main>" + "".join(f"<form><h1>Title {k}</h1><p>Text {k}.</p></form>" for k in range(12)) + "</main></body>", "\n".join(f"Title {k}\nText {k}." for k in range(12))),
+        ("<body><article><h1>T</h1><form><p>Sign up here, it is free.</p></form><p>Text of the article, longer than the form's.</p></article></body>", "T\nText of the article, longer than the form's."),
+    ],
+)
+def test_html_mistaken_clutter(spark, page, want):
+    got = html.extract_pages(spark.createDataFrame([("https://h.io/a", page)], "url string, html string")).first()
+    assert got["text"] == want
+
+
+def test_html_tags_that_never_close_take_linear_time():
+    began = time.monotonic()
+    for tag in ("select", "svg", "noscript", "form", "div class=ad", "nav"):
+        html.Page(f"<p>x</p>{f'<{tag}>' * 20_000}<p>end</p>")
+    assert time.monotonic() - began < 20
+
+
 def test_html_deep_long_and_clashing(spark):
     deep = "<div>" * 20_000 + "deep text here" + "</div>" * 20_000
     long = "<article>" + "".join(f"<p>line {k} of a very long page</p>" for k in range(60_000)) + "</article>"
