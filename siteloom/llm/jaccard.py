@@ -10,11 +10,11 @@ threshold share a prefix shingle. Relations between sets then skip most of the w
   left must share so many shingles of their prefixes as the threshold implies.
 - Answer level: each list has a pivot set, to which all its sets are compared first (one comparison a set). As
   1 - Jaccard is a metric, the pivot's answers give those of the sets near it: two sets whose distances to the
-  pivot differ by more than the limit cannot link, and two that both link to the pivot are connected already.
-  Only pairs that neither bound decides are compared.
+  pivot differ by more than the limit cannot link, and those that the pivots' links connect, in whatever list,
+  are connected already. Only pairs that neither decides are compared.
 
 Comparisons are exact intersections of whole sets. Components come from iterated smallest labels. The links
-found are enough to connect what is linked, not all of them: two sets that both link to a pivot need no own link.
+found are enough to connect what is linked, not all of them: sets that are connected over pivots need no own link.
 Keys that hold a large share of a join's rows (a much copied text, a pivot, a hub) are salted.
 
 Edge cases: null texts and texts without words have an empty set and link with nothing; a text with fewer
@@ -173,8 +173,13 @@ def plausible(pairs: DataFrame, index: DataFrame, num: int, den: int) -> DataFra
     return both.where(most.cast("long") * (num + den) >= (F.col("na") + F.col("nb")).cast("long") * num).select("a", "b")
 
 
-def links(docs: DataFrame, index: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) that connect all linked nodes: each link, or a chain over a pivot."""
+def linked_components(docs: DataFrame, index: DataFrame, k: int, num: int, den: int, more: DataFrame) -> DataFrame:
+    """(node, component) of all nodes that are linked, by sets or by the edges `more` (a, b).
+
+    Links to pivots make first components. Whatever lies in one of these is connected already, so that pairs are
+    formed only between different ones, in the lists that hold several; a group of near copies, whose lists lie
+    within it, forms none. Further links then join whole components.
+    """
     lists = index.select("node", "n", F.posexplode("tokens").alias("pos", "token"))
     shared = lists.groupBy("token").agg(F.count("*").alias("entries"), F.min(F.struct("node", "n")).alias("p")).where("entries > 1")
     shared = materialize(lists.join(shared.select("token", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), "entries"), "token"), "lists")
@@ -192,25 +197,30 @@ def links(docs: DataFrame, index: DataFrame, k: int, num: int, den: int) -> Data
     # In long lists the distance to the pivot is worth knowing whatever it is: it keeps far pairs apart below.
     long = shared.where((F.col("node") != F.col("pivot")) & (F.col("entries") >= LONG_LIST)).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     near = materialize(verified(plausible(to_pivot, index, num, den).union(long).distinct(), "pivot-pairs"), "pivots")
-    dist = near.select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("inter") / F.col("total")).alias("d"), "linked")
-    known = shared.where("node <> pivot").join(dist.hint("merge"), ["node", "pivot"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
+    first = components(near.where("linked").select("a", "b").union(more))
+    dist = near.select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("inter") / F.col("total")).alias("d"))
+    known = shared.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = known.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
+    known = salted_join(materialize(known, "labelled-lists"), mixed, "token").join(dist.hint("merge"), ["node", "pivot"], "left")
     known = known.withColumn("bucket", F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) + eps))
-    x = known.select("token", "bucket", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "pos", "d", "linked")])
-    y = known.select("token", F.explode(F.array(F.col("bucket"), F.col("bucket") - 1)).alias("bucket"), *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "pos", "d", "linked")])
+    names = ("node", "n", "pos", "d", "component")
+    x = known.select("token", "bucket", *[F.col(c).alias(f"x_{c}") for c in names])
+    y = known.select("token", F.explode(F.array(F.col("bucket"), F.col("bucket") - 1)).alias("bucket"), *[F.col(c).alias(f"y_{c}") for c in names])
     need = (F.col("x_n") + F.col("y_n")) * F.lit(num / (num + den)) - eps
     # A pair is met at the first shingle that its prefixes share; what follows must suffice from there.
     undecided = (
-        ((F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_node") < F.col("y_node"))))
+        (F.col("x_component") != F.col("y_component"))
+        & ((F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_node") < F.col("y_node"))))
         & (F.col("x_n") * den >= F.col("y_n") * num)
         & (F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) >= need)
         & F.coalesce(F.abs(F.col("x_d") - F.col("y_d")) <= limit + eps, F.lit(True))
     )
-    # Two sets that both link to the pivot are connected: such pairs are never formed.
-    one = x.where(~F.col("x_linked")).join(y.hint("merge"), ["token", "bucket"]).where(undecided)
-    two = x.where("x_linked").join(y.where(~F.col("y_linked")).hint("merge"), ["token", "bucket"]).where(undecided)
-    pairs = one.union(two).select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
-    far = verified(plausible(pairs, index, num, den), "other-pairs")
-    return near.where("linked").select("a", "b").union(far.where("linked").select("a", "b"))
+    pairs = x.join(y.hint("merge"), ["token", "bucket"]).where(undecided).select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
+    far = verified(plausible(pairs, index, num, den), "other-pairs").where("linked").select("a", "b")
+    label = lambda edges, at: edges.join(first.select(F.col("node").alias(at), F.col("component").alias(f"{at}_label")), at, "left").withColumn(at, F.coalesce(f"{at}_label", at)).drop(f"{at}_label")
+    whole = components(label(label(far, "a"), "b"))
+    nodes = first.union(whole.select("node", "node")).groupBy("node").agg(F.min("component").alias("component"))
+    return nodes.join(whole.select(F.col("node").alias("component"), F.col("component").alias("joined")), "component", "left").select("node", F.coalesce("joined", "component").alias("component"))
 
 
 def near_duplicate_classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -223,10 +233,9 @@ def near_duplicate_classes(docs: DataFrame, k: int = 5, num: int = 4, den: int =
     copies = rows.where("doc_id is not null").select("doc_id").distinct().join(group.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_anti")
     reps = docs.where("doc_id is not null").join(bounded_broadcast(copies, MAX_BROADCAST), "doc_id", "left_anti")
     index = materialize(prefixes(reps.select(F.col("doc_id").alias("node"), "text"), sketch(signed), k, num, den), "index")
-    edges = links(docs, index, k, num, den)
     repeats = rows.where("sig is not null and doc_id is not null").groupBy("doc_id").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("doc_id")
     same = rows.join(repeats, "doc_id", "left_semi").join(group, "sig").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    found = components(edges.union(same))
+    found = linked_components(docs, index, k, num, den, same)
     classes = group.join(found, "node", "left").select("sig", F.coalesce("component", "node").alias("class"))
     out = salted_join(rows, classes, "sig", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("component_id"))
