@@ -83,3 +83,21 @@ def test_last_values(spark, rows):
             want[r[2]] = (held, before)
             held, before = (r[2] if r[3] % 7 == 0 else held), r[3]
     assert got == want
+
+
+def test_released_tables_are_gone(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "application_folder", lambda _: f"file://{tmp_path}/app")
+    made = tables.cut(spark.range(5).toDF("x"), "t")
+    assert made.count() == 5 and list((tmp_path / "app").iterdir())
+    tables.release(spark)
+    assert not (tmp_path / "app").exists()
+    tables.release(spark)
+
+
+def test_a_cluster_must_name_the_shared_folder():
+    class Cluster:
+        conf = {}
+        sparkContext = type("Context", (), {"master": "spark://host:7077", "applicationId": "app"})  # noqa: N815
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        tables.application_folder(Cluster)

@@ -407,9 +407,9 @@ def test_windows():
 
 
 def test_native_plans_hold_no_python(spark, sf_dir):
-    for name in ("a01_merge_duplicates", "j02_robots_allowed", "a07_bucket_stats", "t05_extract_links"):
+    for name in ("a01_merge_duplicates", "j02_robots_allowed", "a07_bucket_stats", "t05_extract_links", "t06_extract_content"):
         plan = catalog.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
-        assert "Python" not in plan and "Arrow" not in plan, name
+        assert "Python" not in plan and "Pandas" not in plan and "InArrow" not in plan, name
 
 
 def test_every_oracle_has_its_query():
