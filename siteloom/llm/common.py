@@ -1,9 +1,7 @@
-"""Helpers shared by the training-data operators."""
+"""Helpers shared by the training-data operators; their tables lie in the application's folder (siteloom.tables)."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siteloom.tables import cut as materialize
+from siteloom.tables import shared_folder as shared_dir
+
 #: Rows and bytes in one Arrow batch. Texts can be long, so batches stay short.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
@@ -26,27 +27,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder URI under the cluster's shared checkpoint folder.
-
-    Where spark.checkpoint.dir is unset, a temporary folder is made and set on a local master; a cluster must name one.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: cuts lineage, survives lost executors."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def held_out(doc_id: str = "doc_id") -> Column:
     """True where crc32 of the id's decimal text is divisible by 5; such rows are never learned from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
