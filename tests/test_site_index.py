@@ -551,3 +551,20 @@ def test_scans_read_the_chosen_runs_folders_alone(spark, tmp_path):
 
     files = [n for n in scans(got._jdf.queryExecution().executedPlan().executedPlan()) if n]
     assert max(files) <= 8 < 10 < len(S.pages_scan(spark, path).inputFiles()), files
+
+
+def pages_of_three_urls(spark):
+    """400 pages of three URLs, with ids that descend as titles ascend; every other one has neither text nor body."""
+    rows = [("s", "https://s.io", f"https://s.io/p{k % 3}", f"T{k:03}", None if k % 2 else f"Says {k % 3}.", " " if k % 2 else "x" * 300 + f"{k // 6}-{k % 3}", 200, k % 2 == 1, False, k / 400, None, 400 - k) for k in range(400)]
+    return spark.createDataFrame(rows, "site string, origin string, url string, title string, description string, markdown string, status int, is_empty boolean, linked_from_seed boolean, priority double, lastmod timestamp, page_id long").repartition(7)
+
+
+def test_pages_of_one_url_give_the_first_by_id(spark):
+    pages = pages_of_three_urls(spark)
+    entries = IX.ordered_entries(pages)
+    scores = {r["fp"]: r["best"] for r in IX.scored(pages).groupBy("fp").agg(F.max("score").alias("best")).collect()}
+    assert sorted(scores.values()) == sorted(r["score"] for r in entries.collect())
+    described = IX.described_entries(entries, pages, IX.site_header(pages))
+    assert {(r["url"], r["label"], r["description"]) for r in described.collect()} == {("https://s.io/p1", "T397", None), ("https://s.io/p2", "T398", None), ("https://s.io/p0", "T399", None)}
+    plan = IX.full_text_plan(described, pages, IX.site_header(pages)).join(described, ["site", "ord"])
+    assert {(r["url"], r["trimmed"], IX.EMPTY_NOTICE in r["body_section"], "x66" in r["body_section"]) for r in plan.collect()} == {("https://s.io/p1", False, True, False), ("https://s.io/p2", False, False, True), ("https://s.io/p0", False, True, False)}
