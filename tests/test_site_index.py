@@ -568,3 +568,9 @@ def test_pages_of_one_url_give_the_first_by_id(spark):
     assert {(r["url"], r["label"], r["description"]) for r in described.collect()} == {("https://s.io/p1", "T397", None), ("https://s.io/p2", "T398", None), ("https://s.io/p0", "T399", None)}
     plan = IX.full_text_plan(described, pages, IX.site_header(pages)).join(described, ["site", "ord"])
     assert {(r["url"], r["trimmed"], IX.EMPTY_NOTICE in r["body_section"], "x66" in r["body_section"]) for r in plan.collect()} == {("https://s.io/p1", False, True, False), ("https://s.io/p2", False, False, True), ("https://s.io/p0", False, True, False)}
+
+
+def test_boilerplate_reads_the_first_page_that_is_described(spark):
+    pages = pages_of_three_urls(spark).withColumn("description", F.when(F.col("description").isNotNull(), F.when(F.col("page_id") > 10, "Later ones.").otherwise(F.col("description"))))
+    entries = IX.ordered_entries(pages)
+    assert {r["norm"] for r in IX.boilerplate(entries, pages).collect()} == {"says 0.", "says 1.", "says 2."}
