@@ -574,3 +574,10 @@ def test_boilerplate_reads_the_first_page_that_is_described(spark):
     pages = pages_of_three_urls(spark).withColumn("description", F.when(F.col("description").isNotNull(), F.when(F.col("page_id") > 10, "Later ones.").otherwise(F.col("description"))))
     entries = IX.ordered_entries(pages)
     assert {r["norm"] for r in IX.boilerplate(entries, pages).collect()} == {"says 0.", "says 1.", "says 2."}
+
+
+def test_requests_ask_about_the_first_page_that_has_a_body(spark):
+    pages = pages_of_three_urls(spark)
+    entries = IX.ordered_entries(pages)
+    asked = IX.enrich_requests(entries, pages).collect()
+    assert len(asked) == entries.count() and {(r["url"], r["prompt"].split("\n")[1]) for r in asked} == {("https://s.io/p0", "Title: T396"), ("https://s.io/p1", "Title: T394"), ("https://s.io/p2", "Title: T398")}
