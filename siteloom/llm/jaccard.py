@@ -12,6 +12,9 @@ threshold share a prefix shingle. Relations between sets then skip most of the w
   1 - Jaccard is a metric, the pivot's answers give those of the sets near it: two sets whose distances to the
   pivot differ by more than the limit cannot link, and those that the pivots' links connect, in whatever list,
   are connected already. Only pairs that neither decides are compared.
+- Set level: a set carries the parities of its shingles in 512 places. Two sets differ in at least as many
+  shingles as their parities differ in places, so that pairs of texts that share a common passage only are told
+  apart where lists are joined; none that links is lost.
 
 Comparisons are exact intersections of whole sets. Components come from iterated smallest labels. The links
 found are enough to connect what is linked, not all of them: sets that are connected over pivots need no own link.
@@ -39,6 +42,8 @@ from siteloom.llm.common import bounded_broadcast, hash_words, materialize, ngra
 #: The sketch: counts of 2^20 buckets in 16 blocks.
 SKETCH_BITS, SKETCH_BLOCKS = 20, 16
 BLOCK = (1 << SKETCH_BITS) // SKETCH_BLOCKS
+#: Places of the parities, in words of 64 bits.
+PARITY_BITS, PARITY_WORDS = 512, 8
 #: Ids that may be broadcast; more are joined by a shuffle.
 MAX_BROADCAST = 500_000
 #: Lists of so many sets and more have all their distances to the pivot measured.
@@ -98,25 +103,33 @@ def sketch(signed: DataFrame) -> np.ndarray:
     return out
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """The parities of how many shingles fall into each place, as words."""
+    counts = np.bincount((s & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def prefixes(sets: DataFrame, counts: np.ndarray, k: int, num: int, den: int) -> DataFrame:
-    """(node, n, tokens) of each (node, text): the set's size and its rarest n - ceil(t n) + 1 shingles in order."""
+    """(node, n, tokens, parity) of each (node, text): the set's size, its rarest n - ceil(t n) + 1 shingles in order, and its parities."""
     share = sets.sparkSession.sparkContext.broadcast(counts)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq = share.value
         for b in batches:
-            size, rare = [], []
+            size, rare, bits = [], [], []
             for text in b.column("text").to_pylist():
                 s = shingles(text, k)
                 n = len(s)
                 m = n - -(-num * n // den) + 1 if n else 0
                 size.append(n)
+                bits.append(parity(s))
                 rare.append(s[np.lexsort((s, freq[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))[:m]].view(np.int64))
             ends = np.cumsum([0, *map(len, rare)]).astype(np.int32)
             tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rare) if rare else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(size, pa.int32()), tokens], ["node", "n", "tokens"])
+            words = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(bits) + 1) * PARITY_WORDS, PARITY_WORDS, dtype=np.int32)), pa.array(np.concatenate(bits) if bits else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(size, pa.int32()), tokens, words], ["node", "n", "tokens", "parity"])
 
-    return sets.mapInArrow(index, "node long, n int, tokens array<long>").where("n > 0")
+    return sets.mapInArrow(index, "node long, n int, tokens array<long>, parity array<long>").where("n > 0")
 
 
 def whole_sets(sets: DataFrame, k: int) -> DataFrame:
@@ -203,16 +216,19 @@ def linked_components(docs: DataFrame, index: DataFrame, k: int, num: int, den:
     mixed = known.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     known = salted_join(materialize(known, "labelled-lists"), mixed, "token").join(dist.hint("merge"), ["node", "pivot"], "left")
     known = known.withColumn("bucket", F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) + eps))
-    names = ("node", "n", "pos", "d", "component")
+    known = salted_join(materialize(known, "mixed-lists"), index.select("node", "parity"), "node")
+    names = ("node", "n", "pos", "d", "component", "parity")
     x = known.select("token", "bucket", *[F.col(c).alias(f"x_{c}") for c in names])
     y = known.select("token", F.explode(F.array(F.col("bucket"), F.col("bucket") - 1)).alias("bucket"), *[F.col(c).alias(f"y_{c}") for c in names])
     need = (F.col("x_n") + F.col("y_n")) * F.lit(num / (num + den)) - eps
+    differ = sum((F.bit_count(F.col("x_parity")[i].bitwiseXOR(F.col("y_parity")[i])) for i in range(PARITY_WORDS)), F.lit(0))
     # A pair is met at the first shingle that its prefixes share; what follows must suffice from there.
     undecided = (
         (F.col("x_component") != F.col("y_component"))
         & ((F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_node") < F.col("y_node"))))
         & (F.col("x_n") * den >= F.col("y_n") * num)
         & (F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) >= need)
+        & (differ * (num + den) <= (F.col("x_n") + F.col("y_n")) * (den - num))
         & F.coalesce(F.abs(F.col("x_d") - F.col("y_d")) <= limit + eps, F.lit(True))
     )
     pairs = x.join(y.hint("merge"), ["token", "bucket"]).where(undecided).select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()

@@ -531,3 +531,15 @@ def test_pipeline(spark, sf_dir):
 def test_registered_queries_run(spark, sf_dir):
     for name, query in registered.queries().items():
         assert query(spark, sf_dir).limit(1).count() == 1, name
+
+
+def test_parities_tell_far_sets_apart_and_no_near_ones():
+    rng = np.random.default_rng(3)
+    apart = lambda a, b: sum(int(x).bit_count() for x in jaccard.parity(a).view(np.uint64) ^ jaccard.parity(b).view(np.uint64))
+    for n in (3, 40, 300, 900):
+        base = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        other = np.concatenate([base[: n // 3], rng.integers(0, 1 << 63, n - n // 3, dtype=np.uint64)])
+        assert apart(base, other) * 9 > 2 * n or n < 10
+        for gone in range(0, n // 2, max(1, n // 7)):
+            near = base[gone:]
+            assert apart(base, near) <= gone
