@@ -369,6 +369,7 @@ def _arriving(spark: SparkSession, df: DataFrame, order: str, catch_up: Callable
 
     A part has as many files as it has partitions, and is one micro-batch; the query resumes from its checkpoint.
     """
+    df = cut(df, "arriving")  # the parts are read one by one, and no two of them may see different rows
     path = shared_folder(spark, "stream")
     lo, hi = df.agg(F.min(order), F.max(order)).first()
     if lo is None:
@@ -425,7 +426,7 @@ def x05(spark: SparkSession, d: str) -> DataFrame:
 
 @query("x08_policy_filter", f"WITH {_NORM} SELECT DISTINCT site, norm_url FROM k WHERE norm_url IS NOT NULL AND NOT starts_with(path, '/fr/') AND NOT contains(norm_url, '?page=') AND (starts_with(path || CASE WHEN query <> '' THEN '?' || query ELSE '' END, '/en/2') AND NOT regexp_matches(path || CASE WHEN query <> '' THEN '?' || query ELSE '' END, '^/en/.*5$') OR NOT starts_with(path, '/en/') OR NOT regexp_matches(path || CASE WHEN query <> '' THEN '?' || query ELSE '' END, '5$'))")
 def x08(spark: SparkSession, d: str) -> DataFrame:
-    rows = inputs.candidates(spark, d).select("site", U.normalize_url("url").alias("norm_url"), "page_id").where("norm_url is not null").dropDuplicates(["site", "norm_url"])
+    rows = inputs.candidates(spark, d).select("site", U.normalize_url("url").alias("norm_url"), "page_id").where("norm_url is not null").groupBy("site", "norm_url").agg(F.min("page_id").alias("page_id"))
     rules, _ = PO.robots_rules(_bodies(spark, d), "siteloom")
     return _to_end(spark, rows, "page_id", lambda s: ST.policy_filter(s, rules)).select("site", "norm_url")
 
