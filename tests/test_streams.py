@@ -5,7 +5,10 @@ from __future__ import annotations
 import random
 import time
 from pathlib import Path
+from types import SimpleNamespace
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,6 +105,73 @@ def test_quota_is_a_rolling_day(spark, tmp_path):
     assert steps(ET.Quota(2), by_hand, 99 * HOUR) == [(1, 1, True), (2, 2, True), (3, 2, False), (5, 2, True), (6, 2, False), (7, 2, True)]
 
 
+class Handle:
+    """A state store of one part in memory, which counts the calls."""
+
+    def __init__(self):
+        self.calls, self.timers = 0, set()
+
+    def getListState(self, name, schema):  # noqa: N802
+        return Cell(self, [])
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return Cell(self, None)
+
+    def registerTimer(self, ms):  # noqa: N802
+        self.calls += 1
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):  # noqa: N802
+        self.calls += 1
+        self.timers.remove(ms)
+
+
+class Cell:
+    def __init__(self, handle, empty):
+        self.handle, self.empty, self.value = handle, empty, empty
+
+    def get(self):
+        self.handle.calls += 1
+        return self.value
+
+    def put(self, value):
+        self.handle.calls += 1
+        self.value = value
+
+    update = put
+
+    def appendList(self, rows):  # noqa: N802
+        self.put([*self.value, *rows])
+
+    def clear(self):
+        self.put(self.empty)
+
+
+def test_keys_of_a_part_share_the_calls_of_its_state():
+    columns = pa.schema([(ET.KEY, pa.string()), ("us", pa.int64()), ("tie", pa.int64()), ("id", pa.int64())])
+    rows = [(f"={n % 300}", HOUR * (n // 300 + 1), n, n) for n in range(900)]
+    handle, clock = Handle(), SimpleNamespace(getCurrentWatermarkInMs=lambda: 2 * HOUR // 1000)
+    part = ET.InOrder(ET.Quota(1), columns)
+    part.init(handle)
+    for half in (rows[450:], rows[:450]):
+        assert list(part.handleInputRows((0,), iter([pd.DataFrame(half, columns=columns.names)]), clock)) == []
+    assert handle.timers == {HOUR // 1000}
+    handle.timers.clear()
+    (made,) = part.handleExpiredTimer((0,), clock, None)
+    assert sorted(made.itertuples(index=False, name=None)) == sorted((k, i, 1, us == HOUR) for k, us, i, _ in rows if us <= 2 * HOUR)
+    assert handle.timers == {3 * HOUR // 1000} and handle.calls < 25
+
+
+def test_event_time_keeps_keys_as_they_are(spark, tmp_path):
+    """Text keys, an empty one and a null one, with all of them in one part."""
+    keys = ["", None, "=", "a b"]
+    rows = [(keys[n % 4], n, HOUR * (n + 1)) for n in range(40)]
+    make = lambda s, delay: ET.in_event_time(s, "user_id", "started_at", "id", ET.Quota(2), delay, parts=1)
+    got, settled = stream_in_event_time(spark, tmp_path, rows, "user_id string, id long, us long", "started_at", make, 5)
+    want = [(u, *r) for u in keys for r in steps(ET.Quota(2), [(us, i, i) for user, i, us in rows if user == u], settled)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_session_setting_comes_back(spark):
     before = spark.conf.get(ET.STORE, None)
     with ET.ordered_state(spark):
