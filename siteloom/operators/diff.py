@@ -111,13 +111,15 @@ def history_diffs(runs: DataFrame, hashes: DataFrame) -> DataFrame:
 
     runs: (site, run_id, started_at, status, llms_txt, urls_discovered, enrich_applied, hashed); hashed says
     whether the run's content hashes were kept. hashes: (site, run_id, key, hash). Each artifact is parsed once;
-    a run's entries stand under its own number and, as the other side, under the next completed run's.
+    a run's entries stand under its own number and, as the other side, under the next completed run's. So do its
+    hashes, which are derived once.
     """
     pairs = cut(history_pairs(runs), "pairs")
     entries = cut(parse_index(pairs.select("site", "run_id", "llms_txt")), "entries")
     as_previous = pairs.where("previous is not null").select("site", F.col("previous.run_id").alias("run_id"), F.col("run_id").alias("next"))
     carry = lambda rows: rows.join(as_previous, ["site", "run_id"]).drop("run_id").withColumnRenamed("next", "run_id")
     compared = pairs.where("previous is not null").select("site", "run_id")
+    hashes = cut(hashes, "hashes")
     now = entries.join(compared, ["site", "run_id"], "left_semi")
     flat = pairs.select(
         "site", "run_id", F.col("llms_txt").alias("current"), F.col("previous.llms_txt").alias("previous"), "urls_discovered", F.col("previous.urls_discovered").alias("previous_urls_discovered"),

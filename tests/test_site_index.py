@@ -510,6 +510,22 @@ def test_diffs_of_a_history(spark):
     assert D.history_diffs(frame.limit(0), hashes).collect() == []
 
 
+def test_hashes_of_a_history_are_derived_once(spark):
+    text = "# s\n\n> S.\n\n## Docs\n\n- [A](https://s.io/a)\n"
+    runs = spark.createDataFrame([("s", k, text, 1, True, True) for k in (1, 2, 3)], "site string, run_id long, llms_txt string, urls_discovered long, enrich_applied boolean, hashed boolean")
+    runs = runs.select("*", F.timestamp_seconds("run_id").alias("started_at"), F.lit("completed").alias("status"))
+    derived = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(h):
+        derived.add(1)
+        return h
+
+    hashes = spark.createDataFrame([("s", k, "https://s.io/a", str(k)) for k in (1, 2, 3)], "site string, run_id long, key string, hash string").withColumn("hash", counted("hash"))
+    got = D.history_diffs(runs, hashes).select("run_id", "content_changed").collect()
+    assert sorted(map(tuple, got)) == [(1, None), (2, 1), (3, 1)] and derived.value == 3
+
+
 def test_sql_functions_equal_the_column_functions(spark):
     from siteloom.functions import sql
 
