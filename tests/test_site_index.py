@@ -597,3 +597,11 @@ def test_requests_ask_about_the_first_page_that_has_a_body(spark):
     entries = IX.ordered_entries(pages)
     asked = IX.enrich_requests(entries, pages).collect()
     assert len(asked) == entries.count() and {(r["url"], r["prompt"].split("\n")[1]) for r in asked} == {("https://s.io/p0", "Title: T396"), ("https://s.io/p1", "Title: T394"), ("https://s.io/p2", "Title: T398")}
+
+
+@pytest.mark.parametrize("twice", [False, True])
+def test_a_root_page_without_a_body_does_not_stand_before_its_like(spark, twice):
+    """As the SQL's min over structs does: null comes last."""
+    rows = [("s", "https://s.io", "https://s.io/", None, None, body) for body in ([None, "# Head\n\nFirst words stand here.", "Zs come last."] if twice else [None])]
+    pages = spark.createDataFrame(rows, "site string, origin string, url string, title string, description string, markdown string").repartition(3)
+    assert [(r["project_name"], r["site_sentence"]) for r in IX.site_header(pages).collect()] == [("https://s.io", "First words stand here." if twice else None)]
