@@ -605,3 +605,13 @@ def test_a_root_page_without_a_body_does_not_stand_before_its_like(spark, twice)
     rows = [("s", "https://s.io", "https://s.io/", None, None, body) for body in ([None, "# Head\n\nFirst words stand here.", "Zs come last."] if twice else [None])]
     pages = spark.createDataFrame(rows, "site string, origin string, url string, title string, description string, markdown string").repartition(3)
     assert [(r["project_name"], r["site_sentence"]) for r in IX.site_header(pages).collect()] == [("https://s.io", "First words stand here." if twice else None)]
+
+
+def test_label_and_body_are_one_pages_also_where_ids_repeat(spark):
+    """Title, description and body of a URL are one row's in the SQL: the first title does not meet the first body."""
+    pages = pages_of_three_urls(spark).withColumn("page_id", F.lit(1).cast("long")).withColumn("markdown", F.concat(F.lit(1000) - F.substring("title", 2, 3).cast("int"), F.lit(" is the body of "), F.col("title"), F.lpad(F.lit("."), 300, "."))).withColumn("is_empty", F.lit(False))
+    header = IX.site_header(pages)
+    described = IX.described_entries(IX.ordered_entries(pages), pages, header)
+    plan = IX.full_text_plan(described, pages, header).join(described, ["site", "ord"])
+    got = plan.select("url", "label", F.regexp_extract("body_section", "body of (T[0-9]+)", 1).alias("body")).distinct().collect()
+    assert {tuple(r) for r in got} == {(f"https://s.io/p{k}", f"T00{k}", f"T00{k}") for k in range(3)}
