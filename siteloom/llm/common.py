@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from siteloom.tables import cut as materialize
 from siteloom.tables import shared_folder as shared_dir
+from siteloom.tables import spent
 
 #: Rows and bytes in one Arrow batch. Texts can be long, so batches stay short.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
@@ -71,6 +72,41 @@ def bounded_broadcast(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+#: A filter has so many bits for each id, between these powers of two (at most 128 MB), in blocks of 2^15 bits.
+BITS_AN_ID, LEAST_BITS, MOST_BITS, BLOCK_BITS = 16, 20, 30, 15
+
+
+def sieved(rows: DataFrame, key: str, ids: DataFrame, flag: str) -> DataFrame:
+    """rows with a flag that is true wherever the key is among ids (one column), and by chance elsewhere."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (ids.count() * BITS_AN_ID).bit_length()))
+    place = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - bits)
+    block, at, found = "_siteloom_block", "_siteloom_at", "_siteloom_bits"
+    blocks = ids.select(place(F.col(ids.columns[0]).cast("long")).alias(at)).groupBy(F.shiftright(at, BLOCK_BITS).alias(block)).agg(F.bitmap_construct_agg(F.col(at) % (1 << BLOCK_BITS)).alias(found))
+    placed = rows.withColumn(at, place(F.col(key).cast("long"))).withColumn(block, F.shiftright(at, BLOCK_BITS)).withColumn(at, (F.col(at) % (1 << BLOCK_BITS)).cast("int"))
+    byte = F.conv(F.hex(F.substring(found, F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.col(key).isNotNull() & F.coalesce(F.getbit(byte, F.col(at) % 8) == 1, F.lit(False))
+    return placed.join(F.broadcast(blocks), block, "left").select(*rows.columns, hit.alias(flag))
+
+
+def passing(rows: DataFrame, key: str, ids: DataFrame, limit: int) -> DataFrame:
+    """The rows whose key is among ids (one column, repeats are fine), with at most `limit` distinct ids; with more,
+    a few others too: a filter of bits decides, so that rows are never shuffled."""
+    ids = ids.toDF("_siteloom_id").distinct()
+    if ids.limit(limit + 1).count() <= limit:
+        return rows.join(F.broadcast(ids), F.col(key) == F.col("_siteloom_id"), "left_semi")
+    return sieved(rows, key, ids, "_siteloom_hit").where("_siteloom_hit").drop("_siteloom_hit")
+
+
+def without(rows: DataFrame, key: str, ids: DataFrame, limit: int) -> DataFrame:
+    """The rows whose key is not among ids (one column); with more than `limit` ids only rows that a filter of bits
+    takes for theirs are shuffled."""
+    ids = ids.toDF(key)
+    if ids.limit(limit + 1).count() <= limit:
+        return rows.join(F.broadcast(ids), key, "left_anti").select(rows.columns)
+    told = sieved(rows, key, ids, "_siteloom_hit")
+    return told.where("not _siteloom_hit").select(rows.columns).union(told.where("_siteloom_hit").join(ids.hint("merge"), key, "left_anti").select(rows.columns))
+
+
 #: A key that holds more than one of so many rows is hot; there are fewer hot keys than that, so they can be broadcast.
 HOT_SHARE = 1000
 #: What keys are joined by when they are hot, beside the key itself.

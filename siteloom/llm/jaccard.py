@@ -6,19 +6,24 @@ this one keeps lists short), and a set enters the index lists of its prefix: two
 threshold share a prefix shingle. Relations between sets then skip most of the work:
 
 - Index level: lists are cut into blocks by set size and carry positions. A set meets the blocks of its own
-  and the next size only, and skips entries whose position leaves too few shingles to share. Pairs that are
-  left must share so many shingles of their prefixes as the threshold implies.
-- Answer level: each list has a pivot set, to which all its sets are compared first (one comparison a set). As
-  1 - Jaccard is a metric, the pivot's answers give those of the sets near it: two sets whose distances to the
-  pivot differ by more than the limit cannot link, and those that the pivots' links connect, in whatever list,
-  are connected already. Only pairs that neither decides are compared.
+  and the next size only, and skips entries whose position leaves too few shingles to share. Entries that have
+  no other set in these blocks enter no list: tasks send 32 bits for each block, those sent twice return as a
+  filter of bits (at most 128 MB). Pairs that are left must share so many shingles of their prefixes as the
+  threshold implies.
+- Answer level: each list has a pivot set, to which all its sets of like size are compared first (one comparison
+  a set). As 1 - Jaccard is a metric, the pivot's answers give those of the sets near it: two sets whose distances
+  to the pivot differ by more than the limit cannot link, and those that the pivots' links connect, in whatever
+  list, are connected already. Only pairs that neither decides are compared.
 - Set level: a set carries the parities of its shingles in 512 places. Two sets differ in at least as many
   shingles as their parities differ in places, so that pairs of texts that share a common passage only are told
-  apart where lists are joined; none that links is lost.
+  apart where lists are joined; none that links is lost. Sets too large for that are compared to the pivots of
+  long lists whatever their size.
 
 Comparisons are exact intersections of whole sets. Components come from iterated smallest labels. The links
 found are enough to connect what is linked, not all of them: sets that are connected over pivots need no own link.
-Keys that hold a large share of a join's rows (a much copied text, a pivot, a hub) are salted.
+Keys that hold a large share of a join's rows (a much copied text, a pivot, a hub) are salted. Texts are never
+dealt by a shuffle: ids choose them by a broadcast or, where there are too many, by a filter of bits. Tables that
+have been read for the last time are deleted.
 
 Edge cases: null texts and texts without words have an empty set and link with nothing; a text with fewer
 words than a shingle is one shingle; rows that share a doc_id are one node; rows with a null doc_id get their
@@ -34,20 +39,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import bounded_broadcast, hash_words, materialize, ngram_hashes, salted_join, small_batches, table
+from siteloom.llm.common import bounded_broadcast, hash_words, materialize, mix, ngram_hashes, passing, salted_join, small_batches, spent, table, without
+from siteloom.llm.decontaminate import share_filter
 
 #: The sketch: counts of 2^20 buckets in 16 blocks.
 SKETCH_BITS, SKETCH_BLOCKS = 20, 16
 BLOCK = (1 << SKETCH_BITS) // SKETCH_BLOCKS
 #: Places of the parities, in words of 64 bits.
 PARITY_BITS, PARITY_WORDS = 512, 8
-#: Ids that may be broadcast; more are joined by a shuffle.
+#: Ids that may be broadcast; more choose texts by a filter of bits.
 MAX_BROADCAST = 500_000
-#: Lists of so many sets and more have all their distances to the pivot measured.
+#: Lists of so many sets and more have all their distances to the pivot measured, where parities tell little.
 LONG_LIST = 16
+#: Blocks' hashes that one task compares.
+HELD_BLOCKS = 4_000_000
+EPS = 1e-9
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -132,6 +141,77 @@ def prefixes(sets: DataFrame, counts: np.ndarray, k: int, num: int, den: int) ->
     return sets.mapInArrow(index, "node long, n int, tokens array<long>, parity array<long>").where("n > 0")
 
 
+def block_hashes(tokens: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    """Hashes of (token, block of sizes); the first 32 bits and those that deal them lie at the top, the last is free."""
+    return mix(mix(tokens.view(np.uint64)) + blocks.astype(np.int64).view(np.uint64))
+
+
+def size_blocks(n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The block of each size: of two sets that can link the larger lies in the smaller's block or the next."""
+    return np.floor(np.log(n) / math.log(den / num) + EPS).astype(np.int64)
+
+
+def met_blocks(index: DataFrame, num: int, den: int) -> DataFrame:
+    """(token): the hashes' first bits of blocks of lists in which a set may meet another.
+
+    An entry lies in the block of its own size, and waits in the one before for smaller sets. A block counts if it
+    has two entries, one of them of its own size. Hashes travel in packed runs; the few that are equal by chance
+    let some entries through, no more.
+    """
+    entries = index.agg(F.sum(F.size("tokens")).alias("n")).collect()[0]["n"] or 0
+    bits = max(4, (2 * entries // HELD_BLOCKS).bit_length())
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("tokens")
+            tokens, blocks = lists.flatten().to_numpy(), np.repeat(size_blocks(b.column("n").to_numpy(), num, den), np.diff(lists.offsets.to_numpy()))
+            own, before = block_hashes(tokens, blocks), block_hashes(tokens, blocks - 1)
+            every = np.concatenate([own, before])
+            part = (every >> np.uint64(64 - bits)).astype(np.int32)
+            rest = ((every >> np.uint64(64 - bits - 31)) & np.uint64((1 << 31) - 1)).astype(np.uint32) << np.uint32(1)
+            rest[: len(own)] |= np.uint32(1)
+            order = np.lexsort((rest, part))
+            part, rest = part[order], rest[order]
+            starts = np.flatnonzero(np.diff(part, prepend=-1))
+            runs = [rest[i:j].tobytes() for i, j in zip(starts, [*starts[1:], len(rest)], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[starts], pa.int32()), pa.array(runs, pa.binary())], ["part", "run"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs: dict[int, list[np.ndarray]] = {}
+        for b in batches:
+            for part, run in zip(b.column("part").to_pylist(), b.column("run").to_pylist(), strict=True):
+                runs.setdefault(part, []).append(np.frombuffer(run, np.uint32))
+        for part, found in runs.items():
+            every = np.sort(np.concatenate(found))
+            # Entries of a block lie together, those of its own size last.
+            twice = (every[1:] >> 1 == every[:-1] >> 1) & (every[1:] & 1 == 1)
+            met = np.unique(every[1:][twice] >> 1).astype(np.uint64)
+            out = (np.uint64(part) << np.uint64(64 - bits)) | (met << np.uint64(64 - bits - 31))
+            yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64), pa.int64())], ["token"])
+
+    sent = index.select("n", "tokens").mapInArrow(send, "part int, run binary")
+    return sent.repartition(1 << bits, "part").mapInArrow(compare, "token long")
+
+
+def entries(index: DataFrame, num: int, den: int) -> DataFrame:
+    """(token, node, n, pos): the entries of lists, but for those that meet no other set there."""
+    blocks = materialize(met_blocks(index, num, den), "blocks")
+    known = share_filter(blocks)
+    spent(blocks)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists, n = b.column("tokens"), b.column("n").to_numpy()
+            sizes = np.diff(lists.offsets.to_numpy())
+            tokens, blocks = lists.flatten().to_numpy(), np.repeat(size_blocks(n, num, den), sizes)
+            stays = known.value.passes(block_hashes(tokens, blocks)) | known.value.passes(block_hashes(tokens, blocks - 1))
+            pos = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            columns = [tokens, np.repeat(b.column("node").to_numpy(), sizes), np.repeat(n, sizes), pos.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c[stays]) for c in columns], ["token", "node", "n", "pos"])
+
+    return index.select("node", "n", "tokens").mapInArrow(keep, "token long, node long, n int, pos int")
+
+
 def whole_sets(sets: DataFrame, k: int) -> DataFrame:
     """(node, shingles): the whole sets of (node, text)."""
 
@@ -147,8 +227,8 @@ def whole_sets(sets: DataFrame, k: int) -> DataFrame:
 
 def intersections(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, inter, total) of pairs (a, b): sizes of the intersection and of the union."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    left = passing(sets, "node", pairs.select("a"), MAX_BROADCAST).select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    right = passing(sets, "node", pairs.select("b"), MAX_BROADCAST).select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = salted_join(pairs, right, "b").join(left.hint("merge"), "a")
     inter = F.size(F.array_intersect("sa", "sb"))
     return both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), inter.alias("inter")).select("a", "b", "inter", (F.col("na") + F.col("nb") - F.col("inter")).alias("total"))
@@ -173,17 +253,23 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
+def differing(x: str, y: str) -> Column:
+    """In how many places two parities differ; two sets differ in as many shingles at least."""
+    return sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(PARITY_WORDS)), F.lit(0))
+
+
 def plausible(pairs: DataFrame, index: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose prefixes share enough shingles for the sets to reach the threshold.
+    """The pairs (a, b) whose prefixes share enough shingles for the sets to reach the threshold, and whose parities let them.
 
     Of two prefixes take the one that ends first in the common order: shared shingles up to there are in both
     prefixes, and the set has n - m others. So the intersection is at most the prefixes' plus the larger n - m.
     """
-    left = index.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    right = index.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    both = salted_join(materialize(pairs, "candidates"), right, "b").join(left.hint("merge"), "a")
+    pairs = materialize(pairs, "candidates")
+    side = lambda at: passing(index, "node", pairs.select(at), MAX_BROADCAST).select(F.col("node").alias(at), F.col("n").alias(f"n{at}"), F.col("tokens").alias(f"t{at}"), F.col("parity").alias(f"p{at}"))
+    both = salted_join(pairs, side("b"), "b").join(side("a").hint("merge"), "a")
     most = F.size(F.array_intersect("ta", "tb")) + F.greatest(F.col("na") - F.size("ta"), F.col("nb") - F.size("tb"))
-    return both.where(most.cast("long") * (num + den) >= (F.col("na") + F.col("nb")).cast("long") * num).select("a", "b")
+    total = (F.col("na") + F.col("nb")).cast("long")
+    return both.where((differing("pa", "pb") * (num + den) <= total * (den - num)) & (most.cast("long") * (num + den) >= total * num)).select("a", "b")
 
 
 def linked_components(docs: DataFrame, index: DataFrame, k: int, num: int, den: int, more: DataFrame) -> DataFrame:
@@ -193,43 +279,46 @@ def linked_components(docs: DataFrame, index: DataFrame, k: int, num: int, den:
     formed only between different ones, in the lists that hold several; a group of near copies, whose lists lie
     within it, forms none. Further links then join whole components.
     """
-    lists = index.select("node", "n", F.posexplode("tokens").alias("pos", "token"))
+    lists = materialize(entries(index, num, den), "entries")
     shared = lists.groupBy("token").agg(F.count("*").alias("entries"), F.min(F.struct("node", "n")).alias("p")).where("entries > 1")
     shared = materialize(lists.join(shared.select("token", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), "entries"), "token"), "lists")
+    spent(lists)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         pairs = materialize(pairs, name)
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        sets = docs.join(bounded_broadcast(nodes, MAX_BROADCAST), F.col("doc_id") == F.col("node")).select("node", "text")
-        both = intersections(pairs, materialize(whole_sets(sets, k), "sets"))
-        return both.withColumn("linked", F.col("inter").cast("long") * den >= F.col("total").cast("long") * num)
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+        sets = materialize(whole_sets(passing(docs, "doc_id", nodes, MAX_BROADCAST).select(F.col("doc_id").alias("node"), "text"), k), "sets")
+        out = materialize(intersections(pairs, sets).withColumn("linked", F.col("inter").cast("long") * den >= F.col("total").cast("long") * num), f"{name}-verified")
+        spent(pairs, sets)
+        return out
 
-    limit, eps = 1 - num / den, 1e-9
+    limit = 1 - num / den
     close = (F.col("n") * den >= F.col("pivot_n") * num) & (F.col("pivot_n") * den >= F.col("n") * num)
     to_pivot = shared.where((F.col("node") != F.col("pivot")) & close).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    # In long lists the distance to the pivot is worth knowing whatever it is: it keeps far pairs apart below.
-    long = shared.where((F.col("node") != F.col("pivot")) & (F.col("entries") >= LONG_LIST)).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    near = materialize(verified(plausible(to_pivot, index, num, den).union(long).distinct(), "pivot-pairs"), "pivots")
+    # In long lists the distance to the pivot is worth knowing whatever it is: it keeps far pairs apart below. Parities
+    # do that unless the sets are so large that they may differ in more places than unrelated parities do.
+    large = (F.col("n") + F.col("pivot_n")) * (den - num) >= F.lit((num + den) * PARITY_BITS // 4)
+    long = shared.where((F.col("node") != F.col("pivot")) & (F.col("entries") >= LONG_LIST) & large).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    near = verified(plausible(to_pivot, index, num, den).union(long).distinct(), "pivot-pairs")
     first = components(near.where("linked").select("a", "b").union(more))
     dist = near.select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("inter") / F.col("total")).alias("d"))
     known = shared.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = known.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     known = salted_join(materialize(known, "labelled-lists"), mixed, "token").join(dist.hint("merge"), ["node", "pivot"], "left")
-    known = known.withColumn("bucket", F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) + eps))
+    known = known.withColumn("bucket", F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) + EPS))
     known = salted_join(materialize(known, "mixed-lists"), index.select("node", "parity"), "node")
     names = ("node", "n", "pos", "d", "component", "parity")
     x = known.select("token", "bucket", *[F.col(c).alias(f"x_{c}") for c in names])
     y = known.select("token", F.explode(F.array(F.col("bucket"), F.col("bucket") - 1)).alias("bucket"), *[F.col(c).alias(f"y_{c}") for c in names])
-    need = (F.col("x_n") + F.col("y_n")) * F.lit(num / (num + den)) - eps
-    differ = sum((F.bit_count(F.col("x_parity")[i].bitwiseXOR(F.col("y_parity")[i])) for i in range(PARITY_WORDS)), F.lit(0))
+    need = (F.col("x_n") + F.col("y_n")) * F.lit(num / (num + den)) - EPS
     # A pair is met at the first shingle that its prefixes share; what follows must suffice from there.
     undecided = (
         (F.col("x_component") != F.col("y_component"))
         & ((F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_node") < F.col("y_node"))))
         & (F.col("x_n") * den >= F.col("y_n") * num)
         & (F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) >= need)
-        & (differ * (num + den) <= (F.col("x_n") + F.col("y_n")) * (den - num))
-        & F.coalesce(F.abs(F.col("x_d") - F.col("y_d")) <= limit + eps, F.lit(True))
+        & (differing("x_parity", "y_parity") * (num + den) <= (F.col("x_n") + F.col("y_n")) * (den - num))
+        & F.coalesce(F.abs(F.col("x_d") - F.col("y_d")) <= limit + EPS, F.lit(True))
     )
     pairs = x.join(y.hint("merge"), ["token", "bucket"]).where(undecided).select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
     far = verified(plausible(pairs, index, num, den), "other-pairs").where("linked").select("a", "b")
@@ -247,7 +336,9 @@ def near_duplicate_classes(docs: DataFrame, k: int = 5, num: int = 4, den: int =
     rows = signed.where("n is not null")
     group = rows.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("node"))
     copies = rows.where("doc_id is not null").select("doc_id").distinct().join(group.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_anti")
-    reps = docs.where("doc_id is not null").join(bounded_broadcast(copies, MAX_BROADCAST), "doc_id", "left_anti")
+    texts = docs.where("doc_id is not null")
+    # A copy that a filter of bits lets pass does no harm: it links to its like, whose id is smaller.
+    reps = texts.join(F.broadcast(copies), "doc_id", "left_anti") if copies.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else passing(texts, "doc_id", group.select("node"), MAX_BROADCAST)
     index = materialize(prefixes(reps.select(F.col("doc_id").alias("node"), "text"), sketch(signed), k, num, den), "index")
     repeats = rows.where("sig is not null and doc_id is not null").groupBy("doc_id").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("doc_id")
     same = rows.join(repeats, "doc_id", "left_semi").join(group, "sig").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
@@ -276,7 +367,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = materialize(classes.distinct().join(ids, row), "classes")
     best = found.groupBy(kind).agg(F.min(F.struct(F.col("id").isNull().alias("late"), "id", row)).alias("best"), F.count("*").alias("rows")).where("rows > 1")
     gone = salted_join(found, best.select(kind, F.col(f"best.{row}").alias("kept")), kind).where(F.col(row) != F.col("kept")).select(row)
-    alone = known.join(bounded_broadcast(materialize(gone, "copies"), MAX_BROADCAST), row, "left_anti")
+    alone = without(known, row, materialize(gone, "copies"), MAX_BROADCAST)
     repeated = found.where("n > 1").select(row)
     if not repeated.limit(1).count():
         return alone.select(docs.columns)

@@ -11,6 +11,7 @@ import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -20,7 +21,8 @@ pytest.importorskip("siteloom.llm")
 
 from siteloom.llm import decontaminate, html, jaccard, language, lm, packing, tokens, topk, toxicity, warc
 from siteloom.llm import queries as registered
-from siteloom.llm.common import salted_join, shared_dir
+from siteloom.llm.common import passing, salted_join, shared_dir, without
+from siteloom.tables import application_folder
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 
@@ -543,3 +545,33 @@ def test_parities_tell_far_sets_apart_and_no_near_ones():
         for gone in range(0, n // 2, max(1, n // 7)):
             near = base[gone:]
             assert apart(base, near) <= gone
+
+
+def test_jaccard_without_broadcasts_keeps_no_spent_tables(spark, monkeypatch):
+    """Where ids are too many for a broadcast a filter of bits chooses texts; tables read for the last time are gone."""
+    monkeypatch.setattr(jaccard, "MAX_BROADCAST", 0)
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(300)]
+    rows = []
+    for _ in range(8):
+        origin = [rng.choice(vocab) for _ in range(rng.randint(20, 90))]
+        for _ in range(6):
+            rows.append((3 * len(rows), " ".join(rng.choice(vocab) if rng.random() < rng.choice([0, 0.01, 0.03]) else w for w in origin)))
+    rows += [(1000 + i, rows[i][1]) for i in range(0, 40, 3)] + [(2000, None), (2001, " ")]
+    folder = Path(application_folder(spark).removeprefix("file://"))
+    before = {p.name for p in folder.glob("*")}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string"), 3, 9, 10).collect()}
+    assert got == brute_classes(rows, 3, 9, 10)
+    kept = {p.name.rpartition("-")[0] for p in folder.glob("*") if p.name not in before}
+    assert "index" in kept and not kept & {"sets", "entries", "blocks", "pivot-pairs", "other-pairs"}
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = frame.where("doc_id % 2 = 0").select("doc_id")
+    assert {r["doc_id"] for r in without(frame, "doc_id", ids, 0).collect()} == {i for i, _ in rows if i % 2}
+    assert {r["doc_id"] for r in passing(frame, "doc_id", ids, 0).collect()} >= {i for i, _ in rows if i % 2 == 0}
+
+
+def test_entries_that_meet_no_set_of_like_size_enter_no_list(spark):
+    sets = [(1, 10, [7]), (2, 11, [7]), (3, 30, [7]), (4, 90, [5]), (5, 100, [5, 9]), (6, 400, [9]), (7, 50, [6]), (8, 50, [6])]
+    index = spark.createDataFrame([(*s, [0] * 8) for s in sets], "node long, n int, tokens array<long>, parity array<long>")
+    got = {(r["token"], r["node"], r["pos"]) for r in jaccard.entries(index, 9, 10).collect()}
+    assert got == {(7, 1, 0), (7, 2, 0), (5, 4, 0), (5, 5, 0), (6, 7, 0), (6, 8, 0)}
