@@ -21,8 +21,8 @@ threshold share a prefix shingle. Relations between sets then skip most of the w
 
 Comparisons are exact intersections of whole sets. Components come from iterated smallest labels. The links
 found are enough to connect what is linked, not all of them: sets that are connected over pivots need no own link.
-Keys that hold a large share of a join's rows (a much copied text, a pivot, a hub) are salted. Texts are never
-dealt by a shuffle: ids choose them by a broadcast or, where there are too many, by a filter of bits. Tables that
+Keys that hold a large share of a join's rows (a much copied text, a pivot, a hub) are salted. The join deals
+no texts by a shuffle: ids choose them by a broadcast or, where there are too many, by a filter of bits. Tables that
 have been read for the last time are deleted.
 
 Edge cases: null texts and texts without words have an empty set and link with nothing; a text with fewer
